@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from memloom.llm import mixing, records
+from memloom.llm import langid, mixing, mpeg, records, toxicity
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
+    "op2_toxicity": toxicity.op2_toxicity,
+    "op6_media": mpeg.op6_media,
     "op7_token_records": records.op7_token_records,
+    "op8_language_id": langid.op8_language_id,
 }
 
 SQL = {
