@@ -23,6 +23,8 @@ BUCKETS = 1 << 20
 SAMPLE_ROWS = 6000
 #: Hashed terms it has weights for: those most telling of the label in the sample.
 TERMS = 2048
+#: They are in so many sample rows, and so many standard deviations from the mean share of the label.
+LEAST_SEEN, LEAST_Z = 4, 5.0
 FACTORS = 8
 THRESHOLD = 0.3
 #: Lengths of word beginnings that are terms too.
@@ -75,9 +77,9 @@ class FactorizationMachine:
         seen = np.bincount(flat, minlength=BUCKETS)
         toxic = np.bincount(flat, weights=owner, minlength=BUCKETS)
         base = positive / len(terms)
-        telling = np.where(seen >= 3, np.abs(toxic - seen * base) / np.sqrt(np.maximum(seen, 1) * base * (1 - base)), 0.0)
+        telling = np.where(seen >= LEAST_SEEN, np.abs(toxic - seen * base) / np.sqrt(np.maximum(seen, 1) * base * (1 - base)), 0.0)
         chosen = np.sort(np.argsort(-telling, kind="stable")[:TERMS])
-        chosen = chosen[telling[chosen] > 0]
+        chosen = chosen[telling[chosen] >= LEAST_Z]
         x = np.zeros((len(terms), len(chosen)), dtype=np.float32)
         for i, t in enumerate(terms):
             x[i, np.searchsorted(chosen, t[np.isin(t, chosen)])] = 1.0
