@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from memloom.llm import decontam, htmltext, jaccard, langid, mixing, mpeg, records, toxicity
+from memloom.llm import decontam, htmltext, jaccard, langid, mixing, mpeg, pii, records, toxicity
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op2_toxicity": toxicity.op2_toxicity,
     "op3_decontamination": decontam.op3_decontamination,
+    "op4_pii": pii.op4_pii,
     "op5_jaccard_join": jaccard.op5_jaccard_join,
     "op6_media": mpeg.op6_media,
     "op7_token_records": records.op7_token_records,
@@ -17,4 +18,5 @@ QUERIES = {
 
 SQL = {
     "op1_mixing": mixing.OP1_SQL,
+    "op4_pii": pii.OP4_SQL,
 }
