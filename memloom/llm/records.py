@@ -30,7 +30,9 @@ MASK_ROTATE, MASK_ADD = 15, 0xA282EAD8
 HEAD, KEY, TAIL = struct.Struct("<QI"), struct.Struct("<Bq"), struct.Struct("<I")
 END_ID = 2
 #: Text characters for one file; a file is read back whole by one task.
-SHARD_CHARS = 24 << 20
+SHARD_CHARS = 16 << 20
+#: Text bytes encoded at once.
+ENCODE_BYTES = 2 << 20
 
 
 def masked_crc(data: bytes) -> int:
@@ -93,7 +95,7 @@ def write_records(docs: DataFrame, path: str, order: Column | None = None, token
         wide = max(coder.vocabulary, end_id) > 1 << 16
         cuts = np.array([(b[0], b[1], b[2]) for b in bounds], dtype=[("some", "?"), ("key", "<i8"), ("hash", "<i8")])
         for batch in batches:
-            for piece in pieces(batch, "text"):
+            for piece in pieces(batch, "text", ENCODE_BYTES):
                 ids, ends = coder.encode(plain(piece.column("text")))
                 keys, hashes = piece.column("key"), piece.column("hash")
                 at = np.zeros(piece.num_rows, dtype=[("some", "?"), ("key", "<i8"), ("hash", "<i8")])
@@ -106,6 +108,7 @@ def write_records(docs: DataFrame, path: str, order: Column | None = None, token
                     [pa.array(np.searchsorted(cuts, at).astype(np.int32) if len(cuts) else np.zeros(len(at), np.int32)), keys, hashes, pa.array(frames, pa.binary())],
                     names=["shard", "key", "hash", "frame"],
                 )
+            pa.default_memory_pool().release_unused()
 
     framed = rows.mapInArrow(encode, "shard int, key bigint, hash bigint, frame binary")
     (framed.repartitionById(len(bounds) + 1, F.col("shard")).sortWithinPartitions(F.col("key").asc_nulls_first(), "hash", "frame")

@@ -1,7 +1,8 @@
 """Subword ids of whole texts with a public tokenizer file, word by word.
 
 The word-level BPE drops white space before it splits, so a text's ids are the
-concatenated ids of its words; each distinct word of a batch is encoded once.
+concatenated ids of its words; each distinct word of a batch is encoded once, and kept
+under a 128-bit hash for later batches.
 """
 
 from __future__ import annotations
@@ -17,7 +18,34 @@ import pyarrow.compute as pc
 from memloom.llm.textio import plain, ragged, words
 
 #: Words a worker keeps encoded; beyond that it starts anew.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 500_000
+
+
+class WordHash:
+    """Two 64-bit hashes of each string of an array, from sums over its bytes."""
+
+    def __init__(self, seed: int = 3):
+        rng = np.random.default_rng(seed)
+        self.tables = rng.integers(1, 1 << 63, size=(2, 256), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        self.bases = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F]
+        self.powers = np.zeros((4, 0), dtype=np.uint64)
+
+    def __call__(self, strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        offsets = np.frombuffer(strings.buffers()[1], dtype=np.int64 if pa.types.is_large_string(strings.type) else np.int32)
+        offsets = offsets[strings.offset : strings.offset + len(strings) + 1].astype(np.int64)
+        low, high = (int(offsets[0]), int(offsets[-1])) if len(strings) else (0, 0)
+        data = np.frombuffer(strings.buffers()[2] or b"", dtype=np.uint8)[low:high]
+        offsets = offsets - low
+        if self.powers.shape[1] <= len(data):
+            n = len(data) + (1 << 16)
+            self.powers = np.stack([np.cumprod(np.full(n, x & (1 << 64) - 1, dtype=np.uint64)) for b in self.bases for x in (b, pow(b, -1, 1 << 64))])
+        out = []
+        for k in (0, 1):
+            sums = np.zeros(len(data) + 1, dtype=np.uint64)
+            np.cumsum(self.tables[k][data] * self.powers[2 * k][: len(data)], out=sums[1:])
+            mixed = (sums[offsets[1:]] - sums[offsets[:-1]]) * self.powers[2 * k + 1][offsets[:-1]] + (offsets[1:] - offsets[:-1]).astype(np.uint64)
+            out.append(mixed ^ mixed >> np.uint64(31))
+        return out[0], out[1]
 
 
 def default_path() -> str:
@@ -27,23 +55,32 @@ def default_path() -> str:
 
 
 class WordEncoder:
-    """Encodes distinct words once; ``place`` maps a word to its ids in ``pool``."""
+    """Encodes distinct words once; the ids of word i of ``keys`` are at ``firsts[i]`` in ``pool``."""
 
     def __init__(self, path: str):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        # For words that normalising and splitting leave alone.
+        self.bare = Tokenizer.from_file(path)
+        self.bare.normalizer = normalizers.Sequence([])
+        self.bare.pre_tokenizer = pre_tokenizers.Sequence([
+            pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False, trim_offsets=False)])
         self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        self.place: dict[str, int] = {}
-        self.pool, self.firsts, self.sizes = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.stops = {c: self._encode([c])[0][0] for c in ",."}
         self.ends_word = np.zeros(self.vocabulary, dtype=bool)
         for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items():
             self.ends_word[i] = token.endswith("</w>")
         self.letters = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+").fullmatch
+        self.hash = WordHash()
+        self.forget()
+
+    def forget(self) -> None:
+        self.keys, self.checks = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        self.pool, self.firsts, self.sizes = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int32)
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -54,7 +91,7 @@ class WordEncoder:
         simple = np.array([self.letters(w) is not None for w in stems], dtype=bool)
         sizes = np.zeros(len(stems), dtype=np.int64)
         joined = [" ".join(x) for x in batched((w for w, s in zip(stems, simple, strict=True) if s), 2000)]
-        flat = np.fromiter(chain.from_iterable(self._encode(joined)), dtype=np.uint32)
+        flat = np.fromiter(chain.from_iterable(x.ids for x in self.bare.encode_batch_fast(joined, add_special_tokens=False)), dtype=np.uint32)
         ends = np.flatnonzero(self.ends_word[flat])
         sizes[simple] = np.diff(ends, prepend=-1)
         rest = self._encode([w for w, s in zip(stems, simple, strict=True) if not s])
@@ -65,49 +102,64 @@ class WordEncoder:
         ids[ragged(firsts[~simple], sizes[~simple])] = np.fromiter(chain.from_iterable(rest), dtype=np.uint32)
         return ids, sizes
 
-    def _add(self, fresh: list[str]) -> None:
-        """Put new words into the pool. A stop after an ASCII letter is a piece of its own."""
-        place, bases, stems = self.place, [], {}
-        for w in fresh:
-            base = w[:-1] if len(w) > 1 and w[-1] in self.stops and "a" <= w[-2] <= "z" else w
-            bases.append(base)
-            if base not in stems:
-                stems[base] = len(stems)
-        coded, stem_sizes = self._encode_stems(list(stems))
-        at = np.array([stems[b] for b in bases], dtype=np.int64)
-        stop = np.array([0 if b is w else self.stops[w[-1]] for w, b in zip(fresh, bases, strict=True)], dtype=np.int64)
-        sizes = stem_sizes[at] + (stop > 0)
-        ids = np.zeros(int(sizes.sum()), dtype=np.uint32)
-        firsts = np.cumsum(sizes) - sizes
-        ids[ragged(firsts, stem_sizes[at])] = coded[ragged((np.cumsum(stem_sizes) - stem_sizes)[at], stem_sizes[at])]
-        ids[(firsts + sizes - 1)[stop > 0]] = stop[stop > 0]
-        start = len(self.pool)
+    def _find(self, keys: np.ndarray, checks: np.ndarray) -> np.ndarray:
+        """Places of known words, -1 for others."""
+        if not len(self.keys):
+            return np.full(len(keys), -1, dtype=np.int64)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where((self.keys[at] == keys) & (self.checks[at] == checks), at, -1)
+
+    def _keep(self, keys: np.ndarray, checks: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
+        order = np.argsort(keys)
+        firsts = (len(self.pool) + np.cumsum(sizes) - sizes)[order]
+        at = np.searchsorted(self.keys, keys[order])
+        self.keys, self.checks = np.insert(self.keys, at, keys[order]), np.insert(self.checks, at, checks[order])
+        self.firsts, self.sizes = np.insert(self.firsts, at, firsts), np.insert(self.sizes, at, sizes[order].astype(np.int32))
         self.pool = np.concatenate([self.pool, ids])
-        place.update(zip(fresh, range(len(self.sizes), len(self.sizes) + len(fresh)), strict=True))
-        self.firsts = np.concatenate([self.firsts, start + firsts])
-        self.sizes = np.concatenate([self.sizes, sizes])
 
-    def vocabulary_ids(self, distinct: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _add(self, fresh: pa.Array, keys: np.ndarray, checks: np.ndarray) -> None:
+        """Encode new words. A stop after an ASCII letter is a piece of its own, so "word," is "word" and ","."""
+        names = fresh.to_pylist()
+        stopped = np.array([len(w) > 1 and w[-1] in self.stops and "a" <= w[-2] <= "z" for w in names], dtype=bool)
+        whole = [w for w, s in zip(names, stopped, strict=True) if not s]
+        if whole:
+            ids, sizes = self._encode_stems(whole)
+            self._keep(keys[~stopped], checks[~stopped], ids, sizes)
+        if stopped.any():
+            stems = pa.array([w[:-1] for w, s in zip(names, stopped, strict=True) if s], pa.string()).dictionary_encode()
+            firsts, sizes = self.places(stems.dictionary)
+            code = stems.indices.to_numpy(zero_copy_only=False)
+            stem_sizes = sizes[code].astype(np.int64)
+            ids = np.zeros(int(stem_sizes.sum()) + len(code), dtype=np.uint32)
+            begins = np.cumsum(stem_sizes + 1) - stem_sizes - 1
+            ids[ragged(begins, stem_sizes)] = self.pool[ragged(firsts[code], stem_sizes)]
+            ids[begins + stem_sizes] = [self.stops[w[-1]] for w, s in zip(names, stopped, strict=True) if s]
+            self._keep(keys[stopped], checks[stopped], ids, stem_sizes + 1)
+
+    def places(self, distinct: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Where each word's ids begin in ``pool``, and how many there are."""
-        if len(self.place) > CACHE_WORDS:
-            self.place.clear()
-            self.pool, self.firsts, self.sizes = self.pool[:0], self.firsts[:0], self.sizes[:0]
-        find = self.place.get
-        at = np.array([find(w, -1) for w in distinct], dtype=np.int64)
-        new = np.flatnonzero(at < 0)
-        if len(new):
-            known = len(self.sizes)
-            self._add([distinct[i] for i in new])
-            at[new] = np.arange(known, known + len(new))
+        keys, checks = self.hash(distinct)
+        at = self._find(keys, checks)
+        if (at < 0).any():
+            new = np.flatnonzero(at < 0)
+            self._add(distinct.take(pa.array(new)), keys[new], checks[new])
+            at = self._find(keys, checks)
+            if (at < 0).any():
+                raise ValueError("two words share a hash")
         return self.firsts[at], self.sizes[at]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and the offsets of each text."""
         texts = plain(texts)
         special = pc.any(pc.match_substring(texts, "<|")).as_py()  # special tokens are told by case
-        codes, offsets, distinct = words(texts, lower=not special)
-        firsts, sizes = self.vocabulary_ids(distinct.to_pylist())
-        lengths = sizes[codes]
+        return self.encode_words(*words(texts, lower=not special))
+
+    def encode_words(self, codes: np.ndarray, offsets: np.ndarray, distinct: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and offsets of texts that ``words`` has split. It lower-cases A-Z, so no text may hold "<|"."""
+        if len(self.keys) > CACHE_WORDS:
+            self.forget()
+        firsts, sizes = self.places(distinct)
+        lengths = sizes[codes].astype(np.int64)
         ends = np.concatenate([[0], np.cumsum(lengths)])
         return self.pool[ragged(firsts[codes], lengths)], ends[offsets]
 
