@@ -113,69 +113,79 @@ def could_be_similar(n: np.ndarray, maps: np.ndarray, m: np.ndarray, others: np.
     return near_in_size(n[:, None], m[None, :]) & (DENOMINATOR * most >= NUMERATOR * (total - most))
 
 
-def make_sets(docs: DataFrame) -> DataFrame:
-    """rid, doc_id, n, digest, hashes of every row, stored. ``hashes`` is null but for the first row of
-    a set in its partition; ``digest`` is null for empty sets."""
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").alias("text"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, seen = WordHash(), set()
-        for batch in batches:
-            for piece in pieces(batch, "text"):
-                sets = shingle_sets(piece.column("text"), hasher)
-                digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
-                kept = []
-                for s, d in zip(sets, digests, strict=True):
-                    kept.append(None if d is None or d in seen else s.tobytes())
-                    seen.add(d)
-                yield pa.RecordBatch.from_arrays(
-                    [piece.column("rid"), piece.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array(kept, pa.binary())],
-                    names=["rid", "doc_id", "n", "digest", "hashes"])
-
-    return stored(rows.mapInArrow(run, "rid bigint, doc_id bigint, n bigint, digest binary, hashes binary"), "sets", "none")
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("k1"),
+                       F.xxhash64(F.lit("second"), "text").alias("k2"), F.col("text").alias("text"))
 
 
-def hot_shingles(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and counts of shingles that recur often. A shingle is counted where it is in a batch
-    more than once, so one in more sets than there are batches is always found."""
+def hot_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes, and counts, of shingles that recur often. A shingle is counted where more than
+    one set of a batch holds it, so one in more sets than there are batches is always found."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = WordHash()
         for batch in batches:
-            data = [np.frombuffer(h.as_buffer(), dtype=np.uint64) for h in batch.column("hashes")]
-            if data:
-                flat = np.sort(np.concatenate(data))
+            for piece in pieces(batch, "text"):
+                sets = {s.tobytes(): s for s in shingle_sets(piece.column("text"), hasher)}.values()
+                flat = np.sort(np.concatenate(list(sets)))
                 ends = np.flatnonzero(np.append(flat[1:] != flat[:-1], True)) if len(flat) else np.zeros(0, np.int64)
                 counts = np.diff(ends, prepend=-1)
                 again = counts > 1
-                yield pa.RecordBatch.from_arrays([pa.array(flat[ends[again]].view(np.int64)), pa.array(counts[again])], names=["hash", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(flat[ends[again]].view(np.int64)), pa.array(counts[again].astype(np.int64))], names=["hash", "n"])
 
-    counted = sets.where("hashes IS NOT NULL").select("hashes").mapInArrow(run, "hash bigint, n bigint")
+    counted = docs.select("text").mapInArrow(run, "hash bigint, n bigint")
     top = counted.groupBy("hash").agg(F.sum("n").alias("n")).where(F.col("n") >= HOT).orderBy(F.desc("n"), "hash").limit(MOST_HOT).collect()
     keys = np.array([r.hash for r in top], dtype=np.int64).view(np.uint64)
     order = np.argsort(keys)
     return keys[order], np.array([r.n for r in top], dtype=np.int64)[order]
 
 
+def prefix_of(hashes: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The first shingles of a set in the common order: rare ones first, then by hash."""
+    take = prefix_length(len(hashes))
+    if len(keys) and take < len(hashes):
+        at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
+        weight = np.where(keys[at] == hashes, counts[at], 0)
+        if weight.any():
+            hashes = hashes[np.lexsort((hashes, weight))]
+    return hashes[:take]
+
+
+def make_sets(docs: DataFrame) -> DataFrame:
+    """rid, doc_id, k1, k2 (a key of the text), n, digest, band, prefix, bits of every row, stored. ``prefix`` and
+    ``bits`` are null but for the first row of a set in its partition; ``digest`` is null for empty sets."""
+    hot = docs.sparkSession.sparkContext.broadcast(hot_shingles(docs))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher, seen = WordHash(), set()
+        for batch in batches:
+            for piece in pieces(batch, "text"):
+                sets = shingle_sets(piece.column("text"), hasher)
+                digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
+                prefixes, bits = [], []
+                for s, d in zip(sets, digests, strict=True):
+                    first = d is not None and d not in seen
+                    seen.add(d)
+                    prefixes.append(prefix_of(s, *hot.value).tobytes() if first else None)
+                    bits.append(bitmap(s).tobytes() if first else None)
+                sizes = [len(s) for s in sets]
+                yield pa.RecordBatch.from_arrays(
+                    [*[piece.column(c) for c in ("rid", "doc_id", "k1", "k2")], pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()),
+                     pa.array([band(n) for n in sizes], pa.int32()), pa.array(prefixes, pa.binary()), pa.array(bits, pa.binary())],
+                    names=["rid", "doc_id", "k1", "k2", "n", "digest", "band", "prefix", "bits"])
+
+    return stored(_keyed(docs).mapInArrow(run, "rid bigint, doc_id bigint, k1 bigint, k2 bigint, n bigint, digest binary, band int, prefix binary, bits binary"), "sets", "none")
+
+
 def bucket_members(sets: DataFrame) -> DataFrame:
     """hash, leader, rid: each further set of a bucket, with the bucket's first. Buckets of one set are gone."""
-    hot = sets.sparkSession.sparkContext.broadcast(hot_shingles(sets))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts = hot.value
         for batch in batches:
-            rids, out, owners = batch.column("rid").to_pylist(), [], []
-            for rid, data in zip(rids, batch.column("hashes"), strict=True):
-                hashes = np.frombuffer(data.as_buffer(), dtype=np.uint64)
-                take = prefix_length(len(hashes))
-                if len(keys) and take < len(hashes):
-                    at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
-                    weight = np.where(keys[at] == hashes, counts[at], 0)
-                    if weight.any():
-                        hashes = hashes[np.lexsort((hashes, weight))]
-                out.append(hashes[:take])
-                owners.append(np.full(take, rid, dtype=np.int64))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64)), pa.array(np.concatenate(owners))], names=["hash", "rid"])
+            found = [np.frombuffer(p.as_buffer(), dtype=np.int64) for p in batch.column("prefix")]
+            if found:
+                owner = np.repeat(batch.column("rid").to_numpy(zero_copy_only=False), [len(x) for x in found])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), pa.array(owner)], names=["hash", "rid"])
 
     def lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, leader = None, 0
@@ -191,60 +201,91 @@ def bucket_members(sets: DataFrame) -> DataFrame:
             more = r != leaders
             yield pa.RecordBatch.from_arrays([pa.array(h[more]), pa.array(leaders[more]), pa.array(r[more])], names=["hash", "leader", "rid"])
 
-    postings = sets.where("hashes IS NOT NULL").select("rid", "hashes").mapInArrow(emit, "hash bigint, rid bigint")
+    postings = sets.where("prefix IS NOT NULL").select("rid", "prefix").mapInArrow(emit, "hash bigint, rid bigint")
     sorted_ = postings.repartition("hash").sortWithinPartitions("hash", "rid")
     return stored(sorted_.mapInArrow(lead, "hash bigint, leader bigint, rid bigint"), "members")
 
 
-def with_sets(wanted: DataFrame, sets: DataFrame, columns: list[str]) -> DataFrame:
-    """``wanted`` (rid and more) with ``columns`` of the sets."""
-    rows = sets.where("hashes IS NOT NULL").select("rid", *columns)
-    if wanted.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST:
-        return rows.join(F.broadcast(wanted), "rid")
-    return rows.join(wanted, "rid")
+def _small(rows: DataFrame) -> DataFrame:
+    """A hint to broadcast ``rows`` where they are few."""
+    return F.broadcast(rows) if rows.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else rows
 
 
-def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The ``pairs`` (leader, rid) whose sets are similar, stored: a, b. Each leader's set goes to every
-    GROUP of its partners once."""
+def with_hashes(wanted: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
+    """``wanted`` (rid and more) with the sets' sorted hashes, made anew from the texts of those rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = WordHash()
+        for batch in batches:
+            for piece in pieces(batch, "text"):
+                yield pa.RecordBatch.from_arrays([piece.column("rid"), pa.array([s.tobytes() for s in shingle_sets(piece.column("text"), hasher)], pa.binary())], names=["rid", "hashes"])
+
+    rids = wanted.select("rid").distinct()
+    keys = stored(sets.where("bits IS NOT NULL").select("rid", "k1", "k2").join(_small(rids), "rid"), "keys")
+    texts = _keyed(docs).select("k1", "k2", "text").join(_small(keys), ["k1", "k2"]).select("rid", "text").dropDuplicates(["rid"])
+    return texts.mapInArrow(run, "rid bigint, hashes binary").join(_small(wanted), "rid")
+
+
+def _grouped(pairs: DataFrame) -> DataFrame:
+    """rid, leader, grp, place of ``pairs`` (leader, rid): place 1, and each leader itself at place 0 of each
+    of its groups of about GROUP partners."""
     counts = pairs.groupBy("leader").agg(F.ceil(F.count("*") / F.lit(float(GROUP))).cast("int").alias("groups"))
-    grouped = pairs.join(counts, "leader").select("leader", F.pmod(F.xxhash64("rid"), F.col("groups")).cast("int").alias("grp"), "rid", F.lit(1).alias("place"))
-    heads = counts.select("leader", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("grp"), F.col("leader").alias("rid"), F.lit(0).alias("place"))
-    wanted = stored(grouped.unionAll(heads), "wanted")
+    dealt = pairs.join(counts, "leader").select("rid", "leader", F.pmod(F.xxhash64("rid"), F.col("groups")).cast("int").alias("grp"), F.lit(1).alias("place"))
+    heads = counts.select(F.col("leader").alias("rid"), "leader", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("grp"), F.lit(0).alias("place"))
+    return stored(dealt.unionAll(heads), "wanted")
+
+
+def _held_against_leaders(rows: DataFrame, data: str, test) -> DataFrame:
+    """leader, rid of the rows whose ``data`` and n pass ``test`` with their leader's."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head = np.zeros(0, dtype=np.uint64)
+        head, size = np.zeros(0, dtype=np.uint64), 0
         for batch in batches:
             a, b = [], []
-            for leader, rid, place, data in zip(*(batch.column(c).to_pylist() for c in ("leader", "rid", "place")), batch.column("hashes"), strict=True):
-                hashes = np.frombuffer(data.as_buffer(), dtype=np.uint64)
+            for leader, rid, place, n, raw in zip(*(batch.column(c).to_pylist() for c in ("leader", "rid", "place", "n")), batch.column(data), strict=True):
+                own = np.frombuffer(raw.as_buffer(), dtype=np.uint64)
                 if place == 0:
-                    head = hashes.copy()
-                elif near_in_size(len(head), len(hashes)) and similar(head, hashes):
+                    head, size = own.copy(), n
+                elif near_in_size(size, n) and test(head, size, own, n):
                     a.append(leader)
                     b.append(rid)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["leader", "rid"])
 
-    rows = with_sets(wanted, sets, ["hashes"]).repartition("leader", "grp").sortWithinPartitions("leader", "grp", "place", "rid")
-    return stored(rows.select("leader", "rid", "place", "hashes").mapInArrow(run, "a bigint, b bigint"), "links")
+    ordered = rows.repartition("leader", "grp").sortWithinPartitions("leader", "grp", "place", "rid")
+    return ordered.select("leader", "rid", "place", "n", data).mapInArrow(run, "leader bigint, rid bigint")
 
 
-def tiled_pairs(members: DataFrame, sets: DataFrame, roots: DataFrame) -> DataFrame:
-    """leader, rid: pairs of different components that share a bucket and that size and bitmaps let through."""
-    every = members.select("hash", "rid").unionAll(members.select("hash", F.col("leader").alias("rid")).distinct())
-    placed = every.join(roots.withColumnsRenamed({"node": "rid"}), "rid", "left").select("hash", "rid", F.coalesce("root", "rid").alias("root"))
-    open_ = placed.groupBy("hash").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("hash")
-    left = stored(placed.join(open_, "hash"), "open")
+def bounded(head: np.ndarray, size: int, own: np.ndarray, n: int) -> bool:
+    width = min(len(head), len(own))
+    unlike = int(np.bitwise_count(fold(head, width) ^ fold(own, width)).sum())
+    most = (size + n - unlike) // 2
+    return DENOMINATOR * most >= NUMERATOR * (size + n - most)
 
-    def signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data = [np.frombuffer(h.as_buffer(), dtype=np.uint64) for h in batch.column("hashes")]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("rid"), pa.array([len(d) for d in data], pa.int32()), pa.array([band(len(d)) for d in data], pa.int32()), pa.array([bitmap(d).tobytes() for d in data], pa.binary())],
-                names=["rid", "n", "band", "bits"])
 
-    signed = stored(with_sets(left.select("rid").distinct(), sets, ["hashes"]).select("rid", "hashes").mapInArrow(signatures, "rid bigint, n int, band int, bits binary"), "signed")
-    banded = left.join(signed.select("rid", "n", "band"), "rid")
+def let_through(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The ``pairs`` (leader, rid) that sizes and bitmaps let through, stored."""
+    signed = sets.where("bits IS NOT NULL").select("rid", "n", "bits").join(_small(_grouped(pairs)), "rid")
+    return stored(_held_against_leaders(signed, "bits", bounded), "pairs")
+
+
+def verify(pairs: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
+    """The ``pairs`` (leader, rid) whose sets are similar, stored: a, b. Each leader's set goes to every
+    GROUP of its partners once."""
+    full = with_hashes(_grouped(pairs), sets, docs).withColumn("n", (F.octet_length("hashes") / 8).cast("bigint"))
+    found = _held_against_leaders(full, "hashes", lambda head, size, own, n: similar(head, own))
+    return stored(found.select(F.col("leader").alias("a"), F.col("rid").alias("b")), "links")
+
+
+def tiled_pairs(members: DataFrame, sets: DataFrame, roots: DataFrame) -> DataFrame:
+    """leader, rid: pairs of different components that share a bucket and that size and bitmaps let through."""
+    # The pairs of a bucket's first set are decided; of buckets with the same sets one is enough.
+    placed = members.select("hash", "rid").join(roots.withColumnsRenamed({"node": "rid"}), "rid", "left").select("hash", "rid", F.coalesce("root", "rid").alias("root"))
+    mark = [F.bit_xor(F.xxhash64(F.lit(seed), "rid")).alias(f"x{seed}") for seed in (1, 2)]
+    open_ = placed.groupBy("hash").agg(F.count("*").alias("sets"), F.min("root").alias("low"), F.max("root").alias("high"), *mark).where("low < high")
+    unlike = open_.groupBy("sets", "x1", "x2").agg(F.min("hash").alias("hash")).select("hash")
+    left = stored(placed.join(_small(stored(unlike, "buckets")), "hash"), "open")
+    signed = sets.where("bits IS NOT NULL")
+    banded = stored(signed.select("rid", F.col("n").cast("int").alias("n"), "band").join(_small(left), "rid"), "banded")
     tiles = banded.groupBy("hash", "band").agg(F.ceil(F.count("*") / F.lit(float(TILE))).cast("int").alias("tiles"))
     upper = tiles.select("hash", (F.col("band") - 1).alias("band"), F.col("tiles").alias("up"))
     lower = tiles.select("hash", (F.col("band") + 1).alias("band"), F.col("tiles").alias("down"))
@@ -257,14 +298,16 @@ def tiled_pairs(members: DataFrame, sets: DataFrame, roots: DataFrame) -> DataFr
     under = F.when(F.col("down").isNotNull(), F.transform(numbers(F.col("down")), lambda o: F.struct((F.col("band") - 1).alias("low"), F.lit(1).alias("step"), o.alias("x"), F.col("t").alias("y"), F.lit(1).alias("side"))))
     empty = F.array().cast("array<struct<low:int,step:int,x:int,y:int,side:int>>")
     spread = dealt.select("hash", "rid", "root", "n", F.explode(F.concat(own, F.coalesce(over, empty), F.coalesce(under, empty))).alias("p")).select("hash", "rid", "root", "n", "p.*")
-    rows = spread.join(signed.select("rid", "bits"), "rid").repartition("hash", "low", "step", "x", "y").sortWithinPartitions("hash", "low", "step", "x", "y", "side", "rid")
+    shared = left.groupBy("rid").agg(F.collect_list("hash").alias("shared"))  # at most the set's prefix
+    mine = signed.select("rid", "bits").join(_small(stored(shared, "shared")), "rid")
+    rows = mine.join(stored(spread, "spread"), "rid").repartition("hash", "low", "step", "x", "y").sortWithinPartitions("hash", "low", "step", "x", "y", "side", "rid")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held = None, []
         names = ["hash", "low", "step", "x", "y"]
         for batch in batches:
             out: list[tuple[int, int]] = []
-            columns = [batch.column(c).to_pylist() for c in (*names, "side", "rid", "root", "n", "bits")]
+            columns = [batch.column(c).to_pylist() for c in (*names, "side", "rid", "root", "n", "bits", "shared")]
             for row in zip(*columns, strict=True):
                 if row[:5] != key:
                     out += tile_pairs(key, held)
@@ -273,8 +316,8 @@ def tiled_pairs(members: DataFrame, sets: DataFrame, roots: DataFrame) -> DataFr
             yield _pairs(out)
         yield _pairs(tile_pairs(key, held))
 
-    found = rows.select("hash", "low", "step", "x", "y", "side", "rid", "root", "n", "bits").mapInArrow(run, "leader bigint, rid bigint")
-    return stored(found.distinct(), "pairs")
+    found = rows.select("hash", "low", "step", "x", "y", "side", "rid", "root", "n", "bits", "shared").mapInArrow(run, "leader bigint, rid bigint")
+    return stored(found, "pairs")
 
 
 def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
@@ -282,7 +325,8 @@ def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
 
 
 def tile_pairs(key: tuple | None, held: list[tuple]) -> list[tuple[int, int]]:
-    """Pairs inside one meeting of tiles: side, rid, root, n, bits of each set."""
+    """Pairs inside one meeting of tiles: side, rid, root, n, bits, shared of each set. Sets that share several
+    buckets are paired in the least of them."""
     if key is None or len(held) < 2:
         return []
     same = key[2] == 0 and key[3] == key[4]
@@ -299,39 +343,66 @@ def tile_pairs(key: tuple | None, held: list[tuple]) -> list[tuple[int, int]]:
         ok = could_be_similar(n[a : a + step], maps[a : a + step], m, others) & (c[a : a + step, None] != d[None, :])
         if same:
             ok &= r[a : a + step, None] < s[None, :]
-        i, j = np.nonzero(ok)
-        out += list(zip(r[a + i].tolist(), s[j].tolist(), strict=True))
+        for i, j in zip(*np.nonzero(ok), strict=True):
+            if min(set(first[a + i][5]).intersection(second[j][5])) == key[0]:
+                out.append((int(r[a + i]), int(s[j])))
     return out
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, n_links, class_id (a digest of the set) for each row of ``docs`` (doc_id, text).
-
-    component_id: least doc_id reachable by links (null if none of them has a doc_id). n_links:
-    verified links to other sets. Null and empty texts have no shingles, class null and
-    their own doc_id as component. Repeated rows are in one class and returned each.
-    """
+def classify(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The sets of ``docs`` (doc_id, text), and for each digest: cid, root (of its component), component_id, n_links."""
     sets = make_sets(docs)
     members = bucket_members(sets)
-    by_first = verify(members.select("leader", "rid").distinct(), sets)
-    narrow = sets.where("digest IS NOT NULL").select("rid", "doc_id", "digest", F.col("hashes").isNotNull().alias("first"))
+    by_first = verify(let_through(members.select("leader", "rid").distinct(), sets), sets, docs)
+    narrow = sets.where("digest IS NOT NULL").select("rid", "doc_id", "digest", F.col("bits").isNotNull().alias("first"))
     classes = stored(narrow.groupBy("digest").agg(F.min("rid").alias("cid"), F.min("doc_id").alias("least")), "classes")
-    same = narrow.where("first").join(classes, "digest").select(F.col("rid").alias("a"), F.col("cid").alias("b"))
+    same = stored(narrow.where("first").join(classes, "digest").select(F.col("rid").alias("a"), F.col("cid").alias("b")), "same")
     roots = components(by_first.unionAll(same))
     pairs = tiled_pairs(members, sets, roots)
-    links = by_first.unionAll(verify(pairs.join(by_first.select(F.col("a").alias("leader"), F.col("b").alias("rid")), ["leader", "rid"], "left_anti"), sets))
+    links = by_first.unionAll(verify(pairs.join(by_first.select(F.col("a").alias("leader"), F.col("b").alias("rid")), ["leader", "rid"], "left_anti"), sets, docs))
     final = components(links.unionAll(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
     placed = classes.join(final.withColumnsRenamed({"node": "cid"}), "cid", "left").select("digest", "least", "cid", F.coalesce("root", "cid").alias("root"))
     lowest = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    ids = same.select(F.col("a").alias("rid"), F.col("b").alias("cid"))
-    as_class = links.join(ids.select(F.col("rid").alias("a"), F.col("cid").alias("ca")), "a").join(ids.select(F.col("rid").alias("b"), F.col("cid").alias("cb")), "b")
+    as_class = links.join(same.select("a", F.col("b").alias("ca")), "a").join(same.select(F.col("a").alias("b"), F.col("b").alias("cb")), "b")
     ends = as_class.where("ca <> cb").select(F.least("ca", "cb").alias("ca"), F.greatest("ca", "cb").alias("cb")).distinct()
     degrees = ends.select(F.explode(F.array("ca", "cb")).alias("cid")).groupBy("cid").agg(F.count("*").alias("n_links"))
-    of_class = stored(placed.join(lowest, "root").join(degrees, "cid", "left").select("digest", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links")), "classes")
-    out = sets.select("doc_id", "n", "digest").join(of_class, "digest", "left")
+    found = placed.join(lowest, "root").join(degrees, "cid", "left").select("digest", "cid", "root", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return sets, stored(found, "classes")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id, n_links, class_id (a digest of the set) for each row of ``docs`` (doc_id, text).
+
+    component_id: least doc_id reachable by links (null if none of them has a doc_id). n_links:
+    verified links to other sets. Null and empty texts have no shingles, class null and
+    their own doc_id as component. Repeated rows are in one class and returned each.
+    """
+    sets, of_class = classify(docs)
+    out = sets.select("doc_id", "n", "digest").join(of_class.select("digest", "component_id", "n_links"), "digest", "left")
     component = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.lower(F.hex("digest")).alias("class_id"))
 
 
+def keep_one(docs: DataFrame) -> DataFrame:
+    """``docs`` with one row of each component, that of the least doc_id (nulls last, then by text key);
+    of equal rows one stays. Rows without shingles all stay."""
+    sets, of_class = classify(docs)
+    rows = sets.where("digest IS NOT NULL").join(of_class.select("digest", "root"), "digest").select("root", F.col("doc_id").isNull().alias("none"), "doc_id", "k1", "k2")
+    name = F.struct("none", "doc_id", "k1", "k2").alias("name")
+    counted = stored(rows.groupBy("root", name).agg(F.count("*").alias("n")), "names")
+    best = counted.groupBy("root").agg(F.min("name").alias("best"))
+    judged = counted.join(best, "root").withColumn("stays", F.col("name") == F.col("best"))
+    # Every other row of a group goes; of rows that share the best name, one is taken.
+    marked = stored(judged.where("NOT stays OR n > 1").select(F.col("name.k1").alias("__k1"), F.col("name.k2").alias("__k2"), F.coalesce(F.col("name.doc_id").cast("string"), F.lit("null")).alias("__id"), F.col("stays").alias("__stays")), "marked")
+    key = ["__k1", "__k2", "__id"]
+    names = [f"__c{i}" for i in range(len(docs.columns))]
+    lower = [c.lower() for c in docs.columns]
+    text, doc_id = (names[docs.columns.index(c) if c in docs.columns else lower.index(c)] for c in ("text", "doc_id"))
+    keyed = docs.toDF(*names).select("*", F.xxhash64(text).alias("__k1"), F.xxhash64(F.lit("second"), text).alias("__k2"), F.coalesce(F.col(doc_id).cast("bigint").cast("string"), F.lit("null")).alias("__id"))
+    alone = keyed.join(_small(marked.select(*key)), key, "left_anti").select(*names)
+    one = keyed.join(_small(marked.where("__stays").select(*key)), key, "left_semi").dropDuplicates(key).select(*names)
+    return alone.unionAll(one).toDF(*docs.columns)
+
+
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
