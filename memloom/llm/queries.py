@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from memloom.llm import decontam, htmltext, jaccard, langid, mixing, mpeg, pii, records, toxicity
+from memloom.llm import decontam, htmltext, jaccard, langid, lmscore, mixing, mpeg, pii, records, toxicity
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_media": mpeg.op6_media,
     "op7_token_records": records.op7_token_records,
     "op8_language_id": langid.op8_language_id,
+    "op9_lm_scores": lmscore.op9_lm_scores,
     "op10_html_text": htmltext.op10_html_text,
 }
 
