@@ -227,22 +227,46 @@ def leaks(docs: DataFrame, benchmark: DataFrame, share: float = MOST_EDITS, bloc
     Words are compared without case and edge punctuation. Null and empty texts hold
     nothing; items under LEAST_WORDS words, or null, are not looked for; equal items are found each.
     """
-    spark = docs.sparkSession
-    items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").alias("text")).where("text IS NOT NULL")
-    n, chars = items.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
-    blocks = max(1, -(-n // block_items), -(-chars // block_chars))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    found = []
-    for block in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).collect()
-        shared = spark.sparkContext.broadcast(Items(sorted(((r.item_id, r.text) for r in rows), key=lambda r: (r[0] is None, r)), share))
-        found.append(docs.select("doc_id", "text").mapInArrow(_searcher(shared), f"doc_id {kind}, item_id bigint, edits int, item_words int, end_word bigint"))
+    found = [docs.select("doc_id", "text").mapInArrow(_searcher(shared), f"doc_id {kind}, item_id bigint, edits int, item_words int, end_word bigint")
+             for shared in _blocks(docs.sparkSession, benchmark, share, block_items, block_chars)]
     out = found[0]
     for more in found[1:]:
         out = out.unionAll(more)
     return out
 
 
+def _blocks(spark: SparkSession, benchmark: DataFrame, share: float, block_items: int, block_chars: int) -> Iterator:
+    """Broadcasts of all items, in blocks of bounded size."""
+    items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").alias("text")).where("text IS NOT NULL")
+    n, chars = items.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
+    blocks = max(1, -(-n // block_items), -(-chars // block_chars))
+    for block in range(blocks):
+        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).collect()
+        yield spark.sparkContext.broadcast(Items(sorted(((r.item_id, r.text) for r in rows), key=lambda r: (r[0] is not None, r)), share))
+
+
+def without_leaks(docs: DataFrame, benchmark: DataFrame, share: float = MOST_EDITS, block_items: int = BLOCK_ITEMS, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """The rows of ``docs`` (text and any other columns) that hold no near copy of an item, in its columns."""
+    names = [f"__c{i}" for i in range(len(docs.columns))]
+    text = names[[c.lower() for c in docs.columns].index("text")] if "text" not in docs.columns else names[docs.columns.index("text")]
+    rows = docs.toDF(*names)
+    for shared in _blocks(docs.sparkSession, benchmark, share, block_items, block_chars):
+        rows = rows.mapInArrow(_cleaner(shared, text), rows.schema)
+    return rows.toDF(*docs.columns)
+
+
+def _cleaner(shared, text: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in pieces(batch, text):
+                kept = np.ones(piece.num_rows, dtype=bool)
+                kept[[h[0] for h in shared.value.search(plain(piece.column(text)))]] = False
+                yield piece.filter(pa.array(kept))
+
+    return run
+
+
 def _searcher(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items: Items = shared.value

@@ -212,7 +212,7 @@ def identify(docs: DataFrame, identifier: Identifier, keep: list[str]) -> DataFr
     """``keep`` columns of ``docs`` with lang_pred, score, entropy, rejected. Texts that are null
     or have no letter: und, score 0, rejected."""
     shared = docs.sparkSession.sparkContext.broadcast(identifier)
-    chosen = docs.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(keep)], F.col("text").alias("__text"))
+    chosen = docs.select(*[F.col(f"`{c}`").alias(f"__k{i}") for i, c in enumerate(keep)], F.col("text").alias("__text"))
     kept = chosen.columns[:-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,6 +228,14 @@ def identify(docs: DataFrame, identifier: Identifier, keep: list[str]) -> DataFr
     return out.toDF(*keep, "lang_pred", "score", "entropy", "rejected")
 
 
+def accepted(docs: DataFrame, identifier: Identifier) -> DataFrame:
+    """The rows of ``docs`` that are not rejected, in its columns; a null lang becomes the one predicted."""
+    out = identify(docs, identifier, docs.columns)
+    names = [f"__c{i}" for i in range(len(docs.columns))]
+    found = out.toDF(*names, "__lang", "__score", "__entropy", "__rejected").where("NOT __rejected")
+    return found.select(*[(F.coalesce(F.col(n), F.col("__lang")) if c == "lang" else F.col(n)).alias(c) for n, c in zip(names, docs.columns, strict=True)])
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Learns where crc32(doc_id) mod 5 is not 0 (null doc_id: never) and predicts every row."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
