@@ -27,6 +27,8 @@ CALIBRATION = 5
 #: Rejection: so many times the largest deviation among calibration rows.
 MARGIN = 1.5
 START, END = 1, 2
+#: Text bytes scored at once.
+PIECE = 2 << 20
 
 
 def letters(word: str) -> str:
@@ -81,7 +83,7 @@ class LanguageModel:
     def _sorted(found: dict, shape: int) -> tuple[np.ndarray, np.ndarray]:
         keys = np.fromiter(found, dtype=np.uint64, count=len(found))
         order = np.argsort(keys)
-        values = np.array([found[k] for k in found], dtype=np.float32).reshape(-1, shape)
+        values = np.array([found[k] for k in found], dtype=np.float32).reshape(len(found), shape)
         return keys[order], values[order]
 
     def _fit(self, words_: Counter, j: int, parts: list, lower: list) -> None:
@@ -217,7 +219,7 @@ def identify(docs: DataFrame, identifier: Identifier, keep: list[str]) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in pieces(batch, "__text"):
+            for piece in pieces(batch, "__text", PIECE):
                 names, score, least, rejected = shared.value.predict(plain(piece.column("__text")))
                 yield pa.RecordBatch.from_arrays(
                     [*[piece.column(c) for c in kept], pa.array(names.tolist(), pa.string()), pa.array(score), pa.array(least), pa.array(rejected)],
