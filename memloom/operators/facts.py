@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from memloom.functions.shared import checkpoint_dir
+
 PARTITION = ["user_id", "scope", "scope_identity", "kind", "fact_group"]
 
 
@@ -24,6 +26,7 @@ def cyclic_groups(refs: DataFrame, most_rounds: int = 100) -> DataFrame:
     """Partitions with a cycle. Edges that lead to no further edge are cut until nothing
     changes: what is left runs in circles. A group has ``most_rounds`` members at most, which bounds the rounds."""
     edges = refs.where("resolved").select(*PARTITION, "memory_id", "replaces")
+    checkpoint_dir(refs.sparkSession)
     n = edges.count()
     for _ in range(most_rounds):
         sources = edges.select(*PARTITION, F.col("memory_id").alias("replaces")).distinct()

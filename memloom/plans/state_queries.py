@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from memloom.functions.shared import checkpoint_dir
 from memloom.operators import context, facts, ledger, query, ranking
 from memloom.plans import retrieval_queries as rq
 from memloom.plans.fixtures import EVENTS, FACT_DAY, FACTS, MEMORIES, ledger_events, memories, requests, table
@@ -59,8 +60,7 @@ def stream_ledger_equals_batch(spark, sf_dir):
     source = spark.readStream.schema(table(spark, sf_dir, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     k = F.get_json_object("props", "$.k").cast("bigint")
     rows = source.select("event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("event_seq"), "user_id", (k % 10).alias("memory_key"), (F.col("event_type") == "error").alias("is_forget"), F.col("event_type").alias("kind"), "value")
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return run_available(spark, rows, f"{base.rstrip('/')}/stream-{uuid4().hex}").select("user_id", "memory_key", "event_id", "is_forget", "kind", "value")
+    return run_available(spark, rows, f"{checkpoint_dir(spark).rstrip('/')}/stream-{uuid4().hex}").select("user_id", "memory_key", "event_id", "is_forget", "kind", "value")
 
 
 def batch_latest(spark, sf_dir):
