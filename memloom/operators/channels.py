@@ -7,13 +7,16 @@ from pyspark.sql import functions as F
 
 from memloom.operators.eligibility import eligible, small, visible
 
-RECENCY = [F.desc("updated_at"), F.desc("memory_id")]
 BM25_K1, BM25_B, LEAST_IDF = 1.2, 0.75, 1e-6
 
 
+def recency() -> list[Column]:
+    return [F.desc("updated_at"), F.desc("memory_id")]
+
+
 def top_k(candidates: DataFrame, order: list[Column] | None = None) -> DataFrame:
     """The best ``limit`` a request with channel_rank and truncated; the row after the last only sets the flag."""
-    w = Window.partitionBy("request_id").orderBy(*(order or RECENCY))
+    w = Window.partitionBy("request_id").orderBy(*(order or recency()))
     # A literal-free bound keeps one window; Spark turns rank <= limit + 1 into a group limit before the shuffle where it can.
     ranked = candidates.withColumn("channel_rank", F.row_number().over(w)).where(F.col("channel_rank") <= F.col("limit") + 1)
     more = F.max("channel_rank").over(Window.partitionBy("request_id")) > F.col("limit")
@@ -95,7 +98,7 @@ def bm25(requests: DataFrame, memories: DataFrame) -> DataFrame:
     wanted = requests.select("request_id", "limit", "user_id", "agent_id", "task_id", "include_private", "require_confirmed", F.size("terms").alias("n_terms"), F.explode("terms").alias("term"))
     per = scored.join(small(wanted), "term").groupBy("request_id", "limit", "user_id", "agent_id", "task_id", "include_private", "require_confirmed", "n_terms", "memory_id").agg(F.count("*").alias("met"), F.round(-F.sum("part"), 6).alias("score"))
     pairs = per.where("met = n_terms").alias("r").join(memories.alias("m"), (F.col("r.memory_id") == F.col("m.memory_id")) & (F.col("r.user_id") == F.col("m.user_id")) & visible())
-    return top_k(_fields(pairs, F.col("r.score")), [F.asc("score"), *RECENCY])
+    return top_k(_fields(pairs, F.col("r.score")), [F.asc("score"), *recency()])
 
 
 def one_edit(query: Column, word: Column) -> Column:
