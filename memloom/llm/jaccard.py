@@ -8,8 +8,8 @@
    it settles groups of near copies however large they are.
 4. Buckets that still hold sets of several components are cut into tiles by size band
    (similar sets lie in the same or the next band) and hash. Inside two tiles, bit counts of
-   hashed bitmaps bound the overlap from above; pairs that the bound lets through are
-   decided by intersecting their arrays.
+   hashed bitmaps bound the overlap from above. Sets of pairs that the bound lets through
+   form blocks, in which pairs are decided by intersecting their arrays.
 
 No pair of sets at or over the threshold is missed: the prefixes, bands and bitmaps only rule out
 pairs that cannot reach it.
@@ -34,11 +34,16 @@ WORDS = 5
 NUMERATOR, DENOMINATOR = 75, 100
 #: Shingles found at least so often are ordered last, by count. Only the most frequent
 #: MOST_HOT are told apart: the order makes the join faster or slower, never wrong.
-HOT, MOST_HOT = 16, 200_000
+HOT, MOST_HOT = 6, 400_000
+COUNTED_AT_ONCE = 1 << 20
+#: Text bytes made into sets at once.
+PIECE = 2 << 20
 #: Rows of wanted sets that are broadcast to where the sets lie; more are joined by a shuffle.
-MOST_BROADCAST = 1_000_000
+MOST_BROADCAST = 300_000
 #: Sets held against one copy of a bucket's first set; and sets of one tile.
 GROUP, TILE = 4096, 512
+#: Sets, and shingles, of one tile of a block.
+BLOCK_SETS, BLOCK_SHINGLES = 4096, 1 << 20
 MOST_BITS = 8192
 
 
@@ -89,8 +94,8 @@ def bits_for(n: int) -> int:
     return min(MOST_BITS, 64 << max(0, (2 * n - 1).bit_length() - 6))
 
 
-def bitmap(hashes: np.ndarray) -> np.ndarray:
-    width = bits_for(len(hashes))
+def bitmap(hashes: np.ndarray, width: int = 0) -> np.ndarray:
+    width = width or bits_for(len(hashes))
     bits = np.zeros(width, dtype=np.uint8)
     bits[(hashes % np.uint64(width)).astype(np.int64)] = 1
     return np.packbits(bits, bitorder="little").view(np.uint64)
@@ -119,25 +124,36 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def hot_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes, and counts, of shingles that recur often. A shingle is counted where more than
-    one set of a batch holds it, so one in more sets than there are batches is always found."""
+    """Sorted hashes, and counts, of shingles that recur often. A task counts some millions of shingles at
+    once and passes on those that more than one set holds; so one in more sets than there are such lots is always found."""
+
+    def counted_once(held: list[np.ndarray]) -> pa.RecordBatch:
+        flat = np.sort(np.concatenate(held)) if held else np.zeros(0, np.uint64)
+        ends = np.flatnonzero(np.append(flat[1:] != flat[:-1], True)) if len(flat) else np.zeros(0, np.int64)
+        counts = np.diff(ends, prepend=-1)
+        again = counts > 1
+        return pa.RecordBatch.from_arrays([pa.array(flat[ends[again]].view(np.int64)), pa.array(counts[again].astype(np.int64))], names=["hash", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = WordHash()
+        hasher, held, size, seen = WordHash(), [], 0, set()
         for batch in batches:
-            for piece in pieces(batch, "text"):
-                sets = {s.tobytes(): s for s in shingle_sets(piece.column("text"), hasher)}.values()
-                flat = np.sort(np.concatenate(list(sets)))
-                ends = np.flatnonzero(np.append(flat[1:] != flat[:-1], True)) if len(flat) else np.zeros(0, np.int64)
-                counts = np.diff(ends, prepend=-1)
-                again = counts > 1
-                yield pa.RecordBatch.from_arrays([pa.array(flat[ends[again]].view(np.int64)), pa.array(counts[again].astype(np.int64))], names=["hash", "n"])
+            for piece in pieces(batch, "text", PIECE):
+                for s in shingle_sets(piece.column("text"), hasher):
+                    digest = hashlib.blake2b(s.tobytes(), digest_size=8).digest()
+                    if digest not in seen:
+                        seen.add(digest)
+                        held.append(s)
+                        size += len(s)
+                if size >= COUNTED_AT_ONCE:
+                    yield counted_once(held)
+                    held, size, seen = [], 0, set()
+        yield counted_once(held)
 
     counted = docs.select("text").mapInArrow(run, "hash bigint, n bigint")
-    top = counted.groupBy("hash").agg(F.sum("n").alias("n")).where(F.col("n") >= HOT).orderBy(F.desc("n"), "hash").limit(MOST_HOT).collect()
-    keys = np.array([r.hash for r in top], dtype=np.int64).view(np.uint64)
+    top = counted.groupBy("hash").agg(F.sum("n").alias("n")).where(F.col("n") >= HOT).orderBy(F.desc("n"), "hash").limit(MOST_HOT).toArrow()
+    keys = top.column("hash").to_numpy().view(np.uint64)
     order = np.argsort(keys)
-    return keys[order], np.array([r.n for r in top], dtype=np.int64)[order]
+    return keys[order], top.column("n").to_numpy()[order]
 
 
 def prefix_of(hashes: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -159,7 +175,7 @@ def make_sets(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, seen = WordHash(), set()
         for batch in batches:
-            for piece in pieces(batch, "text"):
+            for piece in pieces(batch, "text", PIECE):
                 sets = shingle_sets(piece.column("text"), hasher)
                 digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
                 prefixes, bits = [], []
@@ -217,7 +233,7 @@ def with_hashes(wanted: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHash()
         for batch in batches:
-            for piece in pieces(batch, "text"):
+            for piece in pieces(batch, "text", PIECE):
                 yield pa.RecordBatch.from_arrays([piece.column("rid"), pa.array([s.tobytes() for s in shingle_sets(piece.column("text"), hasher)], pa.binary())], names=["rid", "hashes"])
 
     rids = wanted.select("rid").distinct()
@@ -276,8 +292,9 @@ def verify(pairs: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
     return stored(found.select(F.col("leader").alias("a"), F.col("rid").alias("b")), "links")
 
 
-def tiled_pairs(members: DataFrame, sets: DataFrame, roots: DataFrame) -> DataFrame:
-    """leader, rid: pairs of different components that share a bucket and that size and bitmaps let through."""
+def tiled_blocks(members: DataFrame, sets: DataFrame, roots: DataFrame) -> DataFrame:
+    """node, root: blocks of sets. Two sets of different components that share a bucket, and that size and bitmaps
+    let through, are in one block: a meeting of tiles passes on a forest that spans such pairs, not the pairs."""
     # The pairs of a bucket's first set are decided; of buckets with the same sets one is enough.
     placed = members.select("hash", "rid").join(roots.withColumnsRenamed({"node": "rid"}), "rid", "left").select("hash", "rid", F.coalesce("root", "rid").alias("root"))
     mark = [F.bit_xor(F.xxhash64(F.lit(seed), "rid")).alias(f"x{seed}") for seed in (1, 2)]
@@ -285,7 +302,12 @@ def tiled_pairs(members: DataFrame, sets: DataFrame, roots: DataFrame) -> DataFr
     unlike = open_.groupBy("sets", "x1", "x2").agg(F.min("hash").alias("hash")).select("hash")
     left = stored(placed.join(_small(stored(unlike, "buckets")), "hash"), "open")
     signed = sets.where("bits IS NOT NULL")
-    banded = stored(signed.select("rid", F.col("n").cast("int").alias("n"), "band").join(_small(left), "rid"), "banded")
+    sized = stored(signed.select("rid", F.col("n").cast("int").alias("n"), "band").join(_small(left), "rid"), "sized")
+    # A set stays where its own or a neighbouring band of the bucket holds another component.
+    near = sized.groupBy("hash", "band").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+    around = near.select("hash", "low", "high", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"))
+    mixed = around.groupBy("hash", "band").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low < high").select("hash", "band")
+    banded = stored(sized.join(mixed, ["hash", "band"]), "banded")
     tiles = banded.groupBy("hash", "band").agg(F.ceil(F.count("*") / F.lit(float(TILE))).cast("int").alias("tiles"))
     upper = tiles.select("hash", (F.col("band") - 1).alias("band"), F.col("tiles").alias("up"))
     lower = tiles.select("hash", (F.col("band") + 1).alias("band"), F.col("tiles").alias("down"))
@@ -298,35 +320,50 @@ def tiled_pairs(members: DataFrame, sets: DataFrame, roots: DataFrame) -> DataFr
     under = F.when(F.col("down").isNotNull(), F.transform(numbers(F.col("down")), lambda o: F.struct((F.col("band") - 1).alias("low"), F.lit(1).alias("step"), o.alias("x"), F.col("t").alias("y"), F.lit(1).alias("side"))))
     empty = F.array().cast("array<struct<low:int,step:int,x:int,y:int,side:int>>")
     spread = dealt.select("hash", "rid", "root", "n", F.explode(F.concat(own, F.coalesce(over, empty), F.coalesce(under, empty))).alias("p")).select("hash", "rid", "root", "n", "p.*")
-    shared = left.groupBy("rid").agg(F.collect_list("hash").alias("shared"))  # at most the set's prefix
-    mine = signed.select("rid", "bits").join(_small(stored(shared, "shared")), "rid")
-    rows = mine.join(stored(spread, "spread"), "rid").repartition("hash", "low", "step", "x", "y").sortWithinPartitions("hash", "low", "step", "x", "y", "side", "rid")
+    rows = signed.select("rid", "bits").join(_small(stored(spread, "spread")), "rid").repartition("hash", "low", "step", "x", "y").sortWithinPartitions("hash", "low", "step", "x", "y", "side", "rid")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held = None, []
         names = ["hash", "low", "step", "x", "y"]
         for batch in batches:
             out: list[tuple[int, int]] = []
-            columns = [batch.column(c).to_pylist() for c in (*names, "side", "rid", "root", "n", "bits", "shared")]
+            columns = [batch.column(c).to_pylist() for c in (*names, "side", "rid", "root", "n", "bits")]
             for row in zip(*columns, strict=True):
                 if row[:5] != key:
-                    out += tile_pairs(key, held)
+                    out += tile_forest(key, held)
                     key, held = row[:5], []
                 held.append(row[5:])
             yield _pairs(out)
-        yield _pairs(tile_pairs(key, held))
+        yield _pairs(tile_forest(key, held))
 
-    found = rows.select("hash", "low", "step", "x", "y", "side", "rid", "root", "n", "bits", "shared").mapInArrow(run, "leader bigint, rid bigint")
-    return stored(found, "pairs")
+    found = rows.select("hash", "low", "step", "x", "y", "side", "rid", "root", "n", "bits").mapInArrow(run, "a bigint, b bigint")
+    return components(found)
 
 
 def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([p[0] for p in found], pa.int64()), pa.array([p[1] for p in found], pa.int64())], names=["leader", "rid"])
+    return pa.RecordBatch.from_arrays([pa.array([p[0] for p in found], pa.int64()), pa.array([p[1] for p in found], pa.int64())], names=["a", "b"])
+
+
+class Forest:
+    """Disjoint sets of the places 0..n-1, some united from the start."""
+
+    def __init__(self, groups: list):
+        first: dict = {}
+        self.parent = [first.setdefault(g, i) for i, g in enumerate(groups)]
+
+    def find(self, i: int) -> int:
+        while self.parent[i] != i:
+            self.parent[i] = i = self.parent[self.parent[i]]
+        return i
 
+    def unite(self, i: int, j: int) -> bool:
+        i, j = self.find(i), self.find(j)
+        self.parent[max(i, j)] = min(i, j)
+        return i != j
 
-def tile_pairs(key: tuple | None, held: list[tuple]) -> list[tuple[int, int]]:
-    """Pairs inside one meeting of tiles: side, rid, root, n, bits, shared of each set. Sets that share several
-    buckets are paired in the least of them."""
+
+def tile_forest(key: tuple | None, held: list[tuple]) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs let through inside one meeting of tiles: side, rid, root, n, bits of each set."""
     if key is None or len(held) < 2:
         return []
     same = key[2] == 0 and key[3] == key[4]
@@ -337,20 +374,72 @@ def tile_pairs(key: tuple | None, held: list[tuple]) -> list[tuple[int, int]]:
     width = min(len(h[4]) for h in held) // 8
     maps, others = (np.stack([fold(np.frombuffer(h[4], dtype=np.uint64), width) for h in x]) for x in (first, second))
     (r, c, n), (s, d, m) = ([np.array([h[k] for h in x], dtype=np.int64) for k in (1, 2, 3)] for x in (first, second))
-    out = []
+    place = {rid: i for i, rid in enumerate(dict.fromkeys([*r.tolist(), *s.tolist()]))}
+    forest, out = Forest(list(place)), []
     step = max(1, (1 << 21) // (len(second) * width))
     for a in range(0, len(first), step):
         ok = could_be_similar(n[a : a + step], maps[a : a + step], m, others) & (c[a : a + step, None] != d[None, :])
-        if same:
-            ok &= r[a : a + step, None] < s[None, :]
         for i, j in zip(*np.nonzero(ok), strict=True):
-            if min(set(first[a + i][5]).intersection(second[j][5])) == key[0]:
-                out.append((int(r[a + i]), int(s[j])))
+            x, y = int(r[a + i]), int(s[j])
+            if forest.unite(place[x], place[y]):
+                out.append((x, y))
+    return out
+
+
+def block_links(blocks: DataFrame, sets: DataFrame, docs: DataFrame, roots: DataFrame) -> DataFrame:
+    """a, b, stored: links inside ``blocks`` (node, root) that unite components. Blocks too large for one task are cut into tiles
+    that meet in pairs, each pair in its own task."""
+    inside = blocks.select(F.col("node").alias("rid"), F.col("root").alias("block")).unionAll(blocks.select(F.col("root").alias("rid"), F.col("root").alias("block")).distinct())
+    sized = stored(sets.where("bits IS NOT NULL").select("rid", "n").join(_small(stored(inside, "inside")), "rid")
+                   .join(roots.withColumnsRenamed({"node": "rid", "root": "comp"}), "rid", "left").select("rid", "block", F.coalesce("comp", "rid").alias("comp"), "n"), "blocks")
+    tiles = sized.groupBy("block").agg(F.greatest(F.ceil(F.count("*") / F.lit(float(BLOCK_SETS))), F.ceil(F.sum("n") / F.lit(float(BLOCK_SHINGLES)))).cast("int").alias("tiles"))
+    dealt = sized.join(tiles, "block").withColumn("t", F.pmod(F.xxhash64("rid"), F.col("tiles")).cast("int"))
+    meets = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda o: F.struct(F.least(F.col("t"), o).alias("x"), F.greatest(F.col("t"), o).alias("y"), (F.col("t") > o).cast("int").alias("side")))
+    wanted = stored(dealt.select("rid", "block", "comp", F.explode(meets).alias("p")).select("rid", "block", "comp", "p.*"), "wanted")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+        for batch in batches:
+            out: list[tuple[int, int]] = []
+            for row in zip(*[batch.column(c).to_pylist() for c in ("block", "x", "y", "side", "rid", "comp", "hashes")], strict=True):
+                if row[:3] != key:
+                    out += meeting_links(key, held)
+                    key, held = row[:3], []
+                held.append(row[3:])
+            yield _pairs(out)
+        yield _pairs(meeting_links(key, held))
+
+    rows = with_hashes(wanted, sets, docs).repartition("block", "x", "y").sortWithinPartitions("block", "x", "y", "side", "rid")
+    return stored(rows.select("block", "x", "y", "side", "rid", "comp", "hashes").mapInArrow(run, "a bigint, b bigint"), "links")
+
+
+def meeting_links(key: tuple | None, held: list[tuple]) -> list[tuple[int, int]]:
+    """Links that unite components inside one meeting: side, rid, comp, hashes of each set. Pairs whose sets
+    are united already are not looked at again: they can change no component."""
+    if key is None or len(held) < 2:
+        return []
+    arrays = [np.frombuffer(h[3], dtype=np.uint64) for h in held]
+    sizes = np.array([len(x) for x in arrays], dtype=np.int64)
+    order = np.argsort(sizes, kind="stable")
+    sides = np.array([h[0] for h in held])
+    width = min(MOST_BITS, 64 << max(0, (8 * int(sizes.max()) - 1).bit_length() - 6)) // 64
+    maps = np.stack([bitmap(x, width * 64) for x in arrays])
+    forest, out, within = Forest([h[2] for h in held]), [], key[1] == key[2]
+    for k, i in enumerate(order.tolist()):
+        # Only larger sets of near size, further on in the order.
+        rest = order[k + 1 : k + 1 + int(np.searchsorted(sizes[order[k + 1 :]], DENOMINATOR * sizes[i] // NUMERATOR, side="right"))]
+        if not within:
+            rest = rest[sides[rest] != sides[i]]
+        ok = could_be_similar(sizes[i : i + 1], maps[i : i + 1], sizes[rest], maps[rest])[0] if len(rest) else np.zeros(0, dtype=bool)
+        for j in rest[ok].tolist():
+            if forest.find(i) != forest.find(j) and similar(arrays[i], arrays[j]):
+                forest.unite(i, j)
+                out.append((held[i][1], held[j][1]))
     return out
 
 
 def classify(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The sets of ``docs`` (doc_id, text), and for each digest: cid, root (of its component), component_id, n_links."""
+    """The sets of ``docs`` (doc_id, text), and for each digest: cid, root (of its component), component_id, uniting_links."""
     sets = make_sets(docs)
     members = bucket_members(sets)
     by_first = verify(let_through(members.select("leader", "rid").distinct(), sets), sets, docs)
@@ -358,29 +447,28 @@ def classify(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     classes = stored(narrow.groupBy("digest").agg(F.min("rid").alias("cid"), F.min("doc_id").alias("least")), "classes")
     same = stored(narrow.where("first").join(classes, "digest").select(F.col("rid").alias("a"), F.col("cid").alias("b")), "same")
     roots = components(by_first.unionAll(same))
-    pairs = tiled_pairs(members, sets, roots)
-    links = by_first.unionAll(verify(pairs.join(by_first.select(F.col("a").alias("leader"), F.col("b").alias("rid")), ["leader", "rid"], "left_anti"), sets, docs))
+    links = by_first.unionAll(block_links(tiled_blocks(members, sets, roots), sets, docs, roots))
     final = components(links.unionAll(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
     placed = classes.join(final.withColumnsRenamed({"node": "cid"}), "cid", "left").select("digest", "least", "cid", F.coalesce("root", "cid").alias("root"))
     lowest = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     as_class = links.join(same.select("a", F.col("b").alias("ca")), "a").join(same.select(F.col("a").alias("b"), F.col("b").alias("cb")), "b")
     ends = as_class.where("ca <> cb").select(F.least("ca", "cb").alias("ca"), F.greatest("ca", "cb").alias("cb")).distinct()
-    degrees = ends.select(F.explode(F.array("ca", "cb")).alias("cid")).groupBy("cid").agg(F.count("*").alias("n_links"))
-    found = placed.join(lowest, "root").join(degrees, "cid", "left").select("digest", "cid", "root", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    degrees = ends.select(F.explode(F.array("ca", "cb")).alias("cid")).groupBy("cid").agg(F.count("*").alias("uniting_links"))
+    found = placed.join(lowest, "root").join(degrees, "cid", "left").select("digest", "cid", "root", "component_id", F.coalesce("uniting_links", F.lit(0)).alias("uniting_links"))
     return sets, stored(found, "classes")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, n_links, class_id (a digest of the set) for each row of ``docs`` (doc_id, text).
+    """doc_id, n_shingles, component_id, uniting_links, class_id (a digest of the set) for each row of ``docs`` (doc_id, text).
 
-    component_id: least doc_id reachable by links (null if none of them has a doc_id). n_links:
-    verified links to other sets. Null and empty texts have no shingles, class null and
+    component_id: least doc_id reachable by links (null if none of them has a doc_id). uniting_links: links that were
+    verified to unite it with other sets (pairs united already are not counted). Null and empty texts have no shingles, class null and
     their own doc_id as component. Repeated rows are in one class and returned each.
     """
     sets, of_class = classify(docs)
-    out = sets.select("doc_id", "n", "digest").join(of_class.select("digest", "component_id", "n_links"), "digest", "left")
+    out = sets.select("doc_id", "n", "digest").join(of_class.select("digest", "component_id", "uniting_links"), "digest", "left")
     component = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.lower(F.hex("digest")).alias("class_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce("uniting_links", F.lit(0)).alias("uniting_links"), F.lower(F.hex("digest")).alias("class_id"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
