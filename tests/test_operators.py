@@ -193,3 +193,37 @@ def test_large_request_batches_shuffle(spark, monkeypatch):
     few = {tuple(r) for r in rq.whole_query_substring(spark, sf).collect()}
     monkeypatch.undo()
     assert few == {tuple(r) for r in rq.whole_query_substring(spark, sf).collect()}
+
+
+def test_violations(spark):
+    from memloom.operators import validation
+
+    rows = [("ok", "user_fact", "user", "public", "k", None, None, 1), ("bad", "x", "task", "public", " ", None, "a", 0)]
+    df = spark.createDataFrame(rows, "memory_id string, kind string, scope string, sensitivity string, memory_key string, task_id string, owner_agent_id string, version int")
+    got = {(r.key, r.path, r.code) for r in validation.violations(df, "memory_id", validation.memory_rules()).collect()}
+    assert got == {("bad", "kind", "not_allowed"), ("bad", "memory_key", "empty"), ("bad", "task_id", "scope_mismatch"), ("bad", "owner_agent_id", "scope_mismatch"), ("bad", "version", "not_positive")}
+    r = spark.createDataFrame([(1, "k", "k", None, None), (2, None, "q", "user_fact", None), (3, "k", " ", None, None)], "request_id int, key string, query string, kind string, scope string")
+    assert {(x.request_id, x.channel, x.reason) for x in validation.channel_skips(r).collect()} == {(1, "x", "x")} - {(1, "x", "x")} | {(3, "full_text", "no_query")}
+
+
+def test_transcripts(spark, tmp_path):
+    from memloom.sources import transcripts
+
+    line = lambda t, u, text, **more: json.dumps({"type": t, "sessionId": "s", "uuid": u, "timestamp": "2024-01-01T00:00:00Z", "message": {"role": t, "content": text}, **more})
+    (tmp_path / "a.jsonl").write_text("\n".join([line("user", "1", "hi"), line("user", "1", "hi"), line("assistant", "2", "yo"), line("user", "3", "x", isMeta=True), line("user", "4", "<system-reminder> y"), "{broken"]))
+    lines = transcripts.read_lines(spark, str(tmp_path))
+    assert lines.where("damaged").count() == 1
+    assert sorted((r.role, r.text) for r in transcripts.latest_items(transcripts.items(lines)).collect()) == [("assistant", "yo"), ("user", "hi")]
+    rows = spark.createDataFrame([("t", "1", "completed", 0, "userMessage"), ("t", "1", "completed", 1, "agentMessage"), ("t", "2", "completed", 0, "userMessage"), ("t", "3", "interrupted", 0, "userMessage")], "thread_id string, turn_id string, turn_status string, ordinal int, item_type string")
+    assert {r.turn_id: r.quality for r in transcripts.app_turns(rows).collect()} == {"1": "complete", "2": "partial", "3": "interrupted"}
+
+
+def test_service(spark):
+    from memloom.plans.fixtures import ledger_events, memories, requests
+    from memloom.service import MemoryService
+
+    sf = "/root/testdata/sf0.001"
+    r = requests(spark, sf).withColumns({"strategy": F.lit("auto"), "include_history": F.lit(False)})
+    s = MemoryService(memories(spark, sf), ledger_events(spark, sf))
+    assert s.recall(r).count() > 0 and s.context(r).where("reason = 'packed'").count() > 0 and s.history(3).count() > 0
+    assert s.query(r.withColumn("key", F.lit(None).cast("string"))).count() > 0
