@@ -227,3 +227,17 @@ def test_service(spark):
     s = MemoryService(memories(spark, sf), ledger_events(spark, sf))
     assert s.recall(r).count() > 0 and s.context(r).where("reason = 'packed'").count() > 0 and s.history(3).count() > 0
     assert s.query(r.withColumn("key", F.lit(None).cast("string"))).count() > 0
+
+
+def test_injection(spark):
+    from memloom.operators import injection
+
+    prompts = [("tell me about green tea, please", "green tea"), ("status of build-cache-7 now", "build-cache-7"), ("plain question", "plain question"), ("about x", "about x")]
+    got = spark.createDataFrame(prompts, "p string, want string").select("want", injection.injection_query(F.col("p")).alias("q")).collect()
+    assert [r.q for r in got] == [r.want for r in got]
+    rows = [(1, "p", True, True, "a<b", False, 5, 10, "2024-01-01"), (2, "p", False, True, "x", False, 5, 10, "bad"), (3, "p", True, True, "x", False, 50, 10, "2024-01-03"), (4, " ", True, True, "x", False, 5, 10, "2024-01-04"), (5, "p", True, True, "", True, 5, 10, "2024-01-05")]
+    out = injection.outcomes(spark.createDataFrame(rows, "request_id int, prompt string, enabled boolean, workspace_allowed boolean, context string, failed boolean, millis int, most_millis int, created_at string"))
+    assert [r.outcome for r in out.orderBy("request_id").collect()] == ["injected", "disabled", "timeout", "skipped", "failed"]
+    assert "a&lt;b" in out.where("request_id = 1").first().envelope
+    log = injection.receipts(out)
+    assert {r.request_id for r in injection.retain_receipts(log, F.lit("2024-01-02").cast("timestamp"), 2).collect()} == {4, 5} and injection.receipt_status(log).first().malformed == 1
