@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from memloom.operators.eligibility import eligible, small, visible
 
+MOST_LIMIT = 100
 BM25_K1, BM25_B, LEAST_IDF = 1.2, 0.75, 1e-6
 
 
@@ -15,10 +16,11 @@ def recency() -> list[Column]:
 
 
 def top_k(candidates: DataFrame, order: list[Column] | None = None) -> DataFrame:
-    """The best ``limit`` a request with channel_rank and truncated; the row after the last only sets the flag."""
+    """The best ``limit`` (MOST_LIMIT at most, as validation demands) a request with channel_rank and truncated; the row
+    after the last only sets the flag."""
     w = Window.partitionBy("request_id").orderBy(*(order or recency()))
-    # A literal-free bound keeps one window; Spark turns rank <= limit + 1 into a group limit before the shuffle where it can.
-    ranked = candidates.withColumn("channel_rank", F.row_number().over(w)).where(F.col("channel_rank") <= F.col("limit") + 1)
+    # The literal bound lets Spark drop rows below it in each task before the shuffle (a group limit).
+    ranked = candidates.withColumn("channel_rank", F.row_number().over(w)).where((F.col("channel_rank") <= MOST_LIMIT + 1) & (F.col("channel_rank") <= F.col("limit") + 1))
     more = F.max("channel_rank").over(Window.partitionBy("request_id")) > F.col("limit")
     return ranked.withColumn("truncated", more).where(F.col("channel_rank") <= F.col("limit"))
 

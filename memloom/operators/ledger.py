@@ -6,7 +6,6 @@ The ledger is the only authority; current state is derived, one hash partitionin
 from __future__ import annotations
 
 import json
-from collections.abc import Iterable
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window

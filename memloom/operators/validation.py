@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -57,7 +55,3 @@ def uncited(statements: DataFrame, packed: DataFrame) -> DataFrame:
     """Statements whose exact version is not in the packed evidence."""
     keys = ["request_id", "memory_id", "source_event_id", "version"]
     return statements.join(packed.select(*keys), keys, "left_anti")
-
-
-def any_of(*conditions: Column) -> Column:
-    return reduce(lambda a, b: a | b, conditions)
