@@ -81,13 +81,19 @@ def near_in_size(a, b):
     return DENOMINATOR * np.minimum(a, b) >= NUMERATOR * np.maximum(a, b)
 
 
-def band(n: int) -> int:
+def _edges() -> np.ndarray:
+    found = [1]
+    while found[-1] < 1 << 40:
+        found.append(found[-1] * DENOMINATOR // NUMERATOR + 1)
+    return np.array(found, dtype=np.int64)
+
+
+EDGES = _edges()
+
+
+def band(n):
     """Size band: sets that can be similar differ by one band at most (a band spans the factor 4/3)."""
-    edge, found = 1, 0
-    while edge * DENOMINATOR // NUMERATOR + 1 <= n:
-        edge = edge * DENOMINATOR // NUMERATOR + 1
-        found += 1
-    return found
+    return np.searchsorted(EDGES, n, side="right") - 1
 
 
 def bits_for(n: int) -> int:
@@ -168,7 +174,7 @@ def prefix_of(hashes: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> np.nd
 
 
 def make_sets(docs: DataFrame) -> DataFrame:
-    """rid, doc_id, k1, k2 (a key of the text), n, digest, band, prefix, bits of every row, stored. ``prefix`` and
+    """rid, doc_id, k1, k2 (a key of the text), n, digest, prefix, bits of every row, stored. ``prefix`` and
     ``bits`` are null but for the first row of a set in its partition; ``digest`` is null for empty sets."""
     hot = docs.sparkSession.sparkContext.broadcast(hot_shingles(docs))
 
@@ -187,39 +193,47 @@ def make_sets(docs: DataFrame) -> DataFrame:
                 sizes = [len(s) for s in sets]
                 yield pa.RecordBatch.from_arrays(
                     [*[piece.column(c) for c in ("rid", "doc_id", "k1", "k2")], pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()),
-                     pa.array([band(n) for n in sizes], pa.int32()), pa.array(prefixes, pa.binary()), pa.array(bits, pa.binary())],
-                    names=["rid", "doc_id", "k1", "k2", "n", "digest", "band", "prefix", "bits"])
+                     pa.array(prefixes, pa.binary()), pa.array(bits, pa.binary())],
+                    names=["rid", "doc_id", "k1", "k2", "n", "digest", "prefix", "bits"])
 
-    return stored(_keyed(docs).mapInArrow(run, "rid bigint, doc_id bigint, k1 bigint, k2 bigint, n bigint, digest binary, band int, prefix binary, bits binary"), "sets", "none")
+    return stored(_keyed(docs).mapInArrow(run, "rid bigint, doc_id bigint, k1 bigint, k2 bigint, n bigint, digest binary, prefix binary, bits binary"), "sets", "none")
 
 
 def bucket_members(sets: DataFrame) -> DataFrame:
-    """hash, leader, rid: each further set of a bucket, with the bucket's first. Buckets of one set are gone."""
+    """hash, leader, rid, n, band, near, crowd: each further set of a bucket, with the bucket's first. ``near``: their sizes allow
+    a link; ``crowd``: the bucket may hold more sets than these two. Buckets of one set are gone."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [np.frombuffer(p.as_buffer(), dtype=np.int64) for p in batch.column("prefix")]
             if found:
-                owner = np.repeat(batch.column("rid").to_numpy(zero_copy_only=False), [len(x) for x in found])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), pa.array(owner)], names=["hash", "rid"])
+                many = [len(x) for x in found]
+                rid, n = (np.repeat(batch.column(c).to_numpy(zero_copy_only=False), many) for c in ("rid", "n"))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), pa.array(rid), pa.array(n.astype(np.int32))], names=["hash", "rid", "n"])
 
     def lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, leader = None, 0
+        last, leader, size = None, 0, 0
         for batch in batches:
-            h, r = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("hash", "rid"))
+            h, r, n = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("hash", "rid", "n"))
             if not len(h):
                 continue
             starts = np.append(True, h[1:] != h[:-1])
             starts[0] = last is None or h[0] != last
             first = np.maximum.accumulate(np.where(starts, np.arange(len(h)), -1))
             leaders = np.where(first >= 0, r[np.maximum(first, 0)], leader)
-            last, leader = h[-1], leaders[-1]
+            sizes = np.where(first >= 0, n[np.maximum(first, 0)], size)
+            run = np.cumsum(starts)
+            length = np.bincount(run)[run]
+            # A run at either end of a batch may go on in the next one.
+            crowd = (length > 2) | (run == run[-1]) | (first < 0)
+            last, leader, size = h[-1], leaders[-1], sizes[-1]
             more = r != leaders
-            yield pa.RecordBatch.from_arrays([pa.array(h[more]), pa.array(leaders[more]), pa.array(r[more])], names=["hash", "leader", "rid"])
+            near = near_in_size(n.astype(np.int64), sizes.astype(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(x[more]) for x in (h, leaders, r, n, band(n).astype(np.int32), near, crowd)], names=["hash", "leader", "rid", "n", "band", "near", "crowd"])
 
-    postings = sets.where("prefix IS NOT NULL").select("rid", "prefix").mapInArrow(emit, "hash bigint, rid bigint")
+    postings = sets.where("prefix IS NOT NULL").select("rid", "n", "prefix").mapInArrow(emit, "hash bigint, rid bigint, n int")
     sorted_ = postings.repartition("hash").sortWithinPartitions("hash", "rid")
-    return stored(sorted_.mapInArrow(lead, "hash bigint, leader bigint, rid bigint"), "members")
+    return stored(sorted_.mapInArrow(lead, "hash bigint, leader bigint, rid bigint, n int, band int, near boolean, crowd boolean"), "members")
 
 
 def _small(rows: DataFrame) -> DataFrame:
@@ -296,13 +310,12 @@ def tiled_blocks(members: DataFrame, sets: DataFrame, roots: DataFrame) -> DataF
     """node, root: blocks of sets. Two sets of different components that share a bucket, and that size and bitmaps
     let through, are in one block: a meeting of tiles passes on a forest that spans such pairs, not the pairs."""
     # The pairs of a bucket's first set are decided; of buckets with the same sets one is enough.
-    placed = members.select("hash", "rid").join(roots.withColumnsRenamed({"node": "rid"}), "rid", "left").select("hash", "rid", F.coalesce("root", "rid").alias("root"))
+    known = _small(roots.withColumnsRenamed({"node": "rid"}))
+    placed = members.where("crowd").select("hash", "rid", "n", "band").join(known, "rid", "left").select("hash", "rid", "n", "band", F.coalesce("root", "rid").alias("root"))
     mark = [F.bit_xor(F.xxhash64(F.lit(seed), "rid")).alias(f"x{seed}") for seed in (1, 2)]
     open_ = placed.groupBy("hash").agg(F.count("*").alias("sets"), F.min("root").alias("low"), F.max("root").alias("high"), *mark).where("low < high")
     unlike = open_.groupBy("sets", "x1", "x2").agg(F.min("hash").alias("hash")).select("hash")
-    left = stored(placed.join(_small(stored(unlike, "buckets")), "hash"), "open")
-    signed = sets.where("bits IS NOT NULL")
-    sized = stored(signed.select("rid", F.col("n").cast("int").alias("n"), "band").join(_small(left), "rid"), "sized")
+    sized = stored(placed.join(_small(stored(unlike, "buckets")), "hash"), "open")
     # A set stays where its own or a neighbouring band of the bucket holds another component.
     near = sized.groupBy("hash", "band").agg(F.min("root").alias("low"), F.max("root").alias("high"))
     around = near.select("hash", "low", "high", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"))
@@ -320,7 +333,7 @@ def tiled_blocks(members: DataFrame, sets: DataFrame, roots: DataFrame) -> DataF
     under = F.when(F.col("down").isNotNull(), F.transform(numbers(F.col("down")), lambda o: F.struct((F.col("band") - 1).alias("low"), F.lit(1).alias("step"), o.alias("x"), F.col("t").alias("y"), F.lit(1).alias("side"))))
     empty = F.array().cast("array<struct<low:int,step:int,x:int,y:int,side:int>>")
     spread = dealt.select("hash", "rid", "root", "n", F.explode(F.concat(own, F.coalesce(over, empty), F.coalesce(under, empty))).alias("p")).select("hash", "rid", "root", "n", "p.*")
-    rows = signed.select("rid", "bits").join(_small(stored(spread, "spread")), "rid").repartition("hash", "low", "step", "x", "y").sortWithinPartitions("hash", "low", "step", "x", "y", "side", "rid")
+    rows = sets.where("bits IS NOT NULL").select("rid", "bits").join(_small(stored(spread, "spread")), "rid").repartition("hash", "low", "step", "x", "y").sortWithinPartitions("hash", "low", "step", "x", "y", "side", "rid")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held = None, []
@@ -442,7 +455,7 @@ def classify(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The sets of ``docs`` (doc_id, text), and for each digest: cid, root (of its component), component_id, uniting_links."""
     sets = make_sets(docs)
     members = bucket_members(sets)
-    by_first = verify(let_through(members.select("leader", "rid").distinct(), sets), sets, docs)
+    by_first = verify(let_through(members.where("near").select("leader", "rid").distinct(), sets), sets, docs)
     narrow = sets.where("digest IS NOT NULL").select("rid", "doc_id", "digest", F.col("bits").isNotNull().alias("first"))
     classes = stored(narrow.groupBy("digest").agg(F.min("rid").alias("cid"), F.min("doc_id").alias("least")), "classes")
     same = stored(narrow.where("first").join(classes, "digest").select(F.col("rid").alias("a"), F.col("cid").alias("b")), "same")
