@@ -4,12 +4,12 @@
    are one class.
 2. Shingles are ordered by how often they recur, then by hash. Two sets of similarity t share
    a shingle among the first n - ceil(t * n) + 1 of each, so sets meet in buckets by those.
-3. In each bucket every set is held against the bucket's first set: linear in the bucket, and
-   it settles groups of near copies however large they are.
+3. In each bucket every set is held against the bucket's first set, which is linear in the bucket.
 4. Buckets that still hold sets of several components are cut into tiles by size band
    (similar sets lie in the same or the next band) and hash. Inside two tiles, bit counts of
-   hashed bitmaps bound the overlap from above. Sets of pairs that the bound lets through
-   form blocks, in which pairs are decided by intersecting their arrays.
+   hashed bitmaps bound the overlap from above.
+5. Sets of pairs that the bound lets through, in 3 and in 4, form blocks, in which pairs are
+   decided by intersecting their arrays.
 
 No pair of sets at or over the threshold is missed: the prefixes, bands and bitmaps only rule out
 pairs that cannot reach it.
@@ -242,17 +242,24 @@ def _small(rows: DataFrame) -> DataFrame:
 
 
 def with_hashes(wanted: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
-    """``wanted`` (rid and more) with the sets' sorted hashes, made anew from the texts of those rows."""
+    """``wanted`` (rid and more) with the sets' sorted hashes, made anew from texts with those rows' keys. A row may come once from
+    each task that holds a copy of its text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = WordHash()
+        hasher, seen = WordHash(), set()
         for batch in batches:
-            for piece in pieces(batch, "text", PIECE):
+            rids = batch.column("rid").to_pylist()
+            fresh = []
+            for i, rid in enumerate(rids):
+                if rid not in seen:
+                    seen.add(rid)
+                    fresh.append(i)
+            for piece in pieces(batch.take(pa.array(fresh, pa.int64())), "text", PIECE):
                 yield pa.RecordBatch.from_arrays([piece.column("rid"), pa.array([s.tobytes() for s in shingle_sets(piece.column("text"), hasher)], pa.binary())], names=["rid", "hashes"])
 
     rids = wanted.select("rid").distinct()
     keys = stored(sets.where("bits IS NOT NULL").select("rid", "k1", "k2").join(_small(rids), "rid"), "keys")
-    texts = _keyed(docs).select("k1", "k2", "text").join(_small(keys), ["k1", "k2"]).select("rid", "text").dropDuplicates(["rid"])
+    texts = _keyed(docs).select("k1", "k2", "text").join(_small(keys), ["k1", "k2"]).select("rid", "text")
     return texts.mapInArrow(run, "rid bigint, hashes binary").join(_small(wanted), "rid")
 
 
@@ -298,14 +305,6 @@ def let_through(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return stored(_held_against_leaders(signed, "bits", bounded), "pairs")
 
 
-def verify(pairs: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
-    """The ``pairs`` (leader, rid) whose sets are similar, stored: a, b. Each leader's set goes to every
-    GROUP of its partners once."""
-    full = with_hashes(_grouped(pairs), sets, docs).withColumn("n", (F.octet_length("hashes") / 8).cast("bigint"))
-    found = _held_against_leaders(full, "hashes", lambda head, size, own, n: similar(head, own))
-    return stored(found.select(F.col("leader").alias("a"), F.col("rid").alias("b")), "links")
-
-
 def tiled_blocks(members: DataFrame, sets: DataFrame, roots: DataFrame) -> DataFrame:
     """node, root: blocks of sets. Two sets of different components that share a bucket, and that size and bitmaps
     let through, are in one block: a meeting of tiles passes on a forest that spans such pairs, not the pairs."""
@@ -455,10 +454,11 @@ def classify(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The sets of ``docs`` (doc_id, text), and for each digest: cid, root (of its component), component_id, uniting_links."""
     sets = make_sets(docs)
     members = bucket_members(sets)
-    by_first = verify(let_through(members.where("near").select("leader", "rid").distinct(), sets), sets, docs)
     narrow = sets.where("digest IS NOT NULL").select("rid", "doc_id", "digest", F.col("bits").isNotNull().alias("first"))
     classes = stored(narrow.groupBy("digest").agg(F.min("rid").alias("cid"), F.min("doc_id").alias("least")), "classes")
     same = stored(narrow.where("first").join(classes, "digest").select(F.col("rid").alias("a"), F.col("cid").alias("b")), "same")
+    met = let_through(members.where("near").select("leader", "rid").distinct(), sets)
+    by_first = block_links(components(met.select(F.col("leader").alias("a"), F.col("rid").alias("b"))), sets, docs, same.where("a <> b").select(F.col("a").alias("node"), F.col("b").alias("root")))
     roots = components(by_first.unionAll(same))
     links = by_first.unionAll(block_links(tiled_blocks(members, sets, roots), sets, docs, roots))
     final = components(links.unionAll(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
