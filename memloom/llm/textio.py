@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -64,6 +65,14 @@ def plain(texts: pa.Array | pa.ChunkedArray) -> pa.Array:
     return pc.fill_null(texts, "")
 
 
+def release() -> None:
+    """Give freed memory back to the system: a worker is used again by later stages, and would keep its peak."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def pieces(batch: pa.RecordBatch, column: str, most: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of ``batch`` with at most ``most`` bytes of text each, or one row."""
     n = batch.num_rows
@@ -77,6 +86,7 @@ def pieces(batch: pa.RecordBatch, column: str, most: int = PIECE_BYTES) -> Itera
         stop = max(start + 1, int(np.searchsorted(ends, floor + most, side="right")))
         yield batch.slice(start, stop - start)
         start = stop
+    release()
 
 
 def offsets_of(lists: pa.Array) -> np.ndarray:
