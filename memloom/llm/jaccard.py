@@ -43,7 +43,7 @@ MOST_BROADCAST = 300_000
 #: Sets held against one copy of a bucket's first set; and sets of one tile.
 GROUP, TILE = 4096, 512
 #: Sets, and shingles, of one tile of a block.
-BLOCK_SETS, BLOCK_SHINGLES = 4096, 1 << 20
+BLOCK_SETS, BLOCK_SHINGLES = 4096, 3 << 20
 MOST_BITS = 8192
 
 
