@@ -356,3 +356,16 @@ def test_words():
     codes, offsets, distinct = textio.words(pa.array([" A b\x0bA", None, "", "É\x0c\x1c x"]))
     names = distinct.to_pylist()
     assert [[names[c] for c in codes[a:b]] for a, b in zip(offsets[:-1], offsets[1:], strict=True)] == [["a", "b", "a"], [], [], ["É", "\x1c", "x"]]
+
+
+def test_lm_statistics_cover_all_documents(spark, docs):
+    """Shares inside classes count every training document, not a sample, and every id met has a class by its own neighbours."""
+    coder = subwords.encoder(subwords.default_path())
+    frame = spark.createDataFrame(docs[["doc_id", "text"]]).repartition(5)
+    m = lmscore.train(frame, sample_chars=2000)
+    ids, ends = coder.encode(pa.array([t for t in docs.text if t is not None]))
+    counts = np.bincount(ids, minlength=coder.vocabulary + 1) + 0.5
+    counts[-1] += len(ends) - 1
+    share = counts / np.bincount(m.classes, weights=counts)[m.classes]
+    assert np.allclose(np.exp(m.inside), share, rtol=1e-4)
+    assert len(np.unique(ids)) > attention.CLASSES and (m.classes[np.unique(ids)] != attention.CLASSES - 2).all()
