@@ -8,8 +8,8 @@
 4. Buckets that still hold sets of several components are cut into tiles by size band
    (similar sets lie in the same or the next band) and hash. Inside two tiles, bit counts of
    hashed bitmaps bound the overlap from above.
-5. Sets of pairs that the bound lets through, in 3 and in 4, form blocks, in which pairs are
-   decided by intersecting their arrays.
+5. Sets of pairs that the bound lets through, in 3 and in 4, form blocks. Inside a block every pair
+   that size and bitmaps let through is decided by intersecting arrays, once, and counted for both sets.
 
 No pair of sets at or over the threshold is missed: the prefixes, bands and bitmaps only rule out
 pairs that cannot reach it.
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from memloom.llm.components import components
 from memloom.llm.subwords import WordHash
-from memloom.llm.textio import pieces, stored, table, words
+from memloom.llm.textio import pieces, ragged, stored, table, words
 
 WORDS = 5
 #: The threshold as a fraction: 100 * intersection >= 75 * union.
@@ -305,17 +305,17 @@ def let_through(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return stored(_held_against_leaders(signed, "bits", bounded), "pairs")
 
 
-def tiled_blocks(members: DataFrame, sets: DataFrame, roots: DataFrame) -> DataFrame:
-    """node, root: blocks of sets. Two sets of different components that share a bucket, and that size and bitmaps
-    let through, are in one block: a meeting of tiles passes on a forest that spans such pairs, not the pairs."""
-    # The pairs of a bucket's first set are decided; of buckets with the same sets one is enough.
+def tiled_pairs(members: DataFrame, sets: DataFrame, roots: DataFrame) -> DataFrame:
+    """a, b: edges that, with the blocks so far (``roots``), lead from each set to any other that shares a bucket with it and that size
+    and bitmaps let through: a meeting of tiles passes on a forest that spans such pairs of different blocks, not the pairs."""
+    # A bucket's first set has been held against the others; of buckets with the same sets one is enough.
     known = _small(roots.withColumnsRenamed({"node": "rid"}))
     placed = members.where("crowd").select("hash", "rid", "n", "band").join(known, "rid", "left").select("hash", "rid", "n", "band", F.coalesce("root", "rid").alias("root"))
     mark = [F.bit_xor(F.xxhash64(F.lit(seed), "rid")).alias(f"x{seed}") for seed in (1, 2)]
     open_ = placed.groupBy("hash").agg(F.count("*").alias("sets"), F.min("root").alias("low"), F.max("root").alias("high"), *mark).where("low < high")
     unlike = open_.groupBy("sets", "x1", "x2").agg(F.min("hash").alias("hash")).select("hash")
     sized = stored(placed.join(_small(stored(unlike, "buckets")), "hash"), "open")
-    # A set stays where its own or a neighbouring band of the bucket holds another component.
+    # A set stays where its own or a neighbouring band of the bucket holds another block.
     near = sized.groupBy("hash", "band").agg(F.min("root").alias("low"), F.max("root").alias("high"))
     around = near.select("hash", "low", "high", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"))
     mixed = around.groupBy("hash", "band").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low < high").select("hash", "band")
@@ -348,8 +348,7 @@ def tiled_blocks(members: DataFrame, sets: DataFrame, roots: DataFrame) -> DataF
             yield _pairs(out)
         yield _pairs(tile_forest(key, held))
 
-    found = rows.select("hash", "low", "step", "x", "y", "side", "rid", "root", "n", "bits").mapInArrow(run, "a bigint, b bigint")
-    return components(found)
+    return rows.select("hash", "low", "step", "x", "y", "side", "rid", "root", "n", "bits").mapInArrow(run, "a bigint, b bigint")
 
 
 def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
@@ -388,100 +387,120 @@ def tile_forest(key: tuple | None, held: list[tuple]) -> list[tuple[int, int]]:
     (r, c, n), (s, d, m) = ([np.array([h[k] for h in x], dtype=np.int64) for k in (1, 2, 3)] for x in (first, second))
     place = {rid: i for i, rid in enumerate(dict.fromkeys([*r.tolist(), *s.tolist()]))}
     forest, out = Forest(list(place)), []
+    at, to = (np.array([place[x] for x in y.tolist()]) for y in (r, s))
+    group = np.arange(len(place))
     step = max(1, (1 << 21) // (len(second) * width))
     for a in range(0, len(first), step):
         ok = could_be_similar(n[a : a + step], maps[a : a + step], m, others) & (c[a : a + step, None] != d[None, :])
-        for i, j in zip(*np.nonzero(ok), strict=True):
-            x, y = int(r[a + i]), int(s[j])
-            if forest.unite(place[x], place[y]):
-                out.append((x, y))
+        for i in range(len(ok)):
+            # Of the partners, those that were not yet in one tree with this set when last looked at.
+            for j in np.flatnonzero(ok[i] & (group[to] != group[at[a + i]])).tolist():
+                if forest.unite(int(at[a + i]), int(to[j])):
+                    out.append((int(r[a + i]), int(s[j])))
+                group[to[j]] = group[at[a + i]] = forest.find(int(to[j]))
     return out
 
 
-def block_links(blocks: DataFrame, sets: DataFrame, docs: DataFrame, roots: DataFrame) -> DataFrame:
-    """a, b, stored: links inside ``blocks`` (node, root) that unite components. Blocks too large for one task are cut into tiles
-    that meet in pairs, each pair in its own task."""
+def block_links(blocks: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
+    """a, b, links, copies, stored. Where a = b: how many sets it is linked to in one meeting of tiles, and how many rows those have; else a
+    link of a forest that spans the links. Blocks (node, root) too large for one task are cut into tiles that meet in pairs, each pair in its own task."""
     inside = blocks.select(F.col("node").alias("rid"), F.col("root").alias("block")).unionAll(blocks.select(F.col("root").alias("rid"), F.col("root").alias("block")).distinct())
-    sized = stored(sets.where("bits IS NOT NULL").select("rid", "n").join(_small(stored(inside, "inside")), "rid")
-                   .join(roots.withColumnsRenamed({"node": "rid", "root": "comp"}), "rid", "left").select("rid", "block", F.coalesce("comp", "rid").alias("comp"), "n"), "blocks")
+    sized = stored(sets.where("bits IS NOT NULL").select("rid", "n", "copies").join(_small(stored(inside, "inside")), "rid"), "blocks")
     tiles = sized.groupBy("block").agg(F.greatest(F.ceil(F.count("*") / F.lit(float(BLOCK_SETS))), F.ceil(F.sum("n") / F.lit(float(BLOCK_SHINGLES)))).cast("int").alias("tiles"))
     dealt = sized.join(tiles, "block").withColumn("t", F.pmod(F.xxhash64("rid"), F.col("tiles")).cast("int"))
     meets = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda o: F.struct(F.least(F.col("t"), o).alias("x"), F.greatest(F.col("t"), o).alias("y"), (F.col("t") > o).cast("int").alias("side")))
-    wanted = stored(dealt.select("rid", "block", "comp", F.explode(meets).alias("p")).select("rid", "block", "comp", "p.*"), "wanted")
+    wanted = stored(dealt.select("rid", "block", "copies", F.explode(meets).alias("p")).select("rid", "block", "copies", "p.*"), "wanted")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held = None, []
         for batch in batches:
-            out: list[tuple[int, int]] = []
-            for row in zip(*[batch.column(c).to_pylist() for c in ("block", "x", "y", "side", "rid", "comp", "hashes")], strict=True):
+            for row in zip(*[batch.column(c).to_pylist() for c in ("block", "x", "y", "side", "rid", "copies", "hashes")], strict=True):
                 if row[:3] != key:
-                    out += meeting_links(key, held)
+                    yield meeting_links(key, held)
                     key, held = row[:3], []
-                held.append(row[3:])
-            yield _pairs(out)
-        yield _pairs(meeting_links(key, held))
+                if not held or held[-1][1] != row[4]:  # a row comes once from each task that holds its text
+                    held.append(row[3:])
+        yield meeting_links(key, held)
 
     rows = with_hashes(wanted, sets, docs).repartition("block", "x", "y").sortWithinPartitions("block", "x", "y", "side", "rid")
-    return stored(rows.select("block", "x", "y", "side", "rid", "comp", "hashes").mapInArrow(run, "a bigint, b bigint"), "links")
-
-
-def meeting_links(key: tuple | None, held: list[tuple]) -> list[tuple[int, int]]:
-    """Links that unite components inside one meeting: side, rid, comp, hashes of each set. Pairs whose sets
-    are united already are not looked at again: they can change no component."""
-    if key is None or len(held) < 2:
-        return []
-    arrays = [np.frombuffer(h[3], dtype=np.uint64) for h in held]
-    sizes = np.array([len(x) for x in arrays], dtype=np.int64)
-    order = np.argsort(sizes, kind="stable")
-    sides = np.array([h[0] for h in held])
-    width = min(MOST_BITS, 64 << max(0, (8 * int(sizes.max()) - 1).bit_length() - 6)) // 64
-    maps = np.stack([bitmap(x, width * 64) for x in arrays])
-    forest, out, within = Forest([h[2] for h in held]), [], key[1] == key[2]
-    for k, i in enumerate(order.tolist()):
-        # Only larger sets of near size, further on in the order.
-        rest = order[k + 1 : k + 1 + int(np.searchsorted(sizes[order[k + 1 :]], DENOMINATOR * sizes[i] // NUMERATOR, side="right"))]
-        if not within:
-            rest = rest[sides[rest] != sides[i]]
-        ok = could_be_similar(sizes[i : i + 1], maps[i : i + 1], sizes[rest], maps[rest])[0] if len(rest) else np.zeros(0, dtype=bool)
-        for j in rest[ok].tolist():
-            if forest.find(i) != forest.find(j) and similar(arrays[i], arrays[j]):
-                forest.unite(i, j)
-                out.append((held[i][1], held[j][1]))
-    return out
+    return stored(rows.select("block", "x", "y", "side", "rid", "copies", "hashes").mapInArrow(run, "a bigint, b bigint, links bigint, copies bigint"), "links")
+
+
+def meeting_links(key: tuple | None, held: list[tuple]) -> pa.RecordBatch:
+    """The rows of ``block_links`` for one meeting: side, rid, copies, hashes of each set."""
+    out: list[tuple[int, int, int, int]] = []
+    if key is not None and len(held) > 1:
+        arrays = [np.frombuffer(h[3], dtype=np.uint64) for h in held]
+        order = np.argsort(np.array([len(x) for x in arrays]), kind="stable")
+        arrays = [arrays[i] for i in order]
+        sides, rids, copies = (np.array([h[k] for h in held], dtype=np.int64)[order] for k in range(3))
+        sizes = np.array([len(x) for x in arrays], dtype=np.int64)
+        begins = np.cumsum(sizes) - sizes
+        width = min(MOST_BITS, 64 << max(0, (8 * int(sizes.max()) - 1).bit_length() - 6)) // 64
+        maps = np.stack([bitmap(x, width * 64) for x in arrays])
+        # Shingles as numbers from 0, so that an overlap is a count of marks.
+        distinct, flat = np.unique(np.concatenate(arrays), return_inverse=True)
+        marks = np.zeros(len(distinct), dtype=bool)
+        forest, within = Forest(list(range(len(held)))), key[1] == key[2]
+        links, linked = np.zeros(len(held), dtype=np.int64), np.zeros(len(held), dtype=np.int64)
+        lasts = np.searchsorted(sizes, DENOMINATOR * sizes // NUMERATOR, side="right")
+        for i in range(len(held)):
+            # Only larger sets of near size, further on in the order.
+            rest = np.arange(i + 1, max(i + 1, int(lasts[i])))
+            if not within:
+                rest = rest[sides[rest] != sides[i]]
+            if not len(rest):
+                continue
+            rest = rest[could_be_similar(sizes[i : i + 1], maps[i : i + 1], sizes[rest], maps[rest])[0]]
+            mine = flat[begins[i] : begins[i] + sizes[i]]
+            marks[mine] = True
+            step = max(1, (1 << 21) // int(sizes[rest].max())) if len(rest) else 1
+            for a in range(0, len(rest), step):
+                some = rest[a : a + step]
+                common = np.add.reduceat(marks[flat[ragged(begins[some], sizes[some])]], np.cumsum(sizes[some]) - sizes[some], dtype=np.int64)
+                like = some[DENOMINATOR * common >= NUMERATOR * (sizes[i] + sizes[some] - common)]
+                links[i] += len(like)
+                linked[i] += copies[like].sum()
+                links[like] += 1
+                linked[like] += copies[i]
+                out += [(int(rids[i]), int(rids[j]), 0, 0) for j in like.tolist() if forest.unite(i, j)]
+            marks[mine] = False
+        out += [(r, r, n, m) for r, n, m in zip(rids.tolist(), links.tolist(), linked.tolist(), strict=True) if n]
+    columns = list(zip(*out, strict=True)) if out else [[]] * 4
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["a", "b", "links", "copies"])
 
 
 def classify(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The sets of ``docs`` (doc_id, text), and for each digest: cid, root (of its component), component_id, uniting_links."""
+    """The sets of ``docs`` (doc_id, text), and for each digest: cid, root (of its component), component_id, links, linked_rows."""
     sets = make_sets(docs)
-    members = bucket_members(sets)
-    narrow = sets.where("digest IS NOT NULL").select("rid", "doc_id", "digest", F.col("bits").isNotNull().alias("first"))
-    classes = stored(narrow.groupBy("digest").agg(F.min("rid").alias("cid"), F.min("doc_id").alias("least")), "classes")
-    same = stored(narrow.where("first").join(classes, "digest").select(F.col("rid").alias("a"), F.col("cid").alias("b")), "same")
-    met = let_through(members.where("near").select("leader", "rid").distinct(), sets)
-    by_first = block_links(components(met.select(F.col("leader").alias("a"), F.col("rid").alias("b"))), sets, docs, same.where("a <> b").select(F.col("a").alias("node"), F.col("b").alias("root")))
-    roots = components(by_first.unionAll(same))
-    links = by_first.unionAll(block_links(tiled_blocks(members, sets, roots), sets, docs, roots))
-    final = components(links.unionAll(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
-    placed = classes.join(final.withColumnsRenamed({"node": "cid"}), "cid", "left").select("digest", "least", "cid", F.coalesce("root", "cid").alias("root"))
+    narrow = sets.where("digest IS NOT NULL").select("rid", "doc_id", "digest")
+    classes = stored(narrow.groupBy("digest").agg(F.min("rid").alias("cid"), F.min("doc_id").alias("least"), F.count("*").alias("copies")), "classes")
+    # One row stands for all that have its set.
+    firsts = stored(sets.where("bits IS NOT NULL").join(classes.select(F.col("cid").alias("rid"), "copies"), "rid").select("rid", "k1", "k2", "n", "prefix", "bits", "copies"), "firsts", "none")
+    members = bucket_members(firsts)
+    met = stored(let_through(members.where("near").select("leader", "rid").distinct(), firsts).select(F.col("leader").alias("a"), F.col("rid").alias("b")), "met")
+    blocks = components(met.unionAll(stored(tiled_pairs(members, firsts, components(met)), "tiled")))
+    links = block_links(blocks, firsts, docs)
+    final = components(links.select("a", "b"))
+    placed = classes.join(final.withColumnsRenamed({"node": "cid"}), "cid", "left").select("digest", "least", "cid", "copies", F.coalesce("root", "cid").alias("root"))
     lowest = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    as_class = links.join(same.select("a", F.col("b").alias("ca")), "a").join(same.select(F.col("a").alias("b"), F.col("b").alias("cb")), "b")
-    ends = as_class.where("ca <> cb").select(F.least("ca", "cb").alias("ca"), F.greatest("ca", "cb").alias("cb")).distinct()
-    degrees = ends.select(F.explode(F.array("ca", "cb")).alias("cid")).groupBy("cid").agg(F.count("*").alias("uniting_links"))
-    found = placed.join(lowest, "root").join(degrees, "cid", "left").select("digest", "cid", "root", "component_id", F.coalesce("uniting_links", F.lit(0)).alias("uniting_links"))
+    degrees = links.where("a = b").groupBy(F.col("a").alias("cid")).agg(F.sum("links").alias("links"), F.sum("copies").alias("linked"))
+    found = placed.join(lowest, "root").join(degrees, "cid", "left").select(
+        "digest", "cid", "root", "component_id", F.coalesce("links", F.lit(0)).alias("links"), (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("linked_rows"))
     return sets, stored(found, "classes")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, uniting_links, class_id (a digest of the set) for each row of ``docs`` (doc_id, text).
+    """doc_id, n_shingles, component_id, links, linked_rows, class_id (a digest of the set) for each row of ``docs`` (doc_id, text).
 
-    component_id: least doc_id reachable by links (null if none of them has a doc_id). uniting_links: links that were
-    verified to unite it with other sets (pairs united already are not counted). Null and empty texts have no shingles, class null and
+    component_id: least doc_id reachable by links (null if none of them has a doc_id). links: other sets that its own is similar
+    to; linked_rows: other rows with such a set or its own. Null and empty texts have no shingles, class null, no links and
     their own doc_id as component. Repeated rows are in one class and returned each.
     """
     sets, of_class = classify(docs)
-    out = sets.select("doc_id", "n", "digest").join(of_class.select("digest", "component_id", "uniting_links"), "digest", "left")
+    out = sets.select("doc_id", "n", "digest").join(of_class.select("digest", "component_id", "links", "linked_rows"), "digest", "left")
     component = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce("uniting_links", F.lit(0)).alias("uniting_links"), F.lower(F.hex("digest")).alias("class_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("linked_rows", F.lit(0)).alias("linked_rows"), F.lower(F.hex("digest")).alias("class_id"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:

@@ -369,3 +369,24 @@ def test_lm_statistics_cover_all_documents(spark, docs):
     share = counts / np.bincount(m.classes, weights=counts)[m.classes]
     assert np.allclose(np.exp(m.inside), share, rtol=1e-4)
     assert len(np.unique(ids)) > attention.CLASSES and (m.classes[np.unique(ids)] != attention.CLASSES - 2).all()
+
+
+def test_jaccard_links_of_every_set(spark, monkeypatch):
+    """A group of k like sets has k (k - 1) / 2 links, not a forest of k - 1."""
+    for name, value in (("TILE", 3), ("GROUP", 2), ("BLOCK_SETS", 5)):
+        monkeypatch.setattr(jaccard, name, value)
+    rng, texts = random.Random(8), []
+    for g in range(2):
+        for _ in range(15):
+            w = [f"g{g}w{k}" for k in range(100)]
+            for _ in range(rng.randint(0, 4)):
+                w[rng.randrange(100)] = f"x{rng.random()}"
+            texts.append(" ".join(w))
+    texts += [texts[3], texts[3].upper(), "alone in the world it is", None]
+    sets = [shingles(t) for t in texts]
+    like = lambda a, b: bool(a and b) and 100 * len(a & b) >= 75 * len(a | b)
+    got = {r.doc_id: r for r in jaccard.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)).collect()}
+    for i, a in enumerate(sets):
+        assert got[i].links == len({frozenset(b) for b in sets if like(a, b) and a != b}), i
+        assert got[i].linked_rows == sum(like(a, b) for j, b in enumerate(sets) if j != i), i
+    assert sum(r.links for r in got.values()) > 4 * len(texts)
