@@ -19,7 +19,7 @@ SEED = 17
 #: Sources that are broadcast; more are joined by a shuffle with salted rows.
 MOST_BROADCAST = 20_000
 SALTS = 32
-#: Rates above this are split into a whole part and a Poisson part, which keeps e^-rate above 0.
+#: A count of a rate above this is the sum of several independent ones, each of a rate within it, which keeps e^-rate above 0.
 MOST_RATE = 32.0
 
 
@@ -30,19 +30,27 @@ def uniform(what: Column, seed: int) -> Column:
 
 
 def poisson_inverse(u: Column, rate: Column) -> Column:
-    """The least k with u < P(X <= k): terms are summed until they pass ``u``."""
+    """The least k with u < P(X <= k), for rates up to MOST_RATE: terms are summed until they pass ``u``."""
     most = int(MOST_RATE + 12 * math.sqrt(MOST_RATE) + 12)
-    whole = F.greatest(F.floor(rate) - F.lit(int(MOST_RATE)), F.lit(0)).cast("int")
-    part = rate - whole
-    first = F.exp(-part)
+    first = F.exp(-rate)
     start = F.struct(first.alias("term"), first.alias("sum"), F.when(u < first, 0).otherwise(1).alias("k"))
     step = lambda a, i: F.struct(
-        (a["term"] * part / i).alias("term"), (a["sum"] + a["term"] * part / i).alias("sum"),
-        F.when(u < a["sum"] + a["term"] * part / i, a["k"]).otherwise(a["k"] + 1).alias("k"))
+        (a["term"] * rate / i).alias("term"), (a["sum"] + a["term"] * rate / i).alias("sum"),
+        F.when(u < a["sum"] + a["term"] * rate / i, a["k"]).otherwise(a["k"] + 1).alias("k"))
     # Where the first terms already pass u, no later one is looked at.
     low = F.aggregate(F.sequence(F.lit(1), F.lit(8)), start, step)
     later = F.aggregate(F.sequence(F.lit(1), F.lit(most)), start, step)["k"]
-    return whole + F.when(u < first, 0).otherwise(F.when(u < low["sum"], low["k"]).otherwise(later))
+    return F.when(u < first, 0).otherwise(F.when(u < low["sum"], low["k"]).otherwise(later))
+
+
+def poisson_count(what: Column, rate: Column, seed: int) -> Column:
+    """A Poisson count of any ``rate``: a sum of Poisson counts is one of the summed rate."""
+    draws = F.greatest(F.ceil(rate / F.lit(MOST_RATE)), F.lit(1)).cast("int")
+    part = rate / draws
+    name = F.coalesce(what.cast("string"), F.lit("null"))
+    # The first draw is that of the document alone.
+    drawn = F.transform(F.sequence(F.lit(1), draws), lambda j: uniform(F.when(j == 1, name).otherwise(F.concat(name, F.lit(":draw:"), j.cast("string"))), seed))
+    return F.aggregate(drawn, F.lit(0), lambda total, u: total + poisson_inverse(u, part))
 
 
 def rates(docs: DataFrame, weights: dict[str, float] | None = None, rows: int | None = None, power: float = 0.5) -> DataFrame:
@@ -85,8 +93,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, rows: int | No
         salted = named.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         salt = F.pmod(F.xxhash64(doc_id), F.lit(SALTS)).cast("int")
         rated = rows_.withColumn("__salted", salt).join(salted, source.eqNullSafe(F.col("__source")) & (F.col("__salted") == F.col("__salt")))
-    u = uniform(F.col(doc_id), seed)
-    repeated = rated.withColumn("__copies", poisson_inverse(u, F.col("__rate"))).where("__copies > 0")
+    repeated = rated.withColumn("__copies", poisson_count(F.col(doc_id), F.col("__rate"), seed)).where("__copies > 0")
     copies = repeated.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
     place = uniform(F.concat_ws(":", F.coalesce(F.col(doc_id).cast("string"), F.lit("null")), F.col("__copy")), seed + 1)
     placed = copies.withColumn("__place", F.round(place, 12))

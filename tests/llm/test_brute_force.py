@@ -390,3 +390,10 @@ def test_jaccard_links_of_every_set(spark, monkeypatch):
         assert got[i].links == len({frozenset(b) for b in sets if like(a, b) and a != b}), i
         assert got[i].linked_rows == sum(like(a, b) for j, b in enumerate(sets) if j != i), i
     assert sum(r.links for r in got.values()) > 4 * len(texts)
+
+
+def test_poisson_counts_of_high_rates(spark):
+    """Mean and variance are the rate, also far above MOST_RATE."""
+    rows = spark.createDataFrame([(i, "s") for i in range(3000)], "doc_id long, source string")
+    got = mixing.mix(rows, rows=3000 * 223).groupBy("doc_id").count().toPandas()["count"]
+    assert abs(got.mean() - 223) < 1.5 and 190 < got.var() < 256
