@@ -26,8 +26,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from memloom.llm.components import components
-from memloom.llm.subwords import WordHash
-from memloom.llm.textio import pieces, ragged, stored, table, words
+
+from memloom.llm.textio import WordHash, pieces, ragged, stored, table, words
 
 WORDS = 5
 #: The threshold as a fraction: 100 * intersection >= 75 * union.

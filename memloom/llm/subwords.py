@@ -2,7 +2,7 @@
 
 The word-level BPE drops white space before it splits, so a text's ids are the
 concatenated ids of its words; each distinct word of a batch is encoded once, and kept
-under a 128-bit hash for later batches.
+under its name (its own bytes, or the digest of a long one) for later batches.
 """
 
 from __future__ import annotations
@@ -15,37 +15,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from memloom.llm.textio import plain, ragged, words
+from memloom.llm.textio import mixed, plain, ragged, word_names, words
 
 #: Words a worker keeps encoded; beyond that it starts anew.
-CACHE_WORDS = 500_000
-
-
-class WordHash:
-    """Two 64-bit hashes of each string of an array, from sums over its bytes."""
-
-    def __init__(self, seed: int = 3):
-        rng = np.random.default_rng(seed)
-        self.tables = rng.integers(1, 1 << 63, size=(2, 256), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        self.bases = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F]
-        self.powers = np.zeros((4, 0), dtype=np.uint64)
-
-    def __call__(self, strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        offsets = np.frombuffer(strings.buffers()[1], dtype=np.int64 if pa.types.is_large_string(strings.type) else np.int32)
-        offsets = offsets[strings.offset : strings.offset + len(strings) + 1].astype(np.int64)
-        low, high = (int(offsets[0]), int(offsets[-1])) if len(strings) else (0, 0)
-        data = np.frombuffer(strings.buffers()[2] or b"", dtype=np.uint8)[low:high]
-        offsets = offsets - low
-        if self.powers.shape[1] <= len(data):
-            n = len(data) + (1 << 16)
-            self.powers = np.stack([np.cumprod(np.full(n, x & (1 << 64) - 1, dtype=np.uint64)) for b in self.bases for x in (b, pow(b, -1, 1 << 64))])
-        out = []
-        for k in (0, 1):
-            sums = np.zeros(len(data) + 1, dtype=np.uint64)
-            np.cumsum(self.tables[k][data] * self.powers[2 * k][: len(data)], out=sums[1:])
-            mixed = (sums[offsets[1:]] - sums[offsets[:-1]]) * self.powers[2 * k + 1][offsets[:-1]] + (offsets[1:] - offsets[:-1]).astype(np.uint64)
-            out.append(mixed ^ mixed >> np.uint64(31))
-        return out[0], out[1]
+CACHE_WORDS = 200_000
 
 
 def default_path() -> str:
@@ -75,11 +48,10 @@ class WordEncoder:
         for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items():
             self.ends_word[i] = token.endswith("</w>")
         self.letters = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+").fullmatch
-        self.hash = WordHash()
         self.forget()
 
     def forget(self) -> None:
-        self.keys, self.checks = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        self.keys, self.names = np.zeros(0, np.uint64), np.zeros((0, 2), np.uint64)
         self.pool, self.firsts, self.sizes = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int32)
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
@@ -102,50 +74,55 @@ class WordEncoder:
         ids[ragged(firsts[~simple], sizes[~simple])] = np.fromiter(chain.from_iterable(rest), dtype=np.uint32)
         return ids, sizes
 
-    def _find(self, keys: np.ndarray, checks: np.ndarray) -> np.ndarray:
-        """Places of known words, -1 for others."""
-        if not len(self.keys):
-            return np.full(len(keys), -1, dtype=np.int64)
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return np.where((self.keys[at] == keys) & (self.checks[at] == checks), at, -1)
-
-    def _keep(self, keys: np.ndarray, checks: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
-        order = np.argsort(keys)
+    def _find(self, keys: np.ndarray, names: np.ndarray) -> np.ndarray:
+        """Places of known words, -1 for others. Names decide; a few words may share a key."""
+        out = np.full(len(keys), -1, dtype=np.int64)
+        at, open_ = np.searchsorted(self.keys, keys), np.arange(len(keys))
+        while len(open_):
+            open_ = open_[at[open_] < len(self.keys)]
+            open_ = open_[self.keys[at[open_]] == keys[open_]]
+            met = (self.names[at[open_]] == names[open_]).all(axis=1)
+            out[open_[met]] = at[open_[met]]
+            open_ = open_[~met]
+            at[open_] += 1
+        return out
+
+    def _keep(self, keys: np.ndarray, names: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
+        order = np.argsort(keys, kind="stable")
         firsts = (len(self.pool) + np.cumsum(sizes) - sizes)[order]
         at = np.searchsorted(self.keys, keys[order])
-        self.keys, self.checks = np.insert(self.keys, at, keys[order]), np.insert(self.checks, at, checks[order])
+        self.keys, self.names = np.insert(self.keys, at, keys[order]), np.insert(self.names, at, names[order], axis=0)
         self.firsts, self.sizes = np.insert(self.firsts, at, firsts), np.insert(self.sizes, at, sizes[order].astype(np.int32))
         self.pool = np.concatenate([self.pool, ids])
 
-    def _add(self, fresh: pa.Array, keys: np.ndarray, checks: np.ndarray) -> None:
+    def _add(self, fresh: pa.Array, keys: np.ndarray, names: np.ndarray) -> None:
         """Encode new words. A stop after an ASCII letter is a piece of its own, so "word," is "word" and ","."""
-        names = fresh.to_pylist()
-        stopped = np.array([len(w) > 1 and w[-1] in self.stops and "a" <= w[-2] <= "z" for w in names], dtype=bool)
-        whole = [w for w, s in zip(names, stopped, strict=True) if not s]
+        plainly = fresh.to_pylist()
+        stopped = np.array([len(w) > 1 and w[-1] in self.stops and "a" <= w[-2] <= "z" for w in plainly], dtype=bool)
+        whole = [w for w, s in zip(plainly, stopped, strict=True) if not s]
         if whole:
             ids, sizes = self._encode_stems(whole)
-            self._keep(keys[~stopped], checks[~stopped], ids, sizes)
+            self._keep(keys[~stopped], names[~stopped], ids, sizes)
         if stopped.any():
-            stems = pa.array([w[:-1] for w, s in zip(names, stopped, strict=True) if s], pa.string()).dictionary_encode()
+            stems = pa.array([w[:-1] for w, s in zip(plainly, stopped, strict=True) if s], pa.string()).dictionary_encode()
             firsts, sizes = self.places(stems.dictionary)
             code = stems.indices.to_numpy(zero_copy_only=False)
             stem_sizes = sizes[code].astype(np.int64)
             ids = np.zeros(int(stem_sizes.sum()) + len(code), dtype=np.uint32)
             begins = np.cumsum(stem_sizes + 1) - stem_sizes - 1
             ids[ragged(begins, stem_sizes)] = self.pool[ragged(firsts[code], stem_sizes)]
-            ids[begins + stem_sizes] = [self.stops[w[-1]] for w, s in zip(names, stopped, strict=True) if s]
-            self._keep(keys[stopped], checks[stopped], ids, stem_sizes + 1)
+            ids[begins + stem_sizes] = [self.stops[w[-1]] for w, s in zip(plainly, stopped, strict=True) if s]
+            self._keep(keys[stopped], names[stopped], ids, stem_sizes + 1)
 
     def places(self, distinct: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Where each word's ids begin in ``pool``, and how many there are."""
-        keys, checks = self.hash(distinct)
-        at = self._find(keys, checks)
+        names = np.stack(word_names(distinct), axis=1)
+        keys = mixed(names[:, 0], names[:, 1])
+        at = self._find(keys, names)
         if (at < 0).any():
             new = np.flatnonzero(at < 0)
-            self._add(distinct.take(pa.array(new)), keys[new], checks[new])
-            at = self._find(keys, checks)
-            if (at < 0).any():
-                raise ValueError("two words share a hash")
+            self._add(distinct.take(pa.array(new)), keys[new], names[new])
+            at = self._find(keys, names)
         return self.firsts[at], self.sizes[at]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

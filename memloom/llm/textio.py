@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import ctypes
+import gc
+import hashlib
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +17,8 @@ from pyspark.sql import functions as F
 
 #: Text bytes that one step in Python holds at once.
 PIECE_BYTES = 6 << 20
+#: Bytes of one Arrow batch on its way to Python: the JVM holds a batch twice outside of its heap, a worker once.
+BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,13 +28,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where it is unset (tests on one machine) a temporary folder is set.
+    Where it is unset, a temporary folder is set on a local master; on a cluster, whose machines
+    do not share one, ValueError.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         jvm_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = jvm_dir.get() if jvm_dir.isDefined() else None
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="memloom-")
         spark.sparkContext.setCheckpointDir(found)
         found = spark.sparkContext._jsc.sc().getCheckpointDir().get()
@@ -46,7 +53,35 @@ def stored(df: DataFrame, what: str, compression: str = "zstd") -> DataFrame:
     spark = df.sparkSession
     path = shared_path(spark, what)
     df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def delete_stored(df: DataFrame) -> None:
+    """Delete a ``stored`` table that nothing reads any more."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Let go of the shuffle files of plans that are out of use: Spark drops them once the driver has collected its garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def join_sums(rows: DataFrame, sums: DataFrame, key: list[str], how: str = "inner") -> DataFrame:
+    """``rows`` with columns of ``sums``, an aggregate by ``key``. A mark beside the key has both sides dealt anew, next to the join,
+    where adaptive execution can split a key that holds many rows; an aggregate's own partitions would be joined as they are."""
+    marked = lambda df: df.withColumn("__mark", F.xxhash64(F.lit("mark"), *key))
+    return marked(rows).join(marked(sums), [*key, "__mark"], how).drop("__mark")
+
+
+def in_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """``df.mapInArrow``, its batches bounded by bytes: long texts would make them large."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df.mapInArrow(run, schema)
 
 
 def crc_mod(column: Column, modulus: int) -> Column:
@@ -73,6 +108,45 @@ def release() -> None:
         trim(0)
 
 
+class WordHash:
+    """Two 64-bit hashes of each string of an array, the halves of a blake2b digest: no two strings can be made that share them."""
+
+    def __call__(self, strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        raw = strings.cast(pa.large_binary() if pa.types.is_large_string(strings.type) else pa.binary()).to_pylist()
+        digest = hashlib.blake2b
+        pairs = np.frombuffer(b"".join([digest(w, digest_size=16).digest() for w in raw]), dtype="<u8").reshape(-1, 2)
+        return pairs[:, 0].copy(), pairs[:, 1].copy()
+
+
+def word_names(strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit numbers that name each string: the bytes of one of up to 15 with their number, else all but a byte of a blake2b digest."""
+    wide = pa.types.is_large_string(strings.type)
+    ends = np.frombuffer(strings.buffers()[1], dtype=np.int64 if wide else np.int32)[strings.offset : strings.offset + len(strings) + 1].astype(np.int64) if len(strings) else np.zeros(1, np.int64)
+    data = np.frombuffer(strings.buffers()[2] or b"", dtype=np.uint8) if len(strings) else np.zeros(0, np.uint8)
+    sizes = np.diff(ends)
+    named = np.zeros((len(sizes), 16), dtype=np.uint8)
+    short = np.flatnonzero(sizes <= 15)
+    lengths = sizes[short]
+    named.reshape(-1)[ragged(short * 16, lengths)] = data[ragged(ends[short], lengths)]
+    named[:, 15] = np.minimum(sizes, 255)
+    for i in np.flatnonzero(sizes > 15).tolist():
+        named[i, :15] = np.frombuffer(hashlib.blake2b(data[ends[i] : ends[i + 1]], digest_size=15).digest(), dtype=np.uint8)
+        named[i, 15] = 255
+    pairs = named.view("<u8")
+    return pairs[:, 0], pairs[:, 1]
+
+
+def mixed(first: np.ndarray, second: np.ndarray, seeds: tuple[int, int] = (0, 0)) -> np.ndarray:
+    """One 64-bit hash of each pair of numbers. Who doesn't know the ``seeds`` can't make two pairs that share one."""
+
+    def stir(x: np.ndarray) -> np.ndarray:
+        x = (x ^ x >> np.uint64(33)) * np.uint64(0xFF51AFD7ED558CCD)
+        x = (x ^ x >> np.uint64(33)) * np.uint64(0xC4CEB9FE1A85EC53)
+        return x ^ x >> np.uint64(33)
+
+    return stir(stir(first ^ np.uint64(seeds[0])) ^ second ^ np.uint64(seeds[1]))
+
+
 def pieces(batch: pa.RecordBatch, column: str, most: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of ``batch`` with at most ``most`` bytes of text each, or one row."""
     n = batch.num_rows

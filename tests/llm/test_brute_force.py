@@ -153,7 +153,7 @@ def test_jaccard_against_brute_force(spark, docs, tiny, monkeypatch):
     """``tiny``: tiles and groups of a few sets, no broadcasts; near copies around the threshold in large groups."""
     texts = dict(zip(docs.doc_id.tolist(), docs.text.tolist(), strict=True))
     if tiny:
-        for name, value in (("TILE", 2), ("GROUP", 2), ("BLOCK_SETS", 3), ("MOST_BROADCAST", 0), ("COUNTED_AT_ONCE", 500), ("HOT", 2)):
+        for name, value in (("TILE", 2), ("GROUP", 2), ("BLOCK_SETS", 3), ("MOST_BROADCAST", 0), ("COUNTED_AT_ONCE", 500), ("HOT", 2), ("SPLIT", 7)):
             monkeypatch.setattr(jaccard, name, value)
         rng = random.Random(5)
         texts = {}
@@ -397,3 +397,35 @@ def test_poisson_counts_of_high_rates(spark):
     rows = spark.createDataFrame([(i, "s") for i in range(3000)], "doc_id long, source string")
     got = mixing.mix(rows, rows=3000 * 223).groupBy("doc_id").count().toPandas()["count"]
     assert abs(got.mean() - 223) < 1.5 and 190 < got.var() < 256
+
+
+def twins():
+    """Two unlike words of 1024 letters that sums over their bytes with any power of two as modulus can't tell apart."""
+    a, b = "a", "b"
+    for _ in range(10):
+        a, b = a + b, b + a
+    return a, b
+
+
+def test_unlike_words_of_equal_sums(spark):
+    from tokenizers import Tokenizer
+
+    a, b = twins()
+    assert a != b and len(a) == 1024
+    coder = Tokenizer.from_file(subwords.default_path())
+    docs_ = spark.createDataFrame([(0, a), (1, b), (2, f"{a} x y z w"), (3, f"{b} x y z w"), (4, a)], "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: r for r in records.token_records(docs_).collect()}
+    for i, t in enumerate([a, b, f"{a} x y z w", f"{b} x y z w", a]):
+        ids = np.array([*coder.encode(t, add_special_tokens=False).ids, 2], dtype="<u4")
+        assert (got[i].n_tokens, got[i].ids_crc32) == (len(ids), zlib.crc32(ids.tobytes())), i
+    assert [r.component_id for r in jaccard.near_duplicates(docs_).orderBy("doc_id").collect()] == [0, 1, 2, 3, 0]
+    chunks = lmscore.make_chunks(docs_.selectExpr("doc_id", "text", "doc_id > 2 AS trains", "doc_id <= 2 AS held"))
+    assert [r.n_known for r in lmscore.score_chunks(chunks, lmscore.train_on(chunks, sample_chars=3000)).orderBy("doc_id").collect()] == [2, 2, 6, 6, 2]
+
+
+def test_word_names():
+    listed = ["", "a", "a" * 15, "a" * 16, "a" * 17, "é" * 7, "b\x00", "b", *twins()]
+    names = set(zip(*[x.tolist() for x in textio.word_names(pa.array(listed))], strict=True))
+    assert len(names) == len(listed)
+    assert [x.tolist() for x in textio.word_names(pa.array(listed).slice(3, 2))] == [x.tolist() for x in textio.word_names(pa.array(listed[3:5]))]
+    assert len(set(textio.mixed(*textio.word_names(pa.array([f"w{i}" for i in range(50_000)])), (3, 5)).tolist())) == 50_000
