@@ -1,7 +1,7 @@
 """Exact n-gram Jaccard join of documents, and its connected components.
 
 1. Each text becomes the sorted array of its distinct shingle hashes. Texts with equal sets
-   are one class.
+   are one class, whose rows are counted and for which one set goes on.
 2. Shingles are ordered by how often they recur, then by hash. Two sets of similarity t share
    a shingle among the first n - ceil(t * n) + 1 of each, so sets meet in buckets by those.
 3. In each bucket every set is held against the bucket's first set, which is linear in the bucket.
@@ -22,12 +22,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from memloom.llm.components import components
-
-from memloom.llm.textio import WordHash, pieces, ragged, stored, table, words
+from memloom.llm.textio import WordHash, delete_stored, free_shuffles, in_batches, join_sums, pieces, ragged, stored, table, words
 
 WORDS = 5
 #: The threshold as a fraction: 100 * intersection >= 75 * union.
@@ -40,6 +39,8 @@ COUNTED_AT_ONCE = 1 << 20
 PIECE = 2 << 20
 #: Rows of wanted sets that are broadcast to where the sets lie; more are joined by a shuffle.
 MOST_BROADCAST = 300_000
+#: Sets of one bucket that one task leads.
+SPLIT = 100_000
 #: Sets held against one copy of a bucket's first set; and sets of one tile.
 GROUP, TILE = 4096, 512
 #: Sets, and shingles, of one tile of a block.
@@ -125,38 +126,58 @@ def could_be_similar(n: np.ndarray, maps: np.ndarray, m: np.ndarray, others: np.
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("k1"),
-                       F.xxhash64(F.lit("second"), "text").alias("k2"), F.col("text").alias("text"))
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("k1"), F.xxhash64(F.lit("second"), "text").alias("k2"), F.col("text").alias("text"))
+
+
+def _digest(s: np.ndarray) -> bytes | None:
+    return hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None
+
+
+SCANNED = pa.schema([("doc_id", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("hash", pa.int64()), ("seen", pa.int64())])
+
 
+def scan(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """doc_id, k1, k2 (a key of the text), n, digest (null: empty set) of every row, stored; and hash, n of shingles that recur often.
 
-def hot_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes, and counts, of shingles that recur often. A task counts some millions of shingles at
-    once and passes on those that more than one set holds; so one in more sets than there are such lots is always found."""
+    A task counts some millions of shingles at once and passes on those that more than one set holds; so one in more
+    sets than there are such lots is always found."""
 
-    def counted_once(held: list[np.ndarray]) -> pa.RecordBatch:
+    def recurring(held: list[np.ndarray]) -> pa.RecordBatch:
         flat = np.sort(np.concatenate(held)) if held else np.zeros(0, np.uint64)
         ends = np.flatnonzero(np.append(flat[1:] != flat[:-1], True)) if len(flat) else np.zeros(0, np.int64)
         counts = np.diff(ends, prepend=-1)
         again = counts > 1
-        return pa.RecordBatch.from_arrays([pa.array(flat[ends[again]].view(np.int64)), pa.array(counts[again].astype(np.int64))], names=["hash", "n"])
+        none = [pa.nulls(int(again.sum()), t) for t in SCANNED.types[:5]]
+        return pa.RecordBatch.from_arrays([*none, pa.array(flat[ends[again]].view(np.int64)), pa.array(counts[again].astype(np.int64))], schema=SCANNED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, held, size, seen = WordHash(), [], 0, set()
         for batch in batches:
             for piece in pieces(batch, "text", PIECE):
-                for s in shingle_sets(piece.column("text"), hasher):
-                    digest = hashlib.blake2b(s.tobytes(), digest_size=8).digest()
-                    if digest not in seen:
-                        seen.add(digest)
+                sets = shingle_sets(piece.column("text"), hasher)
+                digests = [_digest(s) for s in sets]
+                none = [pa.nulls(len(sets), pa.int64())] * 2
+                yield pa.RecordBatch.from_arrays([*[piece.column(c) for c in ("doc_id", "k1", "k2")], pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), *none], schema=SCANNED)
+                for s, d in zip(sets, digests, strict=True):
+                    if d is not None and d not in seen:
+                        seen.add(d)
                         held.append(s)
                         size += len(s)
                 if size >= COUNTED_AT_ONCE:
-                    yield counted_once(held)
+                    yield recurring(held)
                     held, size, seen = [], 0, set()
-        yield counted_once(held)
+        yield recurring(held)
+
+    found = stored(in_batches(_keyed(docs), run, "doc_id bigint, k1 bigint, k2 bigint, n bigint, digest binary, hash bigint, seen bigint"), "scanned")
+    counts = found.where("hash IS NOT NULL").groupBy("hash").agg(F.sum("seen").alias("n")).where(F.col("n") >= HOT)
+    rows = found.where("hash IS NULL").select("doc_id", "k1", "k2", "n", "digest")
+    rows.stored_at = found.stored_at
+    return rows, counts
 
-    counted = docs.select("text").mapInArrow(run, "hash bigint, n bigint")
-    top = counted.groupBy("hash").agg(F.sum("n").alias("n")).where(F.col("n") >= HOT).orderBy(F.desc("n"), "hash").limit(MOST_HOT).toArrow()
+
+def hot_shingles(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes, and counts, of the MOST_HOT most frequent shingles."""
+    top = counts.orderBy(F.desc("n"), "hash").limit(MOST_HOT).toArrow()
     keys = top.column("hash").to_numpy().view(np.uint64)
     order = np.argsort(keys)
     return keys[order], top.column("n").to_numpy()[order]
@@ -173,66 +194,76 @@ def prefix_of(hashes: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> np.nd
     return hashes[:take]
 
 
-def make_sets(docs: DataFrame) -> DataFrame:
-    """rid, doc_id, k1, k2 (a key of the text), n, digest, prefix, bits of every row, stored. ``prefix`` and
-    ``bits`` are null but for the first row of a set in its partition; ``digest`` is null for empty sets."""
-    hot = docs.sparkSession.sparkContext.broadcast(hot_shingles(docs))
+def first_sets(docs: DataFrame, hot) -> DataFrame:
+    """rid, digest, k1, k2, n, prefix, bits of one row for each set that is not empty, stored. ``rid`` numbers the sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, seen = WordHash(), set()
         for batch in batches:
             for piece in pieces(batch, "text", PIECE):
                 sets = shingle_sets(piece.column("text"), hasher)
-                digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
-                prefixes, bits = [], []
-                for s, d in zip(sets, digests, strict=True):
-                    first = d is not None and d not in seen
-                    seen.add(d)
-                    prefixes.append(prefix_of(s, *hot.value).tobytes() if first else None)
-                    bits.append(bitmap(s).tobytes() if first else None)
-                sizes = [len(s) for s in sets]
+                fresh, digests = [], []
+                for i, s in enumerate(sets):
+                    d = _digest(s)
+                    if d is not None and d not in seen:
+                        seen.add(d)
+                        fresh.append(i)
+                        digests.append(d)
+                kept = [sets[i] for i in fresh]
+                one = piece.take(pa.array(fresh, pa.int64()))
                 yield pa.RecordBatch.from_arrays(
-                    [*[piece.column(c) for c in ("rid", "doc_id", "k1", "k2")], pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()),
-                     pa.array(prefixes, pa.binary()), pa.array(bits, pa.binary())],
-                    names=["rid", "doc_id", "k1", "k2", "n", "digest", "prefix", "bits"])
+                    [pa.array(digests, pa.binary()), one.column("k1"), one.column("k2"), pa.array([len(s) for s in kept], pa.int64()), pa.array([prefix_of(s, *hot.value).tobytes() for s in kept], pa.binary()),
+                     pa.array([bitmap(s).tobytes() for s in kept], pa.binary())], names=["digest", "k1", "k2", "n", "prefix", "bits"])
 
-    return stored(_keyed(docs).mapInArrow(run, "rid bigint, doc_id bigint, k1 bigint, k2 bigint, n bigint, digest binary, prefix binary, bits binary"), "sets", "none")
+    # A task passes on a set once, so a set that many rows have comes once from each task.
+    rows = in_batches(_keyed(docs).select("k1", "k2", "text"), run, "digest binary, k1 bigint, k2 bigint, n bigint, prefix binary, bits binary")
+    return stored(rows.repartition("digest").dropDuplicates(["digest"]).select(F.monotonically_increasing_id().alias("rid"), "*"), "firsts", "none")
 
 
-def bucket_members(sets: DataFrame) -> DataFrame:
+def bucket_members(sets: DataFrame, hot) -> DataFrame:
     """hash, leader, rid, n, band, near, crowd: each further set of a bucket, with the bucket's first. ``near``: their sizes allow
-    a link; ``crowd``: the bucket may hold more sets than these two. Buckets of one set are gone."""
+    a link; ``crowd``: the bucket may hold more sets than these two. Buckets of one set are gone. A bucket of more than SPLIT sets, by
+    the counts ``hot``, is dealt over parts with a first set each, which are members themselves."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, counts = hot.value
+        large = counts > SPLIT
+        keys, many = keys[large], -(-counts[large] // SPLIT)
         for batch in batches:
-            found = [np.frombuffer(p.as_buffer(), dtype=np.int64) for p in batch.column("prefix")]
+            found = [np.frombuffer(p.as_buffer(), dtype=np.uint64) for p in batch.column("prefix")]
             if found:
-                many = [len(x) for x in found]
-                rid, n = (np.repeat(batch.column(c).to_numpy(zero_copy_only=False), many) for c in ("rid", "n"))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), pa.array(rid), pa.array(n.astype(np.int32))], names=["hash", "rid", "n"])
+                lengths = [len(x) for x in found]
+                rid, n = (np.repeat(batch.column(c).to_numpy(zero_copy_only=False), lengths) for c in ("rid", "n"))
+                flat = np.concatenate(found)
+                parts = np.ones(len(flat), dtype=np.int64)
+                if len(keys):
+                    at = np.minimum(np.searchsorted(keys, flat), len(keys) - 1)
+                    parts = np.where(keys[at] == flat, many[at], 1)
+                part = ((rid.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % parts
+                yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64)), pa.array(np.where(parts > 1, part + 1, 0).astype(np.int32)), pa.array(rid), pa.array(n.astype(np.int32))], names=["hash", "part", "rid", "n"])
 
     def lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, leader, size = None, 0, 0
         for batch in batches:
-            h, r, n = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("hash", "rid", "n"))
+            h, p, r, n = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("hash", "part", "rid", "n"))
             if not len(h):
                 continue
-            starts = np.append(True, h[1:] != h[:-1])
-            starts[0] = last is None or h[0] != last
+            starts = np.append(True, (h[1:] != h[:-1]) | (p[1:] != p[:-1]))
+            starts[0] = last is None or (h[0], p[0]) != last
             first = np.maximum.accumulate(np.where(starts, np.arange(len(h)), -1))
             leaders = np.where(first >= 0, r[np.maximum(first, 0)], leader)
             sizes = np.where(first >= 0, n[np.maximum(first, 0)], size)
             run = np.cumsum(starts)
             length = np.bincount(run)[run]
             # A run at either end of a batch may go on in the next one.
-            crowd = (length > 2) | (run == run[-1]) | (first < 0)
-            last, leader, size = h[-1], leaders[-1], sizes[-1]
-            more = r != leaders
-            near = near_in_size(n.astype(np.int64), sizes.astype(np.int64))
+            crowd = (length > 2) | (run == run[-1]) | (first < 0) | (p > 0)
+            last, leader, size = (h[-1], p[-1]), leaders[-1], sizes[-1]
+            more = (r != leaders) | (p > 0)
+            near = near_in_size(n.astype(np.int64), sizes.astype(np.int64)) & (r != leaders)
             yield pa.RecordBatch.from_arrays([pa.array(x[more]) for x in (h, leaders, r, n, band(n).astype(np.int32), near, crowd)], names=["hash", "leader", "rid", "n", "band", "near", "crowd"])
 
-    postings = sets.where("prefix IS NOT NULL").select("rid", "n", "prefix").mapInArrow(emit, "hash bigint, rid bigint, n int")
-    sorted_ = postings.repartition("hash").sortWithinPartitions("hash", "rid")
+    postings = sets.select("rid", "n", "prefix").mapInArrow(emit, "hash bigint, part int, rid bigint, n int")
+    sorted_ = postings.repartition("hash", "part").sortWithinPartitions("hash", "part", "rid")
     return stored(sorted_.mapInArrow(lead, "hash bigint, leader bigint, rid bigint, n int, band int, near boolean, crowd boolean"), "members")
 
 
@@ -257,17 +288,16 @@ def with_hashes(wanted: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFram
             for piece in pieces(batch.take(pa.array(fresh, pa.int64())), "text", PIECE):
                 yield pa.RecordBatch.from_arrays([piece.column("rid"), pa.array([s.tobytes() for s in shingle_sets(piece.column("text"), hasher)], pa.binary())], names=["rid", "hashes"])
 
-    rids = wanted.select("rid").distinct()
-    keys = stored(sets.where("bits IS NOT NULL").select("rid", "k1", "k2").join(_small(rids), "rid"), "keys")
+    keys = stored(sets.select("rid", "k1", "k2").join(_small(wanted.select("rid").distinct()), "rid"), "keys")
     texts = _keyed(docs).select("k1", "k2", "text").join(_small(keys), ["k1", "k2"]).select("rid", "text")
-    return texts.mapInArrow(run, "rid bigint, hashes binary").join(_small(wanted), "rid")
+    return in_batches(texts, run, "rid bigint, hashes binary").join(_small(wanted), "rid")
 
 
 def _grouped(pairs: DataFrame) -> DataFrame:
     """rid, leader, grp, place of ``pairs`` (leader, rid): place 1, and each leader itself at place 0 of each
     of its groups of about GROUP partners."""
     counts = pairs.groupBy("leader").agg(F.ceil(F.count("*") / F.lit(float(GROUP))).cast("int").alias("groups"))
-    dealt = pairs.join(counts, "leader").select("rid", "leader", F.pmod(F.xxhash64("rid"), F.col("groups")).cast("int").alias("grp"), F.lit(1).alias("place"))
+    dealt = join_sums(pairs, counts, ["leader"]).select("rid", "leader", F.pmod(F.xxhash64("rid"), F.col("groups")).cast("int").alias("grp"), F.lit(1).alias("place"))
     heads = counts.select(F.col("leader").alias("rid"), "leader", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("grp"), F.lit(0).alias("place"))
     return stored(dealt.unionAll(heads), "wanted")
 
@@ -300,9 +330,12 @@ def bounded(head: np.ndarray, size: int, own: np.ndarray, n: int) -> bool:
 
 
 def let_through(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The ``pairs`` (leader, rid) that sizes and bitmaps let through, stored."""
-    signed = sets.where("bits IS NOT NULL").select("rid", "n", "bits").join(_small(_grouped(pairs)), "rid")
-    return stored(_held_against_leaders(signed, "bits", bounded), "pairs")
+    """a, b: the ``pairs`` (leader, rid) that sizes and bitmaps let through, stored."""
+    grouped = _grouped(pairs)
+    signed = sets.select("rid", "n", "bits").join(_small(grouped), "rid")
+    out = stored(_held_against_leaders(signed, "bits", bounded).withColumnsRenamed({"leader": "a", "rid": "b"}), "pairs")
+    delete_stored(grouped)
+    return out
 
 
 def tiled_pairs(members: DataFrame, sets: DataFrame, roots: DataFrame) -> DataFrame:
@@ -313,17 +346,18 @@ def tiled_pairs(members: DataFrame, sets: DataFrame, roots: DataFrame) -> DataFr
     placed = members.where("crowd").select("hash", "rid", "n", "band").join(known, "rid", "left").select("hash", "rid", "n", "band", F.coalesce("root", "rid").alias("root"))
     mark = [F.bit_xor(F.xxhash64(F.lit(seed), "rid")).alias(f"x{seed}") for seed in (1, 2)]
     open_ = placed.groupBy("hash").agg(F.count("*").alias("sets"), F.min("root").alias("low"), F.max("root").alias("high"), *mark).where("low < high")
-    unlike = open_.groupBy("sets", "x1", "x2").agg(F.min("hash").alias("hash")).select("hash")
-    sized = stored(placed.join(_small(stored(unlike, "buckets")), "hash"), "open")
+    unlike = stored(open_.groupBy("sets", "x1", "x2").agg(F.min("hash").alias("hash")).select("hash"), "buckets")
+    sized = stored(placed.join(_small(unlike), "hash"), "open")
     # A set stays where its own or a neighbouring band of the bucket holds another block.
     near = sized.groupBy("hash", "band").agg(F.min("root").alias("low"), F.max("root").alias("high"))
     around = near.select("hash", "low", "high", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"))
     mixed = around.groupBy("hash", "band").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low < high").select("hash", "band")
-    banded = stored(sized.join(mixed, ["hash", "band"]), "banded")
-    tiles = banded.groupBy("hash", "band").agg(F.ceil(F.count("*") / F.lit(float(TILE))).cast("int").alias("tiles"))
-    upper = tiles.select("hash", (F.col("band") - 1).alias("band"), F.col("tiles").alias("up"))
-    lower = tiles.select("hash", (F.col("band") + 1).alias("band"), F.col("tiles").alias("down"))
-    dealt = banded.join(tiles, ["hash", "band"]).join(upper, ["hash", "band"], "left").join(lower, ["hash", "band"], "left")
+    banded = stored(join_sums(sized, mixed, ["hash", "band"]), "banded")
+    delete_stored(sized)
+    counted = banded.groupBy("hash", "band").agg(F.ceil(F.count("*") / F.lit(float(TILE))).cast("int").alias("tiles"))
+    bands = Window.partitionBy("hash").orderBy("band")
+    beside = lambda f, step: F.when(f("band").over(bands) == F.col("band") + step, f("tiles").over(bands))
+    dealt = join_sums(banded, counted.select("hash", "band", "tiles", beside(F.lead, 1).alias("up"), beside(F.lag, -1).alias("down")), ["hash", "band"])
     dealt = dealt.withColumn("t", F.pmod(F.xxhash64("rid"), F.col("tiles")).cast("int"))
     # A tile meets itself, the later tiles of its band, and the tiles of the next band.
     numbers = lambda to: F.sequence(F.lit(0), to - 1)
@@ -332,7 +366,7 @@ def tiled_pairs(members: DataFrame, sets: DataFrame, roots: DataFrame) -> DataFr
     under = F.when(F.col("down").isNotNull(), F.transform(numbers(F.col("down")), lambda o: F.struct((F.col("band") - 1).alias("low"), F.lit(1).alias("step"), o.alias("x"), F.col("t").alias("y"), F.lit(1).alias("side"))))
     empty = F.array().cast("array<struct<low:int,step:int,x:int,y:int,side:int>>")
     spread = dealt.select("hash", "rid", "root", "n", F.explode(F.concat(own, F.coalesce(over, empty), F.coalesce(under, empty))).alias("p")).select("hash", "rid", "root", "n", "p.*")
-    rows = sets.where("bits IS NOT NULL").select("rid", "bits").join(_small(stored(spread, "spread")), "rid").repartition("hash", "low", "step", "x", "y").sortWithinPartitions("hash", "low", "step", "x", "y", "side", "rid")
+    rows = sets.select("rid", "bits").join(_small(stored(spread, "spread")), "rid").repartition("hash", "low", "step", "x", "y").sortWithinPartitions("hash", "low", "step", "x", "y", "side", "rid")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held = None, []
@@ -405,9 +439,9 @@ def block_links(blocks: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFram
     """a, b, links, copies, stored. Where a = b: how many sets it is linked to in one meeting of tiles, and how many rows those have; else a
     link of a forest that spans the links. Blocks (node, root) too large for one task are cut into tiles that meet in pairs, each pair in its own task."""
     inside = blocks.select(F.col("node").alias("rid"), F.col("root").alias("block")).unionAll(blocks.select(F.col("root").alias("rid"), F.col("root").alias("block")).distinct())
-    sized = stored(sets.where("bits IS NOT NULL").select("rid", "n", "copies").join(_small(stored(inside, "inside")), "rid"), "blocks")
+    sized = stored(sets.select("rid", "n", "copies").join(_small(stored(inside, "inside")), "rid"), "blocks")
     tiles = sized.groupBy("block").agg(F.greatest(F.ceil(F.count("*") / F.lit(float(BLOCK_SETS))), F.ceil(F.sum("n") / F.lit(float(BLOCK_SHINGLES)))).cast("int").alias("tiles"))
-    dealt = sized.join(tiles, "block").withColumn("t", F.pmod(F.xxhash64("rid"), F.col("tiles")).cast("int"))
+    dealt = join_sums(sized, tiles, ["block"]).withColumn("t", F.pmod(F.xxhash64("rid"), F.col("tiles")).cast("int"))
     meets = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda o: F.struct(F.least(F.col("t"), o).alias("x"), F.greatest(F.col("t"), o).alias("y"), (F.col("t") > o).cast("int").alias("side")))
     wanted = stored(dealt.select("rid", "block", "copies", F.explode(meets).alias("p")).select("rid", "block", "copies", "p.*"), "wanted")
 
@@ -471,23 +505,40 @@ def meeting_links(key: tuple | None, held: list[tuple]) -> pa.RecordBatch:
 
 
 def classify(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The sets of ``docs`` (doc_id, text), and for each digest: cid, root (of its component), component_id, links, linked_rows."""
-    sets = make_sets(docs)
-    narrow = sets.where("digest IS NOT NULL").select("rid", "doc_id", "digest")
-    classes = stored(narrow.groupBy("digest").agg(F.min("rid").alias("cid"), F.min("doc_id").alias("least"), F.count("*").alias("copies")), "classes")
-    # One row stands for all that have its set.
-    firsts = stored(sets.where("bits IS NOT NULL").join(classes.select(F.col("cid").alias("rid"), "copies"), "rid").select("rid", "k1", "k2", "n", "prefix", "bits", "copies"), "firsts", "none")
-    members = bucket_members(firsts)
-    met = stored(let_through(members.where("near").select("leader", "rid").distinct(), firsts).select(F.col("leader").alias("a"), F.col("rid").alias("b")), "met")
-    blocks = components(met.unionAll(stored(tiled_pairs(members, firsts, components(met)), "tiled")))
+    """doc_id, k1, k2, n, digest of the rows of ``docs`` (doc_id, text), and for each digest: cid, root (of its component), component_id, links,
+    linked_rows. Tables are deleted as soon as they are of no more use."""
+    spark = docs.sparkSession
+    rows, counts = scan(docs)
+    hot = spark.sparkContext.broadcast(hot_shingles(counts))
+    wide = first_sets(docs, hot)
+    of_digest = rows.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"))
+    classes = stored(of_digest.join(wide.select("digest", F.col("rid").alias("cid")), "digest"), "classes")
+    free_shuffles(spark)
+    members = bucket_members(wide, hot)
+    firsts = stored(wide.select("rid", "k1", "k2", "n", "bits").join(classes.select(F.col("cid").alias("rid"), "copies"), "rid"), "firsts")
+    delete_stored(wide)
+    free_shuffles(spark)
+    near = stored(members.where("near").select("leader", "rid").distinct(), "near")
+    met = let_through(near, firsts)
+    roots = components(met)
+    tiled = stored(tiled_pairs(members, firsts, roots), "tiled")
+    blocks = components(met.unionAll(tiled))
+    for table_ in (near, members, met, tiled, roots):
+        delete_stored(table_)
+    free_shuffles(spark)
     links = block_links(blocks, firsts, docs)
+    delete_stored(blocks)
     final = components(links.select("a", "b"))
     placed = classes.join(final.withColumnsRenamed({"node": "cid"}), "cid", "left").select("digest", "least", "cid", "copies", F.coalesce("root", "cid").alias("root"))
     lowest = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     degrees = links.where("a = b").groupBy(F.col("a").alias("cid")).agg(F.sum("links").alias("links"), F.sum("copies").alias("linked"))
-    found = placed.join(lowest, "root").join(degrees, "cid", "left").select(
+    found = join_sums(placed, lowest, ["root"]).join(degrees, "cid", "left").select(
         "digest", "cid", "root", "component_id", F.coalesce("links", F.lit(0)).alias("links"), (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("linked_rows"))
-    return sets, stored(found, "classes")
+    out = stored(found, "of_class")
+    for table_ in (classes, final, links, firsts):
+        delete_stored(table_)
+    free_shuffles(spark)
+    return rows, out
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -511,7 +562,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     name = F.struct("none", "doc_id", "k1", "k2").alias("name")
     counted = stored(rows.groupBy("root", name).agg(F.count("*").alias("n")), "names")
     best = counted.groupBy("root").agg(F.min("name").alias("best"))
-    judged = counted.join(best, "root").withColumn("stays", F.col("name") == F.col("best"))
+    judged = join_sums(counted, best, ["root"]).withColumn("stays", F.col("name") == F.col("best"))
     # Every other row of a group goes; of rows that share the best name, one is taken.
     marked = stored(judged.where("NOT stays OR n > 1").select(F.col("name.k1").alias("__k1"), F.col("name.k2").alias("__k2"), F.coalesce(F.col("name.doc_id").cast("string"), F.lit("null")).alias("__id"), F.col("stays").alias("__stays")), "marked")
     key = ["__k1", "__k2", "__id"]
