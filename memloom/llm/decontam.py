@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memloom.llm.textio import ragged, pieces, plain, table, words
+from memloom.llm.textio import in_batches, pieces, plain, ragged, table, words
 
 #: Edits a near copy may have, as a share of the item's words.
 MOST_EDITS = 0.2
@@ -228,7 +228,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, share: float = MOST_EDITS, bloc
     nothing; items under LEAST_WORDS words, or null, are not looked for; equal items are found each.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    found = [docs.select("doc_id", "text").mapInArrow(_searcher(shared), f"doc_id {kind}, item_id bigint, edits int, item_words int, end_word bigint")
+    found = [in_batches(docs.select("doc_id", "text"), _searcher(shared), f"doc_id {kind}, item_id bigint, edits int, item_words int, end_word bigint")
              for shared in _blocks(docs.sparkSession, benchmark, share, block_items, block_chars)]
     out = found[0]
     for more in found[1:]:
@@ -252,7 +252,7 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, share: float = MOST_EDI
     text = names[[c.lower() for c in docs.columns].index("text")] if "text" not in docs.columns else names[docs.columns.index("text")]
     rows = docs.toDF(*names)
     for shared in _blocks(docs.sparkSession, benchmark, share, block_items, block_chars):
-        rows = rows.mapInArrow(_cleaner(shared, text), rows.schema)
+        rows = in_batches(rows, _cleaner(shared, text), rows.schema)
     return rows.toDF(*docs.columns)
 
 

@@ -16,7 +16,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from memloom.llm.textio import pieces, table
+from memloom.llm.textio import in_batches, pieces, table
 
 # Element names by their role in HTML.
 BLOCK = frozenset("""address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6
@@ -214,7 +214,7 @@ def extract(pages: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [piece.column("page_id"), piece.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    return pages.select("page_id", "url", "html").mapInArrow(run, f"{kinds}, text string, n_chars bigint")
+    return in_batches(pages.select("page_id", "url", "html"), run, f"{kinds}, text string, n_chars bigint")
 
 
 def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

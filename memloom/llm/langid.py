@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memloom.llm.textio import crc_mod, pieces, plain, row_sums, table, words
+from memloom.llm.textio import crc_mod, in_batches, pieces, plain, row_sums, table, words
 
 ORDER = 4
 #: The model is fitted on a bounded sample: about so many characters a language.
@@ -226,7 +226,7 @@ def identify(docs: DataFrame, identifier: Identifier, keep: list[str]) -> DataFr
                     names=[*kept, "__lang", "__score", "__entropy", "__rejected"])
 
     types = [f"`{k}` {chosen.schema[k].dataType.simpleString()}" for k in kept]
-    out = chosen.mapInArrow(run, ", ".join([*types, "__lang string, __score double, __entropy double, __rejected boolean"]))
+    out = in_batches(chosen, run, ", ".join([*types, "__lang string, __score double, __entropy double, __rejected boolean"]))
     return out.toDF(*keep, "lang_pred", "score", "entropy", "rejected")
 
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memloom.llm.textio import pieces, stored, table
+from memloom.llm.textio import in_batches, pieces, stored, table
 
 # Fixed values of the format: kbit/s by (MPEG-1?, layer) and Hz by version bits.
 BITRATES = {
@@ -240,7 +240,7 @@ def with_media(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(media, pa.binary())], names=["doc_id", "media"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return stored(docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, media binary"), "media")
+    return stored(in_batches(docs.select("doc_id", "text"), run, f"doc_id {kind}, media binary"), "media")
 
 
 FOUND = """frames bigint, samples bigint, rate int, seconds double, skipped bigint, checked bigint, damaged bigint,
@@ -269,7 +269,7 @@ def media_features(media: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([piece.column("doc_id"), *[pa.array(c, t) for c, t in zip(rows, types, strict=True)]], names=["doc_id", *names])
 
     kind = media.schema["doc_id"].dataType.simpleString()
-    return media.select("doc_id", "media").mapInArrow(run, f"doc_id {kind}, {FOUND}")
+    return in_batches(media.select("doc_id", "media"), run, f"doc_id {kind}, {FOUND}")
 
 
 def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:

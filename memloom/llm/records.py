@@ -22,8 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memloom.llm.subwords import default_path, encoder
-from memloom.llm.textio import pieces, plain, shared_path, table
+from memloom.llm.subwords import WordEncoder, default_path, encoder
+from memloom.llm.textio import in_batches, pieces, plain, release, shared_path, table
 
 # Fixed values of the masking used by length-delimited record files.
 MASK_ROTATE, MASK_ADD = 15, 0xA282EAD8
@@ -33,9 +33,13 @@ END_ID = 2
 SHARD_CHARS = 16 << 20
 #: Text bytes encoded at once.
 ENCODE_BYTES = 2 << 20
+#: Files are cut by a sample of so many rows each, of no more rows in all, and there are no more files: beyond that
+#: (3 TB of text) files grow, and neither the driver nor a broadcast holds more than these.
+SAMPLES_A_FILE, SAMPLE_ROWS, MOST_FILES = 200, 1_000_000, 200_000
+PLACE = np.dtype([("some", "?"), ("key", "<i8"), ("hash", "<i8")])
 
 
-def masked_crc(data: bytes) -> int:
+def masked_crc(data: bytes | memoryview) -> int:
     crc = zlib.crc32(data)
     return (((crc >> MASK_ROTATE) | (crc << (32 - MASK_ROTATE))) + MASK_ADD) & 0xFFFFFFFF
 
@@ -46,7 +50,7 @@ def frame(key: int | None, ids: np.ndarray, wide: bool) -> bytes:
     return length + TAIL.pack(masked_crc(length)) + payload + TAIL.pack(masked_crc(payload))
 
 
-def read_frame(data: bytes, at: int) -> tuple[int | None, np.ndarray, int]:
+def read_frame(data: bytes | memoryview, at: int) -> tuple[int | None, np.ndarray, int]:
     """Key, ids and the place after the record; ValueError where bytes are damaged."""
     if at + HEAD.size > len(data):
         raise ValueError(f"record cut short at byte {at}")
@@ -63,56 +67,78 @@ def read_frame(data: bytes, at: int) -> tuple[int | None, np.ndarray, int]:
     return None if flags & 1 else key, np.frombuffer(payload, "<u4" if flags & 2 else "<u2", offset=KEY.size), end + 5
 
 
-def _bounds(keyed: DataFrame, most_chars: int) -> list[tuple]:
-    """Ordered (key, hash) bounds that cut the rows into ranges of about equal text."""
+def _bounds(keyed: DataFrame, most_chars: int) -> np.ndarray:
+    """Ordered (key, hash) bounds that cut the rows into ranges of about equal text, at most MOST_FILES ranges.
+
+    They are quantiles of a hash-drawn sample of SAMPLE_ROWS rows or fewer, whatever the size of the table."""
     total, n = keyed.agg(F.sum("chars"), F.count("*")).first()
-    files = max(1, -(-int(total or 0) // most_chars))
+    files = min(MOST_FILES, max(1, -(-int(total or 0) // most_chars)))
     if files == 1 or not n:
-        return []
-    every = max(1, n // (200 * files))
-    sample = keyed.where(F.pmod(F.xxhash64("key", "hash"), F.lit(every)) == 0).select("key", "hash", "chars").collect()
-    sample.sort(key=lambda r: (r.key is not None, r.key or 0, r.hash))
-    sums = np.cumsum([r.chars + 1 for r in sample]) if sample else np.zeros(0)
-    cuts = [int(np.searchsorted(sums, sums[-1] * k / files)) for k in range(1, files)] if len(sums) else []
-    return [(sample[c].key is not None, sample[c].key or 0, sample[c].hash) for c in dict.fromkeys(cuts)]
+        return np.zeros(0, dtype=PLACE)
+    every = max(1, n // min(SAMPLE_ROWS, SAMPLES_A_FILE * files))
+    sample = keyed.where(F.pmod(F.xxhash64("key", "hash"), F.lit(every)) == 0).select("key", "hash", "chars").toArrow()
+    at = _places(sample.column("key"), sample.column("hash"))
+    order = np.argsort(at, order=("some", "key", "hash"))
+    sums = np.cumsum(sample.column("chars").to_numpy()[order] + 1)
+    if not len(sums):
+        return np.zeros(0, dtype=PLACE)
+    cuts = np.searchsorted(sums, sums[-1] * np.arange(1, files) / files)
+    return np.unique(at[order][cuts])
+
+
+def _places(keys: pa.Array | pa.ChunkedArray, hashes: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    at = np.zeros(len(keys), dtype=PLACE)
+    at["some"] = np.asarray(keys.is_valid())
+    at["key"] = keys.fill_null(0).to_numpy()
+    at["hash"] = hashes.to_numpy()
+    return at
+
+
+def _framed(piece: pa.RecordBatch, coder: WordEncoder, end_id: int, wide: bool) -> pa.Array:
+    ids, ends = coder.encode(plain(piece.column("text")))
+    owners = piece.column("doc_id").to_pylist()
+    return pa.array([frame(owners[i], np.append(ids[ends[i] : ends[i + 1]], end_id), wide) for i in range(piece.num_rows)], pa.binary())
 
 
 def write_records(docs: DataFrame, path: str, order: Column | None = None, tokenizer: str | None = None,
-                  end_id: int = END_ID, shard_chars: int = SHARD_CHARS) -> None:
+                  end_id: int = END_ID, shard_chars: int = SHARD_CHARS, as_stored: bool = False) -> None:
     """Encode ``docs`` (doc_id, text) and write one record a row, in ascending ``order``.
 
-    ``order``: a bigint, doc_id by default; nulls come first, ties by text hash and bytes.
+    ``order``: a bigint, doc_id by default; nulls come first, ties by text hash and bytes. ``as_stored``: in the order
+    in which the rows lie, a file for each part of the input, without a shuffle; for rows that are in their order already.
     Null and empty texts become the end id alone; repeated rows are written each time;
     an empty table writes files without records.
     """
     tokenizer = tokenizer or default_path()
-    key = (F.col("doc_id") if order is None else order).cast("bigint")
-    rows = docs.select(key.alias("key"), F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("hash"), F.col("text").alias("text"))
-    bounds = _bounds(rows.select("key", "hash", F.coalesce(F.length("text"), F.lit(0)).alias("chars")), shard_chars)
+    doc_id, text = F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").alias("text")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(tokenizer)
         wide = max(coder.vocabulary, end_id) > 1 << 16
-        cuts = np.array([(b[0], b[1], b[2]) for b in bounds], dtype=[("some", "?"), ("key", "<i8"), ("hash", "<i8")])
         for batch in batches:
             for piece in pieces(batch, "text", ENCODE_BYTES):
-                ids, ends = coder.encode(plain(piece.column("text")))
-                keys, hashes = piece.column("key"), piece.column("hash")
-                at = np.zeros(piece.num_rows, dtype=[("some", "?"), ("key", "<i8"), ("hash", "<i8")])
-                at["some"] = np.asarray(keys.is_valid())
-                at["key"] = keys.fill_null(0).to_numpy(zero_copy_only=False)
-                at["hash"] = hashes.to_numpy(zero_copy_only=False)
-                owners = piece.column("doc_id").to_pylist()
-                frames = [frame(owners[i], np.append(ids[ends[i] : ends[i + 1]], end_id), wide) for i in range(piece.num_rows)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.searchsorted(cuts, at).astype(np.int32) if len(cuts) else np.zeros(len(at), np.int32)), keys, hashes, pa.array(frames, pa.binary())],
-                    names=["shard", "key", "hash", "frame"],
-                )
-            pa.default_memory_pool().release_unused()
-
-    framed = rows.mapInArrow(encode, "shard int, key bigint, hash bigint, frame binary")
-    (framed.repartitionById(len(bounds) + 1, F.col("shard")).sortWithinPartitions(F.col("key").asc_nulls_first(), "hash", "frame")
-        .select(F.col("frame").cast("string").alias("value")).write.option("compression", "none").text(path))
+                yield pa.RecordBatch.from_arrays([_framed(piece, coder, end_id, wide)], names=["frame"])
+
+    if as_stored:
+        ordered = in_batches(docs.select(doc_id, text), encode, "frame binary")
+    else:
+        key = (F.col("doc_id") if order is None else order).cast("bigint")
+        rows = docs.select(key.alias("key"), doc_id, F.xxhash64("text").alias("hash"), text)
+        bounds = _bounds(rows.select("key", "hash", F.coalesce(F.length("text"), F.lit(0)).alias("chars")), shard_chars)
+        shared = docs.sparkSession.sparkContext.broadcast(bounds)
+
+        def encode_keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            coder, cuts = encoder(tokenizer), shared.value
+            wide = max(coder.vocabulary, end_id) > 1 << 16
+            for batch in batches:
+                for piece in pieces(batch, "text", ENCODE_BYTES):
+                    keys, hashes = piece.column("key"), piece.column("hash")
+                    shard = np.searchsorted(cuts, _places(keys, hashes)) if len(cuts) else np.zeros(piece.num_rows)
+                    yield pa.RecordBatch.from_arrays([pa.array(shard.astype(np.int32)), keys, hashes, _framed(piece, coder, end_id, wide)], names=["shard", "key", "hash", "frame"])
+
+        framed = in_batches(rows, encode_keyed, "shard int, key bigint, hash bigint, frame binary")
+        ordered = framed.repartitionById(len(bounds) + 1, F.col("shard")).sortWithinPartitions(F.col("key").asc_nulls_first(), "hash", "frame")
+    ordered.select(F.col("frame").cast("string").alias("value")).write.option("compression", "none").text(path)
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
@@ -125,14 +151,16 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for file, content in zip(batch.column("file"), batch.column("content"), strict=True):
-                data, at, rows, before = content.as_py(), 0, [], 0
+                data, at, rows, before = memoryview(content.as_buffer()), 0, [], 0
                 shard = int(file.as_py().rsplit("part-", 1)[1].split("-")[0])
                 while at < len(data):
                     doc_id, ids, after = read_frame(data, at)
                     rows.append((shard, len(rows), at, after - at, doc_id, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), before))
                     before, at = before + len(ids), after
                 columns = list(zip(*rows, strict=True)) or [[]] * 8
+                del data
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, INDEX_TYPES, strict=True)], names=INDEX_NAMES)
+            release()
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
     return files.select(F.col("path").alias("file"), "content").mapInArrow(scan, INDEX_SCHEMA)
@@ -145,7 +173,8 @@ INDEX_SCHEMA = "shard int, record bigint, offset bigint, size bigint, doc_id big
 
 def indexed(spark: SparkSession, path: str) -> DataFrame:
     """The offset index of ``path``, written beside it as Parquet and read back, with
-    ``start``: ids of all records before it. One number a file goes to the driver."""
+    ``start``: ids of all records before it. One number a file, of MOST_FILES files at most unless
+    rows were written as stored, goes to the driver and is joined to the index."""
     index = f"{path}.index"
     read_index(spark, path).write.parquet(index)
     rows = spark.read.schema(INDEX_SCHEMA).parquet(index)
@@ -155,7 +184,7 @@ def indexed(spark: SparkSession, path: str) -> DataFrame:
         starts.append((r.shard, seen))
         seen += r.n
     first = spark.createDataFrame(starts, "shard int, first bigint")
-    return rows.join(F.broadcast(first), "shard").withColumn("start", F.col("first") + F.col("before")).drop("first")
+    return rows.join(F.broadcast(first) if len(starts) <= MOST_FILES else first, "shard").withColumn("start", F.col("first") + F.col("before")).drop("first")
 
 
 def fetch(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
@@ -177,11 +206,11 @@ def fetch(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
     return files.select(shard.alias("shard"), "content").join(places, "shard").select("content", "places").mapInArrow(seek, "doc_id bigint, ids array<bigint>")
 
 
-def token_records(docs: DataFrame, order: Column | None = None, tokenizer: str | None = None, path: str | None = None) -> DataFrame:
+def token_records(docs: DataFrame, order: Column | None = None, tokenizer: str | None = None, path: str | None = None, as_stored: bool = False) -> DataFrame:
     """Write ``docs`` as records and return what is read back: doc_id, start, n_tokens, ids_crc32, shard, offset, size."""
     spark = docs.sparkSession
     path = path or shared_path(spark, "records")
-    write_records(docs, path, order, tokenizer)
+    write_records(docs, path, order, tokenizer, as_stored=as_stored)
     return indexed(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32", "shard", "offset", "size")
 
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memloom.llm.textio import crc_mod, pieces, plain, table, words
+from memloom.llm.textio import crc_mod, in_batches, pieces, plain, table, words
 
 BUCKETS = 1 << 20
 #: The machine is fitted on a bounded sample: about so many rows of each label.
@@ -134,7 +134,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> F
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([data[ends[i] : ends[i + 1]].tobytes() for i in range(piece.num_rows)], pa.binary()), piece.column("label")], names=["terms", "label"])
 
-    sample = rows.mapInArrow(sets, "terms binary, label int").collect()
+    sample = in_batches(rows, sets, "terms binary, label int").collect()
     sample.sort(key=lambda r: (r.label, r.terms))
     machine = FactorizationMachine.fit([np.frombuffer(r.terms, "<u4") for r in sample], np.array([r.label for r in sample], dtype=np.float64))
     # The sample holds labels at its own shares; the bias goes back to those of all labelled rows.
@@ -154,7 +154,7 @@ def score(docs: DataFrame, machine: FactorizationMachine) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(shared.value.score(plain(piece.column("text"))))], names=["doc_id", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double")
+    return in_batches(docs.select("doc_id", "text"), run, f"doc_id {kind}, score double")
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
