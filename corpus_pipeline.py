@@ -14,29 +14,38 @@ from memloom.llm.textio import crc_mod, shared_path, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that the identifier rejects; a null lang is filled in with the one predicted."""
+    """Drops documents that the identifier rejects; a null lang is filled in with the one predicted.
+
+    Null texts and texts without a letter are rejected; of repeated rows each stays or goes with its text.
+    Rows with a null doc_id or lang teach nothing; with nothing learned, all rows are rejected."""
     identifier = langid.fit(docs.where(crc_mod(F.col("doc_id"), 5) != 0))
     return langid.accepted(docs, identifier)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document, that of the least doc_id, of each group linked by shingle similarity."""
+    """Keeps one document, that of the least doc_id, of each group linked by shingle similarity. Rows
+    whose text is null or has no word are in no group and all stay."""
     return jaccard.keep_one(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a near copy of a benchmark item."""
+    """Drops documents that hold a near copy of a benchmark item. Null and empty texts hold none and
+    stay, as do all rows where the benchmark is empty; repeated rows stay or go together."""
     return decontam.without_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats documents to their sources' target rates and shuffles them globally."""
+    """Repeats documents to their sources' target rates and shuffles them globally. A null source is one of
+    its own; rows that share a doc_id (null too) are repeated equally often."""
     return mixing.mix(docs).select(*docs.columns)
 
 
 def token_records(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Writes token records, copies apart from each other, and returns their index."""
-    return records.token_records(docs, order=F.xxhash64("doc_id", F.monotonically_increasing_id()))
+    """Writes token records and returns their index. The stage before has shuffled the rows
+    globally and its files hold them in that order, so they are written as they lie.
+
+    Null and empty texts become the end id alone; repeated rows are written each."""
+    return records.token_records(docs, as_stored=True)
 
 
 STAGES = [
