@@ -21,6 +21,8 @@ from memloom.llm.textio import crc_mod, in_batches, pieces, plain, table, words
 BUCKETS = 1 << 20
 #: The machine is fitted on a bounded sample: about so many rows of each label.
 SAMPLE_ROWS = 6000
+#: And of about so many characters in all.
+SAMPLE_CHARS = 64 << 20
 #: Hashed terms it has weights for: those most telling of the label in the sample.
 TERMS = 2048
 #: They are in so many sample rows, and so many standard deviations from the mean share of the label.
@@ -114,7 +116,7 @@ class FactorizationMachine:
 
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> FactorizationMachine:
     """Fit on a hash-drawn sample of the labelled rows of ``docs`` (doc_id, text): about
-    ``sample_rows`` of each label. Rows without a label or doc_id teach nothing."""
+    ``sample_rows`` of each label, of SAMPLE_CHARS characters in all. Rows without a label or doc_id teach nothing."""
     marked = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("label"))
     sizes = {r.label: r.n for r in marked.groupBy("label").agg(F.count("*").alias("n")).collect()}
     draw = F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(1 << 30)) / F.lit(float(1 << 30))
@@ -124,6 +126,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> F
     # At most about two times sample_rows pairs of two numbers, so they may be broadcast.
     drawn = F.broadcast(marked.where(draw < rate))
     rows = docs.select("doc_id", "text").join(drawn, "doc_id").select("text", "label")
+    chars = rows.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+    thin = min(1.0, SAMPLE_CHARS / max(chars, 1))
+    if thin < 1:  # long texts, or many rows of one doc_id: fewer of both labels
+        rows = rows.where(F.pmod(F.xxhash64("text", F.lit(3)), F.lit(1 << 30)) < thin * (1 << 30))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
