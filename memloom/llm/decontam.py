@@ -28,7 +28,7 @@ from memloom.llm.textio import in_batches, pieces, plain, ragged, table, words
 
 #: Edits a near copy may have, as a share of the item's words.
 MOST_EDITS = 0.2
-#: Items of fewer words are not looked for: they say too little to tell a leak from chance.
+#: Documents are not dropped for items of fewer words: those say too little to tell a leak from chance.
 LEAST_WORDS = 5
 GRAM = 3
 #: Places sampled for one key, and the share of near copies at the edit limit to be met.
@@ -77,14 +77,14 @@ def edits_within(item: list[int], text: list[int]) -> tuple[int, int]:
 class Items:
     """One block of items, ready to be searched for."""
 
-    def __init__(self, rows: list[tuple[int, str]], share: float = MOST_EDITS, places: int = PLACES, recall: float = RECALL, seed: int = 11):
+    def __init__(self, rows: list[tuple[int, str]], share: float = MOST_EDITS, places: int = PLACES, recall: float = RECALL, seed: int = 11, least_words: int = 1):
         self.share, self.places, self.reps = share, places, repetitions(places, recall)
         self.vocabulary: dict[str, int] = {}
         self.ids: list[int] = []
         self.words: list[list[int]] = []
         for item_id, text in rows:
             kept = [b for b in map(bare, (text or "").split()) if b]
-            if len(kept) >= LEAST_WORDS:
+            if len(kept) >= max(1, least_words):
                 self.ids.append(item_id)
                 self.words.append([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in kept])
         self.base = len(self.vocabulary) + 1
@@ -96,7 +96,7 @@ class Items:
             for o in range(len(x) - q + 1):
                 grams[self._key(x[o : o + q])].add((o, len(x)))
         self.sizes = sorted({self.gram_of(len(x)) for x in self.words})
-        self.grams = np.array(sorted(grams), dtype=np.int64)
+        self.grams = np.array(sorted(grams), dtype=np.uint64)
         spots = [sorted(grams[g]) for g in self.grams.tolist()]
         self.spot_ends = np.concatenate([[0], np.cumsum([len(s) for s in spots])]).astype(np.int64)
         self.spots = np.array([p for s in spots for p in s], dtype=np.int64).reshape(-1, 2)
@@ -119,8 +119,8 @@ class Items:
     def _key(self, gram: list[int]) -> int:
         key = 0
         for w in gram:
-            key = key * self.base + w
-        return key
+            key = ((key ^ w) * 0x9E3779B97F4A7C15 & (1 << 64) - 1) + 1
+        return key & (1 << 64) - 1
 
     def keys(self, windows: np.ndarray, n: int) -> np.ndarray:
         """Keys of ``windows`` (one of n words a row) in each repetition: walks of 3n steps."""
@@ -153,9 +153,9 @@ class Items:
                 ok &= ids[k : len(ids) - q + 1 + k] > 0
             ok &= owner[: len(ids) - q + 1] == owner[q - 1 :]
             at = np.flatnonzero(ok)
-            key = np.zeros(len(at), dtype=np.int64)
+            key = np.zeros(len(at), dtype=np.uint64)
             for k in range(q):
-                key = key * self.base + ids[at + k]
+                key = (key ^ ids[at + k].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1)
             place = np.minimum(np.searchsorted(self.grams, key), len(self.grams) - 1)
             hit = self.grams[place] == key
             at, place = at[hit], place[hit]
@@ -221,37 +221,40 @@ def _merged(starts: list[int], n: int, k: int) -> Iterator[tuple[int, int]]:
     yield first, last
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, share: float = MOST_EDITS, block_items: int = BLOCK_ITEMS, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, share: float = MOST_EDITS, block_items: int = BLOCK_ITEMS, block_chars: int = BLOCK_CHARS, least_words: int = 1) -> DataFrame:
     """doc_id, item_id, edits, item_words, end_word: an item near-copied in a document, once for each row of ``docs``.
 
     Words are compared without case and edge punctuation. Null and empty texts hold
-    nothing; items under LEAST_WORDS words, or null, are not looked for; equal items are found each.
+    nothing; items without words, of fewer than ``least_words``, or null are not looked for; equal items are found each.
+    Short items leave no room for edits and are found where they occur as they are: item_words lets a caller decide about them.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     found = [in_batches(docs.select("doc_id", "text"), _searcher(shared), f"doc_id {kind}, item_id bigint, edits int, item_words int, end_word bigint")
-             for shared in _blocks(docs.sparkSession, benchmark, share, block_items, block_chars)]
+             for shared in _blocks(docs.sparkSession, benchmark, share, block_items, block_chars, least_words)]
     out = found[0]
     for more in found[1:]:
         out = out.unionAll(more)
     return out
 
 
-def _blocks(spark: SparkSession, benchmark: DataFrame, share: float, block_items: int, block_chars: int) -> Iterator:
+def _blocks(spark: SparkSession, benchmark: DataFrame, share: float, block_items: int, block_chars: int, least_words: int) -> Iterator:
     """Broadcasts of all items, in blocks of bounded size."""
     items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").alias("text")).where("text IS NOT NULL")
     n, chars = items.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
     blocks = max(1, -(-n // block_items), -(-chars // block_chars))
     for block in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).collect()
-        yield spark.sparkContext.broadcast(Items(sorted(((r.item_id, r.text) for r in rows), key=lambda r: (r[0] is not None, r)), share))
+        yield spark.sparkContext.broadcast(Items(sorted(((r.item_id, r.text) for r in rows), key=lambda r: (r[0] is not None, r)), share, least_words=least_words))
 
 
-def without_leaks(docs: DataFrame, benchmark: DataFrame, share: float = MOST_EDITS, block_items: int = BLOCK_ITEMS, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """The rows of ``docs`` (text and any other columns) that hold no near copy of an item, in its columns."""
+def without_leaks(docs: DataFrame, benchmark: DataFrame, share: float = MOST_EDITS, block_items: int = BLOCK_ITEMS, block_chars: int = BLOCK_CHARS, least_words: int = LEAST_WORDS) -> DataFrame:
+    """The rows of ``docs`` (text and any other columns) that hold no near copy of an item of ``least_words``, in its columns.
+
+    Null and empty texts hold nothing and stay, as all rows do where ``benchmark`` is empty; repeated rows go or stay together."""
     names = [f"__c{i}" for i in range(len(docs.columns))]
     text = names[[c.lower() for c in docs.columns].index("text")] if "text" not in docs.columns else names[docs.columns.index("text")]
     rows = docs.toDF(*names)
-    for shared in _blocks(docs.sparkSession, benchmark, share, block_items, block_chars):
+    for shared in _blocks(docs.sparkSession, benchmark, share, block_items, block_chars, least_words):
         rows = in_batches(rows, _cleaner(shared, text), rows.schema)
     return rows.toDF(*docs.columns)
 
