@@ -80,9 +80,17 @@ def crc16(data: bytes) -> int:
     return crc
 
 
+def allocation_bytes(frame: bytes) -> int:
+    """Bytes of a layer I frame's bit allocation, which its checksum covers: 4 bits a subband and channel, one channel above the bound."""
+    mode, bound = frame[3] >> 6, 4 * ((frame[3] >> 4 & 3) + 1)
+    subbands = 32 if mode == 3 else bound + 32 if mode == 1 else 64
+    return subbands // 2
+
+
 @dataclass
 class Stream:
-    """What ``parse`` found. ``offsets`` holds the first byte of each audio frame."""
+    """What ``parse`` found. ``offsets`` holds the first byte of each audio frame. Checksums of layers I and III are verified; what those
+    of layer II cover depends on its allocation tables, and such frames count as ``unchecked``."""
 
     tags: dict[str, str] = field(default_factory=dict)
     table: dict = field(default_factory=dict)
@@ -91,8 +99,14 @@ class Stream:
     samples: int = 0
     skipped: int = 0
     checked: int = 0
+    unchecked: int = 0
     damaged: int = 0
 
+    @property
+    def table_agrees(self) -> bool | None:
+        """Whether the table's own number of frames is that found; None without one."""
+        return self.table["frames"] == len(self.offsets) if "frames" in self.table else None
+
     @property
     def rate(self) -> int:
         return self.headers[0].rate if self.headers else 0
@@ -187,9 +201,12 @@ def parse(data: bytes) -> Stream:
         if first and h.layer == 3 and (found := _variable_table(frame, h)):
             out.table = found
         else:
-            if h.protected and h.layer == 3:
+            covered = h.side if h.layer == 3 else allocation_bytes(frame) if h.layer == 1 else None
+            if h.protected and covered is None:
+                out.unchecked += 1
+            elif h.protected:
                 out.checked += 1
-                out.damaged += crc16(frame[2:4] + frame[6 : 6 + h.side]) != int.from_bytes(frame[4:6], "big")
+                out.damaged += crc16(frame[2:4] + frame[6 : 6 + covered]) != int.from_bytes(frame[4:6], "big")
             out.offsets.append(at)
             out.headers.append(h)
             out.samples += h.samples
@@ -243,8 +260,8 @@ def with_media(docs: DataFrame) -> DataFrame:
     return stored(in_batches(docs.select("doc_id", "text"), run, f"doc_id {kind}, media binary"), "media")
 
 
-FOUND = """frames bigint, samples bigint, rate int, seconds double, skipped bigint, checked bigint, damaged bigint,
- table_kind string, tags map<string,string>, seek_offsets array<bigint>, n_bytes bigint, payload_bytes bigint,
+FOUND = """frames bigint, samples bigint, rate int, seconds double, skipped bigint, checked bigint, unchecked bigint, damaged bigint,
+ table_kind string, table_agrees boolean, tags map<string,string>, seek_offsets array<bigint>, n_bytes bigint, payload_bytes bigint,
  payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string"""
 
 
@@ -255,10 +272,10 @@ def media_features(media: DataFrame) -> DataFrame:
     def row(data: bytes) -> tuple:
         s = parse(data)
         payload = payload_in(data, s)
-        return (len(s.offsets), s.samples, s.rate, s.seconds, s.skipped, s.checked, s.damaged, s.table.get("kind"), list(s.tags.items()), s.offsets,
+        return (len(s.offsets), s.samples, s.rate, s.seconds, s.skipped, s.checked, s.unchecked, s.damaged, s.table.get("kind"), s.table_agrees, list(s.tags.items()), s.offsets,
                 int(s.tags.get("TXXX:n_bytes") or 0), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(data), hashlib.sha256(data).hexdigest())
 
-    types = [pa.int64(), pa.int64(), pa.int32(), pa.float64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.map_(pa.string(), pa.string()), pa.list_(pa.int64()),
+    types = [pa.int64(), pa.int64(), pa.int32(), pa.float64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.map_(pa.string(), pa.string()), pa.list_(pa.int64()),
              pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string()]
     names = [x.split()[0] for x in FOUND.replace("map<string,string>", "m").split(",")]
 
@@ -275,4 +292,4 @@ def media_features(media: DataFrame) -> DataFrame:
 def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = media_features(with_media(table(spark, sf_dir, "documents").select("doc_id", "text")))
     feature = F.concat_ws(":", "frames", "samples", "rate", "checked", "damaged", "skipped", F.coalesce("table_kind", F.lit("-")), F.md5(F.array_join("seek_offsets", ",")))
-    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"), F.round("seconds", 6).alias("seconds"))
+    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"), F.round("seconds", 6).alias("seconds"), "seek_offsets", "table_agrees")
