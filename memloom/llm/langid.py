@@ -22,6 +22,8 @@ from memloom.llm.textio import crc_mod, in_batches, pieces, plain, row_sums, tab
 ORDER = 4
 #: The model is fitted on a bounded sample: about so many characters a language.
 SAMPLE_CHARS = 1_500_000
+#: Languages whose rates are broadcast.
+MOST_BROADCAST = 10_000
 #: Of the sample, one row in so many calibrates the score and the rejection.
 CALIBRATION = 5
 #: Rejection: so many times the largest deviation among calibration rows.
@@ -202,11 +204,14 @@ class Identifier:
 
 
 def fit(labelled: DataFrame, sample_chars: int = SAMPLE_CHARS) -> Identifier:
-    """Fit on a hash-drawn sample of ``labelled`` (text, lang), about ``sample_chars`` a language."""
+    """Fit on a hash-drawn sample of ``labelled`` (text, lang), about ``sample_chars`` a language; of copies
+    of a text, which are drawn together, one is learned. Null texts and langs teach nothing."""
     rows = labelled.where("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text", F.length("text").alias("chars"))
     rates = rows.groupBy("lang").agg((F.lit(float(sample_chars)) / F.greatest(F.sum("chars"), F.lit(1))).alias("rate"))
     draw = F.pmod(F.xxhash64("text", F.lit(8)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    sample = rows.join(F.broadcast(rates), "lang").where(draw < F.col("rate")).select("lang", "text").collect()
+    few = rates.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
+    drawn = rows.join(F.broadcast(rates) if few else rates, "lang").where(draw < F.col("rate"))
+    sample = drawn.select("lang", "text").dropDuplicates().collect()
     return Identifier(sorted((r.lang, r.text) for r in sample))
 
 
@@ -231,7 +236,9 @@ def identify(docs: DataFrame, identifier: Identifier, keep: list[str]) -> DataFr
 
 
 def accepted(docs: DataFrame, identifier: Identifier) -> DataFrame:
-    """The rows of ``docs`` that are not rejected, in its columns; a null lang becomes the one predicted."""
+    """The rows of ``docs`` that are not rejected, in its columns; a null lang becomes the one predicted.
+
+    Null texts and texts without a letter are rejected; of an identifier that has learned nothing, all rows are."""
     out = identify(docs, identifier, docs.columns)
     names = [f"__c{i}" for i in range(len(docs.columns))]
     found = out.toDF(*names, "__lang", "__score", "__entropy", "__rejected").where("NOT __rejected")
