@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,7 +25,7 @@ BLOCK = frozenset("""address article aside blockquote body caption center dd det
 CONTAINER = frozenset("article aside blockquote body details dialog div dl fieldset figure footer form header html main menu nav ol section table td ul".split())
 BAD = frozenset("nav footer aside form menu dialog fieldset".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript".split())
-HIDDEN = frozenset("head template svg math object select button datalist canvas audio video".split())
+HIDDEN = frozenset("head template svg object select button datalist canvas audio video".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BAD_ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog toolbar".split())
 BAD_NAMES = frozenset("""ad ads advert advertisement adverts advertising adsense banner sponsor sponsored sponsors promo promotion promoted
@@ -40,7 +41,7 @@ STOP = {
 STOP_WORDS = frozenset(w for x in STOP.values() for w in x.split())
 
 LEAST_GOOD_CHARS, LEAST_STOP, MOST_LINK = 70, 0.12, 0.5
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S)
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z))*+)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _WORD = re.compile(r"[^\W\d_]+")
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
@@ -74,8 +75,10 @@ def _bad(name: str, raw: str, inside: bool) -> bool:
 
 
 def blocks(page: str) -> list[Block]:
-    """Blocks with text, in page order. Unclosed and stray tags do not matter; a tag cut off by the end is no text."""
+    """Blocks with text, in page order. Unclosed and stray tags do not matter; a tag cut off by the end is no text, nor is
+    what follows a quote that never closes inside a tag. Time is in proportion to the page."""
     found: list[Block] = []
+    opened: Counter = Counter()
     stack: list[tuple[str, bool, bool, int]] = [("", False, False, 0)]  # name, bad, inside an article, section
     pieces_: list[tuple[str, bool]] = []
     links = sections = 0
@@ -108,15 +111,17 @@ def blocks(page: str) -> list[Block]:
             elif name in BLOCK:
                 flush()
                 heading = False
-                if name in CONTAINER and any(s[0] == name for s in stack):
-                    while stack.pop()[0] != name:
-                        pass
+                if opened[name]:
+                    last = None
+                    while last != name:
+                        last = stack.pop()[0]
+                        opened[last] -= 1
                 links = 0
             continue
         if name in RAW or name in HIDDEN:
-            close = re.compile(rf"</{name}\s*(?:>|\Z)", re.I).search(page, at)
-            body = re.compile(r"<body[\s>]", re.I).search(page, at) if name == "head" else None
             if not m[3].rstrip().endswith("/"):
+                close = re.compile(rf"</{name}\s*+(?:>|\Z)", re.I).search(page, at)
+                body = re.compile(r"<body[\s>]", re.I).search(page, at) if name == "head" else None
                 if body and (not close or body.start() < close.start()):
                     at = body.start()
                 else:
@@ -134,6 +139,7 @@ def blocks(page: str) -> list[Block]:
             if name in CONTAINER and name not in VOID:
                 sections += 1
                 stack.append((name, now_bad, inside or name in ("article", "main"), sections))
+                opened[name] += 1
             elif now_bad and not bad:  # a single bad block, such as <p class="ad">
                 sections += 1
                 stack.append((f"/{name}", True, inside, sections))
@@ -204,7 +210,8 @@ def main_text(page: str | None) -> str:
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """page_id, url, text, n_chars of ``pages`` (page_id, url, html)."""
+    """page_id, url, text, n_chars of ``pages`` (page_id, url, html). A null or empty html, or one without an article, has the
+    text ""; repeated rows are returned each, an empty table gives none."""
     kinds = ", ".join(f"{c} {pages.schema[c].dataType.simpleString()}" for c in ("page_id", "url"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
