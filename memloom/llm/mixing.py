@@ -53,6 +53,12 @@ def poisson_count(what: Column, rate: Column, seed: int) -> Column:
     return F.aggregate(drawn, F.lit(0), lambda total, u: total + poisson_inverse(u, part))
 
 
+def row_name(docs: DataFrame) -> Column:
+    """What a row's draws and places depend on: its doc_id, and without one its text."""
+    text = F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))) if "text" in docs.columns else F.lit("")
+    return F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null"), text))
+
+
 def rates(docs: DataFrame, weights: dict[str, float] | None = None, rows: int | None = None, power: float = 0.5) -> DataFrame:
     """source, n, rate. Without ``weights`` a source's share is its row count to ``power``.
 
@@ -76,14 +82,14 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None, rows: int |
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, rows: int | None = None, power: float = 0.5, seed: int = SEED) -> DataFrame:
     """``docs``' columns once for each copy, globally shuffled, and __copy (from 1), __copies, __rate, __place.
 
-    Rows are told apart by doc_id alone: rows that share one (null too) are repeated equally
-    often. __place (in [0, 1)) is the row's place in the global order. Empty in, empty out.
+    Rows are told apart by doc_id, those without one by their text: rows that share it are repeated equally
+    often and lie side by side. __place (in [0, 1)) is the row's place in the global order. Empty in, empty out.
     """
     spark = docs.sparkSession
     names = [f"__c{i}" for i in range(len(docs.columns))]
     doc_id = names[docs.columns.index("doc_id")]
     plan = rates(docs, weights, rows, power).where("rate > 0")
-    rows_ = docs.toDF(*names)
+    rows_ = docs.select("*", row_name(docs)).toDF(*names, "__name")
     source = F.col(names[docs.columns.index("source")])
     counted = plan.limit(MOST_BROADCAST + 1).count()
     named = plan.select(F.col("source").alias("__source"), F.col("rate").alias("__rate"))
@@ -93,9 +99,9 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, rows: int | No
         salted = named.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         salt = F.pmod(F.xxhash64(doc_id), F.lit(SALTS)).cast("int")
         rated = rows_.withColumn("__salted", salt).join(salted, source.eqNullSafe(F.col("__source")) & (F.col("__salted") == F.col("__salt")))
-    repeated = rated.withColumn("__copies", poisson_count(F.col(doc_id), F.col("__rate"), seed)).where("__copies > 0")
+    repeated = rated.withColumn("__copies", poisson_count(F.col("__name"), F.col("__rate"), seed)).where("__copies > 0")
     copies = repeated.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
-    place = uniform(F.concat_ws(":", F.coalesce(F.col(doc_id).cast("string"), F.lit("null")), F.col("__copy")), seed + 1)
+    place = uniform(F.concat_ws(":", "__name", "__copy"), seed + 1)
     placed = copies.withColumn("__place", F.round(place, 12))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # Places are uniform, so equal intervals are equal parts: no sampling pass as a range partitioning needs.
@@ -116,7 +122,7 @@ WITH counts AS (SELECT source, count(*) AS n, sqrt(count(*)) AS share FROM docum
 rates AS (SELECT source, n, round((SELECT sum(n) FROM counts) * share / (SELECT sum(share) FROM counts) / n, 9) AS rate FROM counts),
 docs AS (
   SELECT d.doc_id, d.source, d.text, r.rate,
-         ('0x' || substr(md5('{SEED}:' || coalesce(CAST(d.doc_id AS VARCHAR), 'null')), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0 AS u
+         ('0x' || substr(md5('{SEED}:' || coalesce(CAST(d.doc_id AS VARCHAR), 'null' || md5(coalesce(d.text, '')))), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0 AS u
   FROM documents d JOIN rates r ON d.source IS NOT DISTINCT FROM r.source),
 terms AS (
   SELECT source, rate, t.k, exp(-rate) * pow(rate, t.k) / factorial(CAST(t.k AS INTEGER)) AS p
@@ -127,7 +133,7 @@ counted AS (
   FROM docs d),
 copied AS (SELECT *, unnest(range(1, copies + 1)) AS copy FROM counted WHERE copies > 0)
 SELECT doc_id, source, CAST(copy AS BIGINT) AS copy, CAST(copies AS BIGINT) AS copies, round(rate, 6) AS rate,
-       round(round(('0x' || substr(md5('{SEED + 1}:' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || copy), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0, 12), 9) AS place,
+       round(round(('0x' || substr(md5('{SEED + 1}:' || coalesce(CAST(doc_id AS VARCHAR), 'null' || md5(coalesce(text, ''))) || ':' || copy), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0, 12), 9) AS place,
        md5(coalesce(text, '')) AS text_md5
 FROM copied
 """
