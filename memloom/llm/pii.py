@@ -18,7 +18,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from memloom.llm.textio import stored, table
+from memloom.llm.textio import join_sums, stored, table
 
 # The patterns, made possessive, and tied to the start of a run or the end of the
 # last match so that no start inside a run is tried in vain: a run is then read once.
@@ -148,7 +148,11 @@ def detect(docs: DataFrame) -> DataFrame:
     per_text = spans.groupBy(*KEY).agg(
         *[F.count_if(F.col("kind") == k).alias(f"n_{k}") for k in [*KINDS, "term"]],
         listed(F.when(F.col("kind") != "term", item)).alias("base"), listed(item).alias("spans"))
-    rows = with_key(docs).select("doc_id", *KEY).join(per_text, KEY, "left")
+    # Rows that can't hold an entity are not joined; copies of a text are joined where a hot key can be split.
+    keyed = with_key(docs)
+    guard = reduce(lambda a, b: a | b, possible(F.col("text")).values())
+    met = join_sums(keyed.where(guard).select("doc_id", *KEY), per_text, KEY, "left")
+    rows = met.unionByName(keyed.where(~guard).select("doc_id", *KEY), allowMissingColumns=True)
     return rows.select(
         "doc_id", *[F.coalesce(f"n_{k}", F.lit(0)).cast("bigint").alias(f"n_{k}") for k in [*KINDS, "term"]],
         F.sha2(F.coalesce("base", F.lit("")), 256).alias("base_sha256"), F.coalesce("spans", F.lit("")).alias("spans"))
@@ -157,7 +161,8 @@ def detect(docs: DataFrame) -> DataFrame:
 def sanitise(docs: DataFrame) -> DataFrame:
     """doc_id, text with entities named by kind, disclosing terms generalised ("[PHONE CONTEXT]") or removed.
 
-    Of spans that overlap, the one that begins first stays, the longer of two that begin together.
+    Of spans that overlap, the one that begins first stays, the longer of two that begin together. Null texts become
+    empty; repeated rows are returned each; an empty table gives none.
     """
     texts, spans = find(docs)
     to = F.when(F.col("kind") != "term", F.concat(F.lit("["), F.upper("kind"), F.lit("]"))).when(F.col("share") >= REMOVE, F.lit("")).otherwise(

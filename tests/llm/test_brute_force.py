@@ -429,3 +429,89 @@ def test_word_names():
     assert len(names) == len(listed)
     assert [x.tolist() for x in textio.word_names(pa.array(listed).slice(3, 2))] == [x.tolist() for x in textio.word_names(pa.array(listed[3:5]))]
     assert len(set(textio.mixed(*textio.word_names(pa.array([f"w{i}" for i in range(50_000)])), (3, 5)).tolist())) == 50_000
+
+
+def test_broken_pages_take_linear_time():
+    import time
+
+    for page in ("<a " * 20_000 + '"', "<div></p></nav>" * 20_000, "<svg/>" * 50_000, "<p class='ad'" * 20_000, "<b>" * 50_000, "<!--" * 50_000, "<a href='x" * 20_000):
+        began = time.time()
+        htmltext.main_text(page)
+        assert time.time() - began < 3, page[:20]
+    text = "This is the text of the article that is long enough to be good and has stop words in it."
+    assert htmltext.main_text(f"<article><p>{text} <math><mi>x</mi>=1</math></p></article>") == f"{text} x=1"
+
+
+def test_short_items_are_found_as_they_are(spark):
+    docs_ = spark.createDataFrame([(1, "so ABC, def it is"), (2, "abc x def")], "doc_id long, text string")
+    items = spark.createDataFrame([(7, "abc def"), (8, "it")], "item_id long, text string")
+    assert {(r.doc_id, r.item_id, r.item_words) for r in decontam.leaks(docs_, items).collect()} == {(1, 7, 2), (1, 8, 1)}
+    assert decontam.leaks(docs_, items, least_words=2).count() == 1 and decontam.without_leaks(docs_, items).count() == 2
+
+
+def test_toxicity_score_is_the_plain_sum():
+    rng = np.random.default_rng(4)
+    names = ["awful", "people", "kind", "day"]
+    chosen = np.unique(toxicity.term_ids(names)[:, 0])
+    m = toxicity.FactorizationMachine(chosen, -0.3, rng.normal(size=len(chosen)), rng.normal(size=(len(chosen), toxicity.FACTORS)))
+    place = {n: int(np.searchsorted(chosen, toxicity.term_ids([n])[0, 0])) for n in names}
+    texts = ["Awful people, awful!", "kind day", "", None, "people kind day awful", "nothing known"]
+    for text, got in zip(texts, m.score(pa.array(texts)), strict=True):
+        held = sorted({place[w] for w in (x.strip(",!").lower() for x in (text or "").split()) if w in place})
+        z = m.bias + sum(m.weights[i] for i in held) + sum(m.factors[i] @ m.factors[j] for a, i in enumerate(held) for j in held[a + 1 :])
+        assert abs(got - 1 / (1 + math.exp(-z))) < 1e-9
+
+
+def test_language_model_is_kneser_ney():
+    """Probabilities of interpolated Kneser-Ney from plain dictionaries, one letter at a time."""
+    words_ = collections.Counter({"ab": 3, "aba": 1, "ba": 2, "bb": 1, "abba": 1, "a": 2})
+    m = langid.LanguageModel({"x": words_})
+    tally = {n: collections.Counter() for n in range(1, langid.ORDER + 1)}
+    for w, c in words_.items():
+        letters_ = ["^"] * (langid.ORDER - 1) + list(w) + ["$"]
+        for i in range(langid.ORDER - 1, len(letters_)):
+            tally[langid.ORDER][tuple(letters_[i - langid.ORDER + 1 : i + 1])] += c
+    for n in range(langid.ORDER - 1, 0, -1):
+        for g in tally[n + 1]:
+            tally[n][g[1:]] += 1
+
+    def p(gram):
+        if not gram:
+            return m.floor
+        n = len(gram)
+        ones, twos = (sum(v == k for v in tally[n].values()) for k in (1, 2))
+        d = ones / (ones + 2 * twos) if ones else 0.5
+        same = [v for g, v in tally[n].items() if g[:-1] == gram[:-1]]
+        if not same:
+            return p(gram[1:])
+        return max(tally[n][gram] - d, 0) / sum(same) + d * len(same) / sum(same) * p(gram[1:])
+
+    for w in ["ab", "a", "b", "bab", "abab", "ca", "bbb", "aabb", "baab", "c", "abba", "bcb"]:
+        letters_ = ["^"] * (langid.ORDER - 1) + list(w) + ["$"]
+        want = -sum(math.log2(p(tuple(letters_[i - langid.ORDER + 1 : i + 1]))) for i in range(langid.ORDER - 1, len(letters_)))
+        assert abs(m.word_costs([w])[0][0][0] - want) < 1e-3, w
+
+
+def test_layer_one_checksums():
+    allocation = bytes(range(16))
+    head = bytes([0xFF, 0xFE, 0xC4, 0xC0])
+    h = mpeg.header(head)
+    frame = head + mpeg.crc16(head[2:] + allocation).to_bytes(2, "big") + allocation
+    frame = frame.ljust(h.size, b"\0")
+    assert h.layer == 1 and mpeg.parse(frame * 3).checked == 3 and mpeg.parse(frame * 3).damaged == 0
+    assert mpeg.parse(frame + frame[:8] + b"\x77" + frame[9:] + frame).damaged == 1
+
+
+def test_model_beats_neighbours(spark):
+    """Held-out subwords cost less under the attention model than under their own frequencies."""
+    sf = "/root/testdata/sf0.01"
+    rows = {r.doc_id: r for r in lmscore.op9_lm_scores(spark, sf).collect()}
+    texts = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").toPandas()
+    coder = subwords.encoder(subwords.default_path())
+    ids, ends = coder.encode(pa.array(texts.text.tolist(), pa.string()))
+    held = np.array([rows[i].held_out for i in texts.doc_id])
+    counts = np.bincount(ids[np.repeat(~held, np.diff(ends))], minlength=coder.vocabulary) + 0.5
+    plain = np.log10(counts / counts.sum())
+    unigram = sum(plain[ids[ends[k] : ends[k + 1]]].sum() for k in np.flatnonzero(held))
+    model = sum(rows[i].score for i, h in zip(texts.doc_id, held, strict=True) if h)
+    assert model > 0.85 * unigram
