@@ -22,8 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memloom.llm.subwords import WordEncoder, default_path, encoder
-from memloom.llm.textio import in_batches, pieces, plain, release, shared_path, table
+from memloom.llm.subwords import HELD, WordEncoder, default_path, encoder
+from memloom.llm.textio import in_batches, let_go, pieces, plain, release, shared_path, table
 
 # Fixed values of the masking used by length-delimited record files.
 MASK_ROTATE, MASK_ADD = 15, 0xA282EAD8
@@ -120,7 +120,7 @@ def write_records(docs: DataFrame, path: str, order: Column | None = None, token
                 yield pa.RecordBatch.from_arrays([_framed(piece, coder, end_id, wide)], names=["frame"])
 
     if as_stored:
-        ordered = in_batches(docs.select(doc_id, text), encode, "frame binary")
+        ordered = in_batches(docs.select(doc_id, text), encode, "frame binary", (HELD,))
     else:
         key = (F.col("doc_id") if order is None else order).cast("bigint")
         rows = docs.select(key.alias("key"), doc_id, F.xxhash64("text").alias("hash"), text)
@@ -136,7 +136,7 @@ def write_records(docs: DataFrame, path: str, order: Column | None = None, token
                     shard = np.searchsorted(cuts, _places(keys, hashes)) if len(cuts) else np.zeros(piece.num_rows)
                     yield pa.RecordBatch.from_arrays([pa.array(shard.astype(np.int32)), keys, hashes, _framed(piece, coder, end_id, wide)], names=["shard", "key", "hash", "frame"])
 
-        framed = in_batches(rows, encode_keyed, "shard int, key bigint, hash bigint, frame binary")
+        framed = in_batches(rows, encode_keyed, "shard int, key bigint, hash bigint, frame binary", (HELD,))
         ordered = framed.repartitionById(len(bounds) + 1, F.col("shard")).sortWithinPartitions(F.col("key").asc_nulls_first(), "hash", "frame")
     ordered.select(F.col("frame").cast("string").alias("value")).write.option("compression", "none").text(path)
 
@@ -149,6 +149,7 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
     """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for batch in batches:
             for file, content in zip(batch.column("file"), batch.column("content"), strict=True):
                 data, at, rows, before = memoryview(content.as_buffer()), 0, [], 0

@@ -8,14 +8,13 @@ under its name (its own bytes, or the digest of a long one) for later batches.
 from __future__ import annotations
 
 import re
-from functools import lru_cache
 from itertools import batched, chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from memloom.llm.textio import mixed, plain, ragged, word_names, words
+from memloom.llm.textio import held, mixed, plain, ragged, word_names, words
 
 #: Words a worker keeps encoded; beyond that it starts anew.
 CACHE_WORDS = 200_000
@@ -37,11 +36,10 @@ class WordEncoder:
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        # For words that normalising and splitting leave alone.
-        self.bare = Tokenizer.from_file(path)
-        self.bare.normalizer = normalizers.Sequence([])
-        self.bare.pre_tokenizer = pre_tokenizers.Sequence([
-            pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False, trim_offsets=False)])
+        # The steps before the vocabulary: the file's own, and bare ones for words that normalising and splitting leave alone.
+        self.own = (self.tokenizer.normalizer, self.tokenizer.pre_tokenizer)
+        self.bare = (normalizers.Sequence([]), pre_tokenizers.Sequence([
+            pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False, trim_offsets=False)]))
         self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.stops = {c: self._encode([c])[0][0] for c in ",."}
         self.ends_word = np.zeros(self.vocabulary, dtype=bool)
@@ -54,8 +52,12 @@ class WordEncoder:
         self.keys, self.names = np.zeros(0, np.uint64), np.zeros((0, 2), np.uint64)
         self.pool, self.firsts, self.sizes = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int32)
 
+    def _run(self, steps: tuple, texts: list[str]) -> list:
+        self.tokenizer.normalizer, self.tokenizer.pre_tokenizer = steps
+        return self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+
     def _encode(self, texts: list[str]) -> list[list[int]]:
-        return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [x.ids for x in self._run(self.own, texts)]
 
     def _encode_stems(self, stems: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of many stems and the number of each. Words of letters alone go as one
@@ -63,7 +65,7 @@ class WordEncoder:
         simple = np.array([self.letters(w) is not None for w in stems], dtype=bool)
         sizes = np.zeros(len(stems), dtype=np.int64)
         joined = [" ".join(x) for x in batched((w for w, s in zip(stems, simple, strict=True) if s), 2000)]
-        flat = np.fromiter(chain.from_iterable(x.ids for x in self.bare.encode_batch_fast(joined, add_special_tokens=False)), dtype=np.uint32)
+        flat = np.fromiter(chain.from_iterable(x.ids for x in self._run(self.bare, joined)), dtype=np.uint32)
         ends = np.flatnonzero(self.ends_word[flat])
         sizes[simple] = np.diff(ends, prepend=-1)
         rest = self._encode([w for w, s in zip(stems, simple, strict=True) if not s])
@@ -141,6 +143,14 @@ class WordEncoder:
         return self.pool[ragged(firsts[codes], lengths)], ends[offsets]
 
 
-@lru_cache(maxsize=2)
+#: The name under which a worker holds encoders.
+HELD = "encoders"
+
+
 def encoder(path: str) -> WordEncoder:
-    return WordEncoder(path)
+    """This worker's encoder of ``path``; one is held at a time."""
+    encoders = held(HELD, dict)
+    if path not in encoders:
+        encoders.clear()
+        encoders[path] = WordEncoder(path)
+    return encoders[path]

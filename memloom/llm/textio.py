@@ -78,10 +78,36 @@ def join_sums(rows: DataFrame, sums: DataFrame, key: list[str], how: str = "inne
     return marked(rows).join(marked(sums), [*key, "__mark"], how).drop("__mark")
 
 
-def in_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
-    """``df.mapInArrow``, its batches bounded by bytes: long texts would make them large."""
+#: What this worker keeps from one task for the next, by name.
+_HELD: dict[str, object] = {}
+
+
+def held(name: str, build: Callable[[], object]):
+    """What ``build`` gives, kept in this worker under ``name`` until a task comes that does not use it."""
+    if name not in _HELD:
+        _HELD[name] = build()
+    return _HELD[name]
+
+
+def let_go(uses: tuple[str, ...] = ()) -> None:
+    """Drop what this worker holds for other kinds of tasks: workers live on from stage to stage."""
+    if others := [n for n in _HELD if n not in uses]:
+        for n in others:
+            del _HELD[n]
+        gc.collect()
+        release()
+
+
+def in_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema, uses: tuple[str, ...] = ()) -> DataFrame:
+    """``df.mapInArrow``, its batches bounded by bytes: long texts would make them large. ``uses``: names of what
+    ``run`` takes from ``held``; all else that a worker holds is let go of before."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    return df.mapInArrow(run, schema)
+
+    def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go(uses)
+        yield from run(batches)
+
+    return df.mapInArrow(alone, schema)
 
 
 def crc_mod(column: Column, modulus: int) -> Column:
