@@ -4,13 +4,26 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+#: Bytes of one Arrow batch on its way to Python.
+BATCH_BYTES = 4 << 20
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; only where it is unset (tests on one machine) a temporary folder is set."""
+    """``spark.checkpoint.dir``; where it is unset, a temporary folder is set on a
+    local master; on a cluster, ValueError."""
     held = spark.sparkContext._jsc.sc().getCheckpointDir()
     found = spark.conf.get("spark.checkpoint.dir", None) or (held.get() if held.isDefined() else None)
     if not held.isDefined():
+        master = spark.sparkContext.master
+        if not found and (not master.startswith("local") or master.startswith("local-cluster")):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(found or tempfile.mkdtemp(prefix="memloom-"))
     return found or spark.sparkContext._jsc.sc().getCheckpointDir().get()
+
+
+def in_batches(df: DataFrame, run, schema) -> DataFrame:
+    """``df.mapInArrow``, its batches bounded by bytes."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df.mapInArrow(run, schema)

@@ -16,24 +16,23 @@ def temporal(valid_from: Column, valid_until: Column, at: Column) -> Column:
 
 
 def references(facts: DataFrame, at: Column) -> DataFrame:
-    """Replacements named by active facts: partition, memory_id, replaces, resolved (a sibling has that id)."""
-    active = facts.where(temporal(F.col("valid_from"), F.col("valid_until"), at).isNull() & F.col("replaces").isNotNull()).select(*PARTITION, "memory_id", "replaces")
-    siblings = facts.select(*PARTITION, F.col("memory_id").alias("replaces"), F.lit(True).alias("found"))
-    return active.join(siblings, [*PARTITION, "replaces"], "left").withColumn("resolved", F.col("found").isNotNull()).drop("found")
+    """Replacements named by active facts: partition, memory_id, replaces, resolved (a sibling has that id, source event and version)."""
+    active = facts.where(temporal(F.col("valid_from"), F.col("valid_until"), at).isNull() & F.col("replaces").isNotNull()).select(*PARTITION, "memory_id", "replaces", "replaces_event", "replaces_version")
+    siblings = facts.select(*PARTITION, F.col("memory_id").alias("replaces"), "source_event_id", "version", F.lit(True).alias("found"))
+    same = F.col("source_event_id").eqNullSafe(F.col("replaces_event")) & F.col("version").eqNullSafe(F.col("replaces_version"))
+    met = active.join(siblings, [*PARTITION, "replaces"], "left").withColumn("resolved", F.col("found").isNotNull() & same)
+    return met.select(*PARTITION, "memory_id", "replaces", "resolved")
 
 
-def cyclic_groups(refs: DataFrame, most_rounds: int = 100) -> DataFrame:
-    """Partitions with a cycle. Edges that lead to no further edge are cut until nothing
-    changes: what is left runs in circles. A group has ``most_rounds`` members at most, which bounds the rounds."""
-    edges = refs.where("resolved").select(*PARTITION, "memory_id", "replaces")
+def cyclic_groups(refs: DataFrame) -> DataFrame:
+    """Partitions with a cycle. A fact names one replacement at most, so each round doubles how far every fact has
+    followed them; who still stands on one after more steps than its partition has edges runs in a circle."""
     checkpoint_dir(refs.sparkSession)
-    n = edges.count()
-    for _ in range(most_rounds):
-        sources = edges.select(*PARTITION, F.col("memory_id").alias("replaces")).distinct()
-        edges = edges.join(sources, [*PARTITION, "replaces"], "left_semi").checkpoint()
-        if (left := edges.count()) in (0, n):
-            break
-        n = left
+    edges = refs.where("resolved").select(*PARTITION, "memory_id", "replaces").checkpoint()
+    longest = edges.groupBy(*PARTITION).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    for _ in range(int(longest).bit_length()):
+        on = edges.select(*PARTITION, F.col("memory_id").alias("replaces"), F.col("replaces").alias("next"))
+        edges = edges.join(on, [*PARTITION, "replaces"]).select(*PARTITION, "memory_id", F.col("next").alias("replaces")).checkpoint()
     return edges.select(*PARTITION).distinct().withColumn("cyclic", F.lit(True))
 
 

@@ -82,20 +82,21 @@ EVENTS = """ledger AS (
 
 
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Confirmed claims, every sixth memory: one group a user, language and kind, with validity and at most one replacement."""
-    m = memories(spark, sf_dir).where("doc_id % 6 = 0")
+    """A claim of every memory: one group a user, language and kind, with validity and at most one replacement; some name an old version."""
+    m = memories(spark, sf_dir)
     i = F.col("doc_id")
     group = F.concat_ws("/", F.split("memory_key", ":")[1], (i % 90).cast("string"))
-    target = F.when(i % 12 == 0, i - 90).when(i % 30 == 6, i + 90).when(i % 102 == 6, i - 1)
+    target = F.when(i % 12 == 0, i - 180).when(i % 360 == 6, i + 180).when(i % 360 == 186, i - 180).when(i % 102 == 7, i - 1)
     return m.select(
         i, "memory_id", "user_id", "scope", F.coalesce("task_id", "owner_agent_id", F.lit("-")).alias("scope_identity"), "kind", group.alias("fact_group"), F.md5("value").alias("fact_value"),
-        "source_event_id", "version", F.when(i % 5 == 1, 20240101 + 200 * (i % 4)).alias("valid_from"), F.when(i % 5 == 2, 20240301 + 300 * (i % 3)).alias("valid_until"),
-        F.when(target >= 0, F.concat(F.lit("d"), F.lpad(target.cast("string"), 12, "0"))).alias("replaces"))
+        "source_event_id", "version", F.when(i % 5 == 2, 20240101 + 200 * (i % 4)).alias("valid_from"), F.when(i % 5 == 3, 20240301 + 300 * (i % 3)).alias("valid_until"),
+        F.when(target >= 0, F.concat(F.lit("d"), F.lpad(target.cast("string"), 12, "0"))).alias("replaces"), F.when(target >= 0, F.concat(F.lit("e"), target.cast("string"))).alias("replaces_event"),
+        F.when(target >= 0, F.when(i % 24 == 0, 2).otherwise(1)).cast("bigint").alias("replaces_version"))
 
 
 FACTS = """facts AS (
   SELECT doc_id, memory_id, user_id, scope, coalesce(task_id, owner_agent_id, '-') AS scope_identity, kind, string_split(memory_key, ':')[2] || '/' || (doc_id % 90) AS fact_group, md5(value) AS fact_value,
-    source_event_id, version, CASE WHEN doc_id % 5 = 1 THEN 20240101 + 200 * (doc_id % 4) END AS valid_from, CASE WHEN doc_id % 5 = 2 THEN 20240301 + 300 * (doc_id % 3) END AS valid_until,
-    CASE WHEN t >= 0 THEN 'd' || lpad(CAST(t AS VARCHAR), 12, '0') END AS replaces
-  FROM (SELECT *, CASE WHEN doc_id % 12 = 0 THEN doc_id - 90 WHEN doc_id % 30 = 6 THEN doc_id + 90 WHEN doc_id % 102 = 6 THEN doc_id - 1 END AS t FROM memories WHERE doc_id % 6 = 0))"""
+    source_event_id, version, CASE WHEN doc_id % 5 = 2 THEN 20240101 + 200 * (doc_id % 4) END AS valid_from, CASE WHEN doc_id % 5 = 3 THEN 20240301 + 300 * (doc_id % 3) END AS valid_until,
+    CASE WHEN t >= 0 THEN 'd' || lpad(CAST(t AS VARCHAR), 12, '0') END AS replaces, CASE WHEN t >= 0 THEN 'e' || t END AS replaces_event, CASE WHEN t >= 0 THEN CASE WHEN doc_id % 24 = 0 THEN 2 ELSE 1 END END AS replaces_version
+  FROM (SELECT *, CASE WHEN doc_id % 12 = 0 THEN doc_id - 180 WHEN doc_id % 360 = 6 THEN doc_id + 180 WHEN doc_id % 360 = 186 THEN doc_id - 180 WHEN doc_id % 102 = 7 THEN doc_id - 1 END AS t FROM memories))"""
 FACT_DAY = 20240601

@@ -51,8 +51,30 @@ def bm25_rank(spark, sf_dir):
     return channels.bm25(*_both(spark, sf_dir)).select("request_id", "memory_id", "channel_rank", "score")
 
 
+def short_terms(spark, sf_dir):
+    """Terms of two letters must occur beside the scored ones."""
+    r, m = _both(spark, sf_dir)
+    r = r.withColumn("terms", F.concat(F.slice("terms", 1, 1), F.array(F.substring("query", 1, 2))))
+    return channels.bm25(r, m).select("request_id", "memory_id", "channel_rank", "score")
+
+
+def literal_fallback(spark, sf_dir):
+    """With short terms alone nothing is scored."""
+    r, m = _both(spark, sf_dir)
+    r = r.withColumn("terms", F.array(F.substring("query", 1, 2), F.substring("key", 4, 1)))
+    return channels.bm25(r, m).select("request_id", "memory_id", "channel_rank", "score", "truncated")
+
+
+def misspelt(query: F.Column) -> F.Column:
+    """The second and third letter changed places."""
+    return F.concat(F.substring(query, 1, 1), F.substring(query, 3, 1), F.substring(query, 2, 1), F.substring(query, 4, 99))
+
+
 def spelling_one_edit(spark, sf_dir):
-    return channels.spelling(*_both(spark, sf_dir)).select("request_id", "asked", "word", "edit")
+    r, m = _both(spark, sf_dir)
+    wrong = misspelt(F.col("query"))
+    r = r.withColumn("query", F.when(F.col("request_id") % 3 == 0, F.concat_ws(" ", F.try_element_at("terms", F.lit(1)), wrong)).otherwise(wrong))
+    return channels.spelling(r, m).select(*OUT, "query_token", "matched_token", "edit")
 
 
 def channel_hits(spark, sf_dir) -> DataFrame:
@@ -124,7 +146,7 @@ def regression_gate(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    eligible_candidates, exact_channel_topk, structured_channel_topk, whole_query_substring, all_terms_and, trigram_posting, trigram_candidates, bm25_rank, spelling_one_edit, rank_fusion_rrf,
+    eligible_candidates, exact_channel_topk, structured_channel_topk, whole_query_substring, all_terms_and, trigram_posting, trigram_candidates, bm25_rank, short_terms, literal_fallback, spelling_one_edit, rank_fusion_rrf,
     rank_fusion_best, rank_fusion_legacy, batch_integrity, keyset_page_2, recall_truncated_flags, ranking_metrics, metric_summary, access_policy, latency_nearest_rank, regression_gate)}
 
 BASE = f"WITH {MEMORIES}, {REQUESTS}"
@@ -161,6 +183,22 @@ scores AS (SELECT request_id, relevant, coalesce(selected, 0) AS selected, coale
   round(coalesce(dcg / idcg, 0), 6) AS ndcg, relevant - coalesce(hits, 0) AS missed, coalesce(selected, 0) - coalesce(hits, 0) AS false_selected, coalesce(leaks, 0) AS leaks
   FROM wanted LEFT JOIN got USING (request_id) LEFT JOIN ideal USING (request_id) WHERE relevant > 0)"""
 
+
+def _bm25(scored: str, more: str) -> str:
+    """``scored``: the terms with a score; ``more``: those that must only occur."""
+    return f"""{BASE}, docs AS (SELECT *, greatest(length(memory_key) - 2, 0) + greatest(length(value) - 2, 0) AS dl FROM memories), corpus AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM docs),
+  asked AS (SELECT *, {scored} AS scored, {more} AS more FROM requests), terms AS (SELECT DISTINCT unnest(scored) AS term FROM asked),
+  tf AS (SELECT memory_id, term, dl, len(list_filter(range(1, length(k) - length(term) + 2), lambda i: substr(k, i, length(term)) = term)) + len(list_filter(range(1, length(v) - length(term) + 2), lambda i: substr(v, i, length(term)) = term)) AS tf
+    FROM (SELECT memory_id, dl, term, lower(memory_key) AS k, lower(value) AS v FROM docs JOIN terms ON contains(lower(value), term) OR contains(lower(memory_key), term))),
+  idf AS (SELECT term, CASE WHEN ln((n - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - df + 0.5) / (df + 0.5)) END AS idf FROM (SELECT term, count(*) AS df FROM tf GROUP BY term), corpus),
+  wanted AS (SELECT request_id, len(scored) AS n_terms, unnest(scored) AS term FROM asked),
+  per AS (SELECT request_id, memory_id, n_terms, count(*) AS met, round(-sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM tf JOIN idf USING (term) JOIN wanted USING (term), corpus GROUP BY request_id, memory_id, n_terms),
+  ok AS (SELECT r.request_id, r.lim, m.memory_id, m.updated_at, p.score FROM per p JOIN asked r ON r.request_id = p.request_id JOIN memories m ON m.memory_id = p.memory_id AND {ELIGIBLE}
+    WHERE met = n_terms AND len(list_filter(r.more, lambda t: NOT contains(lower(m.memory_key), t) AND NOT contains(lower(m.value), t))) = 0),
+  ranked AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY score, updated_at DESC, memory_id DESC) AS rn FROM ok)
+  SELECT request_id, memory_id, CAST(rn AS INTEGER) AS channel_rank, score FROM ranked WHERE rn <= lim"""
+
+
 SQL = {
     "eligible_candidates": f"{BASE}, {PAIRS} SELECT request_id, count(*) AS n, min(memory_id) AS first_id, max(memory_id) AS last_id FROM pairs GROUP BY request_id",
     "exact_channel_topk": f"{BASE}, {PAIRS}, {EXACT} SELECT request_id, memory_id, channel_rank, truncated FROM exact",
@@ -172,19 +210,20 @@ SQL = {
     "trigram_candidates": f"""{BASE}, t AS (SELECT request_id, unnest(list_distinct(list_transform(range(1, length(query) - 1), lambda i: substr(query, i, 3)))) AS g FROM requests),
   n AS (SELECT request_id, count(*) AS need FROM t GROUP BY request_id)
   SELECT t.request_id, m.memory_id FROM t JOIN memories m ON contains(lower(m.memory_key) || chr(10) || lower(m.value), t.g) JOIN n ON n.request_id = t.request_id GROUP BY t.request_id, m.memory_id, need HAVING count(*) = need""",
-    "bm25_rank": f"""{BASE}, docs AS (SELECT *, greatest(length(memory_key) - 2, 0) + greatest(length(value) - 2, 0) AS dl FROM memories), corpus AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM docs),
-  terms AS (SELECT DISTINCT unnest(terms) AS term FROM requests),
-  tf AS (SELECT memory_id, term, dl, len(list_filter(range(1, length(k) - length(term) + 2), lambda i: substr(k, i, length(term)) = term)) + len(list_filter(range(1, length(v) - length(term) + 2), lambda i: substr(v, i, length(term)) = term)) AS tf
-    FROM (SELECT memory_id, dl, term, lower(memory_key) AS k, lower(value) AS v FROM docs JOIN terms ON contains(lower(value), term) OR contains(lower(memory_key), term))),
-  idf AS (SELECT term, CASE WHEN ln((n - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - df + 0.5) / (df + 0.5)) END AS idf FROM (SELECT term, count(*) AS df FROM tf GROUP BY term), corpus),
-  wanted AS (SELECT request_id, len(terms) AS n_terms, unnest(terms) AS term FROM requests),
-  per AS (SELECT request_id, memory_id, n_terms, count(*) AS met, round(-sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM tf JOIN idf USING (term) JOIN wanted USING (term), corpus GROUP BY request_id, memory_id, n_terms),
-  ok AS (SELECT r.request_id, r.lim, m.memory_id, m.updated_at, p.score FROM per p JOIN requests r ON r.request_id = p.request_id JOIN memories m ON m.memory_id = p.memory_id AND {ELIGIBLE} WHERE met = n_terms),
-  ranked AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY score, updated_at DESC, memory_id DESC) AS rn FROM ok)
-  SELECT request_id, memory_id, CAST(rn AS INTEGER) AS channel_rank, score FROM ranked WHERE rn <= lim""",
-    "spelling_one_edit": f"""{BASE}, w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(memory_key || ' ' || value), '[a-z0-9]+')) AS word FROM memories),
-  n AS (SELECT request_id, query AS asked, word FROM requests JOIN w ON abs(length(query) - length(word)) <= 1 AND query <> word WHERE length(query) BETWEEN 5 AND 32 AND regexp_full_match(word, '[a-z]+') AND damerau_levenshtein(query, word) = 1)
-  SELECT request_id, asked, word, CASE WHEN length(asked) > length(word) THEN 'delete' WHEN length(asked) < length(word) THEN 'insert' WHEN levenshtein(asked, word) = 1 THEN 'substitute' ELSE 'transpose' END AS edit FROM n""",
+    "bm25_rank": _bm25("terms", "[]"),
+    "short_terms": _bm25("terms[1:1]", "[substr(query, 1, 2)]"),
+    "literal_fallback": f"""{BASE}, {PAIRS}, ok AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY updated_at DESC, memory_id DESC) AS rn, count(*) OVER (PARTITION BY request_id) AS n FROM pairs
+    WHERE (contains(lower(memory_key), substr(query, 1, 2)) OR contains(lower(value), substr(query, 1, 2))) AND (contains(lower(memory_key), substr(key, 4, 1)) OR contains(lower(value), substr(key, 4, 1))))
+  SELECT request_id, memory_id, CAST(rn AS INTEGER) AS channel_rank, CAST(NULL AS DOUBLE) AS score, n > lim AS truncated FROM ok WHERE rn <= lim""",
+    "spelling_one_edit": f"""WITH {MEMORIES}, {REQUESTS.replace("requests AS", "plain AS")},
+  wrong AS (SELECT *, query[1] || query[3] || query[2] || query[4:] AS w FROM plain), requests AS (SELECT * REPLACE (CASE WHEN request_id % 3 = 0 AND len(terms) > 0 THEN terms[1] || ' ' || w ELSE w END AS query) FROM wrong), {PAIRS},
+  literal AS (SELECT DISTINCT request_id FROM pairs WHERE len(list_filter(string_split(query, ' '), lambda t: NOT contains(lower(memory_key), t) AND NOT contains(lower(value), t))) = 0),
+  worded AS (SELECT *, list_distinct(string_split(query, ' ')) AS asked, regexp_extract_all(lower(memory_key || ' ' || value), '[a-z0-9]+') AS words FROM pairs WHERE request_id NOT IN (SELECT request_id FROM literal) AND octet_length(encode(memory_key || ' ' || value)) <= 65536),
+  missing AS (SELECT request_id, lim, memory_id, updated_at, words, list_filter(asked, lambda t: NOT list_contains(words, t)) AS gone FROM worded WHERE len(words) <= 256 AND len(list_filter(asked, lambda t: length(t) > 32)) = 0),
+  fixes AS (SELECT request_id, lim, memory_id, updated_at, gone[1] AS query_token, list_min(list_filter(words, lambda w: regexp_full_match(w, '[a-z]+') AND w <> gone[1] AND abs(length(w) - length(gone[1])) <= 1 AND damerau_levenshtein(gone[1], w) = 1)) AS matched_token FROM missing WHERE len(gone) = 1 AND length(gone[1]) >= 5),
+  ranked AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY updated_at DESC, memory_id DESC) AS rn, count(*) OVER (PARTITION BY request_id) AS n FROM fixes WHERE matched_token IS NOT NULL)
+  SELECT request_id, memory_id, CAST(rn AS INTEGER) AS channel_rank, n > lim AS truncated, query_token, matched_token,
+    CASE WHEN length(query_token) > length(matched_token) THEN 'delete' WHEN length(query_token) < length(matched_token) THEN 'insert' WHEN levenshtein(query_token, matched_token) = 1 THEN 'substitute' ELSE 'transpose' END AS edit FROM ranked WHERE rn <= lim""",
     "rank_fusion_rrf": f"{BASE}, {PAIRS}, {HITS}, {RRF} SELECT * FROM ranked",
     "rank_fusion_best": f"{BASE}, {PAIRS}, {HITS}, {_fused('best', '0')} SELECT * FROM ranked",
     "rank_fusion_legacy": f"""{BASE}, {PAIRS}, {HITS}, s AS (SELECT request_id, memory_id, updated_at, round(sum(1.0::DOUBLE / (60 + channel_rank)), 8) AS score FROM hits GROUP BY request_id, memory_id, updated_at)

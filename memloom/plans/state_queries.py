@@ -43,7 +43,7 @@ def history_visible(spark, sf_dir):
 
 def history_quota(spark, sf_dir):
     cur = ledger.current(_ledger(spark, sf_dir))
-    targets = cur.where("memory_key < 4").select(F.col("user_id").alias("request_id"), (F.col("memory_key") + 1).alias("target_rank"), "user_id", "memory_key")
+    targets = cur.select(F.col("user_id").alias("request_id"), (F.col("memory_key") + 1).alias("target_rank"), "user_id", "memory_key")
     return ledger.history_quota(targets, _ledger(spark, sf_dir), 10).select("request_id", "target_rank", "event_id", F.col("quota").cast("bigint").alias("quota"), "rn")
 
 
@@ -179,7 +179,7 @@ _LATEST = f"WITH {EVENTS} SELECT user_id, memory_key, event_id, is_forget, kind,
 _TEMPORAL = f"CASE WHEN {FACT_DAY} < valid_from THEN 'not_yet_valid' WHEN {FACT_DAY} >= valid_until THEN 'expired' END"
 _P = "user_id, scope, scope_identity, kind, fact_group"
 FACT_BASE = f"""WITH RECURSIVE {MEMORIES}, {FACTS}, timed AS (SELECT *, {_TEMPORAL} AS temporal FROM facts),
-refs AS (SELECT {', '.join('a.' + c for c in _P.split(', '))}, a.memory_id, a.replaces, b.memory_id IS NOT NULL AS resolved FROM timed a LEFT JOIN facts b ON a.user_id = b.user_id AND a.scope = b.scope AND a.scope_identity = b.scope_identity AND a.kind = b.kind AND a.fact_group = b.fact_group AND b.memory_id = a.replaces
+refs AS (SELECT {', '.join('a.' + c for c in _P.split(', '))}, a.memory_id, a.replaces, b.memory_id IS NOT NULL AS resolved FROM timed a LEFT JOIN facts b ON a.user_id = b.user_id AND a.scope = b.scope AND a.scope_identity = b.scope_identity AND a.kind = b.kind AND a.fact_group = b.fact_group AND b.memory_id = a.replaces AND b.source_event_id = a.replaces_event AND b.version = a.replaces_version
   WHERE a.temporal IS NULL AND a.replaces IS NOT NULL)"""
 CANDIDATES = f"""{rq.BASE}, {rq.PAIRS}, {rq.HITS}, {rq.RRF},
 cand AS (SELECT k.*, m.kind AS m_kind, m.scope, m.user_confirmed, m.updated_at, m.value, r.purpose, r.token_budget, r.max_memories, r.terms, k.final_rank AS input_rank, m.memory_key || ' | ' || m.kind || ' | ' || m.scope || ' | ' || m.value AS line,
@@ -222,7 +222,7 @@ SQL = {
     "cas_conflicts": f"""{APPLIED}, b AS (SELECT event_id, is_forget, coalesce(lag(CASE WHEN is_forget THEN 0 ELSE version END) OVER (PARTITION BY user_id, memory_key ORDER BY event_seq, event_id), 0) AS actual_version FROM versions)
   SELECT event_id, event_id % 3 AS expected_version, actual_version, event_id % 3 <> actual_version AS conflict FROM b WHERE NOT is_forget""",
     "history_visible": f"{APPLIED} SELECT user_id, event_id, CAST(rn AS INTEGER) AS page_rank FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_seq DESC, event_id DESC) AS rn FROM applied) WHERE rn <= 5",
-    "history_quota": f"""{APPLIED}, cur AS (SELECT * FROM versions QUALIFY row_number() OVER (PARTITION BY user_id, memory_key ORDER BY event_seq DESC, event_id DESC) = 1), t AS (SELECT user_id, memory_key, count(*) OVER (PARTITION BY user_id) AS n FROM cur WHERE NOT is_forget AND memory_key < 4),
+    "history_quota": f"""{APPLIED}, cur AS (SELECT * FROM versions QUALIFY row_number() OVER (PARTITION BY user_id, memory_key ORDER BY event_seq DESC, event_id DESC) = 1), t AS (SELECT user_id, memory_key, count(*) OVER (PARTITION BY user_id) AS n FROM cur WHERE NOT is_forget),
   q AS (SELECT *, memory_key + 1 AS target_rank, 10 // n + (memory_key + 1 <= 10 % n)::INT AS quota FROM t)
   SELECT q.user_id AS request_id, target_rank, event_id, CAST(quota AS BIGINT) AS quota, CAST(rn AS INTEGER) AS rn FROM q JOIN (SELECT *, row_number() OVER (PARTITION BY user_id, memory_key ORDER BY event_seq DESC, event_id DESC) AS rn FROM applied) a ON a.user_id = q.user_id AND a.memory_key = q.memory_key WHERE rn <= quota""",
     "stream_ledger_equals_batch": _LATEST, "batch_latest": _LATEST,

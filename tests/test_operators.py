@@ -48,8 +48,9 @@ def test_occurrences_overlap(spark):
     assert row.n == 3 and row.g == ["aaa"]
 
 
-def fact_rows(spark, rows):
-    return spark.createDataFrame([("u", "user", "-", "user_fact", "g", *r) for r in rows], "user_id string, scope string, scope_identity string, kind string, fact_group string, memory_id string, fact_value string, valid_from int, valid_until int, replaces string")
+def fact_rows(spark, rows, version=1):
+    return spark.createDataFrame([("u", "user", "-", "user_fact", "g", *r, f"e-{r[0]}", 1, f"e-{r[4]}", version) for r in rows], "user_id string, scope string, scope_identity string, kind string, fact_group string, memory_id string, fact_value string, "
+                                 "valid_from int, valid_until int, replaces string, source_event_id string, version int, replaces_event string, replaces_version int")
 
 
 @pytest.mark.parametrize(("rows", "status"), [
@@ -64,6 +65,50 @@ def test_adjudication(spark, rows, status):
     assert {r.memory_id: r.status for r in facts.adjudicate(fact_rows(spark, rows), F.lit(20240601)).collect()} == status
 
 
+def test_references_to_old_versions(spark):
+    rows = [("old", "1", None, None, None), ("new", "2", None, None, "old")]
+    assert {r.status for r in facts.adjudicate(fact_rows(spark, rows, 2), F.lit(20240601)).collect()} == {"unresolved"}
+
+
+def test_long_chains_are_no_cycles(spark):
+    chain = [(f"m{i}", "1", None, None, f"m{i - 1}" if i else None) for i in range(130)]
+    refs = lambda rows: facts.references(fact_rows(spark, rows), F.lit(20240601))
+    assert facts.cyclic_groups(refs(chain)).count() == 0
+    assert facts.cyclic_groups(refs([("m0", "1", None, None, "m129"), *chain[1:]])).count() == 1
+
+
+def memory_rows(spark, rows):
+    return spark.createDataFrame([(m, u, "user", None, None, k, v, s, True, i) for i, (m, u, k, v, s) in enumerate(rows)],
+                                 "memory_id string, user_id string, scope string, owner_agent_id string, task_id string, memory_key string, value string, sensitivity string, user_confirmed boolean, updated_at long")
+
+
+def request_rows(spark, *rows):
+    return spark.createDataFrame([(i, u, "a", "t", False, False, q, n) for i, (u, q, n) in enumerate(rows)], "request_id long, user_id string, agent_id string, task_id string, include_private boolean, require_confirmed boolean, query string, limit int")
+
+
+def test_spelling_sees_visible_words_alone(spark):
+    m = memory_rows(spark, [("a", "u1", "k", "green nebula", "public"), ("b", "u1", "k", "secretword", "private"), ("c", "u2", "k", "secretword", "public"), ("d", "u1", "k", "nebula alone", "public"), ("e", "u1", "k", "nebulas literal", "public")])
+    r = request_rows(spark, ("u1", "nebulx", 5), ("u1", "secretwird", 5), ("u1", "green nebulx", 5), ("u1", "greem nebulx", 5), ("u1", "nebula", 5), ("u2", "secretwird", 5))
+    got = {(x.request_id, x.memory_id, x.query_token, x.matched_token) for x in channels.spelling(r, m).collect()}
+    assert got == {(0, "a", "nebulx", "nebula"), (0, "d", "nebulx", "nebula"), (2, "a", "nebulx", "nebula"), (5, "c", "secretwird", "secretword")}
+
+
+def test_terms_without_an_automaton(spark, monkeypatch):
+    m = memory_rows(spark, [("a", "u", "Key", "aaaa b.c", "public"), ("b", "u", "k", "xaay", "public"), ("c", "u", "", None, "public")])
+    terms = spark.createDataFrame([("aa",), ("aaa",), ("b.c",), ("y",), ("key",)], "term string")
+    rows = lambda: {(r.memory_id, r.term, r.tf) for r in channels.term_hits(m, terms, ["memory_id"]).collect()}
+    want = rows()
+    assert want == {("a", "aa", 3.0), ("a", "aaa", 2.0), ("a", "b.c", 1.0), ("a", "y", 1.0), ("a", "key", 1.0), ("b", "aa", 1.0), ("b", "y", 1.0)}
+    monkeypatch.setattr(channels, "MOST_TERMS", 1)
+    assert rows() == want
+
+
+def test_limits_over_the_largest_raise(spark):
+    m = memory_rows(spark, [("a", "u", "k", "v", "public")])
+    with pytest.raises(Exception, match="a limit is over 100"):
+        channels.substring(request_rows(spark, ("u", "v", 101)), m).collect()
+
+
 def packing(spark, rows, budget, most):
     return spark.createDataFrame([(1, i + 1, m, line, True, budget, most, ob) for i, (m, line, ob) in enumerate(rows)], "request_id long, select_rank int, memory_id string, line string, usable boolean, token_budget int, max_memories int, obligations array<string>")
 
