@@ -188,7 +188,9 @@ def _bm25(scored: str, more: str) -> str:
     """``scored``: the terms with a score; ``more``: those that must only occur."""
     return f"""{BASE}, docs AS (SELECT *, greatest(length(memory_key) - 2, 0) + greatest(length(value) - 2, 0) AS dl FROM memories), corpus AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM docs),
   asked AS (SELECT *, {scored} AS scored, {more} AS more FROM requests), terms AS (SELECT DISTINCT unnest(scored) AS term FROM asked),
-  tf AS (SELECT memory_id, term, dl, len(list_filter(range(1, length(k) - length(term) + 2), lambda i: substr(k, i, length(term)) = term)) + len(list_filter(range(1, length(v) - length(term) + 2), lambda i: substr(v, i, length(term)) = term)) AS tf
+  tf AS (SELECT memory_id, term, dl, CASE WHEN len(list_filter(range(1, length(term)), lambda i: term[1:i] = term[length(term) - i + 1:])) = 0
+      THEN (length(k) + length(v) - length(replace(k, term, '')) - length(replace(v, term, ''))) // length(term)
+      ELSE len(list_filter(range(1, length(k) - length(term) + 2), lambda i: substr(k, i, length(term)) = term)) + len(list_filter(range(1, length(v) - length(term) + 2), lambda i: substr(v, i, length(term)) = term)) END AS tf
     FROM (SELECT memory_id, dl, term, lower(memory_key) AS k, lower(value) AS v FROM docs JOIN terms ON contains(lower(value), term) OR contains(lower(memory_key), term))),
   idf AS (SELECT term, CASE WHEN ln((n - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - df + 0.5) / (df + 0.5)) END AS idf FROM (SELECT term, count(*) AS df FROM tf GROUP BY term), corpus),
   wanted AS (SELECT request_id, len(scored) AS n_terms, unnest(scored) AS term FROM asked),
