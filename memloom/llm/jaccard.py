@@ -2,8 +2,9 @@
 
 1. Each text becomes the sorted array of its distinct shingle hashes. Texts with equal sets
    are one class, whose rows are counted and for which one set goes on.
-2. Shingles are ordered by how often they recur, then by hash. Two sets of similarity t share
-   a shingle among the first n - ceil(t * n) + 1 of each, so sets meet in buckets by those.
+2. Shingles are ordered by how often they recur, then by hash. The first shingle that two sets of
+   similarity t share is among the first n - ceil(t * n) + 1 of each, so sets meet in buckets by those;
+   in the smaller set it is among the first n - ceil(2 * t / (1 + t) * n) + 1, marked ``early``.
 3. In each bucket every set is held against the bucket's first set, which is linear in the bucket.
 4. Buckets that still hold sets of several components are cut into tiles by size band
    (similar sets lie in the same or the next band) and hash. Inside two tiles, bit counts of
@@ -73,6 +74,16 @@ def prefix_length(n: int) -> int:
     return n - -(-NUMERATOR * n // DENOMINATOR) + 1 if n else 0
 
 
+def early_length(n: np.ndarray) -> np.ndarray:
+    """How many of a set's first shingles can be the first that it shares with a similar set of its size or larger."""
+    return n - -(-2 * NUMERATOR * n // (DENOMINATOR + NUMERATOR)) + 1
+
+
+def can_meet(n, early, m, others):
+    """False where a bucket's shingle can't be the first that two similar sets share: the smaller one has it too late."""
+    return ((n > m) | early) & ((m > n) | others)
+
+
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
     common = len(np.intersect1d(a, b, assume_unique=True))
     return DENOMINATOR * common >= NUMERATOR * (len(a) + len(b) - common)
@@ -221,8 +232,8 @@ def first_sets(docs: DataFrame, hot) -> DataFrame:
 
 
 def bucket_members(sets: DataFrame, hot) -> DataFrame:
-    """hash, leader, rid, n, band, near, crowd: each further set of a bucket, with the bucket's first. ``near``: their sizes allow
-    a link; ``crowd``: the bucket may hold more sets than these two. Buckets of one set are gone. A bucket of more than SPLIT sets, by
+    """hash, leader, rid, n, early, band, near, crowd: each further set of a bucket, with the bucket's first. ``near``: sizes and
+    places of the shingle allow a link; ``crowd``: the bucket may hold more sets than these two. Buckets of one set are gone. A bucket of more than SPLIT sets, by
     the counts ``hot``, is dealt over parts with a first set each, which are members themselves."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,13 +250,16 @@ def bucket_members(sets: DataFrame, hot) -> DataFrame:
                 if len(keys):
                     at = np.minimum(np.searchsorted(keys, flat), len(keys) - 1)
                     parts = np.where(keys[at] == flat, many[at], 1)
+                place = np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+                marked = 2 * n + (place < early_length(n))
                 part = ((rid.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % parts
-                yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64)), pa.array(np.where(parts > 1, part + 1, 0).astype(np.int32)), pa.array(rid), pa.array(n.astype(np.int32))], names=["hash", "part", "rid", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64)), pa.array(np.where(parts > 1, part + 1, 0).astype(np.int32)), pa.array(rid), pa.array(marked.astype(np.int64))], names=["hash", "part", "rid", "marked"])
 
     def lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, leader, size = None, 0, 0
+        last, leader, size, own = None, 0, 0, False
         for batch in batches:
-            h, p, r, n = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("hash", "part", "rid", "n"))
+            h, p, r, marked = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("hash", "part", "rid", "marked"))
+            n, early = marked >> 1, (marked & 1).astype(bool)
             if not len(h):
                 continue
             starts = np.append(True, (h[1:] != h[:-1]) | (p[1:] != p[:-1]))
@@ -253,18 +267,19 @@ def bucket_members(sets: DataFrame, hot) -> DataFrame:
             first = np.maximum.accumulate(np.where(starts, np.arange(len(h)), -1))
             leaders = np.where(first >= 0, r[np.maximum(first, 0)], leader)
             sizes = np.where(first >= 0, n[np.maximum(first, 0)], size)
+            earlies = np.where(first >= 0, early[np.maximum(first, 0)], own)
             run = np.cumsum(starts)
             length = np.bincount(run)[run]
             # A run at either end of a batch may go on in the next one.
             crowd = (length > 2) | (run == run[-1]) | (first < 0) | (p > 0)
-            last, leader, size = (h[-1], p[-1]), leaders[-1], sizes[-1]
+            last, leader, size, own = (h[-1], p[-1]), leaders[-1], sizes[-1], earlies[-1]
             more = (r != leaders) | (p > 0)
-            near = near_in_size(n.astype(np.int64), sizes.astype(np.int64)) & (r != leaders)
-            yield pa.RecordBatch.from_arrays([pa.array(x[more]) for x in (h, leaders, r, n, band(n).astype(np.int32), near, crowd)], names=["hash", "leader", "rid", "n", "band", "near", "crowd"])
+            near = near_in_size(n, sizes) & can_meet(n, early, sizes, earlies) & (r != leaders)
+            yield pa.RecordBatch.from_arrays([pa.array(x[more]) for x in (h, leaders, r, n, early, band(n).astype(np.int32), near, crowd)], names=["hash", "leader", "rid", "n", "early", "band", "near", "crowd"])
 
-    postings = sets.select("rid", "n", "prefix").mapInArrow(emit, "hash bigint, part int, rid bigint, n int")
+    postings = sets.select("rid", "n", "prefix").mapInArrow(emit, "hash bigint, part int, rid bigint, marked bigint")
     sorted_ = postings.repartition("hash", "part").sortWithinPartitions("hash", "part", "rid")
-    return stored(sorted_.mapInArrow(lead, "hash bigint, leader bigint, rid bigint, n int, band int, near boolean, crowd boolean"), "members")
+    return stored(sorted_.mapInArrow(lead, "hash bigint, leader bigint, rid bigint, n bigint, early boolean, band int, near boolean, crowd boolean"), "members")
 
 
 def _small(rows: DataFrame) -> DataFrame:
@@ -343,16 +358,24 @@ def tiled_pairs(members: DataFrame, sets: DataFrame, roots: DataFrame) -> DataFr
     and bitmaps let through: a meeting of tiles passes on a forest that spans such pairs of different blocks, not the pairs."""
     # A bucket's first set has been held against the others; of buckets with the same sets one is enough.
     known = _small(roots.withColumnsRenamed({"node": "rid"}))
-    placed = members.where("crowd").select("hash", "rid", "n", "band").join(known, "rid", "left").select("hash", "rid", "n", "band", F.coalesce("root", "rid").alias("root"))
-    mark = [F.bit_xor(F.xxhash64(F.lit(seed), "rid")).alias(f"x{seed}") for seed in (1, 2)]
+    placed = members.where("crowd").select("hash", "rid", "n", "early", "band").join(known, "rid", "left").select("hash", "rid", "n", "early", "band", F.coalesce("root", "rid").alias("root"))
+    mark = [F.bit_xor(F.xxhash64(F.lit(seed), "rid", "early")).alias(f"x{seed}") for seed in (1, 2)]
     open_ = placed.groupBy("hash").agg(F.count("*").alias("sets"), F.min("root").alias("low"), F.max("root").alias("high"), *mark).where("low < high")
     unlike = stored(open_.groupBy("sets", "x1", "x2").agg(F.min("hash").alias("hash")).select("hash"), "buckets")
     sized = stored(placed.join(_small(unlike), "hash"), "open")
-    # A set stays where its own or a neighbouring band of the bucket holds another block.
-    near = sized.groupBy("hash", "band").agg(F.min("root").alias("low"), F.max("root").alias("high"))
-    around = near.select("hash", "low", "high", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"))
-    mixed = around.groupBy("hash", "band").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low < high").select("hash", "band")
-    banded = stored(join_sums(sized, mixed, ["hash", "band"]), "banded")
+    # A set stays where another block has a set that it can meet: an early one in its own band or the one below, or, for an early set itself,
+    # any in its own band or the one above.
+    of_early = lambda f: f(F.when(F.col("early"), F.col("root")))
+    near = sized.groupBy("hash", "band").agg(F.min("root").alias("low"), F.max("root").alias("high"), of_early(F.min).alias("low_early"), of_early(F.max).alias("high_early"))
+    nothing = F.lit(None).cast("bigint")
+    reach = F.array(
+        F.struct((F.col("band") - 1).alias("band"), F.col("low").alias("low"), F.col("high").alias("high"), nothing.alias("low_early"), nothing.alias("high_early")),
+        F.struct("band", "low", "high", "low_early", "high_early"),
+        F.struct((F.col("band") + 1).alias("band"), nothing.alias("low"), nothing.alias("high"), F.col("low_early").alias("low_early"), F.col("high_early").alias("high_early")))
+    around = near.select("hash", F.explode(reach).alias("s")).select("hash", "s.*")
+    mixed = around.groupBy("hash", "band").agg(*[f(c).alias(c) for f, c in ((F.min, "low"), (F.max, "high"), (F.min, "low_early"), (F.max, "high_early"))]).where("low < high OR low_early IS NOT NULL")
+    meets = join_sums(sized, mixed, ["hash", "band"]).where("(early AND low < high) OR low_early <> root OR high_early <> root")
+    banded = stored(meets.select("hash", "band", "rid", "n", "early", "root"), "banded")
     delete_stored(sized)
     counted = banded.groupBy("hash", "band").agg(F.ceil(F.count("*") / F.lit(float(TILE))).cast("int").alias("tiles"))
     bands = Window.partitionBy("hash").orderBy("band")
@@ -365,7 +388,7 @@ def tiled_pairs(members: DataFrame, sets: DataFrame, roots: DataFrame) -> DataFr
     over = F.when(F.col("up").isNotNull(), F.transform(numbers(F.col("up")), lambda o: F.struct(F.col("band").alias("low"), F.lit(1).alias("step"), F.col("t").alias("x"), o.alias("y"), F.lit(0).alias("side"))))
     under = F.when(F.col("down").isNotNull(), F.transform(numbers(F.col("down")), lambda o: F.struct((F.col("band") - 1).alias("low"), F.lit(1).alias("step"), o.alias("x"), F.col("t").alias("y"), F.lit(1).alias("side"))))
     empty = F.array().cast("array<struct<low:int,step:int,x:int,y:int,side:int>>")
-    spread = dealt.select("hash", "rid", "root", "n", F.explode(F.concat(own, F.coalesce(over, empty), F.coalesce(under, empty))).alias("p")).select("hash", "rid", "root", "n", "p.*")
+    spread = dealt.select("hash", "rid", "root", "n", "early", F.explode(F.concat(own, F.coalesce(over, empty), F.coalesce(under, empty))).alias("p")).select("hash", "rid", "root", "n", "early", "p.*")
     rows = sets.select("rid", "bits").join(_small(stored(spread, "spread")), "rid").repartition("hash", "low", "step", "x", "y").sortWithinPartitions("hash", "low", "step", "x", "y", "side", "rid")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -373,7 +396,7 @@ def tiled_pairs(members: DataFrame, sets: DataFrame, roots: DataFrame) -> DataFr
         names = ["hash", "low", "step", "x", "y"]
         for batch in batches:
             out: list[tuple[int, int]] = []
-            columns = [batch.column(c).to_pylist() for c in (*names, "side", "rid", "root", "n", "bits")]
+            columns = [batch.column(c).to_pylist() for c in (*names, "side", "rid", "root", "n", "bits", "early")]
             for row in zip(*columns, strict=True):
                 if row[:5] != key:
                     out += tile_forest(key, held)
@@ -382,7 +405,7 @@ def tiled_pairs(members: DataFrame, sets: DataFrame, roots: DataFrame) -> DataFr
             yield _pairs(out)
         yield _pairs(tile_forest(key, held))
 
-    return rows.select("hash", "low", "step", "x", "y", "side", "rid", "root", "n", "bits").mapInArrow(run, "a bigint, b bigint")
+    return rows.select("hash", "low", "step", "x", "y", "side", "rid", "root", "n", "bits", "early").mapInArrow(run, "a bigint, b bigint")
 
 
 def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
@@ -408,7 +431,7 @@ class Forest:
 
 
 def tile_forest(key: tuple | None, held: list[tuple]) -> list[tuple[int, int]]:
-    """A spanning forest of the pairs let through inside one meeting of tiles: side, rid, root, n, bits of each set."""
+    """A spanning forest of the pairs let through inside one meeting of tiles: side, rid, root, n, bits, early of each set."""
     if key is None or len(held) < 2:
         return []
     same = key[2] == 0 and key[3] == key[4]
@@ -417,15 +440,16 @@ def tile_forest(key: tuple | None, held: list[tuple]) -> list[tuple[int, int]]:
     if not first or not second:
         return []
     width = min(len(h[4]) for h in held) // 8
-    maps, others = (np.stack([fold(np.frombuffer(h[4], dtype=np.uint64), width) for h in x]) for x in (first, second))
+    maps, to_maps = (np.stack([fold(np.frombuffer(h[4], dtype=np.uint64), width) for h in x]) for x in (first, second))
     (r, c, n), (s, d, m) = ([np.array([h[k] for h in x], dtype=np.int64) for k in (1, 2, 3)] for x in (first, second))
+    early, others = (np.array([h[5] for h in x], dtype=bool) for x in (first, second))
     place = {rid: i for i, rid in enumerate(dict.fromkeys([*r.tolist(), *s.tolist()]))}
     forest, out = Forest(list(place)), []
     at, to = (np.array([place[x] for x in y.tolist()]) for y in (r, s))
     group = np.arange(len(place))
     step = max(1, (1 << 21) // (len(second) * width))
     for a in range(0, len(first), step):
-        ok = could_be_similar(n[a : a + step], maps[a : a + step], m, others) & (c[a : a + step, None] != d[None, :])
+        ok = could_be_similar(n[a : a + step], maps[a : a + step], m, to_maps) & can_meet(n[a : a + step, None], early[a : a + step, None], m[None, :], others[None, :]) & (c[a : a + step, None] != d[None, :])
         for i in range(len(ok)):
             # Of the partners, those that were not yet in one tree with this set when last looked at.
             for j in np.flatnonzero(ok[i] & (group[to] != group[at[a + i]])).tolist():
@@ -435,11 +459,11 @@ def tile_forest(key: tuple | None, held: list[tuple]) -> list[tuple[int, int]]:
     return out
 
 
-def block_links(blocks: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
+def block_links(blocks: DataFrame, classes: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
     """a, b, links, copies, stored. Where a = b: how many sets it is linked to in one meeting of tiles, and how many rows those have; else a
     link of a forest that spans the links. Blocks (node, root) too large for one task are cut into tiles that meet in pairs, each pair in its own task."""
     inside = blocks.select(F.col("node").alias("rid"), F.col("root").alias("block")).unionAll(blocks.select(F.col("root").alias("rid"), F.col("root").alias("block")).distinct())
-    sized = stored(sets.select("rid", "n", "copies").join(_small(stored(inside, "inside")), "rid"), "blocks")
+    sized = stored(classes.select(F.col("cid").alias("rid"), "n", "copies").join(_small(stored(inside, "inside")), "rid"), "blocks")
     tiles = sized.groupBy("block").agg(F.greatest(F.ceil(F.count("*") / F.lit(float(BLOCK_SETS))), F.ceil(F.sum("n") / F.lit(float(BLOCK_SHINGLES)))).cast("int").alias("tiles"))
     dealt = join_sums(sized, tiles, ["block"]).withColumn("t", F.pmod(F.xxhash64("rid"), F.col("tiles")).cast("int"))
     meets = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda o: F.struct(F.least(F.col("t"), o).alias("x"), F.greatest(F.col("t"), o).alias("y"), (F.col("t") > o).cast("int").alias("side")))
@@ -510,23 +534,21 @@ def classify(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     spark = docs.sparkSession
     rows, counts = scan(docs)
     hot = spark.sparkContext.broadcast(hot_shingles(counts))
-    wide = first_sets(docs, hot)
+    sets = first_sets(docs, hot)
     of_digest = rows.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"))
-    classes = stored(of_digest.join(wide.select("digest", F.col("rid").alias("cid")), "digest"), "classes")
+    classes = stored(of_digest.join(sets.select("digest", F.col("rid").alias("cid"), "n"), "digest"), "classes")
     free_shuffles(spark)
-    members = bucket_members(wide, hot)
-    firsts = stored(wide.select("rid", "k1", "k2", "n", "bits").join(classes.select(F.col("cid").alias("rid"), "copies"), "rid"), "firsts")
-    delete_stored(wide)
+    members = bucket_members(sets, hot)
     free_shuffles(spark)
     near = stored(members.where("near").select("leader", "rid").distinct(), "near")
-    met = let_through(near, firsts)
+    met = let_through(near, sets)
     roots = components(met)
-    tiled = stored(tiled_pairs(members, firsts, roots), "tiled")
+    tiled = stored(tiled_pairs(members, sets, roots), "tiled")
     blocks = components(met.unionAll(tiled))
     for table_ in (near, members, met, tiled, roots):
         delete_stored(table_)
     free_shuffles(spark)
-    links = block_links(blocks, firsts, docs)
+    links = block_links(blocks, classes, sets, docs)
     delete_stored(blocks)
     final = components(links.select("a", "b"))
     placed = classes.join(final.withColumnsRenamed({"node": "cid"}), "cid", "left").select("digest", "least", "cid", "copies", F.coalesce("root", "cid").alias("root"))
@@ -535,7 +557,7 @@ def classify(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     found = join_sums(placed, lowest, ["root"]).join(degrees, "cid", "left").select(
         "digest", "cid", "root", "component_id", F.coalesce("links", F.lit(0)).alias("links"), (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("linked_rows"))
     out = stored(found, "of_class")
-    for table_ in (classes, final, links, firsts):
+    for table_ in (classes, final, links, sets):
         delete_stored(table_)
     free_shuffles(spark)
     return rows, out
