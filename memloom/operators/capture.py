@@ -129,3 +129,62 @@ def last_n(rows: DataFrame, by: list[str], order: list[Column], n: int) -> DataF
 def needs_sync(threads: DataFrame, checkpoints: DataFrame) -> DataFrame:
     """Threads whose update time is not the checkpoint's."""
     return threads.join(checkpoints, "thread_id", "left").where(~F.col("updated").eqNullSafe(F.col("seen"))).drop("seen")
+
+
+MOST_MATCHES = 5
+
+
+def review(candidates: DataFrame, memories: DataFrame) -> DataFrame:
+    """left_id, right_id, similarity, version, place, action for every candidate (id, kind, value) over ``memories`` (id, kind, value, version): equal
+    ones link, similar ones (the nearest MOST_MATCHES) must be replaced, else one is created (right_id null)."""
+    pairs = similar_pairs(candidates, memories).join(memories.select(F.col("id").alias("right_id"), "version"), "right_id")
+    w = Window.partitionBy("left_id").orderBy(F.desc("similarity"), F.desc("version"), "right_id")
+    near = pairs.withColumn("place", F.row_number().over(w)).where(F.col("place") <= MOST_MATCHES)
+    equal = near.where("similarity = 1").select("left_id").distinct().withColumn("equal", F.lit(True))
+    told = candidates.select(F.col("id").alias("left_id")).join(equal, "left_id", "left").join(near, "left_id", "left").where("equal IS NULL OR similarity = 1")
+    return told.withColumn("action", F.when(F.col("equal"), "link_duplicate").when(F.col("right_id").isNotNull(), "replace_required").otherwise("create")).drop("equal")
+
+
+def decisions(commands: DataFrame) -> DataFrame:
+    """``commands`` (command approve or reject, status, sensitivity, wanted_sensitivity, memory_event, action, replace_id, replace_kind,
+    replace_version, kind) with outcome, status_after and expected_version of the write. Outcomes that begin with ``refused`` change nothing."""
+    c = F.col
+    approve = (F.when(c("status") == "rejected", "refused_rejected").when((c("status") == "approved") & (c("sensitivity") != F.coalesce("wanted_sensitivity", "sensitivity")), "refused_sensitivity")
+               .when((c("status") == "approved") & c("memory_event").isNotNull(), "already_approved").when(c("action") == "link_duplicate", "linked_duplicate")
+               .when((c("action") == "replace_required") & c("replace_id").isNull(), "refused_needs_replacement").when(c("replace_id").isNotNull() & c("replace_kind").isNull(), "refused_no_such_memory")
+               .when(c("replace_id").isNotNull() & (c("replace_kind") != c("kind")), "refused_other_kind").when(c("replace_id").isNotNull(), "replaced").otherwise("created"))
+    outcome = F.when(c("command") == "approve", approve).when(c("status") == "approved", "refused_approved").otherwise("rejected")
+    out = commands.withColumn("outcome", outcome)
+    after = F.when(c("outcome").startswith("refused"), c("status")).when(c("outcome") == "rejected", "rejected").otherwise("approved")
+    return out.withColumns({"status_after": after, "expected_version": F.when(c("outcome") == "replaced", c("replace_version"))})
+
+
+def expire(candidates: DataFrame, occurrences: DataFrame, threads: DataFrame, turns: DataFrame, items: DataFrame, cutoff: Column, candidate_cutoff: Column) -> dict[str, DataFrame]:
+    """What the cascade keeps of each table: pending candidates go by when they were last seen, reviewed ones by their review, their
+    occurrences with them; then turns by their own time or, without one, their thread's; their items; and old threads left without turns."""
+    c = F.col
+    late = lambda at, limit: F.coalesce(at < limit, F.lit(False))
+    pending = c("status") == "pending"
+    dead = candidates.where((pending & late(c("last_seen"), candidate_cutoff)) | (~pending & late(F.coalesce("reviewed_at", "last_seen", "created_at"), cutoff))).select("candidate_id")
+    seen = occurrences.where(~late(c("observed_at"), candidate_cutoff)).join(dead, "candidate_id", "left_anti")
+    counts = seen.groupBy("candidate_id").agg(F.count("*").alias("occurrence_count"))
+    left = candidates.join(dead, "candidate_id", "left_anti").drop("occurrence_count").join(counts, "candidate_id", "left").fillna(0, ["occurrence_count"])
+    old = threads.where(late(c("updated_at"), cutoff)).select("thread_id")
+    at = F.coalesce("completed_at", "started_at")
+    gone = turns.where(late(at, cutoff)).select("thread_id", "turn_id").unionAll(turns.where(at.isNull()).join(old, "thread_id", "left_semi").select("thread_id", "turn_id"))
+    kept = turns.join(gone, ["thread_id", "turn_id"], "left_anti")
+    return {"candidates": left, "occurrences": seen, "turns": kept, "items": items.join(gone, ["thread_id", "turn_id"], "left_anti"),
+            "threads": threads.join(old.join(kept.select("thread_id").distinct(), "thread_id", "left_anti"), "thread_id", "left_anti")}
+
+
+def checkpoint_status(checkpoints: DataFrame) -> DataFrame:
+    """threads, tracked_items and latest times by source."""
+    return checkpoints.groupBy("source").agg(F.count("*").alias("threads"), F.sum(F.coalesce("items", F.lit(0))).alias("tracked_items"), F.max("synced_at").alias("latest_synced"), F.max("updated_at").alias("latest_updated"))
+
+
+def sync_state(runs: DataFrame) -> DataFrame:
+    """source, last_success, last_error (null after a success) and failures since the last success. ``runs``: source, at, ok."""
+    succeeded = runs.where("ok").groupBy("source").agg(F.max("at").alias("last_success"))
+    since = F.coalesce(F.col("at") > F.col("last_success"), F.lit(True)) & ~F.col("ok")
+    return runs.join(succeeded, "source", "left").groupBy("source").agg(
+        F.max("last_success").alias("last_success"), F.max(F.when(since, F.col("at"))).alias("last_error"), F.count_if(since).alias("consecutive_failures"))

@@ -117,3 +117,30 @@ def coverage(obligations: DataFrame, outcomes: DataFrame) -> DataFrame:
 
 def escape_envelope(text: Column) -> Column:
     return F.replace(F.replace(F.replace(text, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+
+
+def selection_receipt(candidates: DataFrame, mode: str) -> DataFrame:
+    """request_id, input_count, eligible_count, confirmation_filtered, order. ``candidates``: request_id, require_confirmed, user_confirmed, score."""
+    stays = ~F.col("require_confirmed") | F.col("user_confirmed")
+    counted = candidates.groupBy("request_id").agg(F.count("*").alias("input_count"), F.count_if(stays).alias("eligible_count"), F.count_if(stays & F.col("score").isNull()).alias("unscored"))
+    named = {"relevance_first": "exact_score_purpose_updated_id", "relevance_only": "exact_score_updated_id", "legacy_weighted": "legacy_weighted"}[mode]
+    order = F.lit(named) if mode == "legacy_weighted" else F.when(F.col("unscored") > 0, "input_order").otherwise(named)
+    return counted.select("request_id", "input_count", "eligible_count", (F.col("input_count") - F.col("eligible_count")).alias("confirmation_filtered"), order.alias("order"))
+
+
+def first_seen(candidates: DataFrame, content: list[str]) -> DataFrame:
+    """The first of each request's rows of a memory by input_rank, with how often it came and whether all its rows agree in ``content``."""
+    same = Window.partitionBy("request_id", "memory_id")
+    told = F.xxhash64(*content)
+    out = candidates.withColumns({"place": F.row_number().over(same.orderBy("input_rank")), "times": F.count("*").over(same), "consistent": F.min(told).over(same) == F.max(told).over(same)})
+    return out.where("place = 1").drop("place")
+
+
+def requirement_violations(requirements: DataFrame, candidates: DataFrame, most: int = 32, most_ids: int = 100) -> DataFrame:
+    """request_id, code of requirements (request_id, requirement_id, query, memory_ids) that can't be checked: too many, repeated, blank, or of unknown memories."""
+    each = requirements.groupBy("request_id").agg(F.count("*").alias("n"), F.countDistinct("requirement_id").alias("ids"), F.count_if(F.length(F.trim("query")) == 0).alias("blank"),
+                                                  F.count_if((F.size("memory_ids") > most_ids) | (F.size(F.array_distinct("memory_ids")) < F.size("memory_ids"))).alias("lists"))
+    named = requirements.select("request_id", F.explode("memory_ids").alias("memory_id")).distinct()
+    unknown = named.join(candidates.select("request_id", "memory_id"), ["request_id", "memory_id"], "left_anti").select("request_id").distinct().withColumn("unknown", F.lit(True))
+    codes = F.array_compact(F.array(F.when(F.col("n") > most, "too_many"), F.when(F.col("ids") < F.col("n"), "repeated_id"), F.when(F.col("blank") > 0, "blank_query"), F.when(F.col("lists") > 0, "memory_list"), F.when(F.col("unknown"), "unknown_memory")))
+    return each.join(unknown, "request_id", "left").select("request_id", F.explode(codes).alias("code"))

@@ -115,3 +115,52 @@ def reorder(window: DataFrame, limit: int) -> DataFrame:
 def pending(current: DataFrame, indexed: DataFrame, keys: list[str]) -> DataFrame:
     """Current rows without a vector of exactly their version."""
     return current.join(indexed.select(*keys), keys, "left_anti")
+
+
+VERSION = ["memory_id", "source_event_id", "version"]
+
+
+def indexed(current: DataFrame, vectors: DataFrame, model: str) -> DataFrame:
+    """``current`` memories with their vector: one of exactly that source event and version, made by ``model``."""
+    return current.join(vectors.where(F.col("model") == model).drop("model"), VERSION)
+
+
+def coverage(population: DataFrame, vectors: DataFrame, model: str, maximum: int, by: list[str]) -> DataFrame:
+    """``by``, n, missing, complete: whether every memory of a population has its vector and there are at most ``maximum``."""
+    have = vectors.where(F.col("model") == model).select(*VERSION).distinct().withColumn("has", F.lit(True))
+    counted = population.join(have, VERSION, "left").groupBy(*by).agg(F.count("*").alias("n"), F.count_if(F.col("has").isNull()).alias("missing"))
+    return counted.withColumn("complete", (F.col("missing") == 0) & (F.col("n") <= maximum))
+
+
+def commits(tasks: DataFrame, current: DataFrame, jobs: DataFrame) -> DataFrame:
+    """``tasks`` (user_id, memory_id, source_event_id, version, model) with ``committed``: the memory is still that version, confirmed, and its job open."""
+    live = current.where("user_confirmed").select("user_id", *VERSION).join(jobs.select("memory_id", "model").distinct(), "memory_id").withColumn("committed", F.lit(True))
+    return tasks.join(live, ["user_id", *VERSION, "model"], "left").fillna(False, ["committed"])
+
+
+def sync_counts(tasks: DataFrame, most: int) -> DataFrame:
+    """What one run a user over the oldest ``most`` tasks does, which stops at the first failure. ``tasks``: user_id, memory_id,
+    updated_at, outcome (indexed, stale, failed: what the model and the commit would give)."""
+    w = Window.partitionBy("user_id").orderBy("updated_at", "memory_id")
+    first = tasks.withColumn("place", F.row_number().over(w)).where(F.col("place") <= most)
+    stop = first.groupBy("user_id").agg(F.coalesce(F.min(F.when(F.col("outcome") == "failed", F.col("place"))), F.lit(most)).alias("stop"))
+    ran = first.join(stop, "user_id").where("place <= stop").groupBy("user_id").agg(F.count("*").alias("attempted"), *[F.count_if(F.col("outcome") == x).alias(x) for x in ("indexed", "stale", "failed")])
+    total = tasks.groupBy("user_id").agg(F.count("*").alias("total"))
+    return ran.join(total, "user_id").select("user_id", "attempted", "indexed", "stale", "failed", F.least(F.lit(most), F.col("total") - F.col("indexed")).alias("remaining"))
+
+
+def hydration(references: DataFrame, current: DataFrame, most: int = 100) -> DataFrame:
+    """request_id, n, found, valid: at most ``most`` distinct references a request, each still of its version."""
+    have = current.select(*VERSION).withColumn("has", F.lit(True))
+    counted = references.join(have, VERSION, "left").groupBy("request_id").agg(F.count("*").alias("n"), F.countDistinct("memory_id").alias("ids"), F.count_if("has").alias("found"))
+    return counted.select("request_id", "n", "found", ((F.col("n") <= most) & (F.col("ids") == F.col("n")) & (F.col("found") == F.col("n"))).alias("valid"))
+
+
+def route(baseline: Column, reranked: Column) -> Column:
+    """Which selection counts: a rejection by reranking keeps what was verified before."""
+    return F.when(reranked.isNotNull() | baseline.isNull(), "reranked").otherwise("baseline")
+
+
+def embedding_text(value: Column) -> Column:
+    """A JSON string's content, or the JSON of any other value."""
+    return F.coalesce(F.when(value.startswith('"'), F.from_json(F.concat(F.lit('{"v":'), value, F.lit("}")), "v string")["v"]), value)

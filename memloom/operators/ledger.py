@@ -112,3 +112,16 @@ def apply_commands(commands: DataFrame) -> DataFrame:
         return pd.DataFrame([(c.user_id, c.memory_key, c.event_seq, *rest) for c, *rest in rows], columns=["user_id", "memory_key", "event_seq", "status", "version", "value"])
 
     return commands.groupBy(*IDENTITY).applyInPandas(fold, COMMANDS)
+
+
+def guard_reviewed(writes: DataFrame, current: DataFrame) -> DataFrame:
+    """``writes`` of reviewed handoffs (user_id, task_id, memory_key, kind, scope, user_confirmed, expected_version, seen_id, seen_event, seen_version) with
+    ``outcome``: invalid, conflict (the current row is not the reviewed one: id, event and version), or accepted. ``current``: user_id, task_id, memory_id, source_event_id, version."""
+    c = F.col
+    fresh = (c("seen_version") == 0) & c("seen_id").isNull() & c("seen_event").isNull()
+    known = (c("seen_version") > 0) & c("seen_id").isNotNull() & c("seen_event").isNotNull()
+    sound = ((c("kind") == "task_state") & (c("scope") == "task") & (c("memory_key") == F.concat(F.lit("handoff:"), c("task_id"))) & c("user_confirmed") & (c("expected_version") == c("seen_version")) & (fresh | known))
+    held = current.select("user_id", "task_id", c("memory_id").alias("now_id"), c("source_event_id").alias("now_event"), c("version").alias("now_version"))
+    same = c("now_id").eqNullSafe(c("seen_id")) & c("now_event").eqNullSafe(c("seen_event")) & (F.coalesce("now_version", F.lit(0)) == c("seen_version"))
+    outcome = F.when(~F.coalesce(sound, F.lit(False)), "invalid").when(~same, "conflict").otherwise("accepted")
+    return writes.join(held, ["user_id", "task_id"], "left").withColumn("outcome", outcome).drop("now_id", "now_event", "now_version")

@@ -41,3 +41,36 @@ def regression_gate(rounds: DataFrame, by: str, factor: float = 1.5, slack: floa
     """Median over rounds of each phase's p95 (``by``, phase before/after, round, p95): after <= before * factor + slack."""
     medians = rounds.groupBy(by).agg(*[F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY CASE WHEN phase = '{x}' THEN p95 END)").alias(x) for x in ("before", "after")])
     return medians.withColumn("passes", F.col("after") <= F.col("before") * factor + slack)
+
+
+def issues(ranked: DataFrame, judged: DataFrame, k: int) -> DataFrame:
+    """request_id, memory_id, stage, reason of what went wrong in the first ``k``: relevant memories not found, cut off, or below a selected
+    distractor, and selected ones that are not relevant."""
+    relevant = judged.where("grade > 0").select("request_id", "memory_id", F.lit(True).alias("relevant"))
+    seen = ranked.select("request_id", "memory_id", "final_rank").join(relevant, ["request_id", "memory_id"], "full")
+    wrong = F.col("relevant").isNull() & (F.col("final_rank") <= k)
+    told = seen.withColumn("first_wrong", F.min(F.when(wrong, F.col("final_rank"))).over(Window.partitionBy("request_id")))
+    issue = lambda when, stage, reason: F.when(when, F.struct(F.lit(stage).alias("stage"), F.lit(reason).alias("reason")))
+    found = F.array_compact(F.array(
+        issue(F.col("relevant") & F.col("final_rank").isNull(), "unattributed", "candidate_not_in_evidence"), issue(F.col("relevant") & (F.col("final_rank") > k), "ranking", "output_top_k"),
+        issue(wrong, "relevance", "unrelated_selection"), issue(F.col("relevant") & (F.col("final_rank") > k) & (F.col("first_wrong") < F.col("final_rank")), "ranking", "relevant_below_selected_distractor")))
+    return told.select("request_id", "memory_id", F.explode(found).alias("i")).select("request_id", "memory_id", "i.*")
+
+
+def failure_counts(found: DataFrame) -> DataFrame:
+    """stage, reason, distinct cases (requests) and observations."""
+    return found.groupBy("stage", "reason").agg(F.countDistinct("request_id").alias("cases"), F.count("*").alias("observations"))
+
+
+def grouped_summary(scores: DataFrame, by: str) -> DataFrame:
+    """Ratios of summed counts and means of ``ranking_scores`` by group, and over all (group null)."""
+    return scores.rollup(by).agg(F.count("*").alias("requests"), ratio(F.sum("hits"), F.sum("relevant")).alias("micro_recall"), ratio(F.sum("missed"), F.sum("relevant")).alias("miss"),
+                                 ratio(F.sum("false_selected"), F.sum("selected")).alias("false_selection"), F.round(F.avg("reciprocal_rank"), 6).alias("mrr"))
+
+
+def stability(observations: DataFrame) -> DataFrame:
+    """case_id, repeat_stable (each rebuild gives one list in all repeats), rebuild_stable (first repeats give one list in all
+    rebuilds). ``observations``: case_id, rebuild, repeat_no, place, item."""
+    lists = observations.groupBy("case_id", "rebuild", "repeat_no").agg(F.md5(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("place", "item"))), lambda x: x["item"]))).alias("h"))
+    built = lists.groupBy("case_id", "rebuild").agg((F.countDistinct("h") == 1).alias("steady"), F.min_by("h", "repeat_no").alias("first"))
+    return built.groupBy("case_id").agg(F.min("steady").alias("repeat_stable"), (F.countDistinct("first") == 1).alias("rebuild_stable"))

@@ -86,3 +86,21 @@ def answers(packed: DataFrame) -> DataFrame:
     """request_id, status, statements: evidence_ready where all is covered, partial where some, else abstain. ``packed``: request_id, items, covered, total."""
     status = F.when(F.col("items") == 0, "abstain").when(F.col("covered") >= F.col("total"), "evidence_ready").otherwise("partial")
     return packed.select("request_id", status.alias("status"), F.col("items").alias("statements"))
+
+
+def budgeted_sufficiency(rows: DataFrame) -> DataFrame:
+    """``sufficiency`` of what was packed: its columns with ``packed`` (evidence packed), ``covered`` (queries covered), candidate_truncated and
+    fact_conflict; history is never packed. A truncated candidate list makes enough evidence partial."""
+    judged = sufficiency(rows.withColumns({"found": F.col("evidence"), "evidence": F.col("packed"), "matched": F.col("covered"), "history_count": F.lit(0)}))
+    c = F.col
+    more = F.array_compact(F.array(
+        F.nullif(c("reasons"), F.lit("")), F.when((c("found") > 0) & (c("packed") == 0), "empty_context"), F.when(c("packed") < c("found"), "context_budget"), F.when(c("history"), "history_not_projected"),
+        F.when(c("capped"), "subquery_limit"), F.when(c("candidate_truncated"), "candidate_limit"), F.when(c("fact_conflict"), "fact_conflict")))
+    status = F.when((c("status") == "sufficient") & c("candidate_truncated"), "partial").otherwise(c("status"))
+    return judged.withColumns({"reasons": F.array_join(more, ","), "status": status})
+
+
+def with_history(evidence: DataFrame, events: DataFrame) -> DataFrame:
+    """``evidence`` (memory_id) with event_count and versions of its history, joined once by memory. ``events``: memory_id, version."""
+    past = events.groupBy("memory_id").agg(F.count("*").alias("event_count"), F.array_join(F.array_sort(F.collect_set("version")), ",").alias("versions"))
+    return evidence.join(past, "memory_id", "left").fillna({"event_count": 0, "versions": ""})

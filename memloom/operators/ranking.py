@@ -58,3 +58,20 @@ def page_after(ranked: DataFrame, size: int, keys: list[str]) -> DataFrame:
 def batch_violations(hits: DataFrame) -> DataFrame:
     """Batches whose ranks are not 1..n without gap or repeat."""
     return hits.groupBy("request_id", "channel").agg(F.count("*").alias("n"), F.max("channel_rank").alias("top"), F.countDistinct("channel_rank").alias("ranks"), F.countDistinct("memory_id").alias("ids")).where("n <> top OR n <> ranks OR n <> ids")
+
+
+def encode_cursor(kind: str, timestamp: Column, row_id: Column, fingerprint: Column) -> Column:
+    """Where the next page begins, bound to the filter it belongs to: URL-safe base64 of a JSON object."""
+    value = F.to_json(F.struct(F.lit(kind).alias("kind"), timestamp.alias("timestamp"), row_id.alias("id"), F.lit(2).alias("version"), fingerprint.alias("fingerprint")))
+    # base64 breaks its lines, which a cursor must not have.
+    return F.rtrim(F.translate(F.base64(value.cast("binary")), "+/\r\n", "-_"), F.lit("="))
+
+
+def decode_cursor(cursor: Column, kind: str, fingerprint: Column) -> tuple[Column, Column, Column]:
+    """timestamp, id and why a cursor can't be used (null: it can): not one of this kind, made before cursors had filters, or of another filter."""
+    shaped = F.when((F.length(cursor) <= 4096) & cursor.rlike("^[A-Za-z0-9_-]+$"), F.translate(cursor, "-_", "+/"))
+    raw = F.try_to_binary(F.rpad(shaped, (F.ceil(F.length(shaped) / 4) * 4).cast("int"), F.lit("=")), F.lit("base64"))
+    v = F.from_json(raw.cast("string"), "kind string, timestamp string, id string, version int, fingerprint string")
+    whole = F.coalesce((v["kind"] == kind) & (F.length(v["id"]) > 0) & F.try_to_timestamp(v["timestamp"]).isNotNull(), F.lit(False))
+    why = F.when(~whole, "invalid_cursor").when(v["version"].isNull(), "legacy_cursor_restart_required").when((v["version"] != 2) | ~v["fingerprint"].eqNullSafe(fingerprint), "cursor_filter_mismatch")
+    return v["timestamp"], v["id"], why

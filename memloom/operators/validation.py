@@ -37,11 +37,11 @@ def request_rules() -> dict[tuple[str, str], Column]:
 
 
 def channel_skips(requests: DataFrame) -> DataFrame:
-    """request_id, channel, reason of channels that a request does not use: exact needs a key, or a query that is one; structured
+    """request_id, channel, reason of channels that a request does not use: exact needs a key, or a query that stands for it; structured
     needs a key, kind or scope (a task alone is none); full text needs a query."""
     key, query = F.col("key"), F.nullif(F.trim("query"), F.lit(""))
-    reasons = {"exact": F.when(key.isNull() & query.isNull(), "no_key").when(key.isNotNull() & query.isNotNull() & (key != query), "key_differs_from_query"),
-               "structured": F.when(key.isNull() & F.col("kind").isNull() & F.col("scope").isNull(), "no_filter"), "full_text": F.when(query.isNull(), "no_query")}
+    reasons = {"exact": F.when(key.isNull() & query.isNull(), "missing_exact_key").when(key.isNotNull() & query.isNotNull() & (key != query), "key_query_mismatch"),
+               "structured": F.when(key.isNull() & F.col("kind").isNull() & F.col("scope").isNull(), "missing_structured_filter"), "full_text": F.when(query.isNull(), "empty_query")}
     rows = F.explode(F.array(*[F.struct(F.lit(c).alias("channel"), r.alias("reason")) for c, r in reasons.items()])).alias("skip")
     return requests.select("request_id", rows).select("request_id", "skip.*").where("reason IS NOT NULL")
 
@@ -55,3 +55,13 @@ def uncited(statements: DataFrame, packed: DataFrame) -> DataFrame:
     """Statements whose exact version is not in the packed evidence."""
     keys = ["request_id", "memory_id", "source_event_id", "version"]
     return statements.join(packed.select(*keys), keys, "left_anti")
+
+
+def delta_rules() -> dict[tuple[str, str], Column]:
+    """What a capture source hands over (source, asked_source, thread_id, asked_thread, cursor, base_cursor, is_delta, checkpoint_cursor)."""
+    c, blank = F.col, lambda n: F.length(F.col(n)) == 0
+    return {
+        ("source", "mismatch"): ~c("source").eqNullSafe(c("asked_source")), ("thread_id", "mismatch"): ~c("thread_id").eqNullSafe(c("asked_thread")), ("cursor", "invalid"): blank("cursor"), ("base_cursor", "invalid"): blank("base_cursor"),
+        ("is_delta", "no_checkpoint"): c("is_delta") & (c("checkpoint_cursor").isNull() | blank("checkpoint_cursor")), ("base_cursor", "other_checkpoint"): c("is_delta") & ~c("base_cursor").eqNullSafe(c("checkpoint_cursor")),
+        ("cursor", "missing"): c("is_delta") & (c("cursor").isNull() | blank("cursor")), ("base_cursor", "on_full_snapshot"): ~c("is_delta") & c("base_cursor").isNotNull(),
+    }

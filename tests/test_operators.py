@@ -248,7 +248,7 @@ def test_violations(spark):
     got = {(r.key, r.path, r.code) for r in validation.violations(df, "memory_id", validation.memory_rules()).collect()}
     assert got == {("bad", "kind", "not_allowed"), ("bad", "memory_key", "empty"), ("bad", "task_id", "scope_mismatch"), ("bad", "owner_agent_id", "scope_mismatch"), ("bad", "version", "not_positive")}
     r = spark.createDataFrame([(1, "k", "k", None, None), (2, None, "q", "user_fact", None), (3, "k", " ", None, None)], "request_id int, key string, query string, kind string, scope string")
-    assert {(x.request_id, x.channel, x.reason) for x in validation.channel_skips(r).collect()} == {(1, "x", "x")} - {(1, "x", "x")} | {(3, "full_text", "no_query")}
+    assert {(x.request_id, x.channel, x.reason) for x in validation.channel_skips(r).collect()} == {(3, "full_text", "empty_query")}
 
 
 def test_transcripts(spark, tmp_path):
@@ -277,7 +277,7 @@ def test_service(spark):
 def test_injection(spark):
     from memloom.operators import injection
 
-    prompts = [("tell me about green tea, please", "green tea"), ("status of build-cache-7 now", "build-cache-7"), ("plain question", "plain question"), ("about x", "about x")]
+    prompts = [("讨论 HAPPY_TOPIC.7 时应该使用什么短语？", "HAPPY_TOPIC.7"), ("please follow the green style, then stop", "the green style"), ("plain question", "plain question"), ("using x. now", "using x. now")]
     got = spark.createDataFrame(prompts, "p string, want string").select("want", injection.injection_query(F.col("p")).alias("q")).collect()
     assert [r.q for r in got] == [r.want for r in got]
     rows = [(1, "p", True, True, "a<b", False, 5, 10, "2024-01-01"), (2, "p", False, True, "x", False, 5, 10, "bad"), (3, "p", True, True, "x", False, 50, 10, "2024-01-03"), (4, " ", True, True, "x", False, 5, 10, "2024-01-04"), (5, "p", True, True, "", True, 5, 10, "2024-01-05")]
