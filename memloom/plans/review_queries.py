@@ -11,7 +11,6 @@ from memloom.plans import stream_queries as st
 from memloom.plans.fixtures import EVENTS, MEMORIES, REQUESTS, ledger_events, memories, requests, table
 
 MODEL = "m1"
-I = F.col("event_id")  # noqa: E741
 
 
 def failure_issues(spark, sf_dir):
@@ -28,9 +27,10 @@ def metric_groups(spark, sf_dir):
 
 
 def list_stability(spark, sf_dir):
-    case = I % 97
-    rows = table(spark, sf_dir, "events").select(case.alias("case_id"), (F.floor(I / 97) % 2).alias("rebuild"), (F.floor(I / 194) % 2).alias("repeat_no"), F.floor(I / 388).alias("place"), F.floor(I / 388).alias("n"), I)
-    changed = F.when(case % 5 == 0, I % 11).when(case % 5 == 1, F.col("n") + F.col("rebuild")).otherwise(F.col("n"))
+    i = F.col("event_id")
+    case = i % 97
+    rows = table(spark, sf_dir, "events").select(case.alias("case_id"), (F.floor(i / 97) % 2).alias("rebuild"), (F.floor(i / 194) % 2).alias("repeat_no"), F.floor(i / 388).alias("place"), F.floor(i / 388).alias("n"), i)
+    changed = F.when(case % 5 == 0, i % 11).when(case % 5 == 1, F.col("n") + F.col("rebuild")).otherwise(F.col("n"))
     return metrics.stability(rows.withColumn("item", changed))
 
 
@@ -48,10 +48,11 @@ def candidate_actions(spark, sf_dir):
 
 
 def candidate_decisions(spark, sf_dir):
+    i = F.col("event_id")
     rows = table(spark, sf_dir, "events").select(
-        I, F.when(I % 3 == 0, "reject").otherwise("approve").alias("command"), F.when(I % 7 == 1, "approved").when(I % 7 == 2, "rejected").otherwise("pending").alias("status"), F.lit("public").alias("sensitivity"),
-        F.when(I % 5 == 0, "private").when(I % 5 == 1, "public").alias("wanted_sensitivity"), F.when(I % 14 == 1, I).alias("memory_event"), F.when(I % 4 == 0, "link_duplicate").when(I % 4 == 1, "replace_required").otherwise("create").alias("action"),
-        F.when(I % 11 < 5, I).alias("replace_id"), F.when(I % 11 < 3, "user_fact").when(I % 11 == 3, "decision").alias("replace_kind"), (I % 9).alias("replace_version"), F.lit("user_fact").alias("kind"))
+        i, F.when(i % 3 == 0, "reject").otherwise("approve").alias("command"), F.when(i % 7 == 1, "approved").when(i % 7 == 2, "rejected").otherwise("pending").alias("status"), F.lit("public").alias("sensitivity"),
+        F.when(i % 5 == 0, "private").when(i % 5 == 1, "public").alias("wanted_sensitivity"), F.when(i % 14 == 1, i).alias("memory_event"), F.when(i % 4 == 0, "link_duplicate").when(i % 4 == 1, "replace_required").otherwise("create").alias("action"),
+        F.when(i % 11 < 5, i).alias("replace_id"), F.when(i % 11 < 3, "user_fact").when(i % 11 == 3, "decision").alias("replace_kind"), (i % 9).alias("replace_version"), F.lit("user_fact").alias("kind"))
     return capture.decisions(rows).select("event_id", "outcome", "status_after", "expected_version")
 
 
@@ -74,14 +75,16 @@ def expiry_cascade(spark, sf_dir):
 
 
 def sync_failures(spark, sf_dir):
+    i = F.col("event_id")
     e = table(spark, sf_dir, "events")
-    return capture.sync_state(e.select(F.concat_ws(":", "user_id", I % 3).alias("source"), I.alias("at"), (F.col("event_type") == "click").alias("ok")))
+    return capture.sync_state(e.select(F.concat_ws(":", "user_id", i % 3).alias("source"), i.alias("at"), (F.col("event_type") == "click").alias("ok")))
 
 
 def capture_violations(spark, sf_dir):
+    i = F.col("event_id")
     rows = table(spark, sf_dir, "events").select(
-        I, F.lit("a").alias("source"), F.when(I % 13 == 0, "b").otherwise("a").alias("asked_source"), I.cast("string").alias("thread_id"), F.when(I % 17 != 0, I.cast("string")).alias("asked_thread"), F.when(I % 5 == 0, "").when(I % 5 < 4, "c").alias("cursor"),
-        F.when(I % 3 == 0, "x").when(I % 3 == 1, "").alias("base_cursor"), (I % 2 == 0).alias("is_delta"), F.when(I % 7 < 5, "x").alias("checkpoint_cursor"))
+        i, F.lit("a").alias("source"), F.when(i % 13 == 0, "b").otherwise("a").alias("asked_source"), i.cast("string").alias("thread_id"), F.when(i % 17 != 0, i.cast("string")).alias("asked_thread"), F.when(i % 5 == 0, "").when(i % 5 < 4, "c").alias("cursor"),
+        F.when(i % 3 == 0, "x").when(i % 3 == 1, "").alias("base_cursor"), (i % 2 == 0).alias("is_delta"), F.when(i % 7 < 5, "x").alias("checkpoint_cursor"))
     return validation.violations(rows, "event_id", validation.delta_rules())
 
 
@@ -119,7 +122,8 @@ def dense_hydration(spark, sf_dir):
 
 
 def rerank_route(spark, sf_dir):
-    base, new = F.when(I % 3 == 0, I), F.when(I % 4 == 0, I + 1)
+    i = F.col("event_id")
+    base, new = F.when(i % 3 == 0, i), F.when(i % 4 == 0, i + 1)
     return table(spark, sf_dir, "events").select("event_id", dense.route(base, new).alias("route"), F.when(dense.route(base, new) == "reranked", new).otherwise(base).alias("accepted"))
 
 
@@ -149,15 +153,17 @@ def requirement_violations(spark, sf_dir):
 
 
 def budgeted_sufficiency(spark, sf_dir):
+    i = F.col("event_id")
     rows = table(spark, sf_dir, "events").select(
-        I, (I % 4).alias("evidence"), F.least(I % 4, I % 3).alias("packed"), (1 + I % 2).alias("min_evidence"), (I % 4).alias("matched"), F.least(I % 3, I % 4).alias("covered"), (1 + I % 2).alias("total_queries"), (I % 7 == 0).alias("history"), F.lit(1).alias("history_count"),
-        (I % 29 == 0).alias("history_truncated"), (I % 13 == 0).alias("unsupported"), (I % 17 == 0).alias("capped"), F.when(I % 19 == 0, "max_steps").otherwise("completed").alias("stopped"), (I % 5 == 0).alias("candidate_truncated"), (I % 6 == 0).alias("fact_conflict"))
+        i, (i % 4).alias("evidence"), F.least(i % 4, i % 3).alias("packed"), (1 + i % 2).alias("min_evidence"), (i % 4).alias("matched"), F.least(i % 3, i % 4).alias("covered"), (1 + i % 2).alias("total_queries"), (i % 7 == 0).alias("history"), F.lit(1).alias("history_count"),
+        (i % 29 == 0).alias("history_truncated"), (i % 13 == 0).alias("unsupported"), (i % 17 == 0).alias("capped"), F.when(i % 19 == 0, "max_steps").otherwise("completed").alias("stopped"), (i % 5 == 0).alias("candidate_truncated"), (i % 6 == 0).alias("fact_conflict"))
     return query.budgeted_sufficiency(rows).select("event_id", "status", "reasons")
 
 
 def evidence_history(spark, sf_dir):
+    i = F.col("event_id")
     v = ledger.versions(ledger_events(spark, sf_dir)).select("memory_id", "version")
-    return query.with_history(v.select("memory_id").distinct().unionByName(table(spark, sf_dir, "events").where("event_id % 100 = 0").select((-I).alias("memory_id"))), v)
+    return query.with_history(v.select("memory_id").distinct().unionByName(table(spark, sf_dir, "events").where("event_id % 100 = 0").select((-i).alias("memory_id"))), v)
 
 
 def handoff_guard(spark, sf_dir):
