@@ -67,7 +67,7 @@ def expiry_cascade(spark, sf_dir):
     cands = cands.select("*", F.when(m == 0, "pending").otherwise("approved").alias("status"), F.when(m == 1, F.col("created_at") + 20).alias("reviewed_at"))
     left = capture.expire(cands, seen, threads, turns, c, F.lit(200), F.lit(100))
     counts = [left[k].agg(F.lit(k).alias("table"), F.count("*").alias("kept")) for k in ("occurrences", "threads", "turns", "items")]
-    counts.append(left["candidates"].agg(F.lit("candidates").alias("table"), F.sum("occurrence_count").alias("kept")))
+    counts.append(left["candidates"].agg(F.lit("candidates").alias("table"), F.coalesce(F.sum("occurrence_count"), F.lit(0)).alias("kept")))
     out = counts[0]
     for x in counts[1:]:
         out = out.unionByName(x)
