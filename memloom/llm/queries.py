@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from memloom.llm import decontam, htmltext, jaccard, langid, lmscore, mixing, mpeg, pii, records, toxicity
+from memloom.llm import decontam, htmltext, jaccard, langid, lmscore, mixing, mpeg, periodic, pii, records, toxicity
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_language_id": langid.op8_language_id,
     "op9_lm_scores": lmscore.op9_lm_scores,
     "op10_html_text": htmltext.op10_html_text,
+    "op12_periodic_runs": periodic.op12_periodic_runs,
 }
 
 SQL = {
