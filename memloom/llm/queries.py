@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from memloom.llm import decontam, htmltext, jaccard, langid, lmscore, mixing, mpeg, periodic, pii, records, toxicity
+from memloom.llm import chat, decontam, htmltext, jaccard, langid, lmscore, mixing, mpeg, periodic, pii, records, toxicity
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -16,9 +16,11 @@ QUERIES = {
     "op9_lm_scores": lmscore.op9_lm_scores,
     "op10_html_text": htmltext.op10_html_text,
     "op12_periodic_runs": periodic.op12_periodic_runs,
+    "op13_chat_format": chat.op13_chat_format,
 }
 
 SQL = {
     "op1_mixing": mixing.OP1_SQL,
     "op4_pii": pii.OP4_SQL,
+    "op13_chat_format": chat.OP13_SQL,
 }
