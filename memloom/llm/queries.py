@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from memloom.llm import chat, decontam, htmltext, jaccard, langid, lmscore, mixing, mpeg, periodic, pii, records, toxicity
+from memloom.llm import chat, decontam, filteraudit, htmltext, jaccard, langid, lmscore, mixing, mpeg, periodic, pii, records, toxicity
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_language_id": langid.op8_language_id,
     "op9_lm_scores": lmscore.op9_lm_scores,
     "op10_html_text": htmltext.op10_html_text,
+    "op11_filter_audit": filteraudit.op11_filter_audit,
     "op12_periodic_runs": periodic.op12_periodic_runs,
     "op13_chat_format": chat.op13_chat_format,
 }
@@ -22,5 +23,6 @@ QUERIES = {
 SQL = {
     "op1_mixing": mixing.OP1_SQL,
     "op4_pii": pii.OP4_SQL,
+    "op11_filter_audit": filteraudit.OP11_SQL,
     "op13_chat_format": chat.OP13_SQL,
 }
