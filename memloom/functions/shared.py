@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,3 +28,18 @@ def in_batches(df: DataFrame, run, schema) -> DataFrame:
     """``df.mapInArrow``, its batches bounded by bytes."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return df.mapInArrow(run, schema)
+
+
+def stored(df: DataFrame, what: str) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: what is used several times is computed once, and survives lost executors."""
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/memloom/{what}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def delete_stored(df: DataFrame) -> None:
+    """Delete a ``stored`` table that nothing reads any more."""
+    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)

@@ -75,3 +75,44 @@ def decode_cursor(cursor: Column, kind: str, fingerprint: Column) -> tuple[Colum
     whole = F.coalesce((v["kind"] == kind) & (F.length(v["id"]) > 0) & F.try_to_timestamp(v["timestamp"]).isNotNull(), F.lit(False))
     why = F.when(~whole, "invalid_cursor").when(v["version"].isNull(), "legacy_cursor_restart_required").when((v["version"] != 2) | ~v["fingerprint"].eqNullSafe(fingerprint), "cursor_filter_mismatch")
     return v["timestamp"], v["id"], why
+
+
+RANKED = ["exact_tier", "score", "updated_at", "memory_id"]
+
+
+def encode_ranked_cursor(fingerprint: Column) -> Column:
+    """Where the next page of a ranked list begins: its last row's keys, bound to the request and the policy that ranked it."""
+    value = F.to_json(F.struct(F.lit("retrieval").alias("kind"), "score", F.col("updated_at").cast("string").alias("timestamp"), F.col("memory_id").alias("id"), fingerprint.alias("fingerprint"), F.lit(2).alias("version"), F.col("exact_tier").alias("exactTier")))
+    return F.rtrim(F.translate(F.base64(value.cast("binary")), "+/\r\n", "-_"), F.lit("="))
+
+
+def decode_ranked_cursor(cursor: Column, fingerprint: Column, timestamp_type: str = "bigint") -> tuple[Column, Column]:
+    """The keys of RANKED as a struct, and whether the cursor can be used: shaped as one of this kind and version, made for this fingerprint."""
+    shaped = F.when((F.length(cursor) <= 4096) & cursor.rlike("^[A-Za-z0-9_-]+$"), F.translate(cursor, "-_", "+/"))
+    raw = F.try_to_binary(F.rpad(shaped, (F.ceil(F.length(shaped) / 4) * 4).cast("int"), F.lit("=")), F.lit("base64"))
+    v = F.from_json(raw.cast("string"), "kind string, score double, timestamp string, id string, fingerprint string, version int, exactTier int")
+    good = (v["kind"] == "retrieval") & v["score"].isNotNull() & ~F.isnan(v["score"]) & (F.length(v["id"]) > 0) & v["timestamp"].isNotNull() & (v["version"] == 2) & v["exactTier"].isin(0, 1) & (v["fingerprint"] == fingerprint)
+    return F.struct(v["exactTier"].alias("exact_tier"), v["score"].alias("score"), v["timestamp"].try_cast(timestamp_type).alias("updated_at"), v["id"].alias("memory_id")), F.coalesce(good, F.lit(False))
+
+
+def ranked_page(ranked: DataFrame, pages: DataFrame) -> DataFrame:
+    """One page of each request's list: the rows below its cursor, ``limit`` of them, with page_rank and next_cursor (null: no further row).
+
+    ``ranked``: request_id and RANKED. ``pages``: request_id, limit, cursor (null: from the first row), fingerprint; a cursor that
+    can't be used raises. The lower bound is joined in before any row is numbered, so a page costs its own rows, not those before it.
+    """
+    keys, good = decode_ranked_cursor(F.col("cursor"), F.col("fingerprint"), ranked.schema["updated_at"].dataType.simpleString())
+    checked = F.when(F.col("cursor").isNull() | good, keys).otherwise(F.raise_error(F.lit("Invalid retrieval pagination cursor")).cast(keys_type(ranked)))
+    bounds = pages.select("request_id", F.col("limit").alias("__limit"), F.col("cursor").isNull().alias("__first"), checked.alias("__from"), F.col("fingerprint").alias("__fingerprint"))
+    below = ranked.join(bounds, "request_id").where(F.col("__first") | (F.struct(*RANKED) < F.col("__from")))
+    w = Window.partitionBy("request_id").orderBy(*[F.desc(k) for k in RANKED])
+    numbered = below.withColumn("page_rank", F.row_number().over(w)).where(F.col("page_rank") <= F.col("__limit") + 1)
+    more = F.max("page_rank").over(Window.partitionBy("request_id")) > F.col("__limit")
+    cut = numbered.withColumn("__more", more).where(F.col("page_rank") <= F.col("__limit"))
+    last = F.col("__more") & (F.col("page_rank") == F.col("__limit"))
+    marked = cut.withColumn("__cursor", F.when(last, encode_ranked_cursor(F.col("__fingerprint"))))
+    return marked.withColumn("next_cursor", F.max("__cursor").over(Window.partitionBy("request_id"))).drop("__limit", "__first", "__from", "__fingerprint", "__more", "__cursor")
+
+
+def keys_type(ranked: DataFrame) -> str:
+    return f"struct<exact_tier:int,score:double,updated_at:{ranked.schema['updated_at'].dataType.simpleString()},memory_id:string>"
