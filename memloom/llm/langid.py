@@ -26,8 +26,9 @@ SAMPLE_CHARS = 1_500_000
 MOST_BROADCAST = 10_000
 #: Of the sample, one row in so many calibrates the score and the rejection.
 CALIBRATION = 5
-#: Rejection: so many times the largest deviation among calibration rows.
-MARGIN = 1.5
+#: Rejection: so many times the deviation that this share of calibration rows keeps within, in units of what a text of that length
+#: deviates by; and the least that texts of any length differ by, in bits a character.
+MARGIN, WITHIN, LEAST_SPREAD = 3.0, 0.99, 0.05
 START, END = 1, 2
 #: Text bytes scored at once.
 PIECE = 2 << 20
@@ -166,7 +167,9 @@ class Identifier:
         for language, text in learned:
             counts[language].update(w for w in map(letters, text.split()) if w)
         self.model = LanguageModel({k: v for k, v in counts.items() if v})
-        self.scale, self.centre, self.most = 1.0, 0.0, np.inf
+        self.scale, self.most = 1.0, np.inf
+        self.centres = np.zeros(len(self.model.languages))
+        self.between, self.per_letter = LEAST_SPREAD**2, 0.0
         if held and self.model.languages:
             place = {x: i for i, x in enumerate(self.model.languages)}
             entropy, n = self.model.entropies(pa.array([t for _, t in held], pa.string()))
@@ -179,9 +182,22 @@ class Identifier:
                     p = self._posterior(entropy, n, scale)
                     losses.append(-np.log(np.maximum(p[np.arange(len(p)), truth], 1e-12)).mean())
                 self.scale = float(grid[int(np.argmin(losses))])
-                best = entropy.min(axis=1)
-                self.centre = float(np.median(best))
-                self.most = MARGIN * float(max(1.0, ((best - self.centre) * np.sqrt(n)).max()))
+                self._calibrate(entropy[np.arange(len(truth)), truth], n, truth)
+
+    def _calibrate(self, own: np.ndarray, n: np.ndarray, truth: np.ndarray) -> None:
+        """What entropies a text of each language has, given its length: a mean a language, and a variance of a + b / letters. The first part
+        does not vanish with length: two long texts of one language still differ."""
+        middle = {j: float(np.median(own[truth == j])) for j in np.unique(truth).tolist()}
+        self.centres = np.array([middle.get(j, float(np.median(own))) for j in range(len(self.model.languages))])
+        square = (own - self.centres[truth]) ** 2
+        short = n <= np.median(n)
+        self.per_letter = float(np.median(square[short] * n[short]) / 0.455)  # the median of a squared standard normal
+        rest = square[~short] - self.per_letter / n[~short] if (~short).any() else np.zeros(1)
+        self.between = max(LEAST_SPREAD**2, float(np.mean(rest)))
+        self.most = MARGIN * max(1.0, float(np.quantile(self._deviation(own, n, truth), WITHIN)))
+
+    def _deviation(self, entropy: np.ndarray, n: np.ndarray, language: np.ndarray) -> np.ndarray:
+        return (entropy - self.centres[language]) / np.sqrt(self.between + self.per_letter / np.maximum(n, 1))
 
     @staticmethod
     def _posterior(entropy: np.ndarray, n: np.ndarray, scale: float) -> np.ndarray:
@@ -200,7 +216,7 @@ class Identifier:
         score = self._posterior(entropy, n, self.scale).max(axis=1)
         names = np.array(self.model.languages, dtype=object)[best]
         names[n == 0], score[n == 0], least[n == 0] = "und", 0.0, 0.0
-        return names, score, least, (n == 0) | ((least - self.centre) * np.sqrt(n) > self.most)
+        return names, score, least, (n == 0) | (self._deviation(least, n, best) > self.most)
 
 
 def fit(labelled: DataFrame, sample_chars: int = SAMPLE_CHARS) -> Identifier:
