@@ -1,21 +1,13 @@
-"""Retrieval channels over a batch of requests: exact, structured, full text, spelling, with bounded ranked output."""
+"""Lookup channels over a batch of requests, and what text channels share: terms, trigrams, edits, bounded ranked output."""
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterator
+from functools import reduce
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from memloom.functions.shared import in_batches
-from memloom.operators.eligibility import eligible, small, visible
-
-try:
-    import ahocorasick
-except ImportError:  # terms are met by trigrams then
-    ahocorasick = None
+from memloom.operators.eligibility import eligible, small
 
 MOST_LIMIT = 100
 #: Distinct terms, and their characters, that go to every task.
@@ -58,9 +50,10 @@ def contains_folded(text: Column, term: Column) -> Column:
     return F.contains(F.lower(text), F.lower(term))
 
 
-def all_terms(text: Column, terms: Column) -> Column:
-    """Every term occurs; with no terms nothing matches."""
-    return (F.size(terms) > 0) & F.forall(terms, lambda t: F.contains(F.lower(text), F.lower(t)))
+def all_terms(terms: Column, *texts: Column) -> Column:
+    """Every term occurs in one of ``texts``, each wherever it likes; with no terms nothing matches."""
+    held = lambda t: reduce(lambda a, b: a | b, [F.coalesce(F.contains(F.lower(x), F.lower(t)), F.lit(False)) for x in texts])
+    return (F.size(terms) > 0) & F.forall(terms, held)
 
 
 def substring(requests: DataFrame, memories: DataFrame) -> DataFrame:
@@ -90,81 +83,11 @@ def by_postings(requests: DataFrame, table: DataFrame) -> DataFrame:
     return met.join(need, "request_id").where("met = need").select("request_id", "memory_id")
 
 
-def occurrences(text: Column, term: Column) -> Column:
-    """Overlapping occurrences of ``term``: the places where it starts."""
-    # A text splits at its non-overlapping matches; a lookahead matches at each start instead.
-    return F.regexp_count(text, F.concat(F.lit("(?=\\Q"), term, F.lit("\\E)")))
-
-
 def query_terms(query: Column) -> Column:
     """Distinct lower-case terms of a query, by white space."""
     return F.filter(F.array_distinct(F.split(F.lower(F.trim(query)), r"\s+")), lambda t: t != "")
 
 
-def term_hits(memories: DataFrame, terms: DataFrame, keep: list[str]) -> DataFrame:
-    """``keep`` columns of memories with term and tf (overlapping occurrences in key and value), a row for each term that a memory holds.
-
-    Few terms go to every task as one automaton, which reads each text once whatever their number; their number and
-    size are checked. More are met by an equi-join of the texts' trigrams with one trigram of each term.
-    """
-    texts = memories.select(*keep, F.lower(F.coalesce("memory_key", F.lit(""))).alias("__k"), F.lower(F.coalesce("value", F.lit(""))).alias("__v"))
-    terms = terms.where(F.length("term") > 0).select("term").distinct()
-    few = terms.limit(MOST_TERMS + 1)
-    n, size = few.agg(F.count("*"), F.sum(F.length("term"))).first()
-    if ahocorasick is None or n > MOST_TERMS or (size or 0) > MOST_TERM_CHARS:
-        key = F.when(F.length("term") >= 3, F.substring("term", 1, 3)).otherwise(F.col("term"))
-        parts = F.array_distinct(F.concat(*[F.regexp_extract_all(F.concat_ws("\n", "__k", "__v"), F.lit(f"(?s)(?=({'.' * w}))"), F.lit(1)) for w in (1, 2, 3)]))
-        met = texts.withColumn("__part", F.explode(parts)).join(terms.withColumn("__part", key), "__part").drop("__part")
-        tf = occurrences(F.col("__k"), F.col("term")) + occurrences(F.col("__v"), F.col("term"))
-        return met.select(*keep, "term", tf.cast("double").alias("tf")).where("tf > 0")
-    listed = sorted(r.term for r in few.collect())
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = ahocorasick.Automaton()
-        for i, term in enumerate(listed):
-            found.add_word(term, i)
-        found.make_automaton()
-        names = pa.array(listed, pa.string())
-        for batch in batches:
-            rows, codes, tfs = [], [], []
-            if listed:
-                for row, (k, v) in enumerate(zip(batch.column("__k").to_pylist(), batch.column("__v").to_pylist(), strict=True)):
-                    met = Counter(i for _, i in found.iter(k))
-                    met.update(i for _, i in found.iter(v))
-                    rows += [row] * len(met)
-                    codes += met.keys()
-                    tfs += met.values()
-            kept = batch.select(keep).take(pa.array(rows, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*kept.columns, names.take(pa.array(codes, pa.int64())), pa.array(tfs, pa.float64())], names=[*keep, "term", "tf"])
-
-    schema = texts.select(*keep).schema.add("term", "string").add("tf", "double")
-    return in_batches(texts, scan, schema)
-
-
-SEEN = ["memory_id", "updated_at", "user_id", "scope", "owner_agent_id", "task_id", "sensitivity", "user_confirmed", "dl"]
-
-
-def bm25(requests: DataFrame, memories: DataFrame) -> DataFrame:
-    """Substring BM25 of ``terms`` of a request, all of which must occur; statistics over every memory, whoever may see it. Lower is better.
-
-    Terms of fewer than LEAST_TERM characters must occur but have no score; a request with no longer term
-    is ordered by recency, its scores null. No text goes through a shuffle: only hits do.
-    """
-    docs = memories.withColumn("dl", F.greatest(F.length("memory_key") - 2, F.lit(0)) + F.greatest(F.length("value") - 2, F.lit(0)))
-    asked = requests.withColumn("terms", F.array_distinct(F.transform("terms", lambda t: F.lower(t))))
-    wanted = asked.select("request_id", "limit", "user_id", "agent_id", "task_id", "include_private", "require_confirmed", F.size("terms").alias("n_terms"), F.explode("terms").alias("term"))
-    corpus = docs.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    hits = term_hits(docs, wanted.select("term"), SEEN)
-    df = hits.where(F.length("term") >= LEAST_TERM).groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.ln((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weights = df.join(F.broadcast(corpus)).select("term", "avgdl", F.when(idf <= 0, LEAST_IDF).otherwise(idf).alias("idf"))
-    part = F.col("idf") * F.col("tf") * (BM25_K1 + 1) / (F.col("tf") + BM25_K1 * (1 - BM25_B + BM25_B * F.col("dl") / F.col("avgdl")))
-    on = (F.col("m.term") == F.col("r.term")) & (F.col("m.user_id") == F.col("r.user_id")) & visible()
-    seen = hits.alias("m").join(small(wanted).alias("r"), on).select("r.request_id", "r.limit", "r.n_terms", "m.memory_id", "m.updated_at", "m.term", "m.tf", "m.dl")
-    scored = seen.join(small(weights), "term", "left").groupBy("request_id", "memory_id", "limit", "n_terms", "updated_at").agg(F.count("*").alias("met"), F.round(-F.sum(part), 6).alias("score"))
-    return top_k(scored.where("met = n_terms").select("request_id", "limit", "memory_id", "updated_at", "score"), [F.asc("score"), *recency()])
-
-
 def one_edit(query: Column, word: Column) -> Column:
     """insert, delete, substitute or adjacent transpose; null for equality and for more edits."""
     n, m = F.length(query), F.length(word)
@@ -180,30 +103,3 @@ def fallback_terms(query: Column) -> Column:
     terms = query_terms(query)
     fits = F.trim(query).rlike(r"^[a-zA-Z]+(?:\s+[a-zA-Z]+)*$") & (F.size(terms) <= MOST_FALLBACK_TERMS) & F.forall(terms, lambda t: F.length(t) <= MOST_WORD) & F.exists(terms, lambda t: F.length(t) >= LEAST_WORD)
     return F.when(fits, terms)
-
-
-def spelling(requests: DataFrame, memories: DataFrame) -> DataFrame:
-    """Memories that hold all terms of a query as words but one, of which they hold a word one edit away; for requests without a
-    literal hit alone, by recency. Words count only in memories that the request may see; those of over MOST_TEXT_BYTES or
-    MOST_TEXT_WORDS are left out. query_token, matched_token (the first in order) and edit tell the correction.
-
-    Distinct words meet the terms by deletion: two words within one edit share a form with at most one
-    letter left out. So nothing is held against everything.
-    """
-    asked = requests.withColumn("terms", fallback_terms(F.col("query"))).where("terms IS NOT NULL")
-    asked = asked.join(bm25(asked, memories).select("request_id").distinct(), "request_id", "left_anti")
-    text = F.lower(F.concat_ws(" ", "memory_key", "value"))
-    tokens = memories.where(F.octet_length(F.concat_ws(" ", "memory_key", "value")) <= MOST_TEXT_BYTES).withColumn("words", F.regexp_extract_all(text, F.lit("[a-z0-9]+"), F.lit(0)))
-    held = tokens.where(F.size("words") <= MOST_TEXT_WORDS).withColumn("words", F.array_distinct("words")).drop("value")
-    each = held.select("memory_id", F.explode("words").alias("word")).where(F.length("word").between(LEAST_WORD - 1, MOST_WORD + 1) & F.col("word").rlike("^[a-z]+$"))
-    forms = lambda c: F.explode(F.array_distinct(F.concat(F.array(c), F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.concat(F.substring(c, F.lit(1), i - 1), F.substring(c, i + 1, F.length(c))))))).alias("form")
-    terms = asked.select(F.explode("terms").alias("asked")).where(F.length("asked") >= LEAST_WORD).distinct()
-    near = small(terms.select("asked", forms(F.col("asked")))).join(each.select("word").distinct().select("word", forms(F.col("word"))), "form").select("asked", "word").distinct()
-    near = near.withColumn("edit", one_edit(F.col("asked"), F.col("word"))).where("edit IS NOT NULL")
-    # One row a memory and term: the first word in order that corrects it.
-    fixed = each.join(small(near), "word").groupBy("memory_id", "asked").agg(F.min(F.struct("word", "edit")).alias("fix"))
-    wanted = asked.select("*", F.explode("terms").alias("asked"))
-    met = held.join(fixed, "memory_id")
-    on = (F.col("m.asked") == F.col("r.asked")) & (F.col("m.user_id") == F.col("r.user_id")) & visible()
-    pairs = met.alias("m").join(small(wanted).alias("r"), on).where(F.array_except("r.terms", "m.words") == F.array("r.asked"))
-    return top_k(_fields(pairs, F.col("r.asked").alias("query_token"), F.col("m.fix.word").alias("matched_token"), F.col("m.fix.edit").alias("edit")))

@@ -96,7 +96,7 @@ def _asked(rows: list, of: str, access: bool) -> dict:
     sizes = {len(r.embedding) for r in good}
     if len(sizes) > 1:
         raise ValueError(f"queries of several lengths: {sorted(sizes)}")
-    x = np.array([r.embedding for r in good], dtype=np.float64).reshape(len(good), -1)
+    x = np.array([r.embedding for r in good], dtype=np.float64).reshape(len(good), max(sizes, default=0))
     out = {"ids": [r[of] for r in good], "matrix": x / np.sqrt((x * x).sum(axis=1, keepdims=True)) if len(good) else x}
     return out | {c: [r[c] for r in good] for c in (*ASKER, *FILTERS) if access and rows and c in rows[0]}
 

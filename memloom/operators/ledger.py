@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from memloom.functions.jsontext import merge_objects
+from memloom.operators.eligibility import small
+from memloom.operators.ranking import record_page
 
 IDENTITY = ["user_id", "memory_key"]
 
@@ -63,6 +65,21 @@ def history_page(events: DataFrame, size: int) -> DataFrame:
     return applied(events).withColumn("page_rank", F.row_number().over(w)).where(F.col("page_rank") <= size)
 
 
+def visible_history(requests: DataFrame, events: DataFrame) -> DataFrame:
+    """A page of the applied events that each request may see, newest first: request_id, memory_key, event_id, event_seq, page_rank, next_cursor.
+
+    ``requests``: request_id, user_id, agent_id, task_id, include_private, limit, cursor (null: the first page) and memory_key (null: all).
+    ``events`` also hold agent_id (who wrote the event, which an agent's event is checked by), scope, task_id, sensitivity.
+    """
+    print_ = F.sha2(F.to_json(F.struct(*[F.col(c).cast("string").alias(c) for c in ("user_id", "agent_id", "task_id", "include_private", "memory_key")])), 256)
+    asked = requests.withColumn("fingerprint", print_)
+    scope = (F.col("m.scope") == "user") | ((F.col("m.scope") == "agent") & (F.col("m.agent_id") == F.col("r.agent_id"))) | ((F.col("m.scope") == "task") & (F.col("m.task_id") == F.col("r.task_id")))
+    on = (F.col("r.user_id") == F.col("m.user_id")) & scope & (F.col("r.include_private") | (F.col("m.sensitivity") != "private")) & (F.col("r.memory_key").isNull() | (F.col("r.memory_key") == F.col("m.memory_key")))
+    slim = applied(events).select("user_id", "memory_key", "event_id", "event_seq", "agent_id", "scope", "task_id", "sensitivity")
+    rows = slim.alias("m").join(small(asked).alias("r"), on).select("r.request_id", "m.memory_key", "m.event_id", "m.event_seq")
+    return record_page(rows, asked.select("request_id", "limit", "cursor", "fingerprint"), "event", "event_seq", "event_id")
+
+
 def history_quota(targets: DataFrame, events: DataFrame, limit: int) -> DataFrame:
     """``limit`` events shared out over each request's targets (request_id, target_rank, user_id, memory_key): an equal
     part each, the remainder to the first ones."""

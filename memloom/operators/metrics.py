@@ -31,15 +31,26 @@ def ranking_scores(ranked: DataFrame, judged: DataFrame, k: int) -> DataFrame:
         F.round(F.coalesce(F.col("dcg") / F.col("idcg"), F.lit(0.0)), 6).alias("ndcg"), (F.col("relevant") - F.col("hits")).alias("missed"), (F.col("selected") - F.col("hits")).alias("false_selected"), "leaks")
 
 
+def nearest_rank(rows: DataFrame, by: list[str], value: Column, shares: dict[str, float]) -> DataFrame:
+    """``by`` and, for each of ``shares``, the smallest value with at least that share of the values at or below it; nulls don't count. Equal
+    values are counted before they are sorted, and a group is read in order: no task holds a group's values."""
+    counted = rows.select(*by, value.alias("__v")).where("__v IS NOT NULL").groupBy(*by, "__v").agg(F.count("*").alias("__n"))
+    upto = F.sum("__n").over(Window.partitionBy(*by).orderBy("__v").rowsBetween(Window.unboundedPreceding, 0))
+    totals = rows.where(value.isNotNull()).groupBy(*by).agg(F.count("*").alias("__total"))
+    placed = counted.withColumn("__upto", upto).join(totals, by)
+    return placed.groupBy(*by).agg(*[F.min(F.when(F.col("__upto") >= F.ceil(F.col("__total") * share), F.col("__v"))).alias(name) for name, share in shares.items()])
+
+
 def latency_summary(rows: DataFrame, by: list[str], value: str) -> DataFrame:
-    """Nearest-rank percentiles: the smallest value with at least that share at or below it; no interpolation."""
-    p = lambda x: F.expr(f"percentile_disc({x}) WITHIN GROUP (ORDER BY {value})")
-    return rows.groupBy(*by).agg(F.count("*").alias("n"), p(0.5).alias("p50"), p(0.95).alias("p95"), p(0.99).alias("p99"), F.max(value).alias("most"))
+    """Nearest-rank percentiles: no interpolation."""
+    found = nearest_rank(rows, by, F.col(value), {"p50": 0.5, "p95": 0.95, "p99": 0.99})
+    return rows.groupBy(*by).agg(F.count("*").alias("n"), F.max(value).alias("most")).join(found, by).select(*by, "n", "p50", "p95", "p99", "most")
 
 
 def regression_gate(rounds: DataFrame, by: str, factor: float = 1.5, slack: float = 0.5) -> DataFrame:
     """Median over rounds of each phase's p95 (``by``, phase before/after, round, p95): after <= before * factor + slack."""
-    medians = rounds.groupBy(by).agg(*[F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY CASE WHEN phase = '{x}' THEN p95 END)").alias(x) for x in ("before", "after")])
+    found = nearest_rank(rounds, [by, "phase"], F.col("p95"), {"median": 0.5})
+    medians = found.groupBy(by).agg(*[F.max(F.when(F.col("phase") == x, F.col("median"))).alias(x) for x in ("before", "after")])
     return medians.withColumn("passes", F.col("after") <= F.col("before") * factor + slack)
 
 

@@ -18,23 +18,38 @@ def squeeze(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"\s+", " "))
 
 
-def split_query(query: Column) -> Column:
-    """Sub-queries without planning words, in order, each once; a part of planning words alone stays as it is."""
+def stripped(parts: Column) -> Column:
+    """Parts without planning words, in order, each once; a part of planning words alone stays as it is."""
     part = lambda p: F.coalesce(F.nullif(squeeze(F.regexp_replace(F.regexp_replace(p, PLANNING_WORDS, " "), PLANNING_SIGNS, " ")), F.lit("")), squeeze(p))
-    return F.filter(F.array_distinct(F.transform(F.split(query, SPLIT), part)), lambda p: p != "")
+    return F.filter(F.array_distinct(F.transform(parts, part)), lambda p: p != "")
+
+
+def split_query(query: Column) -> Column:
+    return stripped(F.split(query, SPLIT))
+
+
+def plan_id(requests: DataFrame, queries: Column) -> Column:
+    """16 signs of a digest of what was asked and planned; absent fields count as null."""
+    of = lambda c, kind="string": (F.col(c) if c in requests.columns else F.lit(None)).cast(kind)
+    fields = F.struct(F.col("query"), queries.alias("queries"), F.col("strategy"), F.col("include_history").alias("includeHistory"), of("key").alias("key"), of("kind").alias("kind"), of("scope").alias("scope"), of("task_id").alias("taskId"))
+    return F.substring(base64url(F.sha2(F.to_json(fields, {"ignoreNullFields": "false"}), 256)), 1, 16)
 
 
 def plan(requests: DataFrame, most_subqueries: int) -> DataFrame:
-    """``requests`` (query, key, strategy, include_history) with queries, total_queries, capped, complexity, strategy_used, history."""
-    asked = F.when(F.col("key").isNotNull(), F.array("key")).otherwise(split_query(F.col("query")))
+    """``requests`` (query, key, strategy, include_history, and subqueries where given) with queries, total_queries, capped, complexity,
+    strategy_used, history, refused and plan_id. Sub-queries given stand for the query's own parts, a key for both. A plan of more than
+    MOST_OBLIGATIONS sub-queries is refused: it has none."""
+    parts = F.when(F.col("key").isNotNull(), F.array("key")).otherwise(F.split("query", SPLIT))
+    asked = stripped(F.coalesce("subqueries", parts) if "subqueries" in requests.columns else parts)
     wanted = F.when(F.col("strategy") == "direct", F.when(F.size(asked) > 0, F.slice(asked, 1, 1)).otherwise(F.array("query"))).otherwise(asked)
     history = (F.col("strategy") != "direct") & (F.col("include_history") | F.col("query").rlike(HISTORY))
     hops = F.col("query").rlike(MULTI_HOP)
-    out = requests.withColumn("requested", wanted).withColumn("queries", F.slice("requested", 1, most_subqueries))
+    out = requests.withColumn("requested", wanted).withColumn("refused", F.size("requested") > MOST_OBLIGATIONS)
+    out = out.withColumn("queries", F.when(F.col("refused"), F.array().cast("array<string>")).otherwise(F.slice("requested", 1, most_subqueries)))
     complexity = F.when(hops, "L3").when(history | (F.size("queries") > 1), "L2").when(F.col("key").isNotNull(), "L0").otherwise("L1")
-    out = out.withColumns({"total_queries": F.size("requested"), "capped": F.size("requested") > most_subqueries, "history": history, "complexity": complexity})
+    out = out.withColumns({"total_queries": F.size("requested"), "capped": F.size("requested") > most_subqueries, "history": history, "complexity": complexity, "plan_id": plan_id(requests, F.col("queries"))})
     used = F.when(F.col("strategy") == "direct", "direct").when((F.col("strategy") == "multi_step") | F.col("complexity").isin("L2", "L3"), "multi_step").otherwise("direct")
-    return out.withColumn("strategy_used", used).withColumn("history", F.col("history") & (F.col("strategy_used") == "multi_step"))
+    return out.withColumn("strategy_used", used).withColumn("history", F.col("history") & (F.col("strategy_used") == "multi_step") & ~F.col("refused"))
 
 
 def steps(plans: DataFrame, most_steps: int) -> DataFrame:
@@ -76,18 +91,6 @@ def base64url(digest_hex: Column) -> Column:
     return F.rtrim(F.translate(F.base64(F.unhex(digest_hex)), "+/", "-_"), F.lit("="))
 
 
-def citation(memory_id: Column, event_id: Column, version: Column, content: Column) -> tuple[Column, Column]:
-    """Content hash and citation id of an exact version."""
-    content_hash = F.sha2(content, 256)
-    return content_hash, F.concat(F.lit("memory:"), base64url(F.sha2(F.concat_ws("|", memory_id, event_id, version.cast("string"), content_hash), 256)))
-
-
-def answers(packed: DataFrame) -> DataFrame:
-    """request_id, status, statements: evidence_ready where all is covered, partial where some, else abstain. ``packed``: request_id, items, covered, total."""
-    status = F.when(F.col("items") == 0, "abstain").when(F.col("covered") >= F.col("total"), "evidence_ready").otherwise("partial")
-    return packed.select("request_id", status.alias("status"), F.col("items").alias("statements"))
-
-
 def budgeted_sufficiency(rows: DataFrame) -> DataFrame:
     """``sufficiency`` of what was packed: its columns with ``packed`` (evidence packed), ``covered`` (queries covered), candidate_truncated and
     fact_conflict; history is never packed. A truncated candidate list makes enough evidence partial."""

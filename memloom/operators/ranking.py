@@ -116,3 +116,19 @@ def ranked_page(ranked: DataFrame, pages: DataFrame) -> DataFrame:
 
 def keys_type(ranked: DataFrame) -> str:
     return f"struct<exact_tier:int,score:double,updated_at:{ranked.schema['updated_at'].dataType.simpleString()},memory_id:string>"
+
+
+def record_page(rows: DataFrame, pages: DataFrame, kind: str, moment: str, row_id: str) -> DataFrame:
+    """One page, newest first, of ``rows`` (request_id, ``moment`` in epoch microseconds, ``row_id``) for each of ``pages`` (request_id, limit, cursor,
+    fingerprint), with page_rank and next_cursor. As ``ranked_page``: the bound of a decoded cursor is joined in before rows are numbered."""
+    kind_of = rows.schema[row_id].dataType.simpleString()
+    at, last_id, why = decode_cursor(F.col("cursor"), kind, F.col("fingerprint"))
+    bad = F.when(F.col("cursor").isNotNull() & why.isNotNull(), F.raise_error(why).cast("bigint")).otherwise(F.unix_micros(F.try_to_timestamp(at)))
+    bounds = pages.select("request_id", F.col("limit").alias("__limit"), F.col("fingerprint").alias("__fingerprint"), F.col("cursor").isNull().alias("__first"), bad.alias("__at"), last_id.try_cast(kind_of).alias("__id"))
+    below = rows.join(bounds, "request_id").where(F.col("__first") | (F.struct(F.col(moment), F.col(row_id)) < F.struct(F.col("__at").alias(moment), F.col("__id").alias(row_id))))
+    w = Window.partitionBy("request_id").orderBy(F.desc(moment), F.desc(row_id))
+    numbered = below.withColumn("page_rank", F.row_number().over(w)).where(F.col("page_rank") <= F.col("__limit") + 1)
+    cut = numbered.withColumn("__more", F.max("page_rank").over(Window.partitionBy("request_id")) > F.col("__limit")).where(F.col("page_rank") <= F.col("__limit"))
+    cursor = encode_cursor(kind, F.timestamp_micros(moment).cast("string"), F.col(row_id).cast("string"), F.col("__fingerprint"))
+    marked = cut.withColumn("__cursor", F.when(F.col("__more") & (F.col("page_rank") == F.col("__limit")), cursor))
+    return marked.withColumn("next_cursor", F.max("__cursor").over(Window.partitionBy("request_id"))).drop("__limit", "__fingerprint", "__first", "__at", "__id", "__more", "__cursor")

@@ -243,6 +243,37 @@ def lookups(asked: DataFrame, memories: DataFrame, hint) -> tuple[DataFrame, Dat
     return top_k(exact), top_k(structured)
 
 
+def _unfiltered(requests: DataFrame, *more: Column) -> tuple[DataFrame, object]:
+    """Requests whose key, kind and scope are no filters, stored, with ``more``; and a hint to broadcast them where they are few."""
+    none = [F.lit(None).cast("string").alias(c) for c in ("key", "kind", "scope")]
+    asked = stored(requests.select(*ASKED[:6], *none, "limit", *more), "asked")
+    return asked, F.broadcast if asked.limit(MOST_BROADCAST_REQUESTS + 1).count() <= MOST_BROADCAST_REQUESTS else lambda df: df
+
+
+def bm25(requests: DataFrame, memories: DataFrame) -> DataFrame:
+    """The full-text channel alone, for the ``terms`` of requests (see ``full_text``)."""
+    asked, hint = _unfiltered(requests, F.array_distinct(F.transform("terms", lambda t: F.lower(t))).alias("terms"))
+    hits = stored(text_hits(memories, asked.select(F.explode("terms").alias("term"), F.lit(False).alias("worded"))), "texthits")
+    return full_text(hits, asked, hint)
+
+
+def substring(requests: DataFrame, memories: DataFrame) -> DataFrame:
+    """The whole query as a substring of key or value, by recency: one pass over each text finds all queries."""
+    asked, hint = _unfiltered(requests.where("query <> ''"), F.lower("query").alias("term"))
+    hits = text_hits(memories, asked.select("term", F.lit(False).alias("worded"))).where("memory_id IS NOT NULL")
+    met = hits.alias("m").join(hint(asked).alias("r"), (F.col("m.term") == F.col("r.term")) & may_see())
+    return top_k(met.select("r.request_id", "r.limit", "m.memory_id", "m.updated_at"))
+
+
+def spelling(requests: DataFrame, memories: DataFrame) -> DataFrame:
+    """The spelling fallback alone: for requests that full text leaves without a hit (see ``spelled``)."""
+    worded = channels.fallback_terms(F.col("query"))
+    asked, hint = _unfiltered(requests.where(worded.isNotNull()), worded.alias("terms"), worded.alias("worded"))
+    hits = stored(text_hits(memories, asked.select(F.explode("terms").alias("term"), F.lit(True).alias("worded"))), "texthits")
+    missed = asked.join(full_text(hits, asked, hint).select("request_id").distinct(), "request_id", "left_anti")
+    return spelled(hits, missed, hint)
+
+
 def recall(requests: DataFrame, memories: DataFrame, policy: RecallPolicy | None = None, index: VectorIndex | None = None) -> Recalled:
     """Ranked memories of each request (request_id, query, the columns of dense.ASKER; key, kind and scope where it filters).
 
@@ -298,11 +329,10 @@ def fingerprints(requests: DataFrame, policy: RecallPolicy) -> DataFrame:
     return requests.select("request_id", F.sha2(text, 256).alias("fingerprint"))
 
 
-def recall_page(recalled: Recalled, requests: DataFrame, policy: RecallPolicy | None = None) -> DataFrame:
+def page_of(ranked: DataFrame, requests: DataFrame, policy: RecallPolicy | None = None) -> DataFrame:
     """One page of each request's ranked list: ``requests`` with cursor (null: the first page) and limit (PAGE where null). See ranking.ranked_page."""
-    policy = policy or RecallPolicy()
     have = requests.columns
     limit = F.coalesce("limit", F.lit(PAGE)) if "limit" in have else F.lit(PAGE)
     cursor = F.col("cursor") if "cursor" in have else F.lit(None).cast("string")
-    pages = requests.select("request_id", limit.alias("limit"), cursor.alias("cursor")).join(fingerprints(requests, policy), "request_id")
-    return ranking.ranked_page(recalled.ranked, pages)
+    pages = requests.select("request_id", limit.alias("limit"), cursor.alias("cursor")).join(fingerprints(requests, policy or RecallPolicy()), "request_id")
+    return ranking.ranked_page(ranked, pages)

@@ -70,33 +70,38 @@ ELIGIBLE = """m.user_id = r.user_id AND (m.scope = 'user' OR (m.scope = 'agent'
 def ledger_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as ledger rows in order: ``error`` forgets, others remember. Forgets of absent keys are dropped by the ledger operators."""
     e = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value", "props")
-    k = F.get_json_object("props", "$.k").cast("bigint")
+    k, i = F.get_json_object("props", "$.k").cast("bigint"), F.col("event_id")
     return e.select(
         "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("event_seq"), "user_id", (k % 10).alias("memory_key"), (F.col("event_type") == "error").alias("is_forget"),
-        F.col("event_type").alias("kind"), "value", F.concat_ws(":", "user_id", k, F.col("event_type")).alias("idempotency_key"))
+        F.col("event_type").alias("kind"), "value", F.concat_ws(":", "user_id", k, F.col("event_type")).alias("idempotency_key"),
+        F.concat(F.lit("a"), (F.floor(i / 3) % 3).cast("string")).alias("agent_id"), _pick(SCOPES, i % 3).alias("scope"), F.when(i % 3 == 2, F.concat(F.lit("t"), (i % 7).cast("string"))).alias("task_id"), F.when(i % 11 == 0, "private").otherwise("public").alias("sensitivity"))
 
 
 EVENTS = """ledger AS (
   SELECT event_id, epoch_us(ts) AS event_seq, user_id, CAST(json_extract_string(props, '$.k') AS BIGINT) % 10 AS memory_key, event_type = 'error' AS is_forget, event_type AS kind, value,
-    user_id || ':' || json_extract_string(props, '$.k') || ':' || event_type AS idempotency_key FROM events)"""
+    user_id || ':' || json_extract_string(props, '$.k') || ':' || event_type AS idempotency_key, 'a' || ((event_id // 3) % 3) AS agent_id, ['user', 'agent', 'task'][event_id % 3 + 1] AS scope,
+    CASE WHEN event_id % 3 = 2 THEN 't' || (event_id % 7) END AS task_id, CASE WHEN event_id % 11 = 0 THEN 'private' ELSE 'public' END AS sensitivity FROM events)"""
 
 
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A claim of every memory: one group a user, language and kind, with validity and at most one replacement; some name an old version."""
+    """A claim of every memory: one group a user, language and kind, with validity and up to three replacements; some name an old version."""
     m = memories(spark, sf_dir)
     i = F.col("doc_id")
     group = F.concat_ws("/", F.split("memory_key", ":")[1], (i % 90).cast("string"))
-    target = F.when(i % 12 == 0, i - 180).when(i % 360 == 6, i + 180).when(i % 360 == 186, i - 180).when(i % 102 == 7, i - 1)
+    first = F.when(i % 12 == 0, i - 180).when(i % 360 == 6, i + 180).when(i % 360 == 186, i - 180).when(i % 102 == 7, i - 1)
+    more = [F.when(i % 36 == 0, i - 360), F.when(i % 1080 == 9, i + 540)]
+    ref = lambda t: F.when(t >= 0, F.struct(F.concat(F.lit("d"), F.lpad(t.cast("string"), 12, "0")).alias("memory_id"), F.concat(F.lit("e"), t.cast("string")).alias("source_event_id"), F.when(i % 24 == 0, 2).otherwise(1).cast("bigint").alias("version")))
     return m.select(
         i, "memory_id", "user_id", "scope", F.coalesce("task_id", "owner_agent_id", F.lit("-")).alias("scope_identity"), "kind", group.alias("fact_group"), F.md5("value").alias("fact_value"),
         "source_event_id", "version", F.when(i % 5 == 2, 20240101 + 200 * (i % 4)).alias("valid_from"), F.when(i % 5 == 3, 20240301 + 300 * (i % 3)).alias("valid_until"),
-        F.when(target >= 0, F.concat(F.lit("d"), F.lpad(target.cast("string"), 12, "0"))).alias("replaces"), F.when(target >= 0, F.concat(F.lit("e"), target.cast("string"))).alias("replaces_event"),
-        F.when(target >= 0, F.when(i % 24 == 0, 2).otherwise(1)).cast("bigint").alias("replaces_version"))
+        F.filter(F.array(ref(first), *[ref(t) for t in more]), lambda r: r.isNotNull()).alias("replaces"), "sensitivity", "user_confirmed", "updated_at")
 
 
-FACTS = """facts AS (
+_REF = "CASE WHEN {0} >= 0 THEN struct_pack(memory_id := 'd' || lpad(CAST({0} AS VARCHAR), 12, '0'), source_event_id := 'e' || {0}, version := CASE WHEN doc_id % 24 = 0 THEN 2 ELSE 1 END) END"
+FACTS = f"""facts AS (
   SELECT doc_id, memory_id, user_id, scope, coalesce(task_id, owner_agent_id, '-') AS scope_identity, kind, string_split(memory_key, ':')[2] || '/' || (doc_id % 90) AS fact_group, md5(value) AS fact_value,
     source_event_id, version, CASE WHEN doc_id % 5 = 2 THEN 20240101 + 200 * (doc_id % 4) END AS valid_from, CASE WHEN doc_id % 5 = 3 THEN 20240301 + 300 * (doc_id % 3) END AS valid_until,
-    CASE WHEN t >= 0 THEN 'd' || lpad(CAST(t AS VARCHAR), 12, '0') END AS replaces, CASE WHEN t >= 0 THEN 'e' || t END AS replaces_event, CASE WHEN t >= 0 THEN CASE WHEN doc_id % 24 = 0 THEN 2 ELSE 1 END END AS replaces_version
-  FROM (SELECT *, CASE WHEN doc_id % 12 = 0 THEN doc_id - 180 WHEN doc_id % 360 = 6 THEN doc_id + 180 WHEN doc_id % 360 = 186 THEN doc_id - 180 WHEN doc_id % 102 = 7 THEN doc_id - 1 END AS t FROM memories))"""
+    list_filter([{_REF.format('t')}, {_REF.format('t2')}, {_REF.format('t3')}], lambda r: r IS NOT NULL) AS replaces, sensitivity, user_confirmed, updated_at
+  FROM (SELECT *, CASE WHEN doc_id % 12 = 0 THEN doc_id - 180 WHEN doc_id % 360 = 6 THEN doc_id + 180 WHEN doc_id % 360 = 186 THEN doc_id - 180 WHEN doc_id % 102 = 7 THEN doc_id - 1 END AS t,
+    CASE WHEN doc_id % 36 = 0 THEN doc_id - 360 END AS t2, CASE WHEN doc_id % 1080 = 9 THEN doc_id + 540 END AS t3 FROM memories))"""
 FACT_DAY = 20240601

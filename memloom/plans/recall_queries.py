@@ -6,12 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from memloom.operators import dense, recall
-from memloom.plans.fixtures import ELIGIBLE, MEMORIES, REQUESTS, memories, requests, table
+from memloom.operators import facts as fact_ops
+from memloom.plans.fixtures import ELIGIBLE, FACT_DAY, FACTS, MEMORIES, REQUESTS, memories, requests, table
+from memloom.plans.fixtures import facts as fact_rows
 from memloom.plans.retrieval_queries import misspelt
 
 MODEL = "m1"
 POLICY = recall.RecallPolicy(candidate_limit=20, min_score=0.1, min_margin=0.01)
-TOP, LEAST, PAGE, PAGES = 5, 0.2, 4, 3
+TOP, LEAST, PAGE, PAGES, GROUP_LIMIT = 5, 0.2, 4, 3, 2
 
 
 def recall_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,7 +58,7 @@ def recall_page(spark, sf_dir):
     found, asked = _recalled(spark, sf_dir), recall_requests(spark, sf_dir).withColumn("limit", F.lit(PAGE)).withColumn("cursor", F.lit(None).cast("string"))
     out = None
     for page in range(1, PAGES + 1):
-        rows = recall.recall_page(found, asked, POLICY)
+        rows = recall.page_of(found.ranked, asked, POLICY)
         some = rows.select("request_id", F.lit(page).alias("page"), "memory_id", "page_rank", F.col("next_cursor").isNotNull().alias("more"))
         out = some if out is None else out.unionAll(some)
         asked = asked.drop("cursor").join(rows.where("next_cursor IS NOT NULL").select("request_id", F.col("next_cursor").alias("cursor")).distinct(), "request_id")
@@ -76,7 +78,21 @@ def dense_access_coverage(spark, sf_dir):
     return dense.access_coverage(asked, recall_memories(spark, sf_dir), index(spark, sf_dir).vectors, MODEL, 60)
 
 
-QUERIES = {f.__name__: f for f in (recall_full, recall_receipts, recall_page, authorised_dense, dense_access_coverage)}
+def _resolved(spark, sf_dir):
+    claims = fact_rows(spark, sf_dir).where("doc_id % 7 <> 3")
+    return fact_ops.resolve(_recalled(spark, sf_dir).ranked, claims, recall_requests(spark, sf_dir), F.lit(FACT_DAY), GROUP_LIMIT)
+
+
+def fact_resolution(spark, sf_dir):
+    """Ranked memories judged within their groups, of which a bounded number of members is read; some memories have no fact."""
+    return _resolved(spark, sf_dir).select("request_id", "memory_id", "status", "usable", "reason", "coverage", "accepted_rank")
+
+
+def fact_review(spark, sf_dir):
+    return fact_ops.review(_resolved(spark, sf_dir)).select("request_id", "accepted", F.array_join(F.transform("omitted", lambda x: F.concat_ws("=", x["memory_id"], x["reason"])), ",").alias("omitted"))
+
+
+QUERIES = {f.__name__: f for f in (recall_full, recall_receipts, recall_page, authorised_dense, dense_access_coverage, fact_resolution, fact_review)}
 
 _NEAR = "round(greatest(-1, least(1, list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]))), 6)"
 SETUP = f"""WITH {MEMORIES.replace("memories AS", "all_memories AS")}, {REQUESTS.replace("requests AS", "plain AS")},
@@ -131,7 +147,33 @@ fused AS (SELECT request_id, memory_id, updated_at, tier AS exact_tier, round(CA
   UNION ALL SELECT request_id, memory_id, updated_at, 0, 0.0, 'list' FROM list),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY exact_tier DESC, score DESC, updated_at DESC, memory_id DESC) AS rn, count(*) OVER (PARTITION BY request_id) AS n FROM fused)"""
 
+_P = "user_id, scope, scope_identity, kind, fact_group, include_private, require_confirmed"
+_TEMPORAL = f"CASE WHEN {FACT_DAY} < valid_from THEN 'not_yet_valid' WHEN {FACT_DAY} >= valid_until THEN 'expired' END"
+RESOLVED = f"""{FOUND.replace("WITH ", "WITH RECURSIVE ", 1)}, {FACTS.replace("FROM memories)", "FROM all_memories WHERE doc_id % 7 <> 3)")},
+placed AS (SELECT DISTINCT k.request_id, k.memory_id, f.user_id, f.scope, f.scope_identity, f.kind, f.fact_group, r.include_private, r.require_confirmed FROM ranked k JOIN facts f USING (memory_id) JOIN requests r ON r.request_id = k.request_id),
+touched AS (SELECT DISTINCT {_P} FROM placed),
+members AS (SELECT f.*, t.include_private, t.require_confirmed, {_TEMPORAL} AS temporal, row_number() OVER (PARTITION BY f.user_id, f.scope, f.scope_identity, f.kind, f.fact_group, t.include_private, t.require_confirmed ORDER BY f.updated_at DESC, f.memory_id DESC) AS place
+  FROM facts f JOIN touched t ON f.user_id = t.user_id AND f.scope = t.scope AND f.scope_identity = t.scope_identity AND f.kind = t.kind AND f.fact_group = t.fact_group
+  WHERE (t.include_private OR f.sensitivity <> 'private') AND (NOT t.require_confirmed OR f.user_confirmed)),
+sized AS (SELECT *, max(place) OVER (PARTITION BY {_P}) > {GROUP_LIMIT} AS beyond FROM members),
+over AS (SELECT DISTINCT {_P} FROM sized WHERE beyond), held AS (SELECT * FROM sized WHERE NOT beyond),
+named AS (SELECT {_P}, memory_id, ref.memory_id AS replaces, ref.source_event_id AS event, ref.version AS version FROM (SELECT *, unnest(replaces) AS ref FROM held WHERE temporal IS NULL)),
+refs AS (SELECT {', '.join('a.' + c for c in _P.split(', '))}, a.memory_id, a.replaces, b.memory_id IS NOT NULL AS resolved FROM named a LEFT JOIN held b
+  ON {' AND '.join(f'a.{c} = b.{c}' for c in _P.split(', '))} AND b.memory_id = a.replaces AND b.source_event_id = a.event AND b.version = a.version),
+broken AS (SELECT DISTINCT {_P} FROM refs WHERE NOT resolved), reach AS (SELECT {_P}, memory_id AS a, replaces AS b FROM refs WHERE resolved UNION SELECT {', '.join('r.' + c for c in _P.split(', '))}, r.a, e.replaces FROM reach r JOIN refs e ON {' AND '.join(f'e.{c} = r.{c}' for c in _P.split(', '))} AND e.memory_id = r.b AND e.resolved),
+loops AS (SELECT DISTINCT {_P} FROM reach WHERE a = b), gone AS (SELECT DISTINCT {_P}, replaces AS memory_id FROM refs WHERE resolved),
+marked AS (SELECT h.*, b.kind IS NOT NULL AS broken, l.kind IS NOT NULL AS cyclic, g.memory_id IS NOT NULL AS replaced FROM held h LEFT JOIN broken b USING ({_P}) LEFT JOIN loops l USING ({_P}) LEFT JOIN gone g USING ({_P}, memory_id)),
+judged_facts AS (SELECT *, count(*) FILTER (temporal IS NULL AND NOT replaced) OVER (PARTITION BY {_P}) AS standing, min(fact_value) FILTER (temporal IS NULL AND NOT replaced) OVER (PARTITION BY {_P}) <> max(fact_value) FILTER (temporal IS NULL AND NOT replaced) OVER (PARTITION BY {_P}) AS differ FROM marked),
+verdicts AS (SELECT {_P}, memory_id, CASE WHEN temporal IS NOT NULL THEN temporal WHEN broken OR cyclic THEN 'unresolved' WHEN replaced THEN 'superseded' WHEN differ THEN 'conflict' WHEN standing > 1 THEN 'consistent_assertions' ELSE 'active_assertion' END AS status,
+  CASE WHEN temporal = 'expired' THEN 'validity_end' WHEN temporal IS NOT NULL THEN 'validity_start' WHEN cyclic THEN 'replacement_cycle' WHEN broken THEN 'unverified_reference' WHEN replaced THEN 'verified_replacement' WHEN differ THEN 'different_visible_values' WHEN standing > 1 THEN 'equal_visible_values' ELSE 'single_visible_assertion' END AS reason FROM judged_facts),
+resolved AS (SELECT k.request_id, k.memory_id, k.rn, CASE WHEN p.kind IS NULL THEN 'unannotated' WHEN o.kind IS NOT NULL THEN 'unresolved' ELSE v.status END AS status,
+  CASE WHEN p.kind IS NULL THEN 'legacy_unverified' WHEN o.kind IS NOT NULL THEN 'group_budget' ELSE v.reason END AS reason, CASE WHEN p.kind IS NULL THEN 'not_applicable' WHEN o.kind IS NOT NULL THEN 'truncated' ELSE 'visible_filtered_group' END AS coverage
+  FROM ranked k LEFT JOIN placed p USING (request_id, memory_id) LEFT JOIN over o USING ({_P}) LEFT JOIN verdicts v USING ({_P}, memory_id)),
+final AS (SELECT *, status IN ('unannotated', 'active_assertion', 'consistent_assertions') AS usable FROM resolved)"""
+
 SQL = {
+    "fact_resolution": f"""{RESOLVED} SELECT request_id, memory_id, status, usable, reason, coverage, CASE WHEN usable THEN CAST(row_number() OVER (PARTITION BY request_id, usable ORDER BY rn) AS INTEGER) END AS accepted_rank FROM final""",
+    "fact_review": f"""{RESOLVED} SELECT request_id, count(*) FILTER (usable) AS accepted, coalesce(string_agg(memory_id || '=' || reason, ',' ORDER BY rn) FILTER (NOT usable), '') AS omitted FROM final GROUP BY request_id""",
     "recall_full": f"{FOUND} SELECT request_id, memory_id, exact_tier, score, channels, CAST(rn AS INTEGER) AS final_rank FROM ranked",
     "recall_receipts": f"""{FOUND}, flags AS (SELECT request_id, bool_or(truncated) AS truncated, count(DISTINCT memory_id) FILTER (channel <> 'structured') AS candidates, bool_or(channel = 'dense') AS d, bool_or(channel NOT IN ('structured', 'dense', 'list')) AS l
   FROM (SELECT * FROM hits UNION ALL SELECT * FROM list) GROUP BY request_id)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from memloom.functions.shared import checkpoint_dir
-from memloom.operators import context, facts, ledger, query, ranking
+from memloom.operators import answer, context, facts, ledger, query, ranking
 from memloom.plans import retrieval_queries as rq
 from memloom.plans.fixtures import EVENTS, FACT_DAY, FACTS, MEMORIES, ledger_events, memories, requests, table
 from memloom.plans.fixtures import facts as fact_rows
@@ -38,7 +38,14 @@ def cas_conflicts(spark, sf_dir):
 
 
 def history_visible(spark, sf_dir):
-    return ledger.history_page(_ledger(spark, sf_dir), 5).select("user_id", "event_id", "page_rank")
+    """Two pages of what one request a user may see, the second from the first one's cursor; every third asks for one key."""
+    e = _ledger(spark, sf_dir)
+    u = F.col("user_id")
+    asked = e.select("user_id").distinct().select(u.alias("request_id"), "user_id", F.concat(F.lit("a"), u % 3).alias("agent_id"), F.concat(F.lit("t"), u % 7).alias("task_id"), (u % 2 == 0).alias("include_private"), F.when(u % 3 == 0, u % 10).alias("memory_key"), F.lit(3).alias("limit"))
+    first = ledger.visible_history(asked.withColumn("cursor", F.lit(None).cast("string")), e)
+    again = asked.join(first.where("next_cursor IS NOT NULL").select("request_id", F.col("next_cursor").alias("cursor")).distinct(), "request_id")
+    page = lambda df, n: df.select("request_id", F.lit(n).alias("page"), "event_id", "page_rank", F.col("next_cursor").isNotNull().alias("more"))
+    return page(first, 1).unionAll(page(ledger.visible_history(again, e), 2))
 
 
 def history_quota(spark, sf_dir):
@@ -127,7 +134,7 @@ def envelope_escape(spark, sf_dir):
 
 def _asked(spark, sf_dir):
     c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
-    return c.select(F.concat_ws("-", "conv_id", "turn").alias("request_id"), F.coalesce("text", F.lit("")).alias("query"), F.when(F.col("turn") % 5 == 4, F.concat(F.lit("k"), F.col("turn"))).alias("key"),
+    return c.select(F.concat_ws("-", "conv_id", "turn").alias("request_id"), F.coalesce("text", F.lit("")).alias("query"), F.when(F.col("turn") % 5 == 4, F.concat(F.lit("k"), F.col("turn"), F.lit(" history"))).alias("key"),
                     F.when(F.col("turn") % 3 == 0, "auto").when(F.col("turn") % 3 == 1, "direct").otherwise("multi_step").alias("strategy"), (F.col("turn") % 4 == 2).alias("include_history"))
 
 
@@ -153,9 +160,39 @@ def sufficiency(spark, sf_dir):
 
 
 def citation_hash(spark, sf_dir):
-    m = memories(spark, sf_dir)
-    content, cid = query.citation(F.col("memory_id"), F.col("source_event_id"), F.col("version"), F.concat_ws("|", "memory_key", "value", "kind", "scope"))
-    return m.select("memory_id", content.alias("content_hash"), cid.alias("citation"))
+    return answer.cite(memories(spark, sf_dir)).select("memory_id", "content_hash", "citation")
+
+
+def _packed(spark, sf_dir):
+    """Packed memories by their canonical lines, with the exact version that was packed."""
+    ranked = ranking.fuse(rq.channel_hits(spark, sf_dir))
+    m, r = memories(spark, sf_dir), requests(spark, sf_dir).select("request_id", "purpose", "token_budget", "max_memories")
+    rows = ranked.join(m.drop("updated_at", "doc_id", "user_id", "agent_id"), "memory_id").join(r, "request_id").withColumns({"input_rank": F.col("final_rank"), "line": answer.line(), "usable": F.lit(True)})
+    packed = context.pack(context.selection_order(rows, "relevance_first")).where("reason = 'packed'")
+    return packed.join(m.select("memory_id", "source_event_id", "version"), "memory_id").withColumn("status", F.lit(None).cast("string"))
+
+
+def evidence_statements(spark, sf_dir):
+    said = answer.statements(_packed(spark, sf_dir), memories(spark, sf_dir))
+    return said.select("request_id", "place", "memory_id", "citation", "verification", "start", "stop", F.md5("value").alias("value_md5"), F.md5("line").alias("line_md5"))
+
+
+def grounded_answers(spark, sf_dir):
+    """Answers over what was packed, and how much of what was asked they cover."""
+    packed, m, r = _packed(spark, sf_dir), memories(spark, sf_dir), requests(spark, sf_dir)
+    wanted = r.select("request_id", F.explode("terms").alias("obligation"))
+    held = packed.select("request_id", "memory_id").join(m.select("memory_id", "value"), "memory_id").join(wanted, "request_id").where(F.contains(F.lower("value"), F.col("obligation"))).select("request_id", "obligation").distinct().withColumn("outcome", F.lit("selected"))
+    met = wanted.join(held, ["request_id", "obligation"], "left").fillna("missing", ["outcome"])
+    out = answer.compose(r.select("request_id"), answer.statements(packed, m), met)
+    return out.select("request_id", "status", F.greatest(F.coalesce(F.size("statements"), F.lit(0)), F.lit(0)).alias("statements"), "covered", "total")
+
+
+def contract_violations(spark, sf_dir):
+    """Packed rows of which some name an older version, a repeated one or a fact that may not be used."""
+    p = _packed(spark, sf_dir)
+    n = F.substring("memory_id", 2, 12).cast("bigint")
+    told = p.withColumns({"version": F.col("version") - (n % 5 == 0).cast("int"), "status": F.when(n % 3 == 0, "conflict"), "usable": n % 2 == 0})
+    return answer.contract_violations(told.unionByName(told.where(n % 7 == 0)), memories(spark, sf_dir))
 
 
 def handoff_resume_status(spark, sf_dir):
@@ -169,7 +206,7 @@ def handoff_resume_status(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (
     ledger_versions, ledger_current, ledger_tombstones, idempotent_outcomes, cas_conflicts, history_visible, history_quota, command_fold, stream_ledger_equals_batch, batch_latest, fact_temporal_status, fact_refs,
     fact_adjudication, fact_group_budget, token_estimate, _ordered("relevance_first"), _ordered("relevance_only"), _ordered("legacy_weighted"), _ordered("input_order"), context_pack_greedy, context_pack_coverage,
-    coverage_receipt, envelope_escape, query_plan, query_steps, evidence_merge, sufficiency, citation_hash, handoff_resume_status)}
+    coverage_receipt, envelope_escape, query_plan, query_steps, evidence_merge, sufficiency, citation_hash, evidence_statements, grounded_answers, contract_violations, handoff_resume_status)}
 
 APPLIED = f"""WITH {EVENTS}, flagged AS (SELECT *, lag(is_forget) OVER (PARTITION BY user_id, memory_key ORDER BY event_seq, event_id) AS was FROM ledger),
 applied AS (SELECT * FROM flagged WHERE NOT is_forget OR was = false),
@@ -179,8 +216,9 @@ _LATEST = f"WITH {EVENTS} SELECT user_id, memory_key, event_id, is_forget, kind,
 _TEMPORAL = f"CASE WHEN {FACT_DAY} < valid_from THEN 'not_yet_valid' WHEN {FACT_DAY} >= valid_until THEN 'expired' END"
 _P = "user_id, scope, scope_identity, kind, fact_group"
 FACT_BASE = f"""WITH RECURSIVE {MEMORIES}, {FACTS}, timed AS (SELECT *, {_TEMPORAL} AS temporal FROM facts),
-refs AS (SELECT {', '.join('a.' + c for c in _P.split(', '))}, a.memory_id, a.replaces, b.memory_id IS NOT NULL AS resolved FROM timed a LEFT JOIN facts b ON a.user_id = b.user_id AND a.scope = b.scope AND a.scope_identity = b.scope_identity AND a.kind = b.kind AND a.fact_group = b.fact_group AND b.memory_id = a.replaces AND b.source_event_id = a.replaces_event AND b.version = a.replaces_version
-  WHERE a.temporal IS NULL AND a.replaces IS NOT NULL)"""
+named AS (SELECT {_P}, memory_id, ref.memory_id AS replaces, ref.source_event_id AS replaces_event, ref.version AS replaces_version FROM (SELECT *, unnest(replaces) AS ref FROM timed WHERE temporal IS NULL)),
+refs AS (SELECT {', '.join('a.' + c for c in _P.split(', '))}, a.memory_id, a.replaces, b.memory_id IS NOT NULL AS resolved FROM named a LEFT JOIN facts b ON a.user_id = b.user_id AND a.scope = b.scope AND a.scope_identity = b.scope_identity AND a.kind = b.kind AND a.fact_group = b.fact_group
+  AND b.memory_id = a.replaces AND b.source_event_id = a.replaces_event AND b.version = a.replaces_version)"""
 CANDIDATES = f"""{rq.BASE}, {rq.PAIRS}, {rq.HITS}, {rq.RRF},
 cand AS (SELECT k.*, m.kind AS m_kind, m.scope, m.user_confirmed, m.updated_at, m.value, r.purpose, r.token_budget, r.max_memories, r.terms, k.final_rank AS input_rank, m.memory_key || ' | ' || m.kind || ' | ' || m.scope || ' | ' || m.value AS line,
   CASE r.purpose || '/' || m.kind {' '.join(f"WHEN '{p}/{k}' THEN {w}" for p, kinds in context.PURPOSE_WEIGHT.items() for k, w in kinds.items())} END AS weight
@@ -200,6 +238,11 @@ fold AS (SELECT request_id, 0 AS rn, 0::BIGINT AS bytes, 0 AS items, NULL::VARCH
       f.items < x.max_memories AND ceil((f.bytes + (f.items > 0)::INT + x.size) / 4.0) <= x.token_budget AS ok
     FROM fold f JOIN sized x ON x.request_id = f.request_id AND x.rn = f.rn + 1) s),
 packed AS (SELECT request_id, memory_id, rn AS select_rank, reason, CAST(ceil(bytes / 4.0) AS BIGINT) AS used_tokens FROM fold WHERE rn > 0)"""
+_TASK = "CASE WHEN m.task_id IS NOT NULL THEN ',\"taskId\":' || to_json(m.task_id) ELSE '' END"
+_HEAD = """'{"key":' || to_json(m.memory_key) || ',"value":' || to_json(m.value) || ',"kind":' || to_json(m.kind) || ',"scope":' || to_json(m.scope)"""
+CITED = f"""cited AS (SELECT memory_id, content_hash, 'memory:' || rtrim(translate(base64(unhex(sha256('[{{"a":' || to_json(memory_id) || ',"b":' || to_json(source_event_id) || ',"c":' || version || ',"d":"' || content_hash || '"}}]'))), '+/', '-_'), '=') AS citation
+  FROM (SELECT m.memory_id, m.source_event_id, m.version, sha256({_HEAD} || {_TASK} || ',"memoryId":' || to_json(m.memory_id) || ',"sourceEventId":' || to_json(m.source_event_id) || ',"version":' || m.version || ',"sourceAgentId":' || to_json(m.agent_id) || '}}') AS content_hash FROM memories m))"""
+LINED = PACKED.replace("m.memory_key || ' | ' || m.kind || ' | ' || m.scope || ' | ' || m.value AS line", f"{_HEAD} || ',\"version\":' || m.version || {_TASK} || '}}' AS line")
 _SPLIT = query.SPLIT
 ASKED = f"""WITH asked AS (SELECT conv_id || '-' || turn AS request_id, coalesce(text, '') AS query, CASE WHEN turn % 5 = 4 THEN 'k' || turn END AS key,
   CASE turn % 3 WHEN 0 THEN 'auto' WHEN 1 THEN 'direct' ELSE 'multi_step' END AS strategy, turn % 4 = 2 AS include_history FROM conversations),
@@ -221,7 +264,9 @@ SQL = {
   SELECT event_id, first_event, CASE WHEN rn = 1 THEN 'original' WHEN request = memory_key || kind || round(value, 6) THEN 'duplicate' ELSE 'conflict' END AS outcome FROM k""",
     "cas_conflicts": f"""{APPLIED}, b AS (SELECT event_id, is_forget, coalesce(lag(CASE WHEN is_forget THEN 0 ELSE version END) OVER (PARTITION BY user_id, memory_key ORDER BY event_seq, event_id), 0) AS actual_version FROM versions)
   SELECT event_id, event_id % 3 AS expected_version, actual_version, event_id % 3 <> actual_version AS conflict FROM b WHERE NOT is_forget""",
-    "history_visible": f"{APPLIED} SELECT user_id, event_id, CAST(rn AS INTEGER) AS page_rank FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_seq DESC, event_id DESC) AS rn FROM applied) WHERE rn <= 5",
+    "history_visible": f"""{APPLIED}, seen AS (SELECT user_id AS request_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_seq DESC, event_id DESC) AS rn, count(*) OVER (PARTITION BY user_id) AS n FROM applied
+    WHERE (scope = 'user' OR (scope = 'agent' AND agent_id = 'a' || (user_id % 3)) OR (scope = 'task' AND task_id = 't' || (user_id % 7))) AND (user_id % 2 = 0 OR sensitivity <> 'private') AND (user_id % 3 <> 0 OR memory_key = user_id % 10))
+  SELECT request_id, CAST((rn - 1) // 3 + 1 AS INTEGER) AS page, event_id, CAST((rn - 1) % 3 + 1 AS INTEGER) AS page_rank, n > ((rn - 1) // 3 + 1) * 3 AS more FROM seen WHERE rn <= 6""",
     "history_quota": f"""{APPLIED}, cur AS (SELECT * FROM versions QUALIFY row_number() OVER (PARTITION BY user_id, memory_key ORDER BY event_seq DESC, event_id DESC) = 1), t AS (SELECT user_id, memory_key, count(*) OVER (PARTITION BY user_id) AS n FROM cur WHERE NOT is_forget),
   q AS (SELECT *, memory_key + 1 AS target_rank, 10 // n + (memory_key + 1 <= 10 % n)::INT AS quota FROM t)
   SELECT q.user_id AS request_id, target_rank, event_id, CAST(quota AS BIGINT) AS quota, CAST(rn AS INTEGER) AS rn FROM q JOIN (SELECT *, row_number() OVER (PARTITION BY user_id, memory_key ORDER BY event_seq DESC, event_id DESC) AS rn FROM applied) a ON a.user_id = q.user_id AND a.memory_key = q.memory_key WHERE rn <= quota""",
@@ -255,8 +300,17 @@ SQL = {
   g AS (SELECT *, NOT unsupported AND NOT capped AND NOT history_truncated AND evidence >= min_evidence AND matched = total_queries AND (NOT history OR history_count > 0) AND stopped = 'completed' AS good FROM x)
   SELECT event_id, CASE WHEN good THEN 'sufficient' WHEN evidence > 0 THEN 'partial' ELSE 'insufficient' END AS status, {_REASONS} AS reasons,
     concat_ws(',', CASE WHEN unsupported THEN 'unsupported_complexity' END, CASE WHEN capped THEN 'subquery_limit' END, CASE WHEN history_truncated THEN 'history_limit' END, CASE WHEN stopped <> 'completed' THEN stopped END, CASE WHEN NOT good THEN 'insufficient_evidence' END) AS fallback FROM g""",
-    "citation_hash": f"""WITH {MEMORIES}, h AS (SELECT *, sha256(memory_key || '|' || value || '|' || kind || '|' || scope) AS content_hash FROM memories)
-  SELECT memory_id, content_hash, 'memory:' || rtrim(translate(base64(unhex(sha256(memory_id || '|' || source_event_id || '|' || version || '|' || content_hash))), '+/', '-_'), '=') AS citation FROM h""",
+    "citation_hash": f"WITH {MEMORIES}, {CITED} SELECT memory_id, content_hash, citation FROM cited",
+    "evidence_statements": f"""{LINED}, {CITED}, told AS (SELECT p.*, k.line, length(k.line) AS size, m.value FROM packed p JOIN cand k USING (request_id, memory_id) JOIN memories m USING (memory_id) WHERE p.reason = 'packed')
+  SELECT request_id, CAST(row_number() OVER w AS INTEGER) AS place, memory_id, citation, 'unverified_memory' AS verification, CAST(coalesce(sum(size + 1) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start,
+    CAST(coalesce(sum(size + 1) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + size AS BIGINT) AS stop, md5(value) AS value_md5, md5(line) AS line_md5 FROM told JOIN cited USING (memory_id) WINDOW w AS (PARTITION BY request_id ORDER BY select_rank, memory_id)""",
+    "grounded_answers": f"""{LINED}, wanted AS (SELECT request_id, unnest(terms) AS obligation FROM requests),
+  held AS (SELECT DISTINCT p.request_id, obligation FROM packed p JOIN memories m USING (memory_id) JOIN wanted w ON w.request_id = p.request_id WHERE reason = 'packed' AND contains(lower(m.value), obligation)),
+  n AS (SELECT request_id, count(*) AS statements FROM packed WHERE reason = 'packed' GROUP BY request_id), c AS (SELECT request_id, count(*) AS covered FROM held GROUP BY request_id), t AS (SELECT request_id, count(*) AS total FROM wanted GROUP BY request_id)
+  SELECT request_id, CASE WHEN statements IS NULL THEN 'abstain' WHEN coalesce(covered, 0) >= coalesce(total, 0) THEN 'evidence_ready' ELSE 'partial' END AS status, coalesce(statements, 0) AS statements, coalesce(covered, 0) AS covered, coalesce(total, 0) AS total
+  FROM (SELECT request_id FROM requests) LEFT JOIN n USING (request_id) LEFT JOIN c USING (request_id) LEFT JOIN t USING (request_id)""",
+    "contract_violations": f"""{LINED}, p AS (SELECT request_id, memory_id, CAST(substr(memory_id, 2) AS BIGINT) AS n FROM packed WHERE reason = 'packed'), r AS (SELECT *, 1 AS k FROM p UNION ALL SELECT *, 2 FROM p WHERE n % 7 = 0)
+  SELECT request_id, memory_id, 'other_version' AS code FROM r WHERE n % 5 = 0 UNION ALL SELECT request_id, memory_id, 'repeated' FROM r WHERE n % 7 = 0 UNION ALL SELECT request_id, memory_id, 'fact_not_usable' FROM r WHERE n % 3 = 0 AND n % 2 <> 0""",
     "handoff_resume_status": f"""{rq.BASE}, m AS (SELECT task_id, arg_max(memory_id, updated_at) AS memory_id, max(updated_at) AS updated_at FROM memories WHERE kind = 'task_state' GROUP BY task_id), t AS (SELECT task_id FROM requests UNION SELECT 't99')
   SELECT t.task_id, memory_id, CASE WHEN memory_id IS NULL THEN 'not_found' WHEN updated_at < 1704068196 THEN 'expired' ELSE 'ready' END AS status FROM t LEFT JOIN m USING (task_id)""",
 }

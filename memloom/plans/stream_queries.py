@@ -157,7 +157,9 @@ def ext_window_frames(spark, sf_dir):
 
 def ext_semi_anti(spark, sf_dir):
     o, c = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
-    return c.join(o.select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").groupBy("c_mktsegment").agg(F.count("*").alias("n"))
+    key = F.col("o_custkey").alias("c_custkey")
+    some = c.join(o.where("o_totalprice > 200000").select(key), "c_custkey", "left_semi").join(o.where("o_orderkey % 5 = 0").select(key), "c_custkey", "left_anti")
+    return some.groupBy("c_mktsegment").agg(F.count("*").alias("n"))
 
 
 def ext_session_window(spark, sf_dir):
@@ -242,7 +244,7 @@ SQL = {
     "ext_grouping_sets": "SELECT c_mktsegment, coalesce(c_nationkey, -1) AS c_nationkey, count(*) AS n FROM customer GROUP BY GROUPING SETS ((c_mktsegment), (c_nationkey), ())",
     "ext_set_ops": "SELECT k, 'both' AS op FROM (SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier) UNION ALL SELECT DISTINCT k, 'more' FROM (SELECT c_nationkey AS k FROM customer EXCEPT ALL SELECT s_nationkey FROM supplier)",
     "ext_window_frames": "SELECT o_orderkey, round(sum(o_totalprice) OVER (w ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 2) AS last_three, coalesce(lag(o_orderkey) OVER w, -1) AS before FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)",
-    "ext_semi_anti": "SELECT c_mktsegment, count(*) AS n FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey) GROUP BY c_mktsegment",
+    "ext_semi_anti": "SELECT c_mktsegment, count(*) AS n FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 200000) AND NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderkey % 5 = 0) GROUP BY c_mktsegment",
     "ext_session_window": """WITH g AS (SELECT user_id, ts, (lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w >= INTERVAL 10 MINUTE)::INT AS opens FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
   s AS (SELECT user_id, sum(opens) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM g), c AS (SELECT user_id, s, count(*) AS n FROM s GROUP BY ALL) SELECT user_id, count(*) AS sessions, max(n) AS longest FROM c GROUP BY user_id""",
     "ext_range_join": "SELECT a.o_orderkey AS k, count(*) AS n FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey AND b.o_orderdate::DATE < a.o_orderdate::DATE AND a.o_orderdate::DATE - b.o_orderdate::DATE <= 7 GROUP BY 1",

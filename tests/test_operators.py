@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from memloom.functions import jsontext
-from memloom.operators import capture, channels, context, dense, eligibility, facts, ledger, metrics, query, ranking
+from memloom.operators import capture, channels, context, dense, eligibility, facts, ledger, metrics, query, ranking, recall
 from memloom.sources import ledger_files
 
 
@@ -43,14 +43,15 @@ def test_one_edit(spark, asked, word, edit):
     assert spark.createDataFrame([(asked, word)], "q string, w string").select(channels.one_edit(F.col("q"), F.col("w")).alias("e")).first().e == want
 
 
-def test_occurrences_overlap(spark):
-    row = spark.createDataFrame([("aaaa", "aa")], "t string, q string").select(channels.occurrences(F.col("t"), F.col("q")).alias("n"), channels.trigrams(F.col("t")).alias("g")).first()
-    assert row.n == 3 and row.g == ["aaa"]
+def test_trigrams(spark):
+    assert spark.createDataFrame([("aaaa",), ("ab",), ("abcd",)], "t string").select(channels.trigrams(F.col("t")).alias("g")).collect() == [(["aaa"],), ([],), (["abc", "bcd"],)]
 
 
 def fact_rows(spark, rows, version=1):
-    return spark.createDataFrame([("u", "user", "-", "user_fact", "g", *r, f"e-{r[0]}", 1, f"e-{r[4]}", version) for r in rows], "user_id string, scope string, scope_identity string, kind string, fact_group string, memory_id string, fact_value string, "
-                                 "valid_from int, valid_until int, replaces string, source_event_id string, version int, replaces_event string, replaces_version int")
+    """(memory, value, valid_from, valid_until, the memory or memories that it replaces)."""
+    listed = lambda r: [(m, f"e-{m}", version) for m in ((r,) if isinstance(r, str) else r or ())]
+    return spark.createDataFrame([("u", "user", "-", "user_fact", "g", *r[:4], f"e-{r[0]}", 1, listed(r[4])) for r in rows], "user_id string, scope string, scope_identity string, kind string, fact_group string, memory_id string, fact_value string, "
+                                 "valid_from int, valid_until int, source_event_id string, version int, replaces array<struct<memory_id:string,source_event_id:string,version:int>>")
 
 
 @pytest.mark.parametrize(("rows", "status"), [
@@ -70,11 +71,77 @@ def test_references_to_old_versions(spark):
     assert {r.status for r in facts.adjudicate(fact_rows(spark, rows, 2), F.lit(20240601)).collect()} == {"unresolved"}
 
 
-def test_long_chains_are_no_cycles(spark):
-    chain = [(f"m{i}", "1", None, None, f"m{i - 1}" if i else None) for i in range(130)]
-    refs = lambda rows: facts.references(fact_rows(spark, rows), F.lit(20240601))
-    assert facts.cyclic_groups(refs(chain)).count() == 0
-    assert facts.cyclic_groups(refs([("m0", "1", None, None, "m129"), *chain[1:]])).count() == 1
+@pytest.mark.parametrize("edges", [20_000, 0])
+def test_cycles_by_peeling(spark, monkeypatch, edges):
+    """Chains, diamonds and repeated rows are no cycles; two cycles in a partition are one answer. With and without a task for a whole group."""
+    monkeypatch.setattr(facts, "GROUP_EDGES", edges)
+    row = lambda m, *to: (m, "1", None, None, to)
+    cyclic = lambda rows: facts.cyclic_groups(facts.references(fact_rows(spark, rows), F.lit(20240601))).count()
+    n = 300 if edges else 8
+    chain = [row(f"m{i}", *([f"m{i - 1}"] if i else [])) for i in range(n)]
+    assert cyclic(chain) == 0 and cyclic([row("m0", f"m{n - 1}"), *chain[1:]]) == 1
+    diamond = [row("top", "left", "right"), row("left", "end"), row("right", "end"), row("end")]
+    assert cyclic(diamond * 3) == 0 and cyclic([*diamond[:3], row("end", "top")]) == 1
+    assert cyclic([row("a", "b"), row("b", "a"), row("c", "d", "a"), row("d", "c"), row("e")] * 2) == 1 and cyclic([row("self", "self")]) == 1
+
+
+def test_edges_only_get_fewer(spark, monkeypatch):
+    """Twelve facts that each name all earlier ones: no round holds more than their 66 references."""
+    monkeypatch.setattr(facts, "GROUP_EDGES", 0)
+    sizes, keep = [], facts.stored
+    monkeypatch.setattr(facts, "stored", lambda df, what: (out := keep(df, what), sizes.append((what, out.count())))[0])
+    rows = [(f"m{i}", "1", None, None, [f"m{j}" for j in range(i)]) for i in range(12)]
+    assert facts.cyclic_groups(facts.references(fact_rows(spark, rows), F.lit(20240601))).count() == 0
+    rounds = [n for what, n in sizes if what == "peeled"]
+    assert rounds[0] == 66 and rounds == sorted(rounds, reverse=True) and rounds[-1] == 0
+
+
+def test_several_references(spark):
+    status = lambda rows: {r.memory_id: r.status for r in facts.adjudicate(fact_rows(spark, rows), F.lit(20240601)).collect()}
+    assert status([("a", "1", None, None, None), ("b", "2", None, None, None), ("c", "3", None, None, ("a", "b"))]) == {"a": "superseded", "b": "superseded", "c": "active_assertion"}
+    assert status([("a", "1", None, None, None), ("c", "3", None, None, ("a", "gone"))]) == {"a": "unresolved", "c": "unresolved"}
+    with pytest.raises(Exception, match="more than 16"):
+        status([("a", "1", None, None, [f"m{i}" for i in range(17)])])
+
+
+def group_of(spark, rows):
+    """(memory, value, private, updated_at) of one group."""
+    base = fact_rows(spark, [(m, v, None, None, None) for m, v, _, _ in rows])
+    more = spark.createDataFrame([(m, "private" if p else "public", True, t) for m, _, p, t in rows], "memory_id string, sensitivity string, user_confirmed boolean, updated_at long")
+    return base.join(more, "memory_id")
+
+
+def test_facts_of_a_ranked_list(spark):
+    ranked = spark.createDataFrame([(r, m, i + 1) for r in (1, 2) for i, m in enumerate(("x", "plain"))], "request_id int, memory_id string, final_rank int")
+    asked = spark.createDataFrame([(1, False, False), (2, True, False)], "request_id int, include_private boolean, require_confirmed boolean")
+    found = lambda rows, limit: {(r.request_id, r.memory_id): (r.status, r.coverage, r.accepted_rank) for r in facts.resolve(ranked, group_of(spark, rows), asked, F.lit(20240601), limit).collect()}
+    hidden = [("x", "1", False, 1), ("y", "2", True, 2)]
+    # A private sibling makes a conflict only for the request that includes it.
+    assert found(hidden, 5) == {(1, "x"): ("active_assertion", "visible_filtered_group", 1), (1, "plain"): ("unannotated", "not_applicable", 2),
+                                (2, "x"): ("conflict", "visible_filtered_group", None), (2, "plain"): ("unannotated", "not_applicable", 1)}
+    many = [("x", "1", False, 1), *[(f"z{i}", "1", False, 2 + i) for i in range(4)]]
+    assert found(many, 5)[(1, "x")] == ("consistent_assertions", "visible_filtered_group", 1)
+    assert found(many, 4)[(1, "x")] == ("unresolved", "truncated", None)
+    left = facts.review(facts.resolve(ranked, group_of(spark, many), asked, F.lit(20240601), 4)).where("request_id = 1").first()
+    assert left.accepted == 1 and [tuple(x) for x in left.omitted] == [("x", "group_budget")]
+
+
+def test_large_groups_are_cut_before_the_shuffle(spark):
+    """Of a group of many members, each task passes on limit + 1."""
+    rows = spark.range(20_000).select(F.concat(F.lit("m"), "id").alias("memory_id"), F.lit("u").alias("user_id"), F.lit("user").alias("scope"), F.lit("-").alias("scope_identity"), F.lit("k").alias("kind"), F.lit("g").alias("fact_group"), F.lit("1").alias("fact_value"),
+                                      F.lit(None).cast("int").alias("valid_from"), F.lit(None).cast("int").alias("valid_until"), F.lit("e").alias("source_event_id"), F.lit(1).alias("version"),
+                                      F.array().cast("array<struct<memory_id:string,source_event_id:string,version:int>>").alias("replaces"), F.lit("public").alias("sensitivity"), F.lit(True).alias("user_confirmed"), F.col("id").alias("updated_at"))
+    ranked = spark.createDataFrame([(1, "m7", 1)], "request_id int, memory_id string, final_rank int")
+    asked = spark.createDataFrame([(1, False, False)], "request_id int, include_private boolean, require_confirmed boolean")
+    kept = []
+    keep = facts.stored
+    facts.stored = lambda df, what: (kept.append((what, df._jdf.queryExecution().executedPlan().toString())), keep(df, what))[1]
+    try:
+        assert facts.resolve(ranked, rows, asked, F.lit(20240601), 10).first().reason == "group_budget"
+    finally:
+        facts.stored = keep
+    plan = next(p for what, p in kept if what == "members")
+    assert plan.index("WindowGroupLimit") < plan.rindex("WindowGroupLimit") and "Partial" in plan
 
 
 def memory_rows(spark, rows):
@@ -87,19 +154,19 @@ def request_rows(spark, *rows):
 
 
 def test_spelling_sees_visible_words_alone(spark):
-    m = memory_rows(spark, [("a", "u1", "k", "green nebula", "public"), ("b", "u1", "k", "secretword", "private"), ("c", "u2", "k", "secretword", "public"), ("d", "u1", "k", "nebula alone", "public"), ("e", "u1", "k", "nebulas literal", "public")])
+    m = memory_rows(spark, [("a", "u1", "k", "green nebula", "public"), ("b", "u1", "k", "secretword", "private"), ("c", "u2", "k", "secretword", "public"), ("d", "u1", "k", "nebula alone", "public"), ("e", "u1", "k", "nebulas literal", "public")]).withColumn("kind", F.lit("fact"))
     r = request_rows(spark, ("u1", "nebulx", 5), ("u1", "secretwird", 5), ("u1", "green nebulx", 5), ("u1", "greem nebulx", 5), ("u1", "nebula", 5), ("u2", "secretwird", 5))
-    got = {(x.request_id, x.memory_id, x.query_token, x.matched_token) for x in channels.spelling(r, m).collect()}
+    got = {(x.request_id, x.memory_id, x.query_token, x.matched_token) for x in recall.spelling(r, m).collect()}
     assert got == {(0, "a", "nebulx", "nebula"), (0, "d", "nebulx", "nebula"), (2, "a", "nebulx", "nebula"), (5, "c", "secretwird", "secretword")}
 
 
 def test_terms_without_an_automaton(spark, monkeypatch):
-    m = memory_rows(spark, [("a", "u", "Key", "aaaa b.c", "public"), ("b", "u", "k", "xaay", "public"), ("c", "u", "", None, "public")])
-    terms = spark.createDataFrame([("aa",), ("aaa",), ("b.c",), ("y",), ("key",)], "term string")
-    rows = lambda: {(r.memory_id, r.term, r.tf) for r in channels.term_hits(m, terms, ["memory_id"]).collect()}
+    m = memory_rows(spark, [("a", "u", "Key", "aaaa b.c", "public"), ("b", "u", "k", "xaay", "public"), ("c", "u", "", None, "public")]).withColumn("kind", F.lit("fact"))
+    terms = spark.createDataFrame([("aa",), ("aaa",), ("b.c",), ("y",), ("key",)], "term string").withColumn("worded", F.lit(False))
+    rows = lambda: {(r.memory_id, r.term, r.tf) for r in recall.text_hits(m, terms).where("memory_id IS NOT NULL").collect()}
     want = rows()
     assert want == {("a", "aa", 3.0), ("a", "aaa", 2.0), ("a", "b.c", 1.0), ("a", "y", 1.0), ("a", "key", 1.0), ("b", "aa", 1.0), ("b", "y", 1.0)}
-    monkeypatch.setattr(channels, "MOST_TERMS", 1)
+    monkeypatch.setattr(recall, "ahocorasick", None)
     assert rows() == want
 
 
@@ -264,14 +331,20 @@ def test_transcripts(spark, tmp_path):
 
 
 def test_service(spark):
-    from memloom.plans.fixtures import ledger_events, memories, requests
-    from memloom.service import MemoryService
+    from memloom.plans import recall_queries as rq
+    from memloom.plans.fixtures import FACT_DAY, facts, ledger_events
+    from memloom.service import MemoryService, Policy
 
     sf = "/root/testdata/sf0.001"
-    r = requests(spark, sf).withColumns({"strategy": F.lit("auto"), "include_history": F.lit(False)})
-    s = MemoryService(memories(spark, sf), ledger_events(spark, sf))
-    assert s.recall(r).count() > 0 and s.context(r).where("reason = 'packed'").count() > 0 and s.history(3).count() > 0
-    assert s.query(r.withColumn("key", F.lit(None).cast("string"))).count() > 0
+    r = rq.recall_requests(spark, sf).withColumns({"strategy": F.lit("auto"), "include_history": F.lit(False), "purpose": F.lit("general"), "token_budget": F.lit(512), "max_memories": F.lit(4), "limit": F.lit(2)})
+    s = MemoryService(rq.recall_memories(spark, sf), ledger_events(spark, sf), Policy(fact_group_limit=2), facts(spark, sf), rq.index(spark, sf))
+    day = F.lit(FACT_DAY)
+    assert s.recall(r, day).count() > 0 and {"packed", "fact_unresolved"} <= {x.reason for x in s.context(r, day).collect()} and s.page(r, day).where("page_rank > 2").count() == 0
+    assert s.query(r.where("query IS NOT NULL"), day).count() > 0
+    targets = spark.createDataFrame([(1, 1, 1, "k")], "user_id long, memory_key long, event_seq long, idempotency_key string")
+    assert s.forget(targets).count() == 1
+    asked = spark.createDataFrame([(1, 1, "a1", "t1", True, None, 3, None)], "request_id long, user_id long, agent_id string, task_id string, include_private boolean, memory_key long, limit int, cursor string")
+    assert s.history(asked).count() == 3
 
 
 def test_injection(spark):
