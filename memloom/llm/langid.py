@@ -31,7 +31,7 @@ CALIBRATION = 5
 MARGIN, WITHIN, LEAST_SPREAD = 3.0, 0.99, 0.05
 START, END = 1, 2
 #: Text bytes scored at once.
-PIECE = 2 << 20
+PIECE = 1 << 19
 
 
 def letters(word: str) -> str:
