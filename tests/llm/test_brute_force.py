@@ -33,7 +33,7 @@ def docs(spark):
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_same_rows_as_sql(spark, name):
     c = duckdb.connect()
-    for t in ("documents", "benchmark", "labels", "pages"):
+    for t in ("documents", "benchmark", "labels", "pages", "conversations"):
         c.sql(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     got, want = QUERIES[name](spark, SF).toPandas(), c.sql(SQL[name]).df()
     columns = sorted(got.columns)
