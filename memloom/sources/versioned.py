@@ -70,16 +70,27 @@ class VersionedTable:
         """Put out ``parts`` as the version after ``expected``, or raise VersionConflict."""
         if self.version().number != expected:
             raise VersionConflict(f"version {self.version().number} is not {expected}")
-        target = self._path(f"{self.path}/manifest-{expected + 1}.json")
+        self._create(f"{self.path}/manifest-{expected + 1}.json", (json.dumps({"parts": parts, "note": note or {}}) + END).encode())
+        return Version(expected + 1, parts, note or {})
+
+    def _create(self, path: str, content: bytes) -> None:
+        """Write a new file; VersionConflict where there is one."""
+        target = self._path(path)
+        if self._fs.getScheme() == "file":  # Hadoop's local file system looks and then creates; this does both at once
+            try:
+                with open(target.toUri().getPath(), "xb") as f:
+                    f.write(content)
+            except FileExistsError as taken:
+                raise VersionConflict(f"{target.getName()} is taken") from taken
+            return
         try:
             stream = self._fs.create(target, False)
         except Exception as taken:
             if self._fs.exists(target):
-                raise VersionConflict(f"version {expected + 1} is taken") from taken
+                raise VersionConflict(f"{target.getName()} is taken") from taken
             raise
-        stream.write(bytearray((json.dumps({"parts": parts, "note": note or {}}) + END).encode()))
+        stream.write(bytearray(content))
         stream.close()
-        return Version(expected + 1, parts, note or {})
 
     def read(self, kind: str, schema: str, number: int | None = None) -> DataFrame:
         """The rows of all parts of a ``kind``; of none, no rows."""
