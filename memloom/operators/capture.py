@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from memloom.operators import dice
+
 # What counts as sensitive, in the order in which it is replaced.
 REDACTIONS = [
     ("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----[\s\S]*?-----END [A-Z ]*PRIVATE KEY-----", "<redacted:private-key>"),
@@ -79,23 +81,14 @@ def bigrams(text: Column) -> Column:
 def similar_pairs(left: DataFrame, right: DataFrame, least: float = SIMILAR) -> DataFrame:
     """left_id, right_id, similarity of rows (id, kind, value) of one kind whose bigram Dice similarity is ``least`` or more.
 
-    Two sets that similar share a bigram among the first of each in a common order (rarest first), so
-    rows meet by those; sizes rule out more before sets are intersected."""
-    sets = lambda df: df.select("id", "kind", bigrams(comparable(F.col("value"))).alias("grams")).where(F.size("grams") > 0)
-    a, b = sets(left), sets(right)
-    counts = b.select(F.explode("grams").alias("g")).groupBy("g").agg(F.count("*").alias("n"))
+    Nearly all texts share bigrams, so blocks of sets meet as matrices and only pairs that are alike leave a task (see dice)."""
+    return dice.alike(_sets(left), _sets(right), least).select("left_id", "right_id", "similarity")
 
-    def prefixes(df: DataFrame, name: str) -> DataFrame:
-        each = df.select("id", "kind", F.size("grams").alias("size"), F.explode("grams").alias("g")).join(counts, "g", "left").fillna(0, ["n"])
-        place = F.row_number().over(Window.partitionBy("id", "kind").orderBy("n", "g"))
-        # Dice >= t needs an overlap of t / (2 - t) of the own size at least.
-        return each.withColumn("p", place).where(F.col("p") <= F.col("size") - F.ceil(F.col("size") * least / (2 - least)) + 1).select(F.col("id").alias(name), "kind", "g", F.col("size").alias(f"{name}_size"))
 
-    met = prefixes(a, "left_id").join(prefixes(b, "right_id"), ["kind", "g"]).where(
-        2 * F.least("left_id_size", "right_id_size") >= least * (F.col("left_id_size") + F.col("right_id_size"))).select("left_id", "right_id").distinct()
-    full = met.join(a.select(F.col("id").alias("left_id"), F.col("grams").alias("x")), "left_id").join(b.select(F.col("id").alias("right_id"), F.col("grams").alias("y")), "right_id")
-    dice = F.round(2.0 * F.size(F.array_intersect("x", "y")) / (F.size("x") + F.size("y")), 6)
-    return full.select("left_id", "right_id", dice.alias("similarity")).where(F.col("similarity") >= least)
+def _sets(rows: DataFrame) -> DataFrame:
+    """id, kind, codes, version of the rows whose text has a bigram."""
+    version = F.col("version") if "version" in rows.columns else F.lit(0)
+    return rows.select("id", "kind", version.alias("version"), dice.element_codes(bigrams(comparable(F.col("value")))).alias("codes")).where(F.size("codes") > 0)
 
 
 def turns(items: DataFrame) -> DataFrame:
@@ -137,7 +130,7 @@ MOST_MATCHES = 5
 def review(candidates: DataFrame, memories: DataFrame) -> DataFrame:
     """left_id, right_id, similarity, version, place, action for every candidate (id, kind, value) over ``memories`` (id, kind, value, version): equal
     ones link, similar ones (the nearest MOST_MATCHES) must be replaced, else one is created (right_id null)."""
-    pairs = similar_pairs(candidates, memories).join(memories.select(F.col("id").alias("right_id"), "version"), "right_id")
+    pairs = dice.alike(_sets(candidates), _sets(memories), SIMILAR, MOST_MATCHES)
     w = Window.partitionBy("left_id").orderBy(F.desc("similarity"), F.desc("version"), "right_id")
     near = pairs.withColumn("place", F.row_number().over(w)).where(F.col("place") <= MOST_MATCHES)
     equal = near.where("similarity = 1").select("left_id").distinct().withColumn("equal", F.lit(True))
