@@ -56,7 +56,7 @@ def history_quota(spark, sf_dir):
 
 def command_fold(spark, sf_dir):
     e = _ledger(spark, sf_dir)
-    commands = e.select("user_id", "memory_key", "event_seq", F.when(F.col("is_forget"), "forget").otherwise("remember").alias("op"), F.to_json(F.struct(F.col("kind"), F.struct(F.col("value").alias("v")).alias("n"))).alias("value"),
+    commands = e.select("user_id", "memory_key", "event_seq", "event_id", F.when(F.col("is_forget"), "forget").otherwise("remember").alias("op"), F.to_json(F.struct(F.col("kind"), F.struct(F.col("value").alias("v")).alias("n"))).alias("value"),
                         F.when(F.col("event_id") % 2 == 0, "merge").otherwise("replace").alias("mode"), F.when(F.col("event_id") % 4 == 0, (F.col("event_id") % 3).cast("bigint")).alias("expected_version"), "idempotency_key")
     return ledger.apply_commands(commands)
 
