@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from memloom.operators.eligibility import small
+
 RRF_K = 60
 
 
@@ -125,9 +127,11 @@ def record_page(rows: DataFrame, pages: DataFrame, kind: str, moment: str, row_i
     at, last_id, why = decode_cursor(F.col("cursor"), kind, F.col("fingerprint"))
     bad = F.when(F.col("cursor").isNotNull() & why.isNotNull(), F.raise_error(why).cast("bigint")).otherwise(F.unix_micros(F.try_to_timestamp(at)))
     bounds = pages.select("request_id", F.col("limit").alias("__limit"), F.col("fingerprint").alias("__fingerprint"), F.col("cursor").isNull().alias("__first"), bad.alias("__at"), last_id.try_cast(kind_of).alias("__id"))
-    below = rows.join(bounds, "request_id").where(F.col("__first") | (F.struct(F.col(moment), F.col(row_id)) < F.struct(F.col("__at").alias(moment), F.col("__id").alias(row_id))))
+    # As a literal, the largest limit lets Spark drop rows in each task before the shuffle (a group limit).
+    most = pages.agg(F.coalesce(F.max("limit"), F.lit(0))).first()[0]
+    below = rows.join(small(bounds), "request_id").where(F.col("__first") | (F.struct(F.col(moment), F.col(row_id)) < F.struct(F.col("__at").alias(moment), F.col("__id").alias(row_id))))
     w = Window.partitionBy("request_id").orderBy(F.desc(moment), F.desc(row_id))
-    numbered = below.withColumn("page_rank", F.row_number().over(w)).where(F.col("page_rank") <= F.col("__limit") + 1)
+    numbered = below.withColumn("page_rank", F.row_number().over(w)).where(F.col("page_rank") <= most + 1).where(F.col("page_rank") <= F.col("__limit") + 1)
     cut = numbered.withColumn("__more", F.max("page_rank").over(Window.partitionBy("request_id")) > F.col("__limit")).where(F.col("page_rank") <= F.col("__limit"))
     cursor = encode_cursor(kind, F.timestamp_micros(moment).cast("string"), F.col(row_id).cast("string"), F.col("__fingerprint"))
     marked = cut.withColumn("__cursor", F.when(F.col("__more") & (F.col("page_rank") == F.col("__limit")), cursor))

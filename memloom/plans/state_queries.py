@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from memloom.functions.shared import checkpoint_dir
+from memloom.functions.shared import checkpoint_dir, stored
 from memloom.operators import answer, context, facts, ledger, query, ranking
 from memloom.plans import retrieval_queries as rq
 from memloom.plans.fixtures import EVENTS, FACT_DAY, FACTS, MEMORIES, ledger_events, memories, requests, table
@@ -42,7 +42,8 @@ def history_visible(spark, sf_dir):
     e = _ledger(spark, sf_dir)
     u = F.col("user_id")
     asked = e.select("user_id").distinct().select(u.alias("request_id"), "user_id", F.concat(F.lit("a"), u % 3).alias("agent_id"), F.concat(F.lit("t"), u % 7).alias("task_id"), (u % 2 == 0).alias("include_private"), F.when(u % 3 == 0, u % 10).alias("memory_key"), F.lit(3).alias("limit"))
-    first = ledger.visible_history(asked.withColumn("cursor", F.lit(None).cast("string")), e)
+    # A few rows a request; the second page reads them again.
+    first = stored(ledger.visible_history(asked.withColumn("cursor", F.lit(None).cast("string")), e), "page")
     again = asked.join(first.where("next_cursor IS NOT NULL").select("request_id", F.col("next_cursor").alias("cursor")).distinct(), "request_id")
     page = lambda df, n: df.select("request_id", F.lit(n).alias("page"), "event_id", "page_rank", F.col("next_cursor").isNotNull().alias("more"))
     return page(first, 1).unionAll(page(ledger.visible_history(again, e), 2))

@@ -37,3 +37,22 @@ def test_commands_fold_over_sorted_rows_and_not_group_by_group(spark):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert {w[3] for w in want} >= {"created", "replaced", "merged", "forgotten", "replayed", "version_conflict", "idempotency_conflict", "not_mergeable", "not_found"}
+
+
+def events(spark, n):
+    i = F.col("id")
+    return spark.range(n).select((i % 50).alias("user_id"), (i % 3).alias("memory_key"), i.alias("event_id"), i.alias("event_seq"), F.lit(False).alias("is_forget"), F.lit("a0").alias("agent_id"), F.lit("user").alias("scope"), F.lit(None).cast("string").alias("task_id"), F.lit("public").alias("sensitivity"))
+
+
+def test_a_task_sorts_no_more_events_where_there_are_more(spark, monkeypatch):
+    monkeypatch.setattr(ledger, "TASK_EVENTS", 100, raising=False)
+    assert ledger.applied(events(spark, 3000)).rdd.getNumPartitions() == 30
+
+
+def test_pages_drop_rows_before_the_shuffle(spark):
+    e = events(spark, 3000)
+    asked = e.select(F.col("user_id").alias("request_id"), "user_id").distinct().selectExpr("*", "'a0' agent_id", "'t' task_id", "true include_private", "CAST(NULL AS BIGINT) memory_key", "3 `limit`", "CAST(NULL AS STRING) cursor")
+    page = ledger.visible_history(asked, e)
+    assert "WindowGroupLimit" in plan(page)
+    newest = page.groupBy("request_id").agg(F.count("*").alias("n"), F.max("event_id").alias("top"))
+    assert {tuple(r) for r in newest.collect()} == {(u, 3, 2950 + u) for u in range(50)}
