@@ -69,16 +69,35 @@ def encode_cursor(kind: str, timestamp: Column, row_id: Column, fingerprint: Col
     return F.rtrim(F.translate(F.base64(value.cast("binary")), "+/\r\n", "-_"), F.lit("="))
 
 
-def decode_cursor(cursor: Column, kind: str, fingerprint: Column) -> tuple[Column, Column, Column]:
-    """timestamp, id and why a cursor can't be used (null: it can): not one of this kind, made before cursors had filters, or of another filter."""
-    shaped = F.when((F.length(cursor) <= 4096) & cursor.rlike("^[A-Za-z0-9_-]+$"), F.translate(cursor, "-_", "+/"))
-    raw = F.try_to_binary(F.rpad(shaped, (F.ceil(F.length(shaped) / 4) * 4).cast("int"), F.lit("=")), F.lit("base64"))
-    v = F.from_json(raw.cast("string"), "kind string, timestamp string, id string, version int, fingerprint string")
+CURSOR_FIELDS = "kind string, timestamp string, id string, version int, fingerprint string"
+
+
+def cursor_bytes(cursor: Column) -> Column:
+    """What a cursor encodes; null where it is not shaped as one."""
+    # URL-safe base64 keeps its length when it is padded; a rest of one sign is none.
+    shaped = F.when((F.length(cursor) <= 4096) & cursor.rlike("^[A-Za-z0-9_-]+$"), F.concat(F.translate(cursor, "-_", "+/"), F.substring(F.lit("==="), F.lit(1), F.pmod(-F.length(cursor), F.lit(4)))))
+    return F.try_to_binary(shaped, F.lit("base64"))
+
+
+def with_cursor(rows: DataFrame, cursor: Column, kind: str, fingerprint: Column, names: tuple[str, str, str]) -> DataFrame:
+    """``rows`` with timestamp, id and why a cursor can't be used, as ``decode_cursor``. Each step is a column of its own, worked out once a row."""
+    text = rows.withColumn("__cursor", cursor).withColumn("__raw", cursor_bytes(F.col("__cursor")).cast("string"))
+    v = F.col("__value")
+    return text.withColumn("__value", F.from_json("__raw", CURSOR_FIELDS)).withColumns(dict(zip(names, _judged(v, kind, fingerprint), strict=True))).drop("__cursor", "__raw", "__value")
+
+
+def _judged(v: Column, kind: str, fingerprint: Column) -> tuple[Column, Column, Column]:
     whole = F.coalesce((v["kind"] == kind) & (F.length(v["id"]) > 0) & F.try_to_timestamp(v["timestamp"]).isNotNull(), F.lit(False))
     why = F.when(~whole, "invalid_cursor").when(v["version"].isNull(), "legacy_cursor_restart_required").when((v["version"] != 2) | ~v["fingerprint"].eqNullSafe(fingerprint), "cursor_filter_mismatch")
     return v["timestamp"], v["id"], why
 
 
+def decode_cursor(cursor: Column, kind: str, fingerprint: Column) -> tuple[Column, Column, Column]:
+    """timestamp, id and why a cursor can't be used (null: it can): not one of this kind, made before cursors had filters, or of another filter.
+    For few rows; ``with_cursor`` is for many."""
+    return _judged(F.from_json(cursor_bytes(cursor).cast("string"), CURSOR_FIELDS), kind, fingerprint)
+
+
 RANKED = ["exact_tier", "score", "updated_at", "memory_id"]
 
 
