@@ -15,7 +15,7 @@ WIDTH, HIDDEN, CLASSES = 16, 32, 128
 #: Ids a window holds, and by how many the next begins later. The first WINDOW - STRIDE ids of a
 #: later window are context alone, so each id is scored once.
 WINDOW, STRIDE = 32, 24
-BLOCK = 384
+BLOCK = 128
 #: Within these bounds of the logits of attention and classes, no maximum need be taken out before the exponential.
 MOST_LOGIT = 60.0
 MOST_CLASS_LOGIT = 80.0
@@ -69,22 +69,71 @@ def windows(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return owner, number * STRIDE, np.where(number > 0, WINDOW - STRIDE, 0)
 
 
+class TrainingWindows:
+    """Windows that follow one another over texts, ids ``ids[offsets[i]:offsets[i + 1]]`` and the end ``end`` each: every id is a target once."""
+
+    def __init__(self, ids: np.ndarray, offsets: np.ndarray, end: int):
+        lengths, starts = np.diff(offsets) + 1, offsets[:-1] + np.arange(len(offsets) - 1)
+        self.end, self.targets = end, np.full(int(lengths.sum()), end, dtype=np.int32)
+        inner = np.ones(len(self.targets), dtype=bool)
+        inner[starts + lengths - 1] = False
+        self.targets[inner] = ids
+        self.inputs = np.roll(self.targets, 1)  # what stands before a text's first id is an end
+        many = -(-lengths // WINDOW)
+        owner = np.repeat(np.arange(len(lengths)), many)
+        first = (np.arange(len(owner)) - np.repeat(np.cumsum(many) - many, many)) * WINDOW
+        self.begins, self.sizes = starts[owner] + first, np.minimum(lengths[owner] - first, WINDOW)
+
+    def __len__(self) -> int:
+        return len(self.begins)
+
+    def take(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Inputs, targets and which places count, of some windows; the rest of a window is filled with ends."""
+        mask = np.arange(WINDOW) < self.sizes[which][:, None]
+        place = np.where(mask, self.begins[which][:, None] + np.arange(WINDOW), 0)
+        return np.where(mask, self.inputs[place], self.end), np.where(mask, self.targets[place], self.end), mask
+
+
+class Adam:
+    """Steps that change the parameters ``p``, and how often each row of the embedding was met."""
+
+    def __init__(self, p: dict):
+        self.p, self.steps, self.met = p, 0, np.zeros(len(p["e"]), dtype=np.float32)
+        self.first, self.second = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
+
+    def step(self, grads: dict, rate: float) -> None:
+        self.steps += 1
+        for k, g in grads.items():
+            first, second = self.first[k], self.second[k]
+            if k == "e":  # only rows that were met
+                rows, g = g
+                first[rows] = m = 0.9 * first[rows] + 0.1 * g
+                second[rows] = v = 0.99 * second[rows] + 0.01 * g * g
+                self.p[k][rows] -= rate * m / (np.sqrt(v) + 1e-6)
+                self.met[rows] += 1
+            else:
+                first += 0.1 * (g - first)
+                second += 0.01 * (g * g - second)
+                self.p[k] -= rate * (first / (1 - 0.9**self.steps)) / (np.sqrt(second / (1 - 0.99**self.steps)) + 1e-6)
+
+
 class AttentionModel:
     """Ids below ``vocabulary`` are tokens; ``vocabulary`` is the end of a text, and its start as an input. ``statistics``: how often
-    each id occurs, and its class, where more than ``texts`` is known."""
+    each id occurs, and its class, where more than ``texts`` is known. ``fit`` changes the parameters of the new model, in place of
+    training on ``texts``."""
 
-    def __init__(self, texts: list[np.ndarray], vocabulary: int, steps: int = 2500, batch: int = 64, rate: float = 0.01, seed: int = 7, statistics: tuple[np.ndarray, np.ndarray] | None = None):
+    def __init__(self, texts: list[np.ndarray], vocabulary: int, steps: int = 2500, batch: int = 64, rate: float = 0.01, seed: int = 7, statistics: tuple[np.ndarray, np.ndarray] | None = None,
+                 fit: Callable[[AttentionModel], None] | None = None):
         self.end = vocabulary
-        end = np.array([vocabulary], dtype=np.int64)
-        sequences = [np.concatenate([end, t, end]).astype(np.int32) for t in texts] or [np.concatenate([end, end])]
-        flat = np.concatenate([s[1:] for s in sequences])
-        counts, self.classes = statistics or self._statistics(flat)
+        texts = texts or [np.zeros(0, dtype=np.int64)]
+        windows_ = TrainingWindows(np.concatenate(texts), np.cumsum([0, *map(len, texts)]), vocabulary)
+        counts, self.classes = statistics or self._statistics(windows_.targets.astype(np.int64))
+        seen = counts > 0
+        seen[vocabulary] = True
         counts = counts + 0.5
         total = np.bincount(self.classes, weights=counts, minlength=CLASSES)
         self.inside = np.log(counts / total[self.classes]).astype(np.float32)
         rng = np.random.default_rng(seed)
-        seen = np.zeros(vocabulary + 1, dtype=bool)
-        seen[flat] = True
         draw = lambda *shape: (rng.normal(size=shape) / np.sqrt(shape[0])).astype(np.float32)
         self.p = {
             "e": (rng.normal(size=(vocabulary + 1, WIDTH)) * 0.3 * seen[:, None]).astype(np.float32),
@@ -92,7 +141,10 @@ class AttentionModel:
             "w1": draw(WIDTH, HIDDEN), "b1": np.zeros(HIDDEN, np.float32), "w2": draw(HIDDEN, WIDTH) * 0.5,
             "c": draw(WIDTH, CLASSES), "b": np.log(np.maximum(total, 0.5) / total.sum()).astype(np.float32),
         }
-        self._train(sequences, steps, batch, rate, rng)
+        if fit is None:
+            self._train(windows_, steps, batch, rate, rng)
+        else:
+            fit(self)
         self._export()
 
     def _statistics(self, flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -104,73 +156,72 @@ class AttentionModel:
         neighbours(common, self.end + 1)(table, flat)
         return counts, token_classes(met, common, table.reshape(len(common), 2 * MARKS))
 
-    def _train(self, sequences: list[np.ndarray], steps: int, batch: int, rate: float, rng) -> None:
-        """Adam on random windows, each ending where its text ends."""
-        inputs, targets, mask = [], [], []
-        for s in sequences:
-            for a in range(0, len(s) - 1, WINDOW):
-                part = s[a : a + WINDOW + 1]
-                pad = WINDOW + 1 - len(part)
-                inputs.append(np.pad(part[:-1], (0, pad), constant_values=self.end))
-                targets.append(np.pad(part[1:], (0, pad), constant_values=self.end))
-                mask.append(np.arange(WINDOW) < len(part) - 1)
-        x, y, m = np.array(inputs), self.classes[np.array(targets)], np.array(mask)
-        first = {k: np.zeros_like(v) for k, v in self.p.items()}
-        second = {k: np.zeros_like(v) for k, v in self.p.items()}
+    def _train(self, windows_: TrainingWindows, steps: int, batch: int, rate: float, rng) -> None:
+        """Adam on random windows."""
+        adam = Adam(self.p)
         for step in range(1, steps + 1):
-            pick = rng.integers(0, len(x), size=min(batch, 8 * len(x)))
-            grads = self._gradients(x[pick], y[pick], m[pick])
-            decay = rate * (1 - step / (steps + 1)) + 1e-4
-            for k, g in grads.items():
-                if k == "e":  # only rows that were met
-                    rows, g = g
-                    first[k][rows] = 0.9 * first[k][rows] + 0.1 * g
-                    second[k][rows] = 0.99 * second[k][rows] + 0.01 * g * g
-                    self.p[k][rows] -= decay * first[k][rows] / (np.sqrt(second[k][rows]) + 1e-6)
-                else:
-                    first[k] = 0.9 * first[k] + 0.1 * g
-                    second[k] = 0.99 * second[k] + 0.01 * g * g
-                    self.p[k] -= decay * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-6)
+            x, y, m = windows_.take(rng.integers(0, len(windows_), size=min(batch, 8 * len(windows_))))
+            adam.step(self._gradients(x, self.classes[y], m), rate * (1 - step / (steps + 1)) + 1e-4)
+
+    def fresh(self) -> AttentionModel:
+        """A copy with parameters of its own."""
+        out = AttentionModel.__new__(AttentionModel)
+        out.__dict__.update(self.__dict__, p={k: v.copy() for k, v in self.p.items()})
+        return out
 
     def _bias(self, r: np.ndarray) -> np.ndarray:
         back = np.arange(WINDOW)[:, None] - np.arange(WINDOW)[None, :]
         return np.where(back >= 0, r[np.maximum(back, 0)], np.float32(-1e9)).astype(np.float32)
 
     def _gradients(self, x: np.ndarray, y: np.ndarray, m: np.ndarray) -> dict:
-        p, scale = self.p, np.float32(1 / np.sqrt(WIDTH))
-        e = p["e"][x]
-        q, k, v = e @ p["q"], e @ p["k"], e @ p["v"]
-        z = q @ k.transpose(0, 2, 1) * scale + self._bias(p["r"])
-        a = np.exp(z - z.max(axis=2, keepdims=True))
-        a /= a.sum(axis=2, keepdims=True)
-        h = e + a @ v
+        p, scale, w = self.p, np.float32(1 / np.sqrt(WIDTH)), WIDTH
+        two = lambda z: z.reshape(-1, z.shape[-1])
+        e = p["e"][x.ravel()]
+        qkv = np.concatenate([p["q"] * scale, p["k"], p["v"]], axis=1)
+        each = (e @ qkv).reshape(*x.shape, 3 * w)
+        q, k, v = each[:, :, :w], each[:, :, w : 2 * w], each[:, :, 2 * w :]
+        a = q @ k.transpose(0, 2, 1)
+        a += self._bias(p["r"])
+        if not np.sqrt(np.einsum("bij,bij->bi", q, q).max() * np.einsum("bij,bij->bi", k, k).max()) + np.abs(p["r"]).max() <= MOST_LOGIT:
+            a -= a.max(axis=2, keepdims=True)
+        np.exp(a, out=a)
+        a *= 1 / (a @ np.ones((WINDOW, 1), a.dtype))
+        h = e + two(a @ v)
         u = h @ p["w1"] + p["b1"]
         r = np.maximum(u, 0)
         o = h + r @ p["w2"]
-        t = o @ p["c"] + p["b"]
-        s = np.exp(t - t.max(axis=2, keepdims=True))
-        s /= s.sum(axis=2, keepdims=True)
-        dt = s
-        np.subtract.at(dt.reshape(-1, CLASSES), (np.arange(y.size), y.ravel()), 1)
-        dt *= (m / max(1, m.sum()))[:, :, None].astype(np.float32)
-        two = lambda z: z.reshape(-1, z.shape[-1])
-        g = {"c": two(o).T @ two(dt), "b": two(dt).sum(0)}
-        do = dt @ p["c"].T
-        g["w2"] = two(r).T @ two(do)
-        du = (do @ p["w2"].T) * (u > 0)
-        g["w1"], g["b1"] = two(h).T @ two(du), two(du).sum(0)
+        t = o @ p["c"]
+        t += p["b"]
+        if not np.sqrt(np.einsum("ij,ij->i", o, o).max() * (p["c"] ** 2).sum(0).max()) + np.abs(p["b"]).max() <= MOST_LOGIT:
+            t -= t.max(axis=1, keepdims=True)
+        np.exp(t, out=t)
+        share = (m / max(1, m.sum())).astype(np.float32).reshape(-1, 1)
+        t *= share / (t @ np.ones((CLASSES, 1), t.dtype))
+        t[np.arange(y.size), y.ravel()] -= share[:, 0]
+        g = {"c": o.T @ t, "b": np.ones(len(t), t.dtype) @ t}
+        do = t @ p["c"].T
+        g["w2"] = r.T @ do
+        du = do @ p["w2"].T
+        du *= u > 0
+        g["w1"], g["b1"] = h.T @ du, du.sum(0)
         dh = do + du @ p["w1"].T
-        da, dv = dh @ v.transpose(0, 2, 1), a.transpose(0, 2, 1) @ dh
-        dz = a * (da - (da * a).sum(axis=2, keepdims=True))
-        back = np.arange(WINDOW)[:, None] - np.arange(WINDOW)[None, :]
-        g["r"] = np.bincount(back[back >= 0], weights=dz.sum(0)[back >= 0], minlength=WINDOW).astype(np.float32)
-        dq, dk = dz @ k * scale, dz.transpose(0, 2, 1) @ q * scale
-        g["q"], g["k"], g["v"] = two(e).T @ two(dq), two(e).T @ two(dk), two(e).T @ two(dv)
-        de = two(dh + dq @ p["q"].T + dk @ p["k"].T + dv @ p["v"].T)
-        rows, index = np.unique(x.ravel(), return_inverse=True)
-        total = np.zeros((len(rows), WIDTH), dtype=np.float32)
-        np.add.at(total, index.ravel(), de)
-        g["e"] = (rows, total)
+        back = dh.reshape(*x.shape, w)
+        deach = np.empty_like(each)
+        deach[:, :, 2 * w :] = a.transpose(0, 2, 1) @ back
+        dz = back @ v.transpose(0, 2, 1)
+        dz -= np.einsum("bij,bij->bi", dz, a)[:, :, None]
+        dz *= a
+        places = np.arange(WINDOW)[:, None] - np.arange(WINDOW)[None, :]
+        g["r"] = np.bincount(places[places >= 0], weights=dz.sum(0)[places >= 0], minlength=WINDOW).astype(np.float32)
+        np.matmul(dz, k, out=deach[:, :, :w])
+        np.matmul(dz.transpose(0, 2, 1), q, out=deach[:, :, w : 2 * w])
+        deach = two(deach)
+        dqkv = e.T @ deach
+        g["q"], g["k"], g["v"] = dqkv[:, :w] * scale, dqkv[:, w : 2 * w], dqkv[:, 2 * w :]
+        de = dh + deach @ qkv.T
+        order = np.argsort(x.ravel(), kind="stable")
+        rows, starts = np.unique(x.ravel()[order], return_index=True)
+        g["e"] = (rows, np.add.reduceat(de[order], starts, axis=0))
         return g
 
     def _export(self) -> None:

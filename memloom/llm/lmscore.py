@@ -7,42 +7,46 @@ no vocabulary is ever in one place; a range is bounded, and the number of ranges
 
 Subwords are encoded once and stored with the chunks. How often each occurs, and beside which of the commonest ones,
 is counted over all training texts; the attention model's classes and shares come from those counts. Its weights are
-trained in numpy on a share of the texts that grows with them; its windows overlap and score each subword once.
+trained on every window of all training texts: in each of a few rounds every task goes on from the same weights over a part of its
+windows, and the changes are averaged. Windows that score overlap, and score each subword once.
 """
 
 from __future__ import annotations
 
 import secrets
-import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memloom.llm.attention import MARKS, AttentionModel, neighbours, token_classes
+from memloom.llm.attention import MARKS, WIDTH, Adam, AttentionModel, TrainingWindows, neighbours, token_classes
 from memloom.llm.subwords import HELD, default_path, encoder
 from memloom.llm.textio import crc_mod, in_batches, mixed, pieces, plain, release, row_sums, stored, table, word_names, words
 
-#: Weights are trained on about one training text in so many, and on about so many characters at least, with
-#: steps in proportion.
-SAMPLE_SHARE, SAMPLE_CHARS, STEPS = 200, 2_400_000, 2500
+#: Training goes over all texts, and again over few of them, until it has gone over so many characters at least. One task takes about as many.
+LEAST_CHARS = 16_000_000
+#: Times that the tasks' weights are averaged, windows of one step, and the first step's rate.
+ROUNDS, BATCH, RATE = 8, 64, 0.01
+#: Rows of the embedding whose changes are averaged at once.
+ROWS = 1 << 13
 #: Text bytes of one chunk, and distinct words (each once a chunk) of one hash range.
 CHUNK_BYTES, RANGE_WORDS = 4 << 20, 1 << 20
 #: Counts that one task sums at once.
 PART = 1 << 19
 
 
-def train(documents: DataFrame, tokenizer: str | None = None, sample_chars: int = SAMPLE_CHARS) -> AttentionModel:
-    """The model of ``documents`` (text): counts of all of them, weights from about ``sample_chars`` or more, drawn by hash."""
+def train(documents: DataFrame, tokenizer: str | None = None, sample_chars: int = LEAST_CHARS) -> AttentionModel:
+    """The model of ``documents`` (text): all of them, gone over until ``sample_chars`` characters at least have been met."""
     rows = documents.where("text IS NOT NULL").select(F.lit(None).cast("bigint").alias("doc_id"), "text", F.lit(True).alias("trains"), F.lit(False).alias("held"))
     return train_on(make_chunks(rows, tokenizer), tokenizer, sample_chars)
 
 
-def train_on(chunks: DataFrame, tokenizer: str | None = None, sample_chars: int = SAMPLE_CHARS) -> AttentionModel:
-    """The model of the training texts of ``chunks``."""
+def train_on(chunks: DataFrame, tokenizer: str | None = None, sample_chars: int = LEAST_CHARS) -> AttentionModel:
+    """The model of all training texts of ``chunks``, gone over until ``sample_chars`` characters at least have been met."""
     end = encoder(tokenizer or default_path()).vocabulary
     counts = dense_sums(chunks, end, end + 1, lambda total, flat: np.add.at(total, flat[1:], 1))
     met = counts.copy()
@@ -51,9 +55,83 @@ def train_on(chunks: DataFrame, tokenizer: str | None = None, sample_chars: int
     beside = dense_sums(chunks, end, len(common) * 2 * MARKS, neighbours(common, end + 1)).reshape(len(common), 2 * MARKS)
     classes = token_classes(met, common, beside)
     del beside
-    total = chunks.agg(F.coalesce(F.sum("n_chars"), F.lit(0))).first()[0]
-    wanted = max(sample_chars, total / SAMPLE_SHARE)
-    return AttentionModel(drawn(chunks, end, wanted / max(total, 1)), end, steps=round(STEPS * wanted / sample_chars), statistics=(counts, classes))
+    total = chunks.agg(F.coalesce(F.sum("n_chars"), F.lit(0))).first()[0] + 100 * int(counts[end])  # a short text is a window as well
+    passes = max(1, -(-sample_chars // max(total, 1)))
+    parts = max(1, round(total / LEAST_CHARS))
+
+    def fit(model: AttentionModel) -> None:
+        for number in range(ROUNDS if total else 0):
+            fit_round(chunks.coalesce(parts), model, number, passes)
+
+    return AttentionModel([], end, statistics=(counts, classes), fit=fit)
+
+
+def fit_round(chunks: DataFrame, model: AttentionModel, number: int, passes: int) -> None:
+    """One of ROUNDS rounds, which together go ``passes`` times over every window of the training texts. Each task steps over its share from
+    the same weights; their changes are averaged, by the steps of a task, or for a row of the embedding by those that met it."""
+    end, shared = model.end, chunks.sparkSession.sparkContext.broadcast(model)
+    rate, names, kind = RATE * (1 - number / ROUNDS) + 1e-4, [k for k in model.p if k != "e"], "part int, task int, rows binary, met binary, moved binary"
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, old = TaskContext.get().partitionId(), shared.value
+        mine = old.fresh()
+        adam = Adam(mine.p)
+
+        def steps(windows: tuple, least: int) -> tuple:
+            a = 0
+            while len(windows[0]) - a >= least:
+                x, y, m = (w[a : a + BATCH] for w in windows)
+                adam.step(mine._gradients(x, mine.classes[y], m), rate)
+                a += BATCH
+            return tuple(w[a:] for w in windows)
+
+        rest = None
+        for ids, ends in _training_ids(batches, end):
+            windows = TrainingWindows(ids, ends, end)
+            for k in range(number * passes, (number + 1) * passes) if len(windows) else ():
+                part = np.random.default_rng(k // ROUNDS).permutation(len(windows))[k % ROUNDS :: ROUNDS]
+                new = windows.take(part)
+                rest = steps(new if rest is None else tuple(np.concatenate(w) for w in zip(rest, new, strict=True)), BATCH)
+        if rest is not None:
+            steps(rest, 1)
+        if adam.steps:
+            rows = np.flatnonzero(adam.met)
+            moved = mine.p["e"][rows] - old.p["e"][rows]
+            cuts = np.searchsorted(rows, np.arange(0, end + 1 + ROWS, ROWS))
+            for part, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+                if a < b:
+                    yield _moves(part, task, rows[a:b] - part * ROWS, adam.met[rows[a:b]], moved[a:b].astype(np.float16))
+            yield _moves(-1, task, np.zeros(1), np.array([adam.steps]), np.concatenate([(mine.p[k] - old.p[k]).ravel() for k in names]))
+        release()
+
+    def average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, tuple] = {}
+        for batch in batches:
+            for part, rows, met, moved in zip(*(batch.column(c).to_pylist() for c in ("part", "rows", "met", "moved")), strict=True):
+                rows, met = np.frombuffer(rows, np.uint32), np.frombuffer(met, np.float32)
+                moved = np.frombuffer(moved, np.float32 if part < 0 else np.float16).reshape(len(rows), -1)
+                many, total = sums.setdefault(part, (np.zeros(1 if part < 0 else ROWS), np.zeros((1 if part < 0 else ROWS, moved.shape[1]))))
+                many[rows] += met
+                total[rows] += met[:, None] * moved
+        for part, (many, total) in sums.items():
+            rows = np.flatnonzero(many)
+            yield _moves(part, 0, rows, many[rows], total[rows] / many[rows, None], np.float32)
+
+    moves = chunks.select("n_docs", "trains", "ids", "id_ends").mapInArrow(learn, kind)
+    for row in moves.repartition("part").sortWithinPartitions("part", "task").mapInArrow(average, kind).collect():
+        moved = np.frombuffer(row.moved, np.float32)
+        if row.part >= 0:
+            model.p["e"][np.frombuffer(row.rows, np.uint32) + row.part * ROWS] += moved.reshape(-1, WIDTH)
+            continue
+        for k in names:
+            model.p[k] += moved[: model.p[k].size].reshape(model.p[k].shape)
+            moved = moved[model.p[k].size :]
+    shared.destroy()
+
+
+def _moves(part: int, task: int, rows: np.ndarray, met: np.ndarray, moved: np.ndarray, dtype: type | None = None) -> pa.RecordBatch:
+    binary = [pa.array([x.tobytes()], pa.binary()) for x in (rows.astype(np.uint32), met.astype(np.float32), moved.astype(dtype or moved.dtype))]
+    return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([task], pa.int32()), *binary], names=["part", "task", "rows", "met", "moved"])
 
 
 def _id_type(end: int) -> type:
@@ -109,19 +187,6 @@ def dense_sums(chunks: DataFrame, end: int, size: int, tally: Callable[[np.ndarr
     return out
 
 
-def drawn(chunks: DataFrame, end: int, rate: float) -> list[np.ndarray]:
-    """Ids of about ``rate`` of the training texts, drawn by a hash of theirs, in order of their ids. Of copies of a text, which are drawn together, one comes."""
-
-    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, ends in _training_ids(batches, end):
-            texts = [ids[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
-            kept = [t for t in texts if zlib.crc32(t, 9) < rate * (1 << 32)]
-            yield pa.RecordBatch.from_arrays([pa.array(kept, pa.binary())], names=["ids"])
-
-    found = chunks.select("n_docs", "trains", "ids", "id_ends").mapInArrow(pick, "ids binary").dropDuplicates(["ids"]).toArrow().column("ids")
-    return [np.frombuffer(t, dtype=_id_type(end)) for t in sorted(found.to_pylist())]
-
-
 def _pack(values: np.ndarray) -> bytes:
     return pa.compress(np.ascontiguousarray(values).tobytes(), codec="zstd", asbytes=True)
 

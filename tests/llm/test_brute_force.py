@@ -502,6 +502,21 @@ def test_layer_one_checksums():
     assert mpeg.parse(frame + frame[:8] + b"\x77" + frame[9:] + frame).damaged == 1
 
 
+def test_lm_trains_on_every_text(spark, docs, monkeypatch):
+    """The embedding of every id of the corpus moves, and the rounds together take each window as often as they pass."""
+    coder = subwords.encoder(subwords.default_path())
+    frame = spark.createDataFrame(docs[["doc_id", "text"]]).repartition(5)
+    trained = lmscore.train(frame, sample_chars=2000)
+    monkeypatch.setattr(lmscore, "ROUNDS", 0, raising=False)
+    start = lmscore.train(frame, sample_chars=2000)
+    met = np.unique(coder.encode(pa.array([t for t in docs.text if t is not None]))[0])
+    assert (trained.rows[met] != start.rows[met])[:, 3 * attention.WIDTH + 1 :].any(axis=1).all()
+    texts = [np.arange(n) for n in (0, 1, 31, 32, 33, 90)]
+    windows = attention.TrainingWindows(np.concatenate(texts), np.cumsum([0, *map(len, texts)]), 99)
+    x, y, mask = windows.take(np.arange(len(windows)))
+    assert y[mask].tolist() == [i for t in texts for i in [*t, 99]] and x[mask].tolist() == [i for t in texts for i in [99, *t]]
+
+
 def test_model_beats_neighbours(spark):
     """Held-out subwords cost less under the attention model than under their own frequencies."""
     sf = "/root/testdata/sf0.01"
