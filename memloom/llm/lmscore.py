@@ -48,7 +48,7 @@ def train(documents: DataFrame, tokenizer: str | None = None, sample_chars: int
 def train_on(chunks: DataFrame, tokenizer: str | None = None, sample_chars: int = LEAST_CHARS) -> AttentionModel:
     """The model of all training texts of ``chunks``, gone over until ``sample_chars`` characters at least have been met."""
     end = encoder(tokenizer or default_path()).vocabulary
-    counts = dense_sums(chunks, end, end + 1, lambda total, flat: np.add.at(total, flat[1:], 1))
+    counts = dense_sums(chunks, end, end + 1, lambda total, flat: np.add(total, np.bincount(flat[1:], minlength=len(total)), out=total, casting="unsafe"))
     met = counts.copy()
     met[end] = 0
     common = np.argsort(-met, kind="stable")[: int((met > 0).sum())]
@@ -86,8 +86,8 @@ def fit_round(chunks: DataFrame, model: AttentionModel, number: int, passes: int
             return tuple(w[a:] for w in windows)
 
         rest = None
-        for ids, ends in _training_ids(batches, end):
-            windows = TrainingWindows(ids, ends, end)
+        for ids, ends, trains in _chunk_ids(batches, end):
+            windows = TrainingWindows(ids, ends, end, trains)
             for k in range(number * passes, (number + 1) * passes) if len(windows) else ():
                 part = np.random.default_rng(k // ROUNDS).permutation(len(windows))[k % ROUNDS :: ROUNDS]
                 new = windows.take(part)
@@ -138,17 +138,22 @@ def _id_type(end: int) -> type:
     return np.uint16 if end < 1 << 16 else np.uint32
 
 
-def _training_ids(batches: Iterator[pa.RecordBatch], end: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Ids of each chunk's training texts, and where each text begins and ends."""
+def _chunk_ids(batches: Iterator[pa.RecordBatch], end: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Ids of each chunk's texts, where each text begins and ends, and which are for training."""
     for batch in batches:
         for k in range(batch.num_rows):
             ends = _unpack(batch.column("id_ends")[k].as_buffer(), np.int64, batch.column("n_docs")[k].as_py() + 1)
-            ids = _unpack(batch.column("ids")[k].as_buffer(), _id_type(end), int(ends[-1]))
-            trains, lengths = np.array(batch.column("trains")[k].as_py(), dtype=bool), np.diff(ends)
-            yield ids[np.repeat(trains, lengths)], np.concatenate([[0], np.cumsum(lengths[trains])])
+            yield _unpack(batch.column("ids")[k].as_buffer(), _id_type(end), int(ends[-1])), ends, np.array(batch.column("trains")[k].as_py(), dtype=bool)
         release()
 
 
+def _training_ids(batches: Iterator[pa.RecordBatch], end: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Ids of each chunk's training texts, and where each text begins and ends."""
+    for ids, ends, trains in _chunk_ids(batches, end):
+        lengths = np.diff(ends)
+        yield ids[np.repeat(trains, lengths)], np.concatenate([[0], np.cumsum(lengths[trains])])
+
+
 def dense_sums(chunks: DataFrame, end: int, size: int, tally: Callable[[np.ndarray, np.ndarray], None]) -> np.ndarray:
     """``size`` counts, summed over all training texts. ``tally`` adds to a task's counts those of texts in a row, ``end`` before, between and after them."""
 

@@ -7,7 +7,6 @@ under its name (its own bytes, or the digest of a long one) for later batches.
 
 from __future__ import annotations
 
-import re
 from itertools import batched, chain
 
 import numpy as np
@@ -16,8 +15,8 @@ import pyarrow.compute as pc
 
 from memloom.llm.textio import held, mixed, plain, ragged, word_names, words
 
-#: Words a worker keeps encoded; beyond that it starts anew.
-CACHE_WORDS = 200_000
+#: Words a worker keeps encoded; beyond that it drops the half that it has not met for longest.
+CACHE_WORDS = 600_000
 
 
 def default_path() -> str:
@@ -45,12 +44,17 @@ class WordEncoder:
         self.ends_word = np.zeros(self.vocabulary, dtype=bool)
         for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items():
             self.ends_word[i] = token.endswith("</w>")
-        self.letters = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+").fullmatch
-        self.forget()
-
-    def forget(self) -> None:
         self.keys, self.names = np.zeros(0, np.uint64), np.zeros((0, 2), np.uint64)
         self.pool, self.firsts, self.sizes = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.round, self.met = 0, np.zeros(0, np.int32)  # calls of encode_words, and the last that met each word
+
+    def forget(self) -> None:
+        """Keep the half of the words that were met last."""
+        kept = np.sort(np.argsort(-self.met, kind="stable")[: len(self.met) // 2])
+        sizes = self.sizes[kept].astype(np.int64)
+        self.pool = self.pool[ragged(self.firsts[kept], sizes)]
+        self.keys, self.names, self.sizes, self.met = self.keys[kept], self.names[kept], self.sizes[kept], self.met[kept]
+        self.firsts = np.cumsum(sizes) - sizes
 
     def _run(self, steps: tuple, texts: list[str]) -> list:
         self.tokenizer.normalizer, self.tokenizer.pre_tokenizer = steps
@@ -59,16 +63,16 @@ class WordEncoder:
     def _encode(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self._run(self.own, texts)]
 
-    def _encode_stems(self, stems: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _encode_stems(self, stems: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of many stems and the number of each. Words of letters alone go as one
         text: only the last id of such a word ends a word."""
-        simple = np.array([self.letters(w) is not None for w in stems], dtype=bool)
+        simple = pc.match_substring_regex(stems, "^[a-z\u00df-\u00f6\u00f8-\u00ff]+$").to_numpy(zero_copy_only=False)
         sizes = np.zeros(len(stems), dtype=np.int64)
-        joined = [" ".join(x) for x in batched((w for w, s in zip(stems, simple, strict=True) if s), 2000)]
+        joined = [" ".join(x) for x in batched(stems.filter(pa.array(simple)).to_pylist(), 2000)]
         flat = np.fromiter(chain.from_iterable(x.ids for x in self._run(self.bare, joined)), dtype=np.uint32)
         ends = np.flatnonzero(self.ends_word[flat])
         sizes[simple] = np.diff(ends, prepend=-1)
-        rest = self._encode([w for w, s in zip(stems, simple, strict=True) if not s])
+        rest = self._encode(stems.filter(pa.array(~simple)).to_pylist())
         sizes[~simple] = np.fromiter(map(len, rest), dtype=np.int64, count=len(rest))
         firsts = np.cumsum(sizes) - sizes
         ids = np.zeros(int(sizes.sum()), dtype=np.uint32)
@@ -95,25 +99,25 @@ class WordEncoder:
         at = np.searchsorted(self.keys, keys[order])
         self.keys, self.names = np.insert(self.keys, at, keys[order]), np.insert(self.names, at, names[order], axis=0)
         self.firsts, self.sizes = np.insert(self.firsts, at, firsts), np.insert(self.sizes, at, sizes[order].astype(np.int32))
+        self.met = np.insert(self.met, at, self.round)
         self.pool = np.concatenate([self.pool, ids])
 
     def _add(self, fresh: pa.Array, keys: np.ndarray, names: np.ndarray) -> None:
         """Encode new words. A stop after an ASCII letter is a piece of its own, so "word," is "word" and ","."""
-        plainly = fresh.to_pylist()
-        stopped = np.array([len(w) > 1 and w[-1] in self.stops and "a" <= w[-2] <= "z" for w in plainly], dtype=bool)
-        whole = [w for w, s in zip(plainly, stopped, strict=True) if not s]
-        if whole:
-            ids, sizes = self._encode_stems(whole)
+        stopped = pc.match_substring_regex(fresh, "[a-z][,.]$").to_numpy(zero_copy_only=False)
+        if not stopped.all():
+            ids, sizes = self._encode_stems(fresh.filter(pa.array(~stopped)))
             self._keep(keys[~stopped], names[~stopped], ids, sizes)
         if stopped.any():
-            stems = pa.array([w[:-1] for w, s in zip(plainly, stopped, strict=True) if s], pa.string()).dictionary_encode()
+            whole = fresh.filter(pa.array(stopped))
+            stems = pc.utf8_slice_codeunits(whole, 0, -1).dictionary_encode()
             firsts, sizes = self.places(stems.dictionary)
             code = stems.indices.to_numpy(zero_copy_only=False)
             stem_sizes = sizes[code].astype(np.int64)
             ids = np.zeros(int(stem_sizes.sum()) + len(code), dtype=np.uint32)
             begins = np.cumsum(stem_sizes + 1) - stem_sizes - 1
             ids[ragged(begins, stem_sizes)] = self.pool[ragged(firsts[code], stem_sizes)]
-            ids[begins + stem_sizes] = [self.stops[w[-1]] for w, s in zip(plainly, stopped, strict=True) if s]
+            ids[begins + stem_sizes] = np.where(pc.ends_with(whole, ",").to_numpy(zero_copy_only=False), self.stops[","], self.stops["."])
             self._keep(keys[stopped], names[stopped], ids, stem_sizes + 1)
 
     def places(self, distinct: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -125,6 +129,7 @@ class WordEncoder:
             new = np.flatnonzero(at < 0)
             self._add(distinct.take(pa.array(new)), keys[new], names[new])
             at = self._find(keys, names)
+        self.met[at] = self.round
         return self.firsts[at], self.sizes[at]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -135,6 +140,7 @@ class WordEncoder:
 
     def encode_words(self, codes: np.ndarray, offsets: np.ndarray, distinct: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids and offsets of texts that ``words`` has split. It lower-cases A-Z, so no text may hold "<|"."""
+        self.round += 1
         if len(self.keys) > CACHE_WORDS:
             self.forget()
         firsts, sizes = self.places(distinct)
